@@ -1,7 +1,8 @@
 """Ordered work per key without one task per hot key.
 
-A window over a key that holds a large share of all rows runs in one task. The helpers here find such keys
-by a map-side combined count and cut only them into blocks of consecutive rows. Other keys keep the plain window.
+A window over a key that holds a large share of all rows runs in one task. The helpers here first ask, by a map-side
+combined count of the key columns alone, whether such a key exists. If none does, the plan is the plain window. If
+there is one, only its rows are cut into blocks of consecutive rows; the others keep the plain window.
 
 Positions come from counts, not from one global sort: rows per (key, hour) and per (key, hour, second) give the
 number of rows before each second; a row number inside the second completes it. The largest window of the split
@@ -18,27 +19,29 @@ from pyspark.sql import functions as F
 
 HOT_ROWS = 2_000_000
 BLOCK_ROWS = 500_000
+LOG_BINS = 64  # histogram bins per doubling of a value
 
 _HOUR, _SECOND = "_hour", "_second"
 
 
-def _same_keys(left: str, right: str, keys: Sequence[str]) -> Column:
+def same_keys(left: str, right: str, keys: Sequence[str]) -> Column:
+    """Null-safe equality of the key columns of two aliases, so that a null key is a key like any other."""
     cond = F.lit(True)
     for k in keys:
         cond = cond & F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}"))
     return cond
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than hot_rows rows; at most rows / hot_rows of them."""
-    return df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows).drop("_n")
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """Keys with more than hot_rows rows (at most rows / hot_rows of them), or None. One look at the key columns."""
+    hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows).drop("_n")
+    return None if hot.isEmpty() else hot
 
 
-def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+def split_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows of ordinary keys, rows of hot keys)."""
-    hot = hot_keys(df, keys, hot_rows).alias("h")
-    cond = _same_keys("d", "h", keys)
-    return df.alias("d").join(hot, cond, "left_anti"), df.alias("d").join(hot, cond, "left_semi")
+    cond = same_keys("d", "h", keys)
+    return df.alias("d").join(hot.alias("h"), cond, "left_anti"), df.alias("d").join(hot.alias("h"), cond, "left_semi")
 
 
 def _timed(df: DataFrame, ts: str) -> DataFrame:
@@ -56,7 +59,7 @@ def _rows_before(timed: DataFrame, keys: Sequence[str]) -> DataFrame:
     return (
         per_second.withColumn("_s0", F.coalesce(F.sum("_c").over(within), F.lit(0)))
         .alias("s")
-        .join(per_hour.alias("p"), _same_keys("s", "p", [*keys, _HOUR]))
+        .join(per_hour.alias("p"), same_keys("s", "p", [*keys, _HOUR]))
         .select(*[F.col(f"s.{c}") for c in [*keys, _SECOND]], (F.col("_h0") + F.col("_s0")).alias("_before"))
     )
 
@@ -69,13 +72,33 @@ def positions(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str]) -
     return (
         timed.withColumn("_rn", F.row_number().over(in_second))
         .alias("t")
-        .join(before.alias("b"), _same_keys("t", "b", [*keys, _SECOND]))
+        .join(before.alias("b"), same_keys("t", "b", [*keys, _SECOND]))
         .select("t.*", "b._before")
         .withColumn("_pos", F.col("_before") + F.col("_rn") - 1)
         .drop("_before", "_rn", _SECOND, _HOUR)
     )
 
 
+def blocks(
+    hot: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], before: int = 0, after: int = 0, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """Rows with _block, in blocks of block_rows consecutive rows of a key.
+
+    Each block also gets the `before` rows in front of it and the `after` rows behind it; those have _own = false.
+    """
+    if max(before, after) > block_rows:
+        raise ValueError("a block must be at least as long as the look-back")
+    home = F.floor(F.col("_pos") / block_rows).cast("long")
+    first = F.floor(F.greatest(F.col("_pos") - after, F.lit(0)) / block_rows).cast("long")
+    last = F.floor((F.col("_pos") + before) / block_rows).cast("long")
+    return (
+        positions(hot, keys, ts, tie)
+        .withColumn("_block", F.explode(F.sequence(first, last)))
+        .withColumn("_own", F.col("_block") == home)
+        .drop("_pos")
+    )
+
+
 def over_ordered(
     df: DataFrame,
     keys: Sequence[str],
@@ -89,26 +112,30 @@ def over_ordered(
 ) -> DataFrame:
     """df plus window columns that look at most `before` rows back and `after` rows ahead in their key.
 
-    columns(window) gives the new columns for an ordered window. Rows of a hot key are cut into blocks of
-    block_rows; each block also gets the `before` rows in front of it and the `after` rows behind it, so
-    every row finds the neighbours it needs inside its block.
+    columns(window) gives the new columns for an ordered window.
     """
-    if max(before, after) > block_rows:
-        raise ValueError("a block must be at least as long as the look-back")
-    names = df.columns
-    cold, hot = split_hot(df, keys, hot_rows)
-    home = F.floor(F.col("_pos") / block_rows).cast("long")
-    first = F.floor(F.greatest(F.col("_pos") - after, F.lit(0)) / block_rows).cast("long")
-    last = F.floor((F.col("_pos") + before) / block_rows).cast("long")
-    blocks = (
-        positions(hot, keys, ts, tie)
-        .withColumn("_block", F.explode(F.sequence(first, last)))
-        .withColumn("_own", F.col("_block") == home)
-        .select(*names, "_block", "_own")
-    )
-    parts = cold.select(*names, F.lit(-1).cast("long").alias("_block"), F.lit(True).alias("_own")).unionByName(blocks)
-    window = W.partitionBy(*keys, "_block").orderBy(ts, *tie)
-    return parts.withColumns(columns(window)).where("_own").drop("_block", "_own")
+    hot = hot_keys(df, keys, hot_rows)
+    if hot is None:
+        return df.withColumns(columns(W.partitionBy(*keys).orderBy(ts, *tie)))
+    cold_rows, hot_part = split_hot(df, keys, hot)
+    cut = blocks(hot_part, keys, ts, tie, before, after, block_rows)
+    cut = cut.withColumns(columns(W.partitionBy(*keys, "_block").orderBy(ts, *tie))).where("_own").drop("_block", "_own")
+    return cold_rows.withColumns(columns(W.partitionBy(*keys).orderBy(ts, *tie))).unionByName(cut)
+
+
+def carry(per_row: DataFrame, keys: Sequence[str], order: Column, value: str, forward: bool) -> DataFrame:
+    """Per block of a key: the last non-null value of earlier blocks (forward), or the first of later blocks.
+
+    Blocks are reduced to one row first, so the window sees the blocks of a key and not its rows.
+    """
+    present = F.when(F.col(value).isNotNull(), order)
+    if forward:
+        edge, w = F.max_by(F.col(value), present), W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+        pick = F.last("_edge", ignorenulls=True)
+    else:
+        edge, w = F.min_by(F.col(value), present), W.partitionBy(*keys).orderBy("_block").rowsBetween(1, W.unboundedFollowing)
+        pick = F.first("_edge", ignorenulls=True)
+    return per_row.groupBy(*keys, "_block").agg(edge.alias("_edge")).withColumn("_carry", pick.over(w)).drop("_edge")
 
 
 def fill_forward(
@@ -124,78 +151,60 @@ def fill_forward(
 
     The look-back is unbounded, so the blocks of a hot key hand over only their last value.
     """
+    def fill(rows: DataFrame, *by: str) -> DataFrame:
+        upto = W.partitionBy(*by).orderBy(ts, *tie).rowsBetween(W.unboundedPreceding, 0)
+        return rows.withColumn(value, F.last(value, ignorenulls=True).over(upto))
+
+    hot = hot_keys(df, keys, hot_rows)
+    if hot is None:
+        return fill(df, *keys)
     names = df.columns
-    cold, hot = split_hot(df, keys, hot_rows)
-    timed = _timed(hot, ts)
-    before = _rows_before(timed, keys)
+    cold_rows, hot_part = split_hot(df, keys, hot)
+    timed = _timed(hot_part, ts)
     placed = (
         timed.alias("t")
-        .join(before.alias("b"), _same_keys("t", "b", [*keys, _SECOND]))
+        .join(_rows_before(timed, keys).alias("b"), same_keys("t", "b", [*keys, _SECOND]))
         .select(*[F.col(f"t.{c}") for c in names], F.floor(F.col("_before") / block_rows).cast("long").alias("_block"))
     )
-    parts = cold.select(*names, F.lit(-1).cast("long").alias("_block")).unionByName(placed)
-    upto = W.partitionBy(*keys, "_block").orderBy(ts, *tie).rowsBetween(W.unboundedPreceding, 0)
-    filled = parts.withColumn(value, F.last(value, ignorenulls=True).over(upto))
-    order = F.struct(ts, *tie)
-    handed = (
-        placed.groupBy(*keys, "_block")
-        .agg(F.max_by(F.col(value), F.when(F.col(value).isNotNull(), order)).alias("_last"))
-        .withColumn(
-            "_carry",
-            F.last("_last", ignorenulls=True).over(
-                W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-            ),
-        )
-        .drop("_last")
-    )
-    rest = [c for c in names if c != value]
-    return (
-        filled.alias("f")
-        .join(handed.alias("c"), _same_keys("f", "c", [*keys, "_block"]), "left")
-        .select(*[F.col(f"f.{c}") for c in rest], F.coalesce(F.col(f"f.{value}"), F.col("c._carry")).alias(value))
-        .select(*names)
+    handed = carry(placed, keys, F.struct(ts, *tie), value, forward=True)
+    cut = (
+        fill(placed, *keys, "_block")
+        .alias("f")
+        .join(handed.alias("c"), same_keys("f", "c", [*keys, "_block"]))
+        .select(*[F.coalesce(F.col(f"f.{c}"), F.col("c._carry")).alias(c) if c == value else F.col(f"f.{c}") for c in names])
     )
+    return fill(cold_rows, *keys).unionByName(cut)
+
+
+def _bin(v: Column) -> Column:
+    """Bin of a double that grows with it: LOG_BINS per doubling on both sides of zero."""
+    size = F.floor(F.log2(F.abs(v)) * LOG_BINS).cast("int") + 1_000_000
+    return F.when(v > 0, size).when(v < 0, -size).otherwise(0)
 
 
-def percentile_exact(df: DataFrame, keys: Sequence[str], value: str, q: float, name: str, bins: int = 4096) -> DataFrame:
+def percentile_exact(df: DataFrame, keys: Sequence[str], value: str, q: float, name: str) -> DataFrame:
     """One row per key with the interpolated percentile, without holding a group's values in one place.
 
-    A histogram of `bins` equal steps per key finds the steps that hold the wanted ranks; only the values of these
-    steps are then counted and ranked.
+    A histogram with bins of fixed relative width finds the bins that hold the wanted ranks; only the values of these
+    bins are then counted and ranked.
     """
-    v = F.col(value).cast("double")
-    rows = df.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull())
-    span = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    binned = (
-        rows.alias("r")
-        .join(span.alias("s"), _same_keys("r", "s", keys))
-        .select(
-            "r.*",
-            F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins))
-            .otherwise(F.lit(0))
-            .cast("int")
-            .alias("_bin"),
-        )
-    )
-    upto = W.partitionBy(*keys).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
-    rank = F.lit(float(q)) * (F.col("_n") - 1)
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull()).withColumn("_bin", _bin(F.col("_v")))
+    whole = W.partitionBy(*keys)
+    upto = whole.orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
     hist = (
-        binned.groupBy(*keys, "_bin")
+        rows.groupBy(*keys, "_bin")
         .agg(F.count("*").alias("_c"))
+        .withColumn("_rank", F.lit(float(q)) * (F.sum("_c").over(whole) - 1))
         .withColumn("_b0", F.coalesce(F.sum("_c").over(upto), F.lit(0)))
-        .alias("h")
-        .join(span.alias("s"), _same_keys("h", "s", keys))
-        .select("h.*", rank.alias("_rank"))
         .where((F.col("_b0") <= F.ceil("_rank")) & (F.col("_b0") + F.col("_c") > F.floor("_rank")))
         .drop("_c")
     )
     in_bin = W.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
     ranked = (
-        binned.groupBy(*keys, "_bin", "_v")
-        .agg(F.count("*").alias("_c"))
-        .alias("b")
-        .join(hist.alias("h"), _same_keys("b", "h", [*keys, "_bin"]))
-        .select("b.*", "h._b0", "h._rank")
+        rows.alias("r")
+        .join(hist.alias("h"), same_keys("r", "h", [*keys, "_bin"]))
+        .groupBy(*[F.col(f"r.{c}") for c in [*keys, "_bin"]], "_v")
+        .agg(F.count("*").alias("_c"), F.first("_b0").alias("_b0"), F.first("_rank").alias("_rank"))
         .withColumn("_r0", F.col("_b0") + F.coalesce(F.sum("_c").over(in_bin), F.lit(0)))
     )
 
