@@ -31,7 +31,10 @@ PROFILE_DDL = (
     " writes_pct: DOUBLE, connection_count_avg: INT, connection_count_peak: INT, source: STRING>"
 )
 
-NONE = F.lit(0.0)
+
+def _zero() -> Column:
+    return F.lit(0.0)
+
 
 
 def _empty() -> Column:
@@ -72,8 +75,8 @@ def score_storage(db: DataFrame) -> DataFrame:
     gb = F.col("size_gb")
     score = case(
         (gb > rules.MAX_STORAGE_GB, F.lit(0.0)),
-        (gb > rules.MAX_STORAGE_SMALL_TIER_GB, F.greatest(NONE, 100 * (1 - gb / rules.MAX_STORAGE_GB))),
-        default=F.round(F.greatest(NONE, 100 * (1 - gb / rules.MAX_STORAGE_SMALL_TIER_GB * 0.5)), 1),
+        (gb > rules.MAX_STORAGE_SMALL_TIER_GB, F.greatest(_zero(), 100 * (1 - gb / rules.MAX_STORAGE_GB))),
+        default=F.round(F.greatest(_zero(), 100 * (1 - gb / rules.MAX_STORAGE_SMALL_TIER_GB * 0.5)), 1),
     )
     return db.withColumns({"s_storage": score, "b_storage": _found(gb > rules.MAX_STORAGE_GB, "storage", "blocker", 0)})
 
@@ -160,7 +163,7 @@ def score_performance(db: DataFrame) -> DataFrame:
     """Rates and connections against the platform limits; 75 when nothing is known."""
     qps, tps, peak = F.col("workload.avg_qps"), F.col("workload.avg_tps"), F.col("workload.connection_count_peak")
     start = case((qps > rules.MAX_QPS, F.lit(0.0)), (qps > rules.MAX_QPS * 0.7, F.lit(70.0)), default=F.lit(100.0))
-    score = F.greatest(NONE, start - step(tps > rules.MAX_TPS, 40) - step(peak > rules.MAX_CONNECTIONS, 20))
+    score = F.greatest(_zero(), start - step(tps > rules.MAX_TPS, 40) - step(peak > rules.MAX_CONNECTIONS, 20))
     findings = F.concat(
         _found(qps > rules.MAX_QPS, "performance", "blocker", 0),
         _found(tps > rules.MAX_TPS, "performance", "high", 0),
