@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from opslens.plans.bind import Bind, with_shapes
+from opslens.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -17,7 +18,7 @@ def query(name: str, shapes: str = "", sql: str | None = None):
 
     def add(fn: Callable[[Bind], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(Bind(spark, sf_dir))
+            return fn(Bind(tune(spark), sf_dir))
 
         if name in QUERIES:
             raise ValueError(f"{name} is registered twice")

@@ -64,26 +64,90 @@ def last_per_key(table: DataFrame, keys: Sequence[str]) -> DataFrame:
     return table.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
 
 
-def run_scd2(
-    changes: DataFrame, folder: str, keys: Sequence[str], ts: str, tie: Sequence[str], attributes: Sequence[str], buckets: int = 32
-) -> DataFrame:
-    """Change stream into slowly changing history.
+class Scd2Store:
+    """Slowly changing history kept by a change stream, without rewriting it.
 
-    Changes are kept by bucket of the key and batch. A batch rebuilds the history of the buckets it touches from all
-    their changes, so late changes land in the middle of their chain and a repeated batch writes the same.
+    Append-only tables, one folder per batch, so a repeated batch replaces only its own folders:
+
+    changes  every change row, by bucket of the key
+    open     the open version of each key a batch touched, with the generation of the key
+    closed   versions a batch closed, with the generation
+
+    A batch reads the open versions of its own keys, continues their chains, and appends. Only a key that gets a change
+    older than one it has seen is rebuilt from its changes, under the next generation; closed rows of earlier
+    generations no longer count.
     """
-    spark = changes.sparkSession
-    log, history = f"{folder}/changes", f"{folder}/history"
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
-    def write(df: DataFrame, batch_id: int) -> None:
-        rows = df.select(*keys, ts, *tie, *attributes).withColumn("bucket", bucket).withColumn("batch", F.lit(batch_id))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(log)
-        kept = spark.read.parquet(log)
-        touched = [r["bucket"] for r in kept.where(F.col("batch") == batch_id).select("bucket").distinct().collect()]  # at most `buckets` rows
-        chains = kept.where(F.col("bucket").isin(touched))
-        built = scd2.build(chains, keys, ts, tie, attributes).withColumn("bucket", bucket)
-        built.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(history)
-
-    run_batches(changes, folder, write)
-    return spark.read.parquet(history).drop("bucket")
+    def __init__(self, spark: SparkSession, folder: str, keys: Sequence[str], ts: str, tie: Sequence[str], attributes: Sequence[str], buckets: int = 32):
+        self.spark, self.folder, self.buckets = spark, folder, buckets
+        self.keys, self.ts, self.tie, self.attributes = list(keys), ts, list(tie), list(attributes)
+        self.columns = [*self.keys, ts, *self.tie, *self.attributes]
+
+    def _path(self, table: str) -> str:
+        return f"{self.folder}/{table}"
+
+    def _put(self, df: DataFrame, table: str, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self._path(table)}/batch={batch_id:08d}")
+
+    def _get(self, table: str, before: int) -> DataFrame:
+        return self.spark.read.parquet(self._path(table)).where(F.col("batch") < before)
+
+    def _newest_open(self, opened: DataFrame) -> DataFrame:
+        rest = [c for c in opened.columns if c not in (*self.keys, "batch")]
+        return opened.groupBy(*self.keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*self.keys, "r.*")
+
+    def _versions(self, rows: DataFrame) -> DataFrame:
+        return scd2.build(rows.select(*self.columns), self.keys, self.ts, self.tie, self.attributes)
+
+    def write(self, df: DataFrame, batch_id: int) -> None:
+        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+        log = self._path(f"changes/batch={batch_id:08d}")
+        df.select(*self.columns).withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(log)
+        new = self.spark.read.schema(df.select(*self.columns).schema).parquet(log)
+        order = F.struct(self.ts, *self.tie)
+        touched = new.groupBy(*self.keys).agg(F.min(order).alias("_first"), F.max(order).alias("_last"))
+        if batch_id == 0:
+            built = self._versions(new).join(touched.select(*self.keys, F.lit(0).alias("generation"), F.col("_last").alias("seen")), self.keys)
+        else:
+            opened = self._get("open", batch_id).join(touched.select(*self.keys), self.keys, "left_semi")
+            state = touched.join(self._newest_open(opened), self.keys, "left")
+            # late against every change seen, not only against the start of the open version: an equal change in
+            # between leaves no version, but a late change before it does
+            state = state.withColumn("_late", F.coalesce(F.col("_first") < F.col("seen"), F.lit(False)))
+            # read by the four branches below, and small: one row per key of this batch
+            self._put(state, "state", batch_id)
+            state = self.spark.read.parquet(f"{self._path('state')}/batch={batch_id:08d}")
+            late, timely = state.where("_late"), state.where("NOT _late")
+            resumed = timely.where(F.col("valid_from").isNotNull()).withColumn(self.ts, F.col("valid_from")).select(*self.columns)
+            onward = self._versions(new.join(timely.select(*self.keys), self.keys, "left_semi").unionByName(resumed))
+            history = self.spark.read.parquet(self._path("changes")).where(F.col("batch") <= batch_id)
+            late_keys = late.select(*self.keys).withColumn("bucket", bucket)
+            again = self._versions(history.join(late_keys, [*self.keys, "bucket"], "left_semi"))
+            marks = state.select(
+                *self.keys,
+                (F.coalesce("generation", F.lit(0)) + F.col("_late").cast("int")).alias("generation"),
+                F.greatest("_last", "seen").alias("seen"),
+            )
+            built = onward.unionByName(again).join(marks, self.keys)
+        self._put(built, "built", batch_id)
+        built = self.spark.read.parquet(f"{self._path('built')}/batch={batch_id:08d}")
+        self._put(built.where("NOT is_current").drop("is_current", "seen"), "closed", batch_id)
+        self._put(built.where("is_current").drop("is_current", "valid_to"), "open", batch_id)
+
+    def read(self) -> DataFrame:
+        """The history as of the last batch."""
+        opened = self._newest_open(self.spark.read.parquet(self._path("open")))
+        closed = self.spark.read.parquet(self._path("closed")).drop("batch")
+        valid = closed.join(opened.select(*self.keys, "generation"), [*self.keys, "generation"], "left_semi")
+        current = opened.withColumn("valid_to", F.lit(None).cast(closed.schema["valid_to"].dataType))
+        names = [*self.keys, *self.attributes, *self.tie, "valid_from", "valid_to"]
+        return valid.select(*names).unionByName(current.select(*names)).withColumn("is_current", F.col("valid_to").isNull())
+
+
+def run_scd2(
+    changes: DataFrame, folder: str, keys: Sequence[str], ts: str, tie: Sequence[str], attributes: Sequence[str], buckets: int = 32
+) -> DataFrame:
+    """Change stream into slowly changing history; the history as a DataFrame."""
+    store = Scd2Store(changes.sparkSession, folder, keys, ts, tie, attributes, buckets)
+    run_batches(changes, folder, store.write)
+    return store.read()
