@@ -16,8 +16,9 @@ def path_of(base: str, table: str) -> str:
 
 
 def read_ops(spark: SparkSession, base: str, table: str) -> DataFrame:
-    """Operational table with its declared schema; no inference."""
-    return spark.read.schema(schemas.schema_of(table)).parquet(path_of(base, table))
+    """Operational table with its declared schema, in its order; no inference."""
+    schema = schemas.schema_of(table)
+    return spark.read.schema(schema).parquet(path_of(base, table)).select(*schema.names)
 
 
 def create_ops_tables(spark: SparkSession, base: str, database: str = "default") -> list[str]:

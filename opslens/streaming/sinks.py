@@ -103,7 +103,7 @@ class Scd2Store:
         bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
         log = self._path(f"changes/batch={batch_id:08d}")
         df.select(*self.columns).withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(log)
-        new = self.spark.read.schema(df.select(*self.columns).schema).parquet(log)
+        new = self.spark.read.schema(df.select(*self.columns).schema).parquet(log).select(*self.columns)
         order = F.struct(self.ts, *self.tie)
         touched = new.groupBy(*self.keys).agg(F.min(order).alias("_first"), F.max(order).alias("_last"))
         if batch_id == 0:
