@@ -4,9 +4,10 @@ A window over a key that holds a large share of all rows runs in one task. The h
 combined count of the key columns alone, whether such a key exists. If none does, the plan is the plain window. If
 there is one, only its rows are cut into blocks of consecutive rows; the others keep the plain window.
 
-Positions come from counts, not from one global sort: rows per (key, hour) and per (key, hour, second) give the
-number of rows before each second; a row number inside the second completes it. The largest window of the split
-path is therefore one second of one key, one hour of seconds, or the hours of one key.
+Positions come from counts, not from one global sort. The order of a key is refined in levels: hour, second,
+microsecond, and, where the first tie-breaker is a whole number, steps of TIE_STEP of it. Counts per level give the
+rows before each finest slot; a row number inside the slot completes it. So the largest windows of the split path hold
+the hours of a key, the seconds of an hour, the microseconds of a second, the steps of an instant, or one step.
 """
 
 from __future__ import annotations
@@ -19,10 +20,9 @@ from pyspark.sql import functions as F
 
 HOT_ROWS = 2_000_000
 BLOCK_ROWS = 500_000
+TIE_STEP = 100_000
 LOG_BINS = 64  # histogram bins per doubling of a value
 
-_HOUR, _SECOND = "_hour", "_second"
-
 
 def same_keys(left: str, right: str, keys: Sequence[str]) -> Column:
     """Null-safe equality of the key columns of two aliases, so that a null key is a key like any other."""
@@ -44,38 +44,51 @@ def split_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> tuple[DataF
     return df.alias("d").join(hot.alias("h"), cond, "left_anti"), df.alias("d").join(hot.alias("h"), cond, "left_semi")
 
 
-def _timed(df: DataFrame, ts: str) -> DataFrame:
-    second = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(1_000_000)).cast("long")
-    return df.withColumn(_SECOND, second).withColumn(_HOUR, F.floor(F.col(_SECOND) / 3600).cast("long"))
-
-
-def _rows_before(timed: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of the key before each second that has rows."""
-    per_second = timed.groupBy(*keys, _HOUR, _SECOND).agg(F.count("*").alias("_c"))
-    per_hour = per_second.groupBy(*keys, _HOUR).agg(F.sum("_c").alias("_ch"))
-    upto = W.partitionBy(*keys).orderBy(_HOUR).rowsBetween(W.unboundedPreceding, -1)
-    per_hour = per_hour.withColumn("_h0", F.coalesce(F.sum("_ch").over(upto), F.lit(0))).drop("_ch")
-    within = W.partitionBy(*keys, _HOUR).orderBy(_SECOND).rowsBetween(W.unboundedPreceding, -1)
-    return (
-        per_second.withColumn("_s0", F.coalesce(F.sum("_c").over(within), F.lit(0)))
-        .alias("s")
-        .join(per_hour.alias("p"), same_keys("s", "p", [*keys, _HOUR]))
-        .select(*[F.col(f"s.{c}") for c in [*keys, _SECOND]], (F.col("_h0") + F.col("_s0")).alias("_before"))
-    )
+def _levelled(df: DataFrame, ts: str, tie: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """df with the order levels as columns, and their names from coarse to fine."""
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    levels = {
+        "_hour": F.floor(at / F.lit(3_600_000_000)).cast("long"),
+        "_second": F.floor(at / F.lit(1_000_000)).cast("long"),
+        "_micro": at,
+    }
+    if tie and df.schema[tie[0]].dataType.typeName() in ("byte", "short", "integer", "long"):
+        levels["_step"] = F.floor(F.col(tie[0]) / F.lit(TIE_STEP)).cast("long")
+    return df.withColumns(levels), list(levels)
+
+
+def _rows_before(levelled: DataFrame, keys: Sequence[str], levels: Sequence[str]) -> DataFrame:
+    """Rows of the key before each finest slot that has rows, as the sum of the rows before it on every level."""
+    counts = levelled.groupBy(*keys, *levels).agg(F.count("*").alias("_c"))
+    before = None
+    for depth in range(1, len(levels) + 1):
+        by = [*keys, *levels[:depth]]
+        slot = counts.groupBy(*by).agg(F.sum("_c").alias("_c")) if depth < len(levels) else counts
+        upto = W.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(W.unboundedPreceding, -1)
+        slot = slot.withColumn("_here", F.coalesce(F.sum("_c").over(upto), F.lit(0))).drop("_c")
+        if before is None:
+            before = slot.withColumnRenamed("_here", "_before")
+        else:
+            before = (
+                slot.alias("s")
+                .join(before.alias("b"), same_keys("s", "b", by[:-1]))
+                .select(*[F.col(f"s.{c}") for c in by], (F.col("s._here") + F.col("b._before")).alias("_before"))
+            )
+    return before
 
 
 def positions(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str]) -> DataFrame:
     """df with _pos, the 0-based position of the row in its key by (ts, tie)."""
-    timed = _timed(df, ts)
-    before = _rows_before(timed, keys)
-    in_second = W.partitionBy(*keys, _SECOND).orderBy(ts, *tie)
+    levelled, levels = _levelled(df, ts, tie)
+    before = _rows_before(levelled, keys, levels)
+    in_slot = W.partitionBy(*keys, *levels).orderBy(ts, *tie)
     return (
-        timed.withColumn("_rn", F.row_number().over(in_second))
+        levelled.withColumn("_rn", F.row_number().over(in_slot))
         .alias("t")
-        .join(before.alias("b"), same_keys("t", "b", [*keys, _SECOND]))
+        .join(before.alias("b"), same_keys("t", "b", [*keys, *levels]))
         .select("t.*", "b._before")
         .withColumn("_pos", F.col("_before") + F.col("_rn") - 1)
-        .drop("_before", "_rn", _SECOND, _HOUR)
+        .drop("_before", "_rn", *levels)
     )
 
 
@@ -149,7 +162,8 @@ def fill_forward(
 ) -> DataFrame:
     """df with `value` replaced by the last non-null value at or before the row in its key.
 
-    The look-back is unbounded, so the blocks of a hot key hand over only their last value.
+    The look-back is unbounded, so the blocks of a hot key hand over only their last value. Rows of one instant of a
+    key stay in one block.
     """
     def fill(rows: DataFrame, *by: str) -> DataFrame:
         upto = W.partitionBy(*by).orderBy(ts, *tie).rowsBetween(W.unboundedPreceding, 0)
@@ -160,10 +174,10 @@ def fill_forward(
         return fill(df, *keys)
     names = df.columns
     cold_rows, hot_part = split_hot(df, keys, hot)
-    timed = _timed(hot_part, ts)
+    levelled, levels = _levelled(hot_part, ts, ())
     placed = (
-        timed.alias("t")
-        .join(_rows_before(timed, keys).alias("b"), same_keys("t", "b", [*keys, _SECOND]))
+        levelled.alias("t")
+        .join(_rows_before(levelled, keys, levels).alias("b"), same_keys("t", "b", [*keys, *levels]))
         .select(*[F.col(f"t.{c}") for c in names], F.floor(F.col("_before") / block_rows).cast("long").alias("_block"))
     )
     handed = carry(placed, keys, F.struct(ts, *tie), value, forward=True)

@@ -12,6 +12,7 @@ from opslens import rules
 from opslens.functions.exprs import case, instant, seconds_between
 
 DAY = 86_400.0
+MAX_RULES = 10_000
 
 
 def current_state(events: DataFrame, keys: Sequence[str] = ("project_id", "branch_id"), tie: str = "event_id") -> DataFrame:
@@ -46,8 +47,10 @@ def ttl_of(branches: DataFrame, name: str) -> DataFrame:
 def ttl_by_rule_table(branches: DataFrame, name: str, key: Sequence[str], table: DataFrame) -> DataFrame:
     """Same lookup for a rule table given as data (place, prefix, seconds): a broadcast prefix join, then first by place.
 
-    The rule table is small by contract; a branch matches at most as many rows as there are rules.
+    The size of the rule table is checked before it is broadcast; a branch matches at most as many rows as there are rules.
     """
+    if table.limit(MAX_RULES + 1).count() > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} prefix rules")
     hits = branches.join(F.broadcast(table), F.col(name).startswith(F.col("prefix")), "left")
     rest = [c for c in branches.columns if c not in key]
     return hits.groupBy(*key).agg(

@@ -88,10 +88,16 @@ PII_PATTERNS = {
     "phone": r"\b[0-9]{3}[-. ][0-9]{3}[-. ][0-9]{4}\b",
 }
 
+# A cheaper test that every text with a match passes; most texts stop here.
+PII_NEEDS = {"email": "@", "ip": "[0-9][.][0-9]", "card": "[0-9]{4}", "phone": "[0-9]{3}"}
+
 
 def pii_scan(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
     """Rows and matches of each kind of personal data per group, over whole texts."""
-    hits = df.select(*keys, *[F.regexp_count(F.col(text), F.lit(p)).alias(k) for k, p in PII_PATTERNS.items()])
+    def matches(kind: str) -> Column:
+        return F.when(F.col(text).rlike(PII_NEEDS[kind]), F.regexp_count(F.col(text), F.lit(PII_PATTERNS[kind]))).otherwise(0)
+
+    hits = df.select(*keys, *[matches(k).alias(k) for k in PII_PATTERNS])
     return hits.groupBy(*keys).agg(
         F.count("*").alias("rows"),
         *[F.sum(k).cast("bigint").alias(f"{k}_matches") for k in PII_PATTERNS],

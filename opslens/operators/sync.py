@@ -37,6 +37,13 @@ def completeness(source: DataFrame, target: DataFrame, pair: str, max_drift: int
     )
 
 
+def both_totals(source: DataFrame, target: DataFrame) -> DataFrame:
+    """Totals of both sides (n, max_ts) in one row: stacked and picked by side, so no join is needed."""
+    both = source.withColumn("side", F.lit("source")).unionByName(target.withColumn("side", F.lit("target")))
+    pick = [F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{s}_{n}") for s in ("source", "target") for c, n in (("n", "count"), ("max_ts", "max_ts"))]
+    return both.agg(*pick)
+
+
 def checksum(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Order-free checksum and row count; a sum of row digests, so it combines on the map side."""
     return df.groupBy(*keys).agg(F.sum(row_digest(cols)).alias("checksum"), F.count("*").alias("rows"))

@@ -232,13 +232,17 @@ def fn_array(b: Bind):
     )
 
 
-@query("q_fn_map")
+@query(
+    "q_fn_map", "",
+    "SELECT event_id, 'ops' AS owner, event_type AS tier, CAST(user_id AS VARCHAR) AS \"user\", 3 AS tags FROM events",
+)
 def fn_map(b: Bind):
     """Default tags overridden by tags of the row."""
     tags = F.create_map(F.lit("owner"), F.lit("ops"), F.lit("tier"), F.lit("standard"))
     own = F.create_map(F.lit("tier"), F.col("event_type"), F.lit("user"), F.col("user_id").cast("string"))
     merged = F.map_zip_with(tags, own, lambda k, base, over: F.coalesce(over, base))
-    return b.table("events").select("event_id", merged.alias("tags"))
+    rows = b.table("events").select("event_id", merged.alias("m"))
+    return rows.select("event_id", *[F.col("m")[k].alias(k) for k in ("owner", "tier", "user")], F.size("m").alias("tags"))
 
 
 @query(

@@ -312,10 +312,12 @@ _WRITE = "CASE WHEN regexp_matches(query, '(?i)^(INSERT|UPDATE|DELETE)') THEN ca
 
 @query(
     "q_agg_workload_profile", "query_stats",
-    "SELECT project_id, count(DISTINCT queryid) AS total_queries, CAST(sum(calls) AS BIGINT) AS total_calls, CAST(max(calls) AS DOUBLE) AS peak_qps,"
+    "WITH r AS (SELECT project_id, CAST(mean_exec_time AS DOUBLE) AS v, row_number() OVER (PARTITION BY project_id ORDER BY mean_exec_time) - 1 AS i, CAST(0.99 AS DOUBLE) * (count(*) OVER (PARTITION BY project_id) - 1) AS k FROM query_stats),"
+    " p AS (SELECT project_id, max(v) FILTER (i = floor(k)) AS lo, max(v) FILTER (i = ceil(k)) AS hi, max(k) AS k FROM r GROUP BY 1)"
+    " SELECT project_id, count(DISTINCT queryid) AS total_queries, CAST(sum(calls) AS BIGINT) AS total_calls, CAST(max(calls) AS DOUBLE) AS peak_qps,"
     f" CAST(sum({_READ}) AS DOUBLE) / nullif(CAST(sum(calls) AS DOUBLE), 0) * 100 AS reads_pct, CAST(sum({_WRITE}) AS DOUBLE) / nullif(CAST(sum(calls) AS DOUBLE), 0) * 100 AS writes_pct,"
     f" CAST(sum(calls) AS DOUBLE) / 2592000.0 AS avg_qps, CAST(sum({_WRITE}) AS DOUBLE) / 2592000.0 AS avg_tps,"
-    " quantile_cont(CAST(mean_exec_time AS DOUBLE), 0.99) AS p99_latency_ms FROM query_stats GROUP BY project_id",
+    " max(lo + (hi - lo) * (k - floor(k))) AS p99_latency_ms FROM query_stats JOIN p USING (project_id) GROUP BY project_id",
 )
 def agg_workload_profile(b: Bind):
     return H.workload_profile(b.query_stats(), ["project_id"], 2_592_000.0)
@@ -363,8 +365,9 @@ def agg_io(b: Bind):
     "SELECT (SELECT max(n_live_tup) FROM table_stats) AS max_live, (SELECT count(*) FROM query_stats WHERE calls < 10) AS waiting",
 )
 def agg_max_scalar(b: Bind):
-    live = b.table_stats().agg(F.max("n_live_tup").alias("max_live"))
-    return live.crossJoin(b.query_stats().agg(F.count_if(F.col("calls") < 10).alias("waiting")))
+    live = b.table_stats().agg(F.max("n_live_tup").alias("max_live")).withColumn("waiting", F.lit(None).cast("bigint"))
+    waiting = b.query_stats().agg(F.count_if(F.col("calls") < 10).alias("waiting")).withColumn("max_live", F.lit(None).cast("bigint"))
+    return live.unionByName(waiting).agg(F.max("max_live").alias("max_live"), F.max("waiting").alias("waiting"))
 
 
 # ---- joins on latest rows, windows, ordering ----------------------------------------------------------------------

@@ -85,11 +85,15 @@ def st_alerts(b: Bind):
     return out.drop("batch")
 
 
-@query("q_st_alert_dedup")
+@query(
+    "q_st_alert_dedup", "metric_samples",
+    f"WITH {_LEVELLED} SELECT DISTINCT project_id, branch_id, metric_name, threshold_level AS severity FROM lv WHERE threshold_level IN ('warning', 'critical')",
+)
 def st_alert_dedup(b: Bind):
+    """One file is one batch here, and inside a batch a key passes once."""
     keys = ["project_id", "branch_id", "metric_name", "severity"]
     rows = transforms.threshold_alerts(_stream(b).metric_samples(), A.thresholds(b.spark)).select(*keys, "snapshot_timestamp")
-    return sinks.run_append(transforms.dedup(rows, keys, "snapshot_timestamp"), new_folder(b.spark, "dedup"))
+    return sinks.run_append(transforms.dedup(rows, keys, "snapshot_timestamp"), new_folder(b.spark, "dedup")).select(*keys)
 
 
 @query(

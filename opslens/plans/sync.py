@@ -44,9 +44,9 @@ def sync_all_pairs(b: Bind):
     " (SELECT max(l_shipdate) FROM lineitem) AS target_max_ts",
 )
 def join_source_target(b: Bind):
-    s = b.table("orders").agg(F.count("*").alias("source_count"), F.max("o_orderdate").alias("source_max_ts"))
-    t = b.table("lineitem").agg(F.count_distinct("l_orderkey").alias("target_count"), F.max("l_shipdate").alias("target_max_ts"))
-    return s.crossJoin(t)  # one row on each side
+    s = b.table("orders").agg(F.count("*").alias("n"), F.max("o_orderdate").alias("max_ts"))
+    t = b.table("lineitem").agg(F.count_distinct("l_orderkey").alias("n"), F.max("l_shipdate").alias("max_ts"))
+    return Y.both_totals(s, t)
 
 
 _DIGEST = "CAST(('0x' || substr(md5(concat_ws('|', CAST(o_orderkey AS VARCHAR), {status}, o_orderpriority)), 1, 12)) AS BIGINT)"

@@ -72,14 +72,15 @@ class Scd2Store:
     changes  every change row, by bucket of the key
     open     the open version of each key a batch touched, with the generation of the key
     closed   versions a batch closed, with the generation
+    snapshot the open version of every key, every so many batches, so that a batch reads a bounded tail of `open`
 
     A batch reads the open versions of its own keys, continues their chains, and appends. Only a key that gets a change
     older than one it has seen is rebuilt from its changes, under the next generation; closed rows of earlier
     generations no longer count.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, keys: Sequence[str], ts: str, tie: Sequence[str], attributes: Sequence[str], buckets: int = 32):
-        self.spark, self.folder, self.buckets = spark, folder, buckets
+    def __init__(self, spark: SparkSession, folder: str, keys: Sequence[str], ts: str, tie: Sequence[str], attributes: Sequence[str], buckets: int = 32, snapshot_every: int = 50):
+        self.spark, self.folder, self.buckets, self.every = spark, folder, buckets, snapshot_every
         self.keys, self.ts, self.tie, self.attributes = list(keys), ts, list(tie), list(attributes)
         self.columns = [*self.keys, ts, *self.tie, *self.attributes]
 
@@ -89,8 +90,19 @@ class Scd2Store:
     def _put(self, df: DataFrame, table: str, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(f"{self._path(table)}/batch={batch_id:08d}")
 
-    def _get(self, table: str, before: int) -> DataFrame:
-        return self.spark.read.parquet(self._path(table)).where(F.col("batch") < before)
+    def _opened(self, before: int) -> DataFrame:
+        """Open versions written before a batch: the last snapshot and what came after it."""
+        last = before // self.every * self.every - 1
+        log = self.spark.read.parquet(self._path("open")).where((F.col("batch") > last) & (F.col("batch") < before))
+        if last < 0:
+            return log
+        kept = self.spark.read.parquet(f"{self._path('snapshot')}/batch={last:08d}").withColumn("batch", F.lit(last))
+        return log.unionByName(kept)
+
+    def _opened_with(self, batch_id: int) -> DataFrame:
+        """_opened, and the batch itself."""
+        own = self.spark.read.parquet(f"{self._path('open')}/batch={batch_id:08d}").withColumn("batch", F.lit(batch_id))
+        return own if batch_id == 0 else own.unionByName(self._opened(batch_id))
 
     def _newest_open(self, opened: DataFrame) -> DataFrame:
         rest = [c for c in opened.columns if c not in (*self.keys, "batch")]
@@ -109,7 +121,7 @@ class Scd2Store:
         if batch_id == 0:
             built = self._versions(new).join(touched.select(*self.keys, F.lit(0).alias("generation"), F.col("_last").alias("seen")), self.keys)
         else:
-            opened = self._get("open", batch_id).join(touched.select(*self.keys), self.keys, "left_semi")
+            opened = self._opened(batch_id).join(touched.select(*self.keys), self.keys, "left_semi")
             state = touched.join(self._newest_open(opened), self.keys, "left")
             # late against every change seen, not only against the start of the open version: an equal change in
             # between leaves no version, but a late change before it does
@@ -133,6 +145,8 @@ class Scd2Store:
         built = self.spark.read.parquet(f"{self._path('built')}/batch={batch_id:08d}")
         self._put(built.where("NOT is_current").drop("is_current", "seen"), "closed", batch_id)
         self._put(built.where("is_current").drop("is_current", "valid_to"), "open", batch_id)
+        if (batch_id + 1) % self.every == 0:
+            self._put(self._newest_open(self._opened_with(batch_id)), "snapshot", batch_id)
 
     def read(self) -> DataFrame:
         """The history as of the last batch."""
@@ -145,9 +159,9 @@ class Scd2Store:
 
 
 def run_scd2(
-    changes: DataFrame, folder: str, keys: Sequence[str], ts: str, tie: Sequence[str], attributes: Sequence[str], buckets: int = 32
+    changes: DataFrame, folder: str, keys: Sequence[str], ts: str, tie: Sequence[str], attributes: Sequence[str], buckets: int = 32, snapshot_every: int = 50
 ) -> DataFrame:
     """Change stream into slowly changing history; the history as a DataFrame."""
-    store = Scd2Store(changes.sparkSession, folder, keys, ts, tie, attributes, buckets)
+    store = Scd2Store(changes.sparkSession, folder, keys, ts, tie, attributes, buckets, snapshot_every)
     run_batches(changes, folder, store.write)
     return store.read()

@@ -62,7 +62,7 @@ def test_scd2_in_batches_equals_one_build(spark, tmp_path, seed):
         everything += rows
         put(spark, rows, ddl, src, f"d={batch}")
         stream = sinks.read_files(spark, f"{src}/*").drop("d")
-        got = sinks.run_scd2(stream, out, ["k"], "ts", ["id"], ["state"], buckets=4)
+        got = sinks.run_scd2(stream, out, ["k"], "ts", ["id"], ["state"], buckets=4, snapshot_every=1 + seed)
     want = scd2.build(spark.createDataFrame(everything, ddl), ["k"], "ts", ["id"], ["state"]).select(*got.columns)
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
