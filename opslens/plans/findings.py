@@ -132,7 +132,7 @@ def vac_candidates(b: Bind):
 
 @query(
     "q_dead_tuple_top", "table_stats",
-    f"SELECT project_id, branch_id, relname, coalesce({_PCT}, 0.0) AS dead_ratio, row_number() OVER (PARTITION BY project_id, branch_id ORDER BY n_dead_tup DESC, relname) AS place FROM table_stats QUALIFY place <= 5",
+    f"SELECT project_id, branch_id, relname, coalesce({_PCT}, 0.0) AS dead_ratio, CAST(row_number() OVER (PARTITION BY project_id, branch_id ORDER BY n_dead_tup DESC, relname) AS INTEGER) AS place FROM table_stats QUALIFY place <= 5",
 )
 def dead_tuple_top(b: Bind):
     return G.dead_tuple_top(b.table_stats(), ["project_id", "branch_id"]).select("project_id", "branch_id", "relname", "dead_ratio", "place")

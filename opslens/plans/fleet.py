@@ -129,19 +129,19 @@ _dimension("q_as_operational", "operational", "s_operational", A.score_operation
 
 @query(
     "q_as_features", "fleet_ext",
-    f"WITH {_SCORES} SELECT db_id, source_engine, s_extensions, unsupported_count FROM fin WHERE source_engine IN ('dynamodb', 'cosmosdb-nosql')",
+    f"WITH {_SCORES} SELECT db_id, source_engine, s_extensions, CAST(unsupported_count AS INTEGER) AS unsupported_count FROM fin WHERE source_engine IN ('dynamodb', 'cosmosdb-nosql')",
 )
 def as_features(b: Bind):
     docs = b.fleet().where(F.col("source_engine").isin(*rules.DOCUMENT_ENGINES))
     return A.score_extensions(docs).select("db_id", "source_engine", "s_extensions", "unsupported_count")
 
 
-@query("q_as_overall", "fleet_ext", f"WITH {_SCORES} SELECT db_id, overall_score, category, blocker_count, risk_level FROM fin")
+@query("q_as_overall", "fleet_ext", f"WITH {_SCORES} SELECT db_id, overall_score, category, CAST(blocker_count AS INTEGER) AS blocker_count, risk_level FROM fin")
 def as_overall(b: Bind):
     return A.score(b.fleet()).select("db_id", "overall_score", "category", "blocker_count", "risk_level")
 
 
-@query("q_as_effort", "fleet_ext", f"WITH {_SCORES} SELECT db_id, unsupported_count, effort_days FROM fin")
+@query("q_as_effort", "fleet_ext", f"WITH {_SCORES} SELECT db_id, CAST(unsupported_count AS INTEGER) AS unsupported_count, effort_days FROM fin")
 def as_effort(b: Bind):
     return A.score(b.fleet()).select("db_id", "unsupported_count", "effort_days")
 
@@ -157,7 +157,7 @@ def as_fleet_summary(b: Bind):
 @query(
     "q_agg_workload_from_capacity", "fleet",
     "SELECT db_id, CASE WHEN q % 4 <> 0 THEN 'observed' ELSE 'heuristic' END AS source, CASE WHEN q % 4 <> 0 THEN size_gb * 15 ELSE CAST(q * 50 + 400 AS DOUBLE) * 0.7::DOUBLE END AS avg_qps,"
-    " CASE WHEN q % 4 <> 0 THEN CAST(q * 37 % 7000 AS DOUBLE) ELSE CAST(q * 50 + 400 AS DOUBLE) * 0.3::DOUBLE END AS avg_tps, CASE WHEN q % 4 <> 0 THEN q * 91 % 5000 ELSE table_count * 25 END AS connection_count_peak FROM fleet",
+    " CASE WHEN q % 4 <> 0 THEN CAST(q * 37 % 7000 AS DOUBLE) ELSE CAST(q * 50 + 400 AS DOUBLE) * 0.3::DOUBLE END AS avg_tps, CAST(CASE WHEN q % 4 <> 0 THEN q * 91 % 5000 ELSE table_count * 25 END AS INTEGER) AS connection_count_peak FROM fleet",
 )
 def agg_workload_from_capacity(b: Bind):
     w = A.workload_from_capacity(b.fleet())
@@ -348,7 +348,7 @@ def as_cost_env(b: Bind):
 
 @query(
     "q_as_history", "fleet_ext",
-    f"WITH {_SCORES} SELECT source_engine, db_id, overall_score, row_number() OVER (PARTITION BY source_engine ORDER BY CAST(db_id AS BIGINT) DESC) AS place FROM fin QUALIFY place <= 50",
+    f"WITH {_SCORES} SELECT source_engine, db_id, overall_score, CAST(row_number() OVER (PARTITION BY source_engine ORDER BY CAST(db_id AS BIGINT) DESC) AS INTEGER) AS place FROM fin QUALIFY place <= 50",
 )
 def as_history(b: Bind):
     scored = A.score(b.fleet()).select("source_engine", "db_id", "overall_score", F.col("db_id").cast("bigint").alias("seq"))
@@ -357,7 +357,7 @@ def as_history(b: Bind):
 
 @query(
     "q_price_age", "",
-    "SELECT o_orderkey, datediff('day', CAST(o_orderdate AS DATE), CAST((SELECT max(o_orderdate) FROM orders) AS DATE)) AS age_days, datediff('day', CAST(o_orderdate AS DATE), CAST((SELECT max(o_orderdate) FROM orders) AS DATE)) > 90 AS is_stale FROM orders",
+    "SELECT o_orderkey, CAST(datediff('day', CAST(o_orderdate AS DATE), CAST((SELECT max(o_orderdate) FROM orders) AS DATE)) AS INTEGER) AS age_days, datediff('day', CAST(o_orderdate AS DATE), CAST((SELECT max(o_orderdate) FROM orders) AS DATE)) > 90 AS is_stale FROM orders",
 )
 def price_age(b: Bind):
     return M.price_age(b.table("orders"), "o_orderdate", b.now("orders", "o_orderdate")).select("o_orderkey", "age_days", "is_stale")

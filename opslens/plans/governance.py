@@ -174,7 +174,7 @@ def name_align(b: Bind):
 
 @query(
     "q_fn_string", "",
-    "SELECT page_id, substr(url, 1, 20) AS cut, lower(url) AS low, upper(url) AS up, starts_with(url, 'https') AS secure, contains(url, 'example') AS has, list_extract(string_split(url, '/'), -1) AS last_part, replace(url, '-', '_') AS under, length(url) AS n,"
+    "SELECT page_id, substr(url, 1, 20) AS cut, lower(url) AS low, upper(url) AS up, starts_with(url, 'https') AS secure, contains(url, 'example') AS has, list_extract(string_split(url, '/'), -1) AS last_part, replace(url, '-', '_') AS under, CAST(length(url) AS INTEGER) AS n,"
     " regexp_matches(url, '^https?://') AS ok FROM pages",
 )
 def fn_string(b: Bind):
@@ -222,7 +222,7 @@ def fn_math(b: Bind):
 
 @query(
     "q_fn_array", "constraints",
-    "SELECT conname, list_contains(conkey, 3) AS has3, conkey[1] AS first, array_to_string(list_sort(conkey), ',') AS sorted, len([x for x in conkey if x > 2]) AS over2, len(conkey) AS n, conkey = [1, 1] AS is_one FROM constraints",
+    "SELECT conname, list_contains(conkey, 3) AS has3, conkey[1] AS first, array_to_string(list_sort(conkey), ',') AS sorted, CAST(len([x for x in conkey if x > 2]) AS INTEGER) AS over2, CAST(len(conkey) AS INTEGER) AS n, conkey = [1, 1] AS is_one FROM constraints",
 )
 def fn_array(b: Bind):
     k = F.col("conkey")

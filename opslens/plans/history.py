@@ -403,7 +403,7 @@ def win_latest_ties(b: Bind):
 
 @query(
     "q_win_topk_per_key", "query_stats",
-    "SELECT project_id, event_id, CAST(total_exec_time AS DOUBLE) AS total_exec_time, row_number() OVER (PARTITION BY project_id ORDER BY total_exec_time DESC, event_id) AS \"rank\""
+    "SELECT project_id, event_id, CAST(total_exec_time AS DOUBLE) AS total_exec_time, CAST(row_number() OVER (PARTITION BY project_id ORDER BY total_exec_time DESC, event_id) AS INTEGER) AS \"rank\""
     " FROM query_stats QUALIFY \"rank\" <= 5",
 )
 def win_topk_per_key(b: Bind):
@@ -413,7 +413,7 @@ def win_topk_per_key(b: Bind):
 
 @query(
     "q_win_keep_last_n", "operations",
-    "SELECT project_id, operation_id, executed_at, row_number() OVER (PARTITION BY project_id ORDER BY executed_at DESC, operation_id DESC) AS place FROM operations QUALIFY place <= 50",
+    "SELECT project_id, operation_id, executed_at, CAST(row_number() OVER (PARTITION BY project_id ORDER BY executed_at DESC, operation_id DESC) AS INTEGER) AS place FROM operations QUALIFY place <= 50",
 )
 def win_keep_last_n(b: Bind):
     return H.keep_last_n(b.operations().select("project_id", "operation_id", "executed_at"), ["project_id"], "executed_at", 50, ["operation_id"])
