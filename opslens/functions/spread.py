@@ -4,10 +4,10 @@ A window over a key that holds a large share of all rows runs in one task. The h
 combined count of the key columns alone, whether such a key exists. If none does, the plan is the plain window. If
 there is one, only its rows are cut into blocks of consecutive rows; the others keep the plain window.
 
-Positions come from counts, not from one global sort. The order of a key is refined in levels: hour, second,
-microsecond, and, where the first tie-breaker is a whole number, steps of TIE_STEP of it. Counts per level give the
-rows before each finest slot; a row number inside the slot completes it. So the largest windows of the split path hold
-the hours of a key, the seconds of an hour, the microseconds of a second, the steps of an instant, or one step.
+Positions come from counts, not from one global sort. The order of a key is refined in levels: hour and second, and,
+only if one second of a key holds more than a block, microsecond and, where the first tie-breaker is a whole number,
+steps of TIE_STEP of it. Counts per level give the rows before each finest slot; a row number inside the slot completes
+it. So the largest windows of the split path hold the hours of a key, the seconds of an hour, and one slot.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-HOT_ROWS = 2_000_000
-BLOCK_ROWS = 500_000
+HOT_ROWS = 20_000_000  # about a minute of window work in one task
+BLOCK_ROWS = 5_000_000
 TIE_STEP = 100_000
 LOG_BINS = 64  # histogram bins per doubling of a value
 
@@ -44,16 +44,18 @@ def split_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> tuple[DataF
     return df.alias("d").join(hot.alias("h"), cond, "left_anti"), df.alias("d").join(hot.alias("h"), cond, "left_semi")
 
 
-def _levelled(df: DataFrame, ts: str, tie: Sequence[str]) -> tuple[DataFrame, list[str]]:
+def _levelled(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], slot_rows: int) -> tuple[DataFrame, list[str]]:
     """df with the order levels as columns, and their names from coarse to fine."""
     at = F.unix_micros(F.col(ts).cast("timestamp"))
     levels = {
         "_hour": F.floor(at / F.lit(3_600_000_000)).cast("long"),
         "_second": F.floor(at / F.lit(1_000_000)).cast("long"),
-        "_micro": at,
     }
-    if tie and df.schema[tie[0]].dataType.typeName() in ("byte", "short", "integer", "long"):
-        levels["_step"] = F.floor(F.col(tie[0]) / F.lit(TIE_STEP)).cast("long")
+    crowded = df.groupBy(*keys, levels["_second"].alias("_second")).agg(F.count("*").alias("_c")).where(F.col("_c") > slot_rows)
+    if not crowded.isEmpty():
+        levels["_micro"] = at
+        if tie and df.schema[tie[0]].dataType.typeName() in ("byte", "short", "integer", "long"):
+            levels["_step"] = F.floor(F.col(tie[0]) / F.lit(TIE_STEP)).cast("long")
     return df.withColumns(levels), list(levels)
 
 
@@ -77,9 +79,9 @@ def _rows_before(levelled: DataFrame, keys: Sequence[str], levels: Sequence[str]
     return before
 
 
-def positions(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str]) -> DataFrame:
+def positions(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], slot_rows: int = BLOCK_ROWS) -> DataFrame:
     """df with _pos, the 0-based position of the row in its key by (ts, tie)."""
-    levelled, levels = _levelled(df, ts, tie)
+    levelled, levels = _levelled(df, keys, ts, tie, slot_rows)
     before = _rows_before(levelled, keys, levels)
     in_slot = W.partitionBy(*keys, *levels).orderBy(ts, *tie)
     return (
@@ -105,7 +107,7 @@ def blocks(
     first = F.floor(F.greatest(F.col("_pos") - after, F.lit(0)) / block_rows).cast("long")
     last = F.floor((F.col("_pos") + before) / block_rows).cast("long")
     return (
-        positions(hot, keys, ts, tie)
+        positions(hot, keys, ts, tie, block_rows)
         .withColumn("_block", F.explode(F.sequence(first, last)))
         .withColumn("_own", F.col("_block") == home)
         .drop("_pos")
@@ -174,7 +176,7 @@ def fill_forward(
         return fill(df, *keys)
     names = df.columns
     cold_rows, hot_part = split_hot(df, keys, hot)
-    levelled, levels = _levelled(hot_part, ts, ())
+    levelled, levels = _levelled(hot_part, keys, ts, (), block_rows)
     placed = (
         levelled.alias("t")
         .join(_rows_before(levelled, keys, levels).alias("b"), same_keys("t", "b", [*keys, *levels]))
@@ -191,18 +193,18 @@ def fill_forward(
 
 
 def _bin(v: Column) -> Column:
-    """Bin of a double that grows with it: LOG_BINS per doubling on both sides of zero."""
-    size = F.floor(F.log2(F.abs(v)) * LOG_BINS).cast("int") + 1_000_000
+    """Bin of a double that grows with it: LOG_BINS per doubling on both sides of zero, and one for the infinite."""
+    size = F.when(F.abs(v) == float("inf"), 3_000_000).otherwise(F.floor(F.log2(F.abs(v)) * LOG_BINS).cast("int") + 1_000_000)
     return F.when(v > 0, size).when(v < 0, -size).otherwise(0)
 
 
 def percentile_exact(df: DataFrame, keys: Sequence[str], value: str, q: float, name: str) -> DataFrame:
-    """One row per key with the interpolated percentile, without holding a group's values in one place.
+    """One row per key with the interpolated percentile of its numbers, without holding a group's values in one place.
 
     A histogram with bins of fixed relative width finds the bins that hold the wanted ranks; only the values of these
     bins are then counted and ranked.
     """
-    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull()).withColumn("_bin", _bin(F.col("_v")))
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v")).withColumn("_bin", _bin(F.col("_v")))
     whole = W.partitionBy(*keys)
     upto = whole.orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
     hist = (
@@ -228,6 +230,5 @@ def percentile_exact(df: DataFrame, keys: Sequence[str], value: str, q: float, n
     picked = ranked.groupBy(*keys).agg(
         at(F.floor("_rank")).alias("_a"), at(F.ceil("_rank")).alias("_b"), F.max("_rank").alias("_rank")
     )
-    return picked.select(
-        *keys, (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_rank") - F.floor("_rank"))).alias(name)
-    )
+    a, b = F.col("_a"), F.col("_b")
+    return picked.select(*keys, F.when(a == b, a).otherwise(a + (b - a) * (F.col("_rank") - F.floor("_rank"))).alias(name))

@@ -170,6 +170,15 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
     return df.groupBy(col).agg(F.count("*").alias("n"))
 
 
+def distinct_counts(df: DataFrame, keys: Sequence[str], columns: dict[str, str], approximate: bool = False) -> DataFrame:
+    """Distinct values of several columns per key (column -> name).
+
+    The exact form expands a row once per column; the approximate one is a single pass over mergeable sketches.
+    """
+    count = F.approx_count_distinct if approximate else F.count_distinct
+    return df.groupBy(*keys).agg(*[count(c).alias(n) for c, n in columns.items()])
+
+
 def unpivot_metrics(wide: DataFrame, ids: Sequence[str]) -> DataFrame:
     """Wide metrics to (metric_name, metric_value); columns that are not numbers are dropped."""
     numeric = ("double", "float", "long", "integer", "short", "byte", "decimal")

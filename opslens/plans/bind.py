@@ -78,8 +78,8 @@ class Bind:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def now(self, table: str = "events", ts: str = "ts") -> datetime:
-        """As-of time: the newest time of a table."""
-        return latest_instant(self.table(table), ts)
+        """As-of time: the newest time of a table (any time will do for an empty one)."""
+        return latest_instant(self.table(table), ts) or datetime(1970, 1, 1)
 
     def events(self, *exprs: str) -> DataFrame:
         return self.table("events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint")).selectExpr(*exprs)
@@ -189,7 +189,7 @@ class Bind:
     def sync_checks(self) -> DataFrame:
         lag, drift = f"{V} * 20", "user_id % 13 * 100"
         return self.events(
-            "event_id AS validation_id", "event_type AS source_table", "concat('lake_', event_type) AS target_table",
+            "event_id AS validation_id", "event_type AS source_table", "concat('copy_', event_type) AS target_table",
             "CASE WHEN user_id % 2 = 0 THEN 'continuous' ELSE 'batch' END AS sync_type", f"{K} * 100 AS source_count",
             f"{K} * 100 - {drift} AS target_count", f"{drift} AS count_drift", f"cast({lag} AS DECIMAL(20,2)) AS freshness_lag_seconds",
             f"CASE WHEN {lag} > 3600 THEN 'stale' WHEN {drift} > 1000 THEN 'drift_detected' ELSE 'healthy' END AS status",
@@ -361,7 +361,7 @@ SHAPES = {
     "attrdefs": "SELECT c_custkey AS adrelid, c_custkey % 6 + 1 AS adnum, 'nextval(' || c_custkey || ')' AS adbin FROM customer WHERE c_custkey % 3 = 0",
     "catalog_objects": f"SELECT o_custkey AS db_id, 's' || (o_orderkey % 3) AS schema_name, {sql_pick(OBJECT_KINDS, 'o_orderkey % 13')} AS kind,"
     f" CAST(floor(o_totalprice) AS BIGINT) AS size_bytes, {sql_pick(('plpgsql', 'sql', 'c', 'plpython3u'), 'o_orderkey % 4')} AS language FROM orders",
-    "sync_checks": "SELECT event_id AS validation_id, event_type AS source_table, 'lake_' || event_type AS target_table,"
+    "sync_checks": "SELECT event_id AS validation_id, event_type AS source_table, 'copy_' || event_type AS target_table,"
     f" CASE WHEN user_id % 2 = 0 THEN 'continuous' ELSE 'batch' END AS sync_type, {SQL_K} * 100 AS source_count,"
     f" {SQL_K} * 100 - user_id % 13 * 100 AS target_count, user_id % 13 * 100 AS count_drift,"
     f" CAST({_SQL_LAG} AS DECIMAL(20,2)) AS freshness_lag_seconds, CASE WHEN {_SQL_LAG} > 3600 THEN 'stale'"

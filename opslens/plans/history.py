@@ -65,6 +65,14 @@ def scan_document_paths(b: Bind):
     return views.collection_paths(b.events("event_type AS container", "props"), "container", "props")
 
 
+@query(
+    "q_scan_document_schema", "",
+    "SELECT event_type AS container, replace(replace(json_group_structure(props::JSON)::VARCHAR, '{\"k\":\"UBIGINT\"}', 'OBJECT<k: BIGINT>'), '{\"k\":\"BIGINT\"}', 'OBJECT<k: BIGINT>') AS item_schema FROM events GROUP BY ALL",
+)
+def scan_document_schema(b: Bind):
+    return views.collection_schema(b.events("event_type AS container", "props"), "container", "props")
+
+
 @query(
     "q_scan_billing", "billing",
     "SELECT usage_date, instance_id, CAST(sum(usage_quantity) AS DOUBLE) AS total_units FROM billing GROUP BY ALL",
@@ -328,7 +336,7 @@ def agg_workload_profile(b: Bind):
     "SELECT project_id, count(DISTINCT branch_id) AS branches, count(DISTINCT query) AS queries FROM query_stats GROUP BY ALL",
 )
 def agg_distinct(b: Bind):
-    return b.query_stats().groupBy("project_id").agg(F.count_distinct("branch_id").alias("branches"), F.count_distinct("query").alias("queries"))
+    return H.distinct_counts(b.query_stats(), ["project_id"], {"branch_id": "branches", "query": "queries"})
 
 
 @query("q_agg_distinct_regions", "fleet", "SELECT DISTINCT source_engine, region FROM fleet")

@@ -47,25 +47,37 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     )
 
 
-def append(df: DataFrame, base: str, table: str, mode: str = "append") -> None:
-    """Write rows to an operational table.
+def _placed(df: DataFrame, table: str) -> DataFrame:
+    """Rows of the table's schema, rebalanced: a partition gets few files of a useful size and a large one several."""
+    return conform(df, table).hint("rebalance", *schemas.PARTITIONS.get(table, []))
 
-    Rows are rebalanced first, so a partition gets few files of a useful size and a large one several.
-    """
-    partitions = schemas.PARTITIONS.get(table, [])
-    out = conform(df, table)
-    out = out.hint("rebalance", *partitions) if partitions else out.hint("rebalance")
+
+def _write(out: DataFrame, base: str, table: str, mode: str) -> None:
+    partitions = schemas.PARTITIONS.get(table)
     writer = out.write.mode(mode)
     (writer.partitionBy(*partitions) if partitions else writer).parquet(path_of(base, table))
 
 
+def append(df: DataFrame, base: str, table: str, mode: str = "append") -> None:
+    """Write rows to an operational table."""
+    _write(_placed(df, table), base, table, mode)
+
+
 def append_counted(df: DataFrame, base: str, table: str, name: str) -> int:
-    """append(), and the number of rows written, counted on the way through."""
+    """append(), and the number of rows written.
+
+    Rows are counted behind the rebalance, in the tasks that write, where a repeated task counts once.
+    """
     seen = Observation(name)
-    append(df.observe(seen, F.count(F.lit(1)).alias("rows")), base, table)
+    _write(_placed(df, table).observe(seen, F.count(F.lit(1)).alias("rows")), base, table, "append")
     return int(seen.get["rows"])
 
 
+def save_bucketed(df: DataFrame, name: str, keys: list[str], buckets: int, mode: str = "overwrite") -> None:
+    """Save as a table bucketed and sorted by keys, so that later joins and aggregates on them need no shuffle."""
+    df.repartition(buckets, *keys).write.mode(mode).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+
+
 def write_archive(df: DataFrame, path: str, merge_schema: bool = True) -> None:
     """Append to an archive whose schema follows its source."""
     df.hint("rebalance").write.mode("append").parquet(path)

@@ -59,6 +59,11 @@ def collection_paths(docs: DataFrame, container: str, body: str) -> DataFrame:
     )
 
 
+def collection_schema(docs: DataFrame, container: str, body: str) -> DataFrame:
+    """Merged schema of the JSON items of each collection, by a mergeable aggregate."""
+    return docs.groupBy(container).agg(F.schema_of_variant_agg(F.parse_json(body)).alias("item_schema"))
+
+
 def read_collection(spark: SparkSession, path: str, ddl: str | None = None) -> DataFrame:
     """JSON documents; give the schema in production, inference reads everything twice."""
     reader = spark.read.schema(ddl) if ddl else spark.read

@@ -135,3 +135,20 @@ def test_completeness_status_order(spark):
 
     assert status(4000, 0) == "healthy" and status(3999, 0) == "drift_detected"
     assert status(3999, 3601) == "stale" and status(4000, 3600) == "healthy"
+
+
+def test_bucketed_tables_join_without_shuffle(spark, sf_dir):
+    orders, lines = spark.read.parquet(f"{sf_dir}/orders.parquet"), spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    tables.save_bucketed(orders.withColumnRenamed("o_orderkey", "k"), "t_orders", ["k"], 4)
+    tables.save_bucketed(lines.withColumnRenamed("l_orderkey", "k"), "t_lines", ["k"], 4)
+    joined = spark.table("t_lines").hint("merge").join(spark.table("t_orders"), "k")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and joined.count() == lines.join(orders, lines.l_orderkey == orders.o_orderkey).count()
+    spark.sql("DROP TABLE t_orders")
+    spark.sql("DROP TABLE t_lines")
+
+
+def test_collection_schema_merges(spark):
+    docs = spark.createDataFrame([("a", '{"id": 1}'), ("a", '{"id": 2, "tag": "x"}'), ("b", '{"n": {"m": 1.5}}')], "c string, body string")
+    got = {r.c: r.item_schema for r in views.collection_schema(docs, "c", "body").collect()}
+    assert got == {"a": "OBJECT<id: BIGINT, tag: STRING>", "b": "OBJECT<n: OBJECT<m: DECIMAL(2,1)>>"}

@@ -31,10 +31,11 @@ def same(a, b):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
-def test_positions(rows):
+@pytest.mark.parametrize("slot_rows", [3, 10**9])
+def test_positions(rows, slot_rows):
     from pyspark.sql import Window as W
 
-    got = spread.positions(rows, ["k"], "ts", ["id"]).select("id", "_pos")
+    got = spread.positions(rows, ["k"], "ts", ["id"], slot_rows).select("id", "_pos")
     want = rows.select("id", (F.row_number().over(W.partitionBy("k").orderBy("ts", "id")) - 1).cast("bigint").alias("_pos"))
     same(got, want)
 
@@ -116,6 +117,12 @@ def test_percentile_without_keys(spark):
     assert spread.percentile_exact(df, [], "x", 0.5, "p").first()["p"] == 50.0
 
 
+def test_percentile_skips_what_is_no_number(spark):
+    df = spark.createDataFrame([(float("nan"),), (1.0,), (2.0,), (3.0,), (float("inf"),)], "x double").withColumn("k", F.lit("k"))
+    assert spread.percentile_exact(df, ["k"], "x", 0.5, "p").first()["p"] == 2.5
+    assert spread.percentile_exact(df, ["k"], "x", 1.0, "p").first()["p"] == float("inf")
+
+
 def test_no_split_without_hot_key(rows):
     assert spread.hot_keys(rows, ["k"]) is None
     assert [r.k for r in spread.hot_keys(rows, ["k"], 200).collect()] == ["hot"]
