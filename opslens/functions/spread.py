@@ -198,30 +198,58 @@ def _bin(v: Column) -> Column:
     return F.when(v > 0, size).when(v < 0, -size).otherwise(0)
 
 
-def percentile_exact(df: DataFrame, keys: Sequence[str], value: str, q: float, name: str) -> DataFrame:
-    """One row per key with the interpolated percentile of its numbers, without holding a group's values in one place.
+def _holding_ranks(rows: DataFrame, keys: Sequence[str], slot: str, within: Sequence[str], first: bool) -> DataFrame:
+    """Rows of the slots that hold the wanted ranks, with _b0, the rows of the key before the slot.
 
-    A histogram with bins of fixed relative width finds the bins that hold the wanted ranks; only the values of these
-    bins are then counted and ranked.
+    Slots are ordered inside `within`. The first time, ranks are relative to the key and come from _q and the counts.
     """
-    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v")).withColumn("_bin", _bin(F.col("_v")))
-    whole = W.partitionBy(*keys)
-    upto = whole.orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
-    hist = (
-        rows.groupBy(*keys, "_bin")
-        .agg(F.count("*").alias("_c"))
-        .withColumn("_rank", F.lit(float(q)) * (F.sum("_c").over(whole) - 1))
-        .withColumn("_b0", F.coalesce(F.sum("_c").over(upto), F.lit(0)))
-        .where((F.col("_b0") <= F.ceil("_rank")) & (F.col("_b0") + F.col("_c") > F.floor("_rank")))
-        .drop("_c")
+    by = [*keys, *within]
+    upto = W.partitionBy(*by).orderBy(slot).rowsBetween(W.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_c").over(upto), F.lit(0))
+    if first:
+        hist = rows.groupBy(*by, slot).agg(F.count("*").alias("_c"), F.first("_q").alias("_q"))
+        hist = hist.withColumn("_rank", F.col("_q") * (F.sum("_c").over(W.partitionBy(*by)) - 1)).withColumn("_b0", before)
+    else:
+        hist = rows.groupBy(*by, slot).agg(F.count("*").alias("_c"), F.first("_rank").alias("_rank"), F.first("_b0").alias("_start"))
+        hist = hist.withColumn("_b0", F.col("_start") + before)
+    hist = hist.where((F.col("_b0") <= F.ceil("_rank")) & (F.col("_b0") + F.col("_c") > F.floor("_rank")))
+    kept = [*by, slot]
+    return (
+        rows.alias("r")
+        .join(hist.alias("h"), same_keys("r", "h", kept))
+        .select(*[F.col(f"r.{c}") for c in kept], F.col("r._v"), F.col("h._rank"), F.col("h._b0"))
     )
-    in_bin = W.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
+
+
+def percentile_exact(
+    df: DataFrame, keys: Sequence[str], value: str, q: float, name: str, slot_rows: int = BLOCK_ROWS, max_rounds: int = 8
+) -> DataFrame:
+    """One row per key with the interpolated percentile of its numbers, without holding a group's values in one place.
+
+    A histogram with bins of fixed relative width finds the bins that hold the wanted ranks. While such a bin still has
+    more than slot_rows rows of more than one value, it is cut into equal steps and the search goes on inside; usually it
+    has not. Only the values of the last slots are counted and ranked.
+    """
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    rows = rows.withColumn("_order", _bin(F.col("_v"))).withColumn("_q", F.lit(float(q)))
+    found = _holding_ranks(rows, keys, "_order", [], True).withColumn("_slot", F.col("_order").cast("string")).drop("_order")
+    for _ in range(max_rounds):
+        span = found.groupBy(*keys, "_slot").agg(F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        if span.where((F.col("_c") > slot_rows) & (F.col("_lo") < F.col("_hi"))).isEmpty():
+            break
+        share = (F.col("_v") - F.col("s._lo")) / (F.col("s._hi") - F.col("s._lo"))
+        stepped = (
+            found.alias("f")
+            .join(span.alias("s"), same_keys("f", "s", [*keys, "_slot"]))
+            .select("f.*", F.when(F.col("s._hi") > F.col("s._lo"), F.floor(share * 4096)).otherwise(0).cast("int").alias("_order"))
+        )
+        found = _holding_ranks(stepped, keys, "_order", ["_slot"], False)
+        found = found.withColumn("_slot", F.concat_ws("/", "_slot", F.col("_order").cast("string"))).drop("_order")
+    in_slot = W.partitionBy(*keys, "_slot").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
     ranked = (
-        rows.alias("r")
-        .join(hist.alias("h"), same_keys("r", "h", [*keys, "_bin"]))
-        .groupBy(*[F.col(f"r.{c}") for c in [*keys, "_bin"]], "_v")
+        found.groupBy(*keys, "_slot", "_v")
         .agg(F.count("*").alias("_c"), F.first("_b0").alias("_b0"), F.first("_rank").alias("_rank"))
-        .withColumn("_r0", F.col("_b0") + F.coalesce(F.sum("_c").over(in_bin), F.lit(0)))
+        .withColumn("_r0", F.col("_b0") + F.coalesce(F.sum("_c").over(in_slot), F.lit(0)))
     )
 
     def at(r: Column) -> Column:

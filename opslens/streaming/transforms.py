@@ -80,14 +80,18 @@ def branch_state(events: DataFrame) -> DataFrame:
     return current_state(events)
 
 
-def replication_lag(commits: DataFrame, arrivals: DataFrame, key: str, bound: str, delay: str = "10 minutes") -> DataFrame:
+def replication_lag(commits: DataFrame, arrivals: DataFrame, key: str, bound: str, delay: str = "10 minutes", salts: int = 1) -> DataFrame:
     """Commits joined to their arrivals within a bound.
 
-    commits (key, committed_at) has one row per key, so the join cannot multiply a hot key.
+    commits (key, committed_at) has one row per key, so the join cannot multiply a hot key. With `salts`, the arrivals
+    of a key spread over that many tasks and each commit is copied to all of them.
     """
-    c = event_time(commits, "committed_at", delay).alias("c")
-    a = event_time(arrivals, "arrived_at", delay).withColumnRenamed(key, "_key").alias("a")
-    on = F.expr(f"c.{key} = a._key AND a.arrived_at >= c.committed_at AND a.arrived_at <= c.committed_at + INTERVAL {bound}")
+    c = event_time(commits, "committed_at", delay).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).alias("c")
+    a = event_time(arrivals, "arrived_at", delay).withColumnRenamed(key, "_key")
+    a = a.withColumn("_salt", F.pmod(F.xxhash64(*a.columns), F.lit(salts)).cast("int")).alias("a")
+    on = F.expr(
+        f"c.{key} = a._key AND c._salt = a._salt AND a.arrived_at >= c.committed_at AND a.arrived_at <= c.committed_at + INTERVAL {bound}"
+    )
     lag = F.unix_micros("arrived_at") - F.unix_micros("committed_at")
     return c.join(a, on).select(key, "committed_at", "arrived_at", (lag / F.lit(1e6)).alias("lag_seconds"))
 
