@@ -243,5 +243,15 @@ def functions_of(objects: DataFrame, max_bytes: int = 1 << 20) -> DataFrame:
     )
 
 
+def index_usage(stats: DataFrame, limit: int = 20) -> DataFrame:
+    """Most scanned indexes."""
+    return stats.orderBy(F.desc("idx_scan"), "indexrelid").limit(limit)
+
+
+def database_size(objects: DataFrame) -> DataFrame:
+    """Bytes per database."""
+    return objects.groupBy("db_id").agg(F.sum("size_bytes").cast("bigint").alias("db_size_bytes"))
+
+
 def non_default_collations(attributes: DataFrame, defaults: Sequence[str]) -> DataFrame:
     return attributes.where((F.col("attnum") > 0) & ~F.col("attisdropped") & ~F.col("collname").isin(*defaults))

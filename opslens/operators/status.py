@@ -187,6 +187,12 @@ def session_states(sessions: DataFrame, keys: Sequence[str], limit: int = 100) -
     )
 
 
+def session_details(sessions: DataFrame, as_of: datetime) -> DataFrame:
+    """Client sessions with the seconds since their last change of state."""
+    idle = seconds_between(instant(sessions, "state_change", as_of), F.col("state_change"))
+    return sessions.where(F.col("backend_type") == "client backend").withColumn("idle_seconds", idle)
+
+
 def idle_sessions(sessions: DataFrame, as_of: datetime, max_idle_seconds: float = 1800.0) -> DataFrame:
     """Idle sessions past the limit, with their idle minutes."""
     idle = seconds_between(instant(sessions, "state_change", as_of), F.col("state_change"))

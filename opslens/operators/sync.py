@@ -107,6 +107,11 @@ def replication_lag(senders: DataFrame, warning: float = 60.0, critical: float =
     )
 
 
+def receivers(senders: DataFrame) -> DataFrame:
+    """Positions of each replica as reported."""
+    return senders.select("project_id", "branch_id", "source_table", "sent_lsn", "replay_lsn", "checked_at")
+
+
 def slot_retention(slots: DataFrame) -> DataFrame:
     """Retained and pending bytes per slot; a slot that never confirmed sorts last."""
     return slots.withColumn("retained_bytes", F.col("current_lsn") - F.col("restart_lsn")).withColumn(

@@ -72,7 +72,7 @@ class Bind:
     """Driver tables of one directory as operational shapes."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir.rstrip("/")
+        self.spark, self.dir = spark, str(sf_dir).rstrip("/")
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")

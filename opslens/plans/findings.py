@@ -241,3 +241,16 @@ def agg_function_languages(b: Bind):
 )
 def agg_collations(b: Bind):
     return G.non_default_collations(b.attributes(), rules.DEFAULT_COLLATIONS).groupBy("attrelid").agg(F.count("*").alias("columns"))
+
+
+@query(
+    "q_index_usage", "index_stats",
+    "SELECT indexrelid, index_name, idx_scan, index_size_bytes FROM index_stats ORDER BY idx_scan DESC, indexrelid LIMIT 20",
+)
+def index_usage(b: Bind):
+    return G.index_usage(b.index_stats()).select("indexrelid", "index_name", "idx_scan", "index_size_bytes")
+
+
+@query("q_database_size", "catalog_objects", "SELECT db_id, CAST(sum(size_bytes) AS BIGINT) AS db_size_bytes FROM catalog_objects GROUP BY db_id")
+def database_size(b: Bind):
+    return G.database_size(b.catalog_objects())

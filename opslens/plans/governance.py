@@ -8,7 +8,7 @@ from opslens import rules
 from opslens.functions.masks import mask, register_masks
 from opslens.operators import governance as V
 from opslens.plans.bind import DDL_TEXTS, Bind, pick, sql_pick
-from opslens.plans.registry import query
+from opslens.plans.registry import as_instant, query
 
 _SOURCE = "SELECT 't' || attrelid AS table_name, attname AS column_name, atttype AS data_type FROM attributes WHERE attrelid % 10 <> 4"
 _TARGET = (
@@ -187,7 +187,7 @@ def fn_string(b: Bind):
 
 @query(
     "q_fn_time", "newest",
-    "SELECT event_id, CAST(ts AS DATE) AS d, date_trunc('hour', ts) AS h, date_trunc('year', ts) AS y, (epoch_us((SELECT t FROM newest)) - epoch_us(ts)) / 1e6 AS age_seconds,"
+    "SELECT event_id, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS d, date_trunc('hour', ts) AS h, date_trunc('year', ts) AS y, (epoch_us((SELECT t FROM newest)) - epoch_us(ts)) / 1e6 AS age_seconds,"
     " CAST(floor((epoch_us((SELECT t FROM newest)) - epoch_us(ts)) / 1e6 / 86400) AS BIGINT) AS age_days, datediff('day', CAST(ts AS DATE), CAST((SELECT t FROM newest) AS DATE)) > 20 AS stale FROM events",
 )
 def fn_time(b: Bind):
@@ -196,10 +196,11 @@ def fn_time(b: Bind):
     events = b.table("events")
     now = instant(events, "ts", b.now())
     age = seconds_between(now, F.col("ts"))
-    return events.select(
+    out = events.select(
         "event_id", F.to_date("ts").alias("d"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("h"), F.date_trunc("year", "ts").cast("timestamp_ntz").alias("y"),
         age.alias("age_seconds"), F.floor(age / 86400).alias("age_days"), (F.datediff(now, "ts") > 20).alias("stale"),
     )
+    return as_instant(out, "d")
 
 
 _LADDER = ", ".join(f"{float(u)}" for u in rules.UNIT_LADDER)

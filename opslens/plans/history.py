@@ -10,7 +10,7 @@ from opslens.functions.exprs import case, mean, safe_ratio
 from opslens.operators import history as H
 from opslens.operators import series as S
 from opslens.plans.bind import METRICS, Bind
-from opslens.plans.registry import query
+from opslens.plans.registry import as_instant, query
 from opslens.sources import tables, views
 
 MEAN = "CAST(sum({0}) AS DOUBLE) / count({0})"
@@ -75,11 +75,11 @@ def scan_document_schema(b: Bind):
 
 @query(
     "q_scan_billing", "billing",
-    "SELECT usage_date, instance_id, CAST(sum(usage_quantity) AS DOUBLE) AS total_units FROM billing GROUP BY ALL",
+    "SELECT CAST(usage_date AS TIMESTAMP) AS usage_date, instance_id, CAST(sum(usage_quantity) AS DOUBLE) AS total_units FROM billing GROUP BY ALL",
 )
 def scan_billing(b: Bind):
     u = b.usage().select("usage_date", F.col("usage_metadata.database_instance_id").alias("instance_id"), "usage_quantity")
-    return u.groupBy("usage_date", "instance_id").agg(F.sum("usage_quantity").cast("double").alias("total_units"))
+    return as_instant(u.groupBy("usage_date", "instance_id").agg(F.sum("usage_quantity").cast("double").alias("total_units")), "usage_date")
 
 
 @query(
@@ -540,6 +540,15 @@ def slow_statements(b: Bind):
     )
 
 
+@query(
+    "q_profile_top_queries", "query_stats",
+    "SELECT event_id, query, calls, CAST(mean_exec_time AS DOUBLE) AS mean_ms FROM query_stats ORDER BY total_exec_time DESC, event_id LIMIT 10",
+)
+def profile_top_queries(b: Bind):
+    top = b.query_stats().orderBy(F.desc("total_exec_time"), "event_id").limit(10)
+    return top.select("event_id", "query", "calls", F.col("mean_exec_time").cast("double").alias("mean_ms"))
+
+
 @query(
     "q_stats_eviction", "newest",
     "SELECT 'p' || (user_id % 5) AS project_id, 'b' || user_id AS branch_id, count(*) FILTER (event_type = 'error') AS dealloc, min(ts) AS stats_reset,"
@@ -588,11 +597,11 @@ def metric_correlation(b: Bind):
 
 @query(
     "q_agg_cost_daily", "billing",
-    "SELECT usage_date, sku_name, usage_type, instance_id, CAST(sum(usage_quantity) AS DOUBLE) AS total_units, CAST(sum(usage_quantity * rate) AS DOUBLE) AS estimated_cost FROM billing GROUP BY ALL",
+    "SELECT CAST(usage_date AS TIMESTAMP) AS usage_date, sku_name, usage_type, instance_id, CAST(sum(usage_quantity) AS DOUBLE) AS total_units, CAST(sum(usage_quantity * rate) AS DOUBLE) AS estimated_cost FROM billing GROUP BY ALL",
 )
 def agg_cost_daily(b: Bind):
     u = b.usage().withColumn("instance_id", F.col("usage_metadata.database_instance_id"))
-    return S.cost_daily(u, ["usage_date", "sku_name", "usage_type", "instance_id"], "usage_quantity", "rate")
+    return as_instant(S.cost_daily(u, ["usage_date", "sku_name", "usage_type", "instance_id"], "usage_quantity", "rate"), "usage_date")
 
 
 @query(

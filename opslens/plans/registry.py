@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from opslens.plans.bind import Bind, with_shapes
 from opslens.session import tune
@@ -13,6 +14,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 
 
+def as_instant(df: DataFrame, *days: str) -> DataFrame:
+    """Date columns as midnight, the one form of a day that every client reads alike."""
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in days})
+
+
 def query(name: str, shapes: str = "", sql: str | None = None):
     """Register a query over a Bind; `sql` computes the same from the driver tables in another engine."""
 

@@ -9,7 +9,7 @@ from opslens.operators import alerts as A
 from opslens.operators import branches as B
 from opslens.operators import status as S
 from opslens.plans.bind import Bind
-from opslens.plans.registry import query
+from opslens.plans.registry import as_instant, query
 
 _NOW = "(SELECT t FROM newest)"
 
@@ -33,11 +33,11 @@ def ord_case_rank(b: Bind):
 
 @query(
     "q_agg_daily_ops", "newest operations",
-    "SELECT CAST(executed_at AS DATE) AS op_date, operation_type, count(*) AS operations, count(*) FILTER (status = 'success') AS successful, count(*) FILTER (status = 'failed') AS failed,"
+    "SELECT CAST(CAST(executed_at AS DATE) AS TIMESTAMP) AS op_date, operation_type, count(*) AS operations, count(*) FILTER (status = 'success') AS successful, count(*) FILTER (status = 'failed') AS failed,"
     f" CAST(sum(duration_seconds) AS DOUBLE) / count(duration_seconds) AS avg_duration_s FROM operations WHERE executed_at > {_NOW} - INTERVAL 7 DAY GROUP BY ALL",
 )
 def agg_daily_ops(b: Bind):
-    return S.daily_operations(b.operations(), b.now())
+    return as_instant(S.daily_operations(b.operations(), b.now()), "op_date")
 
 
 @query(
@@ -52,11 +52,11 @@ def vac_outcome(b: Bind):
 
 @query(
     "q_agg_branch_activity", "newest branch_events",
-    "SELECT CAST(event_timestamp AS DATE) AS event_date, event_type, count(*) AS events, count(DISTINCT branch_id) AS unique_branches FROM branch_events"
+    "SELECT CAST(CAST(event_timestamp AS DATE) AS TIMESTAMP) AS event_date, event_type, count(*) AS events, count(DISTINCT branch_id) AS unique_branches FROM branch_events"
     f" WHERE event_timestamp > {_NOW} - INTERVAL 30 DAY GROUP BY ALL",
 )
 def agg_branch_activity(b: Bind):
-    return S.branch_activity(b.branch_events(), b.now())
+    return as_instant(S.branch_activity(b.branch_events(), b.now()), "event_date")
 
 
 @query(
@@ -70,11 +70,11 @@ def agg_active_branches(b: Bind):
 
 @query(
     "q_agg_archival", "archive_log",
-    "SELECT CAST(archived_at AS DATE) AS archive_date, source_table, CAST(sum(rows_archived) AS BIGINT) AS total_rows_archived, CAST(sum(bytes_reclaimed) AS BIGINT) AS total_bytes_reclaimed,"
+    "SELECT CAST(CAST(archived_at AS DATE) AS TIMESTAMP) AS archive_date, source_table, CAST(sum(rows_archived) AS BIGINT) AS total_rows_archived, CAST(sum(bytes_reclaimed) AS BIGINT) AS total_bytes_reclaimed,"
     " CAST(sum(bytes_reclaimed) AS DOUBLE) / 1048576.0 AS mb_reclaimed, count(*) AS operations FROM archive_log WHERE status = 'success' GROUP BY ALL",
 )
 def agg_archival(b: Bind):
-    return S.archival_summary(b.archive_log())
+    return as_instant(S.archival_summary(b.archive_log()), "archive_date")
 
 
 _STATES = (
@@ -329,10 +329,10 @@ def br_age_histogram(b: Bind):
 
 @query(
     "q_br_creation_rate", "branch_events",
-    "SELECT CAST(event_timestamp AS DATE) AS day, count(*) FILTER (event_type = 'created') AS created, count(*) FILTER (event_type = 'deleted') AS deleted FROM branch_events WHERE event_type IN ('created', 'deleted') GROUP BY ALL",
+    "SELECT CAST(CAST(event_timestamp AS DATE) AS TIMESTAMP) AS day, count(*) FILTER (event_type = 'created') AS created, count(*) FILTER (event_type = 'deleted') AS deleted FROM branch_events WHERE event_type IN ('created', 'deleted') GROUP BY ALL",
 )
 def br_creation_rate(b: Bind):
-    return B.creation_rate(b.branch_events())
+    return as_instant(B.creation_rate(b.branch_events()), "day")
 
 
 @query(
@@ -385,3 +385,11 @@ def br_name_sanitise(b: Bind):
 def br_storage(b: Bind):
     objects = b.catalog_objects().withColumn("branch_id", F.concat(F.lit("b"), F.col("db_id") % 40))
     return objects.groupBy("branch_id").agg((F.sum("size_bytes").cast("double") / 1048576.0).alias("storage_mb"), F.count("*").alias("objects"))
+
+
+@query(
+    "q_session_details", "newest sessions",
+    f"SELECT pid, project_id, branch_id, state, state_change, (epoch_us({_NOW}) - epoch_us(state_change)) / 1e6 AS idle_seconds FROM sessions WHERE backend_type = 'client backend'",
+)
+def session_details(b: Bind):
+    return S.session_details(b.sessions(), b.now()).select("pid", "project_id", "branch_id", "state", "state_change", "idle_seconds")

@@ -112,6 +112,11 @@ def cdc_lag(b: Bind):
     return Y.replication_lag(b.senders()).select("event_id", "source_table", "sent_lag_bytes", "status")
 
 
+@query("q_cdc_receivers", "senders", "SELECT project_id, branch_id, source_table, sent_lsn, replay_lsn, checked_at FROM senders")
+def cdc_receivers(b: Bind):
+    return Y.receivers(b.senders())
+
+
 @query(
     "q_cdc_slots", "slots",
     "SELECT slot_name, active, current_lsn - restart_lsn AS retained_bytes, current_lsn - confirmed_flush_lsn AS pending_bytes FROM slots",

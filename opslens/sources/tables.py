@@ -111,6 +111,21 @@ def apply_retention(df: DataFrame, ts: str, days: int, as_of: datetime) -> DataF
     return df.where(F.col(ts) >= instant(df, ts, as_of - timedelta(days=days)))
 
 
+def retention_days(table: str) -> int:
+    """Measurements are kept shorter than what an audit may ask for."""
+    return schemas.METRIC_RETENTION_DAYS if table in schemas.PARTITIONS else schemas.AUDIT_RETENTION_DAYS
+
+
+def write_retained(spark: SparkSession, base: str, table: str, target: str, as_of: datetime) -> None:
+    """Rows of a table inside its retention, written under another base; the caller swaps the paths.
+
+    Writing beside the table keeps it readable and whole until the new copy is complete, and also drops partitions
+    that have no row left.
+    """
+    kept = apply_retention(read_ops(spark, base, table), schemas.EVENT_TIME[table], retention_days(table), as_of)
+    append(kept, target, table, mode="overwrite")
+
+
 def write_audit(log: DataFrame) -> DataFrame:
     """Writes and records per table from a log of writes (table, records)."""
     return log.groupBy("table").agg(

@@ -60,6 +60,16 @@ def test_retention_is_inclusive(spark):
     assert sorted(int(r.metric_id) for r in kept.collect()) == [0, 1, 2]
 
 
+def test_retention_drops_empty_partitions(spark, tmp_path):
+    base, target = str(tmp_path / "now"), str(tmp_path / "next")
+    tables.append(samples(spark), base, "metric_samples")
+    tables.write_retained(spark, base, "metric_samples", target, NOW)
+    kept = tables.read_ops(spark, target, "metric_samples")
+    assert sorted(int(r.metric_id) for r in kept.collect()) == [0, 1, 2, 3, 4]
+    assert tables.read_ops(spark, base, "metric_samples").count() == 10
+    assert tables.retention_days("vacuum_history") == 365
+
+
 def test_stamp(spark):
     t = datetime(2024, 1, 1)
     df = spark.createDataFrame([(1, "x" * 5000, None, None), (2, "y", 7, t)], "queryid bigint, query string, calls bigint, snapshot_timestamp timestamp")
