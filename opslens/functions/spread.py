@@ -222,18 +222,27 @@ def _holding_ranks(rows: DataFrame, keys: Sequence[str], slot: str, within: Sequ
 
 
 def percentile_exact(
-    df: DataFrame, keys: Sequence[str], value: str, q: float, name: str, slot_rows: int = BLOCK_ROWS, max_rounds: int = 8
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    q: float,
+    name: str,
+    slot_rows: int = BLOCK_ROWS,
+    max_rounds: int = 8,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """One row per key with the interpolated percentile of its numbers, without holding a group's values in one place.
 
     A histogram with bins of fixed relative width finds the bins that hold the wanted ranks. While such a bin still has
     more than slot_rows rows of more than one value, it is cut into equal steps and the search goes on inside; usually it
-    has not. Only the values of the last slots are counted and ranked.
+    has not. Only the values of the last slots are counted and ranked. `sizes` is a cheaper frame with at least as many rows
+    per key, to see that no key is that large.
     """
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     rows = rows.withColumn("_order", _bin(F.col("_v"))).withColumn("_q", F.lit(float(q)))
     found = _holding_ranks(rows, keys, "_order", [], True).withColumn("_slot", F.col("_order").cast("string")).drop("_order")
-    for _ in range(max_rounds):
+    large = hot_keys(df if sizes is None else sizes, keys, slot_rows) is not None
+    for _ in range(max_rounds if large else 0):
         span = found.groupBy(*keys, "_slot").agg(F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
         if span.where((F.col("_c") > slot_rows) & (F.col("_lo") < F.col("_hi"))).isEmpty():
             break

@@ -87,7 +87,7 @@ def idle_timeout(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str]
         (F.sum(whole).cast("double") / F.count("*") / 1e6).alias("avg_gap_seconds"),
         F.max("gap_seconds").alias("max_gap_seconds"),
     )
-    pct = spread.percentile_exact(gaps, keys, "gap_seconds", q, "gap_percentile")
+    pct = spread.percentile_exact(gaps, keys, "gap_seconds", q, "gap_percentile", sizes=df)
     return stats.join(pct, list(keys)).withColumn(
         "timeout_minutes", F.greatest(F.lit(5), F.ceil(F.col("gap_percentile") / 60)).cast("bigint")
     )
