@@ -48,7 +48,7 @@ def _lits(values) -> str:
 
 def pick(values, index: str) -> str:
     """Spark: the value at a 0-based index."""
-    return f"element_at(array({_lits(values)}), cast({index} AS INT) + 1)"
+    return f"get(array({_lits(values)}), cast({index} AS INT))"
 
 
 def sql_pick(values, index: str) -> str:
