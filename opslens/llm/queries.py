@@ -1,6 +1,6 @@
 """The queries of this subpackage. The modules register them when imported."""
 
-from opslens.llm import exact, shards  # noqa: F401
+from opslens.llm import exact, huffman, packing, shards  # noqa: F401
 from opslens.llm.common import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]
