@@ -118,7 +118,8 @@ def count_ids(docs: DataFrame, tokenizer: str, text: str = "text", end_id: int =
         enc = encoder(tokenizer, end_id, by_word)
         total = np.zeros(enc.vocabulary, np.int64)
         for batch in batches:
-            total += enc.count(batch.column(0))
+            for _, some, _ in enc.slices(pa.nulls(batch.num_rows), batch.column(0)):
+                total += np.bincount(some, minlength=len(total))
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], names=["id", "n"])
 
@@ -159,14 +160,14 @@ def write_store(
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], names=["file", "block", "first", "doc_ids", "lengths", "checkpoints", "payload"])
 
         for batch in batches:
-            ids, bounds = enc.encode(batch.column(1))
-            for key, a, b in zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                keys.append(key)
-                parts.append(ids[a:b])
-                held += b - a
-                if held >= block_ids:
-                    yield close()
-                    block, first, keys, parts, held = block + 1, first + held, [], [], 0
+            for some, ids, bounds in enc.slices(batch.column(0), batch.column(1)):
+                for key, a, b in zip(some, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    keys.append(key)
+                    parts.append(ids[a:b])
+                    held += b - a
+                    if held >= block_ids:
+                        yield close()
+                        block, first, keys, parts, held = block + 1, first + held, [], [], 0
         if keys:
             yield close()
 

@@ -119,16 +119,16 @@ def _pack_task(path: str, end_id: int, by_word: bool, capacity: int, buffer_ids:
         first = TaskContext.get().partitionId() << 40
         keys, texts, held = [], [], 0
         for batch in batches:
-            ids, bounds = enc.encode(batch.column(1))
-            ids = ids.astype("<u4", copy=False)
-            for key, a, b in zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                keys.append(key)
-                texts.append(ids[a:b])
-                held += b - a
-                if held >= buffer_ids or len(keys) >= buffer_docs:
-                    out, first = flush(keys, texts, first)
-                    keys, texts, held = [], [], 0
-                    yield out
+            for some, ids, bounds in enc.slices(batch.column(0), batch.column(1)):
+                ids = ids.astype("<u4", copy=False)
+                for key, a, b in zip(some, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    keys.append(key)
+                    texts.append(ids[a:b])
+                    held += b - a
+                    if held >= buffer_ids or len(keys) >= buffer_docs:
+                        out, first = flush(keys, texts, first)
+                        keys, texts, held = [], [], 0
+                        yield out
         if keys:
             yield flush(keys, texts, first)[0]
 

@@ -49,8 +49,8 @@ def assign(rows: DataFrame, size: str, order: Sequence[str], shards: int = SHARD
         hidden["range"],
         F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("bytes_before"),
         F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("rows_before"),
+        F.sum("bytes").over(Window.orderBy(hidden["range"]).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("all_bytes"),
     )
-    total = totals.agg(F.sum("bytes").alias("all_bytes"))
     inside = Window.partitionBy(hidden["range"]).orderBy(*[F.col(c).asc_nulls_first() for c in order], hidden["salt"])
     placed = (
         ranged.withColumns(
@@ -60,7 +60,6 @@ def assign(rows: DataFrame, size: str, order: Sequence[str], shards: int = SHARD
             }
         )
         .join(F.broadcast(offsets), hidden["range"])
-        .join(F.broadcast(total))  # one row
         .withColumn(hidden["before"], F.col(hidden["before"]) + F.col("bytes_before"))
         .withColumn(hidden["row"], F.col(hidden["row"]) + F.col("rows_before"))
         .withColumn("shard", F.when(F.col("all_bytes") > 0, F.least(F.lit(shards - 1), F.floor(F.col(hidden["before"]) * shards / F.col("all_bytes")))).otherwise(0).cast("int"))

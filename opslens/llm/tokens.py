@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -10,7 +12,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 END_ID = 2
-MEMO_WORDS = 600_000
+#: Distinct words a worker process remembers, and bytes of text it takes on at a time.
+MEMO_WORDS, SLICE_BYTES = 700_000, 4 << 20
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -20,11 +23,26 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     return flat[np.arange(total) + np.repeat(starts - (ends - lengths), lengths)]
 
 
+#: Lower-case and upper-case letters of Latin-1, which are letters to every tokenizer and need no normalising.
+LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
+
+
+def byte_letters() -> dict[int, str]:
+    """How a byte-level model writes the bytes of each Latin-1 letter, lower-cased: printable bytes as the character of that number,
+    the others, in order, as characters from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    shown = {**{b: chr(b) for b in plain}, **{b: chr(256 + i) for i, b in enumerate(others)}}
+    return {ord(c): "".join(shown[b] for b in c.lower().encode()) for c in LETTERS + CAPITALS}
+
+
 class Encoder:
     """The ids that the tokenizer gives, without special tokens of its own, and an end id behind each text.
 
-    `by_word` says that the tokenizer lower-cases, drops white space, and forms no token across it. Then each distinct word between
-    ASCII white space is encoded once per batch, or not at all if remembered; the ids are the same as for the whole text.
+    `by_word` says that the tokenizer lower-cases, drops white space, keeps runs of letters apart from all else, and writes bytes as
+    characters. Then each distinct word between ASCII white space is encoded once per slice, or not at all if remembered,
+    and a word of Latin-1 letters goes straight to the tokenizer's model; the ids are the same as for the whole text.
     Texts in which a special token's string occurs are given to the tokenizer whole. A null text counts as empty.
     """
 
@@ -33,6 +51,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id, self.by_word, self.memo_words = Tokenizer.from_file(path), end_id, by_word, memo_words
+        self.model = Tokenizer(self.tokenizer.model)
+        self.letters, self.as_bytes = re.compile(f"[{LETTERS}{CAPITALS}]+"), byte_letters()
         self.specials = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._forget()
 
@@ -61,6 +81,13 @@ class Encoder:
     def _raw(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, words: list[str]) -> None:
+        plain = [w for w in words if self.letters.fullmatch(w)]
+        others = [w for w in words if not self.letters.fullmatch(w)]
+        written = "\n".join(plain).translate(self.as_bytes).split("\n") if plain else []
+        self._remember(plain, [e.ids for e in self.model.encode_batch_fast(written, add_special_tokens=False)])
+        self._remember(others, self._raw(others))
+
     def _words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per word of the texts its place in the memo; words per text; whether the text must be encoded whole."""
         lower = pc.ascii_lower(texts)
@@ -78,8 +105,8 @@ class Encoder:
         missing = np.flatnonzero(at < 0)
         if len(missing):
             new = [words[i] for i in missing]
-            at[missing] = len(self.place) + np.arange(len(new))
-            self._remember(new, self._raw(new))
+            self._learn(new)
+            at[missing] = [self.place[w] for w in new]
         return at[coded.indices.to_numpy(zero_copy_only=False)], per_text, whole
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -106,10 +133,13 @@ class Encoder:
         out[mine], out[ends] = flat, self.end_id
         return out, ids_before + np.arange(n + 1)
 
-    def count(self, texts: pa.Array) -> np.ndarray:
-        """How often each id occurs in the texts."""
-        ids, _ = self.encode(texts)
-        return np.bincount(ids, minlength=self.vocabulary)
+    def slices(self, keys: pa.Array, texts: pa.Array) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+        """The keys, ids and starts of `encode` for some rows at a time, so that memory holds little beyond the ids."""
+        slice_of = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // SLICE_BYTES
+        edges = [0, *(np.flatnonzero(np.diff(slice_of)) + 1).tolist(), len(texts)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if b > a:
+                yield keys.slice(a, b - a).to_pylist(), *self.encode(texts.slice(a, b - a))
 
 
 @lru_cache(maxsize=2)
