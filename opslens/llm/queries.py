@@ -1,6 +1,6 @@
 """The queries of this subpackage. The modules register them when imported."""
 
-from opslens.llm import chat, exact, huffman, nearest, packing, shards, toxicity  # noqa: F401
+from opslens.llm import chat, exact, huffman, near, nearest, packing, shards, toxicity  # noqa: F401
 from opslens.llm.common import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]
