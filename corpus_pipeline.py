@@ -9,17 +9,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from opslens.llm import exact  # noqa: E402
+import public_tokenizers  # noqa: E402
+
+from opslens.llm import exact, near, packing, toxicity  # noqa: E402
 from opslens.llm.common import stored  # noqa: E402
 from opslens.session import tune  # noqa: E402
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score, learnt from the labels, is below one half."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    score = "__score"
+    return toxicity.score(docs, model, into=score).where(f"{score} < 0.5").drop(score)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts: the one with the largest doc_id."""
     return exact.keep_unique(docs)
 
 
-STAGES = [("exact dedup", exact_dedup)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, by five words at 0.8: the one with the smallest doc_id."""
+    return near.keep_one(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token ids in sequences of at most 4096."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("toxicity", drop_toxic), ("exact dedup", exact_dedup), ("near dedup", near_dedup), ("packing", pack)]
 
 #: Training and scoring a classifier, MinHash and tokenizing can't be said in SQL.
 ORACLE_SQL = None

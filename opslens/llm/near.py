@@ -311,6 +311,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     )
 
 
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """The rows of `docs`, with all columns, but those whose doc_id `near_duplicates` keeps in no row."""
+    found = near_duplicates(docs, key=key, text=text, **how)
+    gone = found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("NOT kept").select(F.col("doc_id").alias("__gone"))
+    return docs.join(gone, docs[key].cast("bigint") == gone["__gone"], "left_anti")
+
+
 @query("op5_near_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of `documents` by three-word shingles at 0.85."""
