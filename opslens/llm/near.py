@@ -130,9 +130,9 @@ def sketches(docs: DataFrame, size: int, rows: int, bands: int, key: str = "doc_
     return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SKETCH)
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Start and number of some rows at a time."""
-    slice_of = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // SLICE_BYTES
+    slice_of = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // size
     edges = [0, *(np.flatnonzero(np.diff(slice_of)) + 1).tolist(), len(texts)]
     yield from ((a, b - a) for a, b in zip(edges, edges[1:], strict=False) if b > a)
 
