@@ -39,15 +39,20 @@ def step(cond: Column, points: float) -> Column:
     return F.when(cond, F.lit(float(points))).otherwise(F.lit(0.0))
 
 
-def keyed_id(*cols: str | Column, length: int = 16) -> Column:
-    """Deterministic id of a row from its key columns."""
-    return F.substring(F.sha2(F.concat_ws("|", *[c.cast("string") if isinstance(c, Column) else F.col(c).cast("string") for c in cols]), 256), 1, length)
+def cells(*cols: str | Column) -> Column:
+    """All values of a row in one text that no other row has: each with its length in front, a null as a dash."""
+    texts = [(c if isinstance(c, Column) else F.col(c)).cast("string") for c in cols]
+    return F.concat(*[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts])
+
+
+def keyed_id(*cols: str | Column) -> Column:
+    """Deterministic id of a row from its key columns: the whole SHA-256."""
+    return F.sha2(cells(*cols), 256)
 
 
 def row_digest(cols: Sequence[str]) -> Column:
-    """48 bits of the md5 of the row as a number; nulls are marked so that they do not vanish."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in cols])
-    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("decimal(38,0)")
+    """60 bits of the md5 of the row as a number."""
+    return F.conv(F.substring(F.md5(cells(*cols)), 1, 15), 16, 10).cast("decimal(38,0)")
 
 
 def seconds_between(later: Column, earlier: Column) -> Column:

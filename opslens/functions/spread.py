@@ -1,13 +1,9 @@
 """Ordered work per key without one task per hot key.
 
-A window over a key that holds a large share of all rows runs in one task. The helpers here first ask, by a map-side
-combined count of the key columns alone, whether such a key exists. If none does, the plan is the plain window. If
-there is one, only its rows are cut into blocks of consecutive rows; the others keep the plain window.
-
-Positions come from counts, not from one global sort. The order of a key is refined in levels: hour and second, and,
-only if one second of a key holds more than a block, microsecond and, where the first tie-breaker is a whole number,
-steps of TIE_STEP of it. Counts per level give the rows before each finest slot; a row number inside the slot completes
-it. So the largest windows of the split path hold the hours of a key, the seconds of an hour, and one slot.
+A window over a key that holds a large share of all rows would run in one task. So windows here run over (key, time slot), at every
+size of the data, and a slot gets from the others just what its rows need: some rows before and behind it, or one value carried
+over. Tasks hold a slot of a key; only one row, or a few, per slot meet by key. `slot_seconds` is the width of a slot: choose it so
+that the busiest key has some million rows in a slot at most. Building a plan starts no job.
 """
 
 from __future__ import annotations
@@ -18,10 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-HOT_ROWS = 20_000_000  # about a minute of window work in one task
-BLOCK_ROWS = 5_000_000
-TIE_STEP = 100_000
+SLOT_SECONDS = 86_400
 LOG_BINS = 64  # histogram bins per doubling of a value
+STEPS = 4096  # equal steps that a histogram bin is cut into
 
 
 def same_keys(left: str, right: str, keys: Sequence[str]) -> Column:
@@ -32,86 +27,25 @@ def same_keys(left: str, right: str, keys: Sequence[str]) -> Column:
     return cond
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """Keys with more than hot_rows rows (at most rows / hot_rows of them), or None. One look at the key columns."""
-    hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows).drop("_n")
-    return None if hot.isEmpty() else hot
-
-
-def split_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows of ordinary keys, rows of hot keys)."""
-    cond = same_keys("d", "h", keys)
-    return df.alias("d").join(hot.alias("h"), cond, "left_anti"), df.alias("d").join(hot.alias("h"), cond, "left_semi")
-
+def slot(ts: str, slot_seconds: int) -> Column:
+    """Number of the time slot; null for a null time, which sorts first as in any window."""
+    return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(1_000_000 * slot_seconds)).cast("long")
 
-def _levelled(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], slot_rows: int) -> tuple[DataFrame, list[str]]:
-    """df with the order levels as columns, and their names from coarse to fine."""
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    levels = {
-        "_hour": F.floor(at / F.lit(3_600_000_000)).cast("long"),
-        "_second": F.floor(at / F.lit(1_000_000)).cast("long"),
-    }
-    crowded = df.groupBy(*keys, levels["_second"].alias("_second")).agg(F.count("*").alias("_c")).where(F.col("_c") > slot_rows)
-    if not crowded.isEmpty():
-        levels["_micro"] = at
-        if tie and df.schema[tie[0]].dataType.typeName() in ("byte", "short", "integer", "long"):
-            levels["_step"] = F.floor(F.col(tie[0]) / F.lit(TIE_STEP)).cast("long")
-    return df.withColumns(levels), list(levels)
 
-
-def _rows_before(levelled: DataFrame, keys: Sequence[str], levels: Sequence[str]) -> DataFrame:
-    """Rows of the key before each finest slot that has rows, as the sum of the rows before it on every level."""
-    counts = levelled.groupBy(*keys, *levels).agg(F.count("*").alias("_c"))
-    before = None
-    for depth in range(1, len(levels) + 1):
-        by = [*keys, *levels[:depth]]
-        slot = counts.groupBy(*by).agg(F.sum("_c").alias("_c")) if depth < len(levels) else counts
-        upto = W.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(W.unboundedPreceding, -1)
-        slot = slot.withColumn("_here", F.coalesce(F.sum("_c").over(upto), F.lit(0))).drop("_c")
-        if before is None:
-            before = slot.withColumnRenamed("_here", "_before")
-        else:
-            before = (
-                slot.alias("s")
-                .join(before.alias("b"), same_keys("s", "b", by[:-1]))
-                .select(*[F.col(f"s.{c}") for c in by], (F.col("s._here") + F.col("b._before")).alias("_before"))
-            )
-    return before
-
-
-def positions(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], slot_rows: int = BLOCK_ROWS) -> DataFrame:
-    """df with _pos, the 0-based position of the row in its key by (ts, tie)."""
-    levelled, levels = _levelled(df, keys, ts, tie, slot_rows)
-    before = _rows_before(levelled, keys, levels)
-    in_slot = W.partitionBy(*keys, *levels).orderBy(ts, *tie)
-    return (
-        levelled.withColumn("_rn", F.row_number().over(in_slot))
-        .alias("t")
-        .join(before.alias("b"), same_keys("t", "b", [*keys, *levels]))
-        .select("t.*", "b._before")
-        .withColumn("_pos", F.col("_before") + F.col("_rn") - 1)
-        .drop("_before", "_rn", *levels)
-    )
-
-
-def blocks(
-    hot: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], before: int = 0, after: int = 0, block_rows: int = BLOCK_ROWS
-) -> DataFrame:
-    """Rows with _block, in blocks of block_rows consecutive rows of a key.
-
-    Each block also gets the `before` rows in front of it and the `after` rows behind it; those have _own = false.
-    """
-    if max(before, after) > block_rows:
-        raise ValueError("a block must be at least as long as the look-back")
-    home = F.floor(F.col("_pos") / block_rows).cast("long")
-    first = F.floor(F.greatest(F.col("_pos") - after, F.lit(0)) / block_rows).cast("long")
-    last = F.floor((F.col("_pos") + before) / block_rows).cast("long")
-    return (
-        positions(hot, keys, ts, tie, block_rows)
-        .withColumn("_block", F.explode(F.sequence(first, last)))
-        .withColumn("_own", F.col("_block") == home)
-        .drop("_pos")
-    )
+def with_neighbours(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], before: int, after: int, slot_seconds: int) -> DataFrame:
+    """Rows with _slot and _own; each slot that has rows also gets the `before` rows of its key in front of it and the `after` rows behind it,
+    with _own = false."""
+    own = df.withColumn("_slot", slot(ts, slot_seconds))
+    out = own.withColumn("_own", F.lit(True))
+    for n, ends, order in ((before, [F.desc_nulls_last(c) for c in (ts, *tie)], [F.asc_nulls_first(c) for c in ("_slot", ts, *tie)]), (after, [F.asc_nulls_first(c) for c in (ts, *tie)], [F.desc_nulls_last(c) for c in ("_slot", ts, *tie)])):
+        if not n:
+            continue
+        # the last (first) n rows of each slot; a slot needs those of them that are within n rows of its own first (last) one
+        edge = own.withColumn("_n", F.row_number().over(W.partitionBy(*keys, "_slot").orderBy(*ends))).where(F.col("_n") <= n).drop("_n")
+        near = F.collect_set(F.struct("_slot")).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(1, n))
+        given = edge.withColumn("_to", near).withColumn("_to", F.explode(F.array_except("_to", F.array(F.struct("_slot"))))).withColumn("_slot", F.col("_to._slot")).drop("_to")
+        out = out.unionByName(given.withColumn("_own", F.lit(False)))
+    return out
 
 
 def over_ordered(
@@ -122,74 +56,41 @@ def over_ordered(
     columns: Callable[[W], dict[str, Column]],
     before: int = 0,
     after: int = 0,
-    hot_rows: int = HOT_ROWS,
-    block_rows: int = BLOCK_ROWS,
+    slot_seconds: int = SLOT_SECONDS,
 ) -> DataFrame:
     """df plus window columns that look at most `before` rows back and `after` rows ahead in their key.
 
     columns(window) gives the new columns for an ordered window.
     """
-    hot = hot_keys(df, keys, hot_rows)
-    if hot is None:
-        return df.withColumns(columns(W.partitionBy(*keys).orderBy(ts, *tie)))
-    cold_rows, hot_part = split_hot(df, keys, hot)
-    cut = blocks(hot_part, keys, ts, tie, before, after, block_rows)
-    cut = cut.withColumns(columns(W.partitionBy(*keys, "_block").orderBy(ts, *tie))).where("_own").drop("_block", "_own")
-    return cold_rows.withColumns(columns(W.partitionBy(*keys).orderBy(ts, *tie))).unionByName(cut)
+    rows = with_neighbours(df, keys, ts, tie, before, after, slot_seconds)
+    return rows.withColumns(columns(W.partitionBy(*keys, "_slot").orderBy(ts, *tie))).where("_own").drop("_slot", "_own")
 
 
-def carry(per_row: DataFrame, keys: Sequence[str], order: Column, value: str, forward: bool) -> DataFrame:
-    """Per block of a key: the last non-null value of earlier blocks (forward), or the first of later blocks.
+def carried(slotted: DataFrame, keys: Sequence[str], order: Column, value: str, forward: bool) -> DataFrame:
+    """Per slot of a key, as column `value`: the last non-null value of earlier slots (forward), or the first of later slots.
 
-    Blocks are reduced to one row first, so the window sees the blocks of a key and not its rows.
+    Slots are reduced to one row first, so the window sees the slots of a key and not its rows.
     """
     present = F.when(F.col(value).isNotNull(), order)
     if forward:
-        edge, w = F.max_by(F.col(value), present), W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+        edge, w = F.max_by(F.col(value), present), W.partitionBy(*keys).orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
         pick = F.last("_edge", ignorenulls=True)
     else:
-        edge, w = F.min_by(F.col(value), present), W.partitionBy(*keys).orderBy("_block").rowsBetween(1, W.unboundedFollowing)
+        edge, w = F.min_by(F.col(value), present), W.partitionBy(*keys).orderBy("_slot").rowsBetween(1, W.unboundedFollowing)
         pick = F.first("_edge", ignorenulls=True)
-    return per_row.groupBy(*keys, "_block").agg(edge.alias("_edge")).withColumn("_carry", pick.over(w)).drop("_edge")
+    return slotted.groupBy(*keys, "_slot").agg(edge.alias("_edge")).withColumn(value, pick.over(w)).drop("_edge")
 
 
-def fill_forward(
-    df: DataFrame,
-    keys: Sequence[str],
-    ts: str,
-    tie: Sequence[str],
-    value: str,
-    hot_rows: int = HOT_ROWS,
-    block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
+def fill_forward(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], value: str, slot_seconds: int = SLOT_SECONDS) -> DataFrame:
     """df with `value` replaced by the last non-null value at or before the row in its key.
 
-    The look-back is unbounded, so the blocks of a hot key hand over only their last value. Rows of one instant of a
-    key stay in one block.
+    The look-back is unbounded, so the slots of a key hand over only their last value, as one more row in front of the next ones.
     """
-    def fill(rows: DataFrame, *by: str) -> DataFrame:
-        upto = W.partitionBy(*by).orderBy(ts, *tie).rowsBetween(W.unboundedPreceding, 0)
-        return rows.withColumn(value, F.last(value, ignorenulls=True).over(upto))
-
-    hot = hot_keys(df, keys, hot_rows)
-    if hot is None:
-        return fill(df, *keys)
-    names = df.columns
-    cold_rows, hot_part = split_hot(df, keys, hot)
-    levelled, levels = _levelled(hot_part, keys, ts, (), block_rows)
-    placed = (
-        levelled.alias("t")
-        .join(_rows_before(levelled, keys, levels).alias("b"), same_keys("t", "b", [*keys, *levels]))
-        .select(*[F.col(f"t.{c}") for c in names], F.floor(F.col("_before") / block_rows).cast("long").alias("_block"))
-    )
-    handed = carry(placed, keys, F.struct(ts, *tie), value, forward=True)
-    cut = (
-        fill(placed, *keys, "_block")
-        .alias("f")
-        .join(handed.alias("c"), same_keys("f", "c", [*keys, "_block"]))
-        .select(*[F.coalesce(F.col(f"f.{c}"), F.col("c._carry")).alias(c) if c == value else F.col(f"f.{c}") for c in names])
-    )
-    return fill(cold_rows, *keys).unionByName(cut)
+    slotted = df.withColumn("_slot", slot(ts, slot_seconds))
+    front = carried(slotted, keys, F.struct(ts, *tie), value, forward=True)
+    rows = slotted.withColumn("_own", F.lit(True)).unionByName(front.withColumn("_own", F.lit(False)), allowMissingColumns=True)
+    upto = W.partitionBy(*keys, "_slot").orderBy("_own", ts, *tie).rowsBetween(W.unboundedPreceding, 0)
+    return rows.withColumn(value, F.last(value, ignorenulls=True).over(upto)).where("_own").select(*df.columns)
 
 
 def _bin(v: Column) -> Column:
@@ -198,68 +99,41 @@ def _bin(v: Column) -> Column:
     return F.when(v > 0, size).when(v < 0, -size).otherwise(0)
 
 
-def _holding_ranks(rows: DataFrame, keys: Sequence[str], slot: str, within: Sequence[str], first: bool) -> DataFrame:
-    """Rows of the slots that hold the wanted ranks, with _b0, the rows of the key before the slot.
-
-    Slots are ordered inside `within`. The first time, ranks are relative to the key and come from _q and the counts.
-    """
-    by = [*keys, *within]
-    upto = W.partitionBy(*by).orderBy(slot).rowsBetween(W.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("_c").over(upto), F.lit(0))
-    if first:
-        hist = rows.groupBy(*by, slot).agg(F.count("*").alias("_c"), F.first("_q").alias("_q"))
-        hist = hist.withColumn("_rank", F.col("_q") * (F.sum("_c").over(W.partitionBy(*by)) - 1)).withColumn("_b0", before)
-    else:
-        hist = rows.groupBy(*by, slot).agg(F.count("*").alias("_c"), F.first("_rank").alias("_rank"), F.first("_b0").alias("_start"))
-        hist = hist.withColumn("_b0", F.col("_start") + before)
+def _holding_ranks(counts: DataFrame, keys: Sequence[str], bin_: str) -> DataFrame:
+    """The counts in those bins of their group that hold the wanted ranks; _b0 grows by the rows of the group before the bin."""
+    hist = counts.groupBy(*keys, bin_).agg(F.sum("_c").alias("_c"), F.first("_rank").alias("_rank"), F.first("_b0").alias("_start"))
+    upto = W.partitionBy(*keys).orderBy(bin_).rowsBetween(W.unboundedPreceding, -1)
+    hist = hist.withColumn("_b0", F.col("_start") + F.coalesce(F.sum("_c").over(upto), F.lit(0)))
     hist = hist.where((F.col("_b0") <= F.ceil("_rank")) & (F.col("_b0") + F.col("_c") > F.floor("_rank")))
-    kept = [*by, slot]
-    return (
-        rows.alias("r")
-        .join(hist.alias("h"), same_keys("r", "h", kept))
-        .select(*[F.col(f"r.{c}") for c in kept], F.col("r._v"), F.col("h._rank"), F.col("h._b0"))
-    )
+    kept = [*keys, bin_]
+    return counts.alias("r").join(hist.alias("h"), same_keys("r", "h", kept)).select(*[F.col(f"r.{c}") for c in kept], F.col("r._v"), F.col("r._c"), F.col("h._rank"), F.col("h._b0"))
 
 
-def percentile_exact(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    q: float,
-    name: str,
-    slot_rows: int = BLOCK_ROWS,
-    max_rounds: int = 8,
-    sizes: DataFrame | None = None,
-) -> DataFrame:
+def percentile_exact(df: DataFrame, keys: Sequence[str], value: str, q: float, name: str) -> DataFrame:
     """One row per key with the interpolated percentile of its numbers, without holding a group's values in one place.
 
-    A histogram with bins of fixed relative width finds the bins that hold the wanted ranks. While such a bin still has
-    more than slot_rows rows of more than one value, it is cut into equal steps and the search goes on inside; usually it
-    has not. Only the values of the last slots are counted and ranked. `sizes` is a cheaper frame with at least as many rows
-    per key, to see that no key is that large.
+    Equal values are counted on the map side first. A histogram with bins of fixed relative width finds the bins that hold the wanted
+    ranks, equal steps of such a bin the steps that do, and only their distinct values are ranked. The steps are always
+    these three; nulls and NaN are left out, a key without numbers has no row.
     """
-    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    rows = rows.withColumn("_order", _bin(F.col("_v"))).withColumn("_q", F.lit(float(q)))
-    found = _holding_ranks(rows, keys, "_order", [], True).withColumn("_slot", F.col("_order").cast("string")).drop("_order")
-    large = hot_keys(df if sizes is None else sizes, keys, slot_rows) is not None
-    for _ in range(max_rounds if large else 0):
-        span = found.groupBy(*keys, "_slot").agg(F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        if span.where((F.col("_c") > slot_rows) & (F.col("_lo") < F.col("_hi"))).isEmpty():
-            break
-        share = (F.col("_v") - F.col("s._lo")) / (F.col("s._hi") - F.col("s._lo"))
-        stepped = (
-            found.alias("f")
-            .join(span.alias("s"), same_keys("f", "s", [*keys, "_slot"]))
-            .select("f.*", F.when(F.col("s._hi") > F.col("s._lo"), F.floor(share * 4096)).otherwise(0).cast("int").alias("_order"))
-        )
-        found = _holding_ranks(stepped, keys, "_order", ["_slot"], False)
-        found = found.withColumn("_slot", F.concat_ws("/", "_slot", F.col("_order").cast("string"))).drop("_order")
-    in_slot = W.partitionBy(*keys, "_slot").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
-    ranked = (
-        found.groupBy(*keys, "_slot", "_v")
-        .agg(F.count("*").alias("_c"), F.first("_b0").alias("_b0"), F.first("_rank").alias("_rank"))
-        .withColumn("_r0", F.col("_b0") + F.coalesce(F.sum("_c").over(in_slot), F.lit(0)))
+    v = F.col(value).cast("double")
+    values = df.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v")).groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
+    totals = values.groupBy(*keys, _bin(F.col("_v")).alias("_bin")).agg(F.sum("_c").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    all_rows = F.sum("_c").over(W.partitionBy(*keys))
+    upto = W.partitionBy(*keys).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
+    bins = totals.withColumns({"_rank": F.lit(float(q)) * (all_rows - 1), "_b0": F.coalesce(F.sum("_c").over(upto), F.lit(0))})
+    bins = bins.where((F.col("_b0") <= F.ceil("_rank")) & (F.col("_b0") + F.col("_c") > F.floor("_rank"))).drop("_c")
+    share = (F.col("_v") - F.col("h._lo")) / (F.col("h._hi") - F.col("h._lo"))
+    step = F.when(F.col("h._hi") > F.col("h._lo"), F.floor(share * STEPS)).otherwise(0).cast("int")
+    inside = (
+        values.withColumn("_bin", _bin(F.col("_v")))
+        .alias("r")
+        .join(bins.alias("h"), same_keys("r", "h", [*keys, "_bin"]))
+        .select("r.*", "h._rank", "h._b0", step.alias("_step"))
     )
+    found = _holding_ranks(inside, [*keys, "_bin"], "_step")
+    in_step = W.partitionBy(*keys, "_bin", "_step").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
+    ranked = found.withColumn("_r0", F.col("_b0") + F.coalesce(F.sum("_c").over(in_step), F.lit(0)))
 
     def at(r: Column) -> Column:
         return F.max(F.when((F.col("_r0") <= r) & (F.col("_r0") + F.col("_c") > r), F.col("_v")))

@@ -81,11 +81,10 @@ def route(alerts: DataFrame, severity: str = "severity") -> DataFrame:
     return alerts.join(channels, severity, "left")
 
 
-def alert_rules(samples: DataFrame, as_of: datetime, widen: float = 1.0) -> DataFrame:
-    """Stored alert rules over recent samples: matching rows per rule, and whether it fires.
+def alert_rules(samples: DataFrame, checks: DataFrame, as_of: datetime) -> DataFrame:
+    """Stored alert rules over recent samples and sync checks: matching rows per rule, and whether it fires.
 
-    All rules run in one join of samples and rules; only samples inside the longest look-back are read.
-    `widen` stretches the look-back.
+    All metric rules run in one join of samples and rules; only rows inside the longest look-back are read.
     """
     from opslens.operators.history import since
 
@@ -93,20 +92,24 @@ def alert_rules(samples: DataFrame, as_of: datetime, widen: float = 1.0) -> Data
     table = rules.rule_table(
         spark, "rule string, metric_name string, bound double, above boolean, severity string, minutes int", rules.ALERT_RULES
     )
-    longest = max(r[5] for r in rules.ALERT_RULES) * widen
+    longest = max(r[5] for r in rules.ALERT_RULES)
     recent = since(samples, "snapshot_timestamp", as_of, minutes=longest)
     value = F.col("metric_value").cast("double")
     age = (F.unix_micros(instant(samples, "snapshot_timestamp", as_of).cast("timestamp")) - F.unix_micros(F.col("snapshot_timestamp").cast("timestamp"))) / 6e7
     hits = (
         recent.join(table, "metric_name")
         .where(F.when(F.col("above"), value > F.col("bound")).otherwise(value < F.col("bound")))
-        .where(age < F.col("minutes") * F.lit(float(widen)))
+        .where(age < F.col("minutes"))
         .groupBy("rule")
         .agg(F.count("*").alias("matching_rows"), F.count_distinct("project_id", "branch_id").alias("branches"))
     )
+    rule, limit, severity, minutes = rules.FRESHNESS_RULE
+    late = since(checks, "validated_at", as_of, minutes=minutes).where(F.col("freshness_lag_seconds") > limit)
+    late = late.agg(F.count("*").alias("matching_rows"), F.count_distinct("source_table", "target_table").alias("branches"))
+    named = table.select("rule", "severity").unionByName(rules.rule_table(spark, "rule string, severity string", [(rule, severity)]))
     return (
-        table.select("rule", "severity")
-        .join(hits, "rule", "left")
+        named
+        .join(hits.unionByName(late.withColumn("rule", F.lit(rule))), "rule", "left")
         .na.fill(0, ["matching_rows", "branches"])
         .withColumn("fires", F.col("matching_rows") > 0)
     )

@@ -10,20 +10,23 @@ from pyspark.sql import functions as F
 
 from opslens import rules
 from opslens.functions.exprs import case, instant, seconds_between
+from opslens.functions.spread import same_keys
 
 DAY = 86_400.0
-MAX_RULES = 10_000
 
 
 def current_state(events: DataFrame, keys: Sequence[str] = ("project_id", "branch_id"), tie: str = "event_id") -> DataFrame:
-    """Lifecycle events folded to one row per branch by map-side combined aggregates."""
+    """Lifecycle events folded to one row per branch by map-side combined aggregates.
+
+    created_at is the newest creation: a branch that is deleted and created again lives from then on.
+    """
     at = F.struct("event_timestamp", tie)
     kind = F.col("event_type")
     lifecycle = kind.isin("created", "deleted")
     return (
         events.groupBy(*keys)
         .agg(
-            F.min(F.when(kind == "created", F.col("event_timestamp"))).alias("created_at"),
+            F.max(F.when(kind == "created", F.col("event_timestamp"))).alias("created_at"),
             F.max_by(F.when(lifecycle, kind), F.when(lifecycle, at)).alias("_last"),
             F.coalesce(F.bool_or(kind == "protected"), F.lit(False)).alias("is_protected"),
             F.count_if(kind == "reset").alias("resets"),
@@ -45,37 +48,34 @@ def ttl_of(branches: DataFrame, name: str) -> DataFrame:
 
 
 def ttl_by_rule_table(branches: DataFrame, name: str, key: Sequence[str], table: DataFrame) -> DataFrame:
-    """Same lookup for a rule table given as data (place, prefix, seconds): a broadcast prefix join, then first by place.
+    """Same lookup for a rule table of any size given as data (place, prefix, seconds): an equi join on the prefix, then first by place.
 
-    The size of the rule table is checked before it is broadcast; a branch matches at most as many rows as there are rules.
+    Each name is looked up with all of its prefixes, which are as many as it has characters.
     """
-    if table.limit(MAX_RULES + 1).count() > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} prefix rules")
-    hits = branches.join(F.broadcast(table), F.col(name).startswith(F.col("prefix")), "left")
-    rest = [c for c in branches.columns if c not in key]
-    return hits.groupBy(*key).agg(
-        *[F.first(c).alias(c) for c in rest], F.min_by("seconds", "place").alias("ttl_seconds")
-    )
+    prefixes = F.transform(F.sequence(F.lit(0), F.length(name)), lambda n: F.substring(F.col(name), F.lit(1), n))
+    named = branches.where(F.col(name).isNotNull()).select(*key, F.explode(prefixes).alias("prefix"))
+    found = named.join(table, "prefix").groupBy(*key).agg(F.min_by("seconds", "place").alias("ttl_seconds"))
+    return branches.alias("b").join(found.alias("f"), same_keys("b", "f", key), "left").select("b.*", "f.ttl_seconds")
 
 
 def expired(branches: DataFrame, name: str, as_of: datetime) -> DataFrame:
-    """Every branch with its age, lifetime and verdict (delete / keep)."""
+    """Every branch with its age, lifetime and verdict: delete a live branch past its lifetime, keep all others."""
     age = seconds_between(instant(branches, "created_at", as_of), F.col("created_at"))
     return (
         ttl_of(branches, name)
         .withColumn("age_seconds", age)
         .withColumn(
             "verdict",
-            F.when((F.col("age_seconds") > F.col("ttl_seconds")) & ~F.col("is_protected"), "delete").otherwise("keep"),
+            F.when((F.col("state") == "active") & (F.col("age_seconds") > F.col("ttl_seconds")) & ~F.col("is_protected"), "delete").otherwise("keep"),
         )
     )
 
 
 def expiring_soon(branches: DataFrame, name: str, as_of: datetime, days_ahead: int = 2) -> DataFrame:
-    """Branches whose age in whole days is within days_ahead of their lifetime."""
+    """Live branches whose age in whole days is within days_ahead of their lifetime."""
     age = F.floor(seconds_between(instant(branches, "created_at", as_of), F.col("created_at")) / DAY)
     return (
-        ttl_of(branches, name)
+        ttl_of(branches.where(F.col("state") == "active"), name)
         .withColumn("age_days", age)
         .withColumn("ttl_days", F.col("ttl_seconds") / DAY)
         .where(F.col("ttl_days").isNotNull() & (F.col("age_days") >= F.col("ttl_days") - days_ahead))
@@ -98,9 +98,9 @@ def age_bucket(age_days: Column) -> Column:
 
 
 def age_histogram(branches: DataFrame, as_of: datetime) -> DataFrame:
-    """Branches per age bucket."""
+    """Live branches per age bucket."""
     age = seconds_between(instant(branches, "created_at", as_of), F.col("created_at")) / DAY
-    return branches.where(F.col("created_at").isNotNull()).groupBy(age_bucket(age).alias("bucket")).agg(F.count("*").alias("branches"))
+    return branches.where(F.col("state") == "active").groupBy(age_bucket(age).alias("bucket")).agg(F.count("*").alias("branches"))
 
 
 def creation_rate(events: DataFrame) -> DataFrame:
@@ -114,8 +114,8 @@ def creation_rate(events: DataFrame) -> DataFrame:
 
 
 def ttl_compliance(branches: DataFrame, name: str, as_of: datetime) -> DataFrame:
-    """Branches within, past, or without a lifetime."""
-    e = expired(branches.where(F.col("created_at").isNotNull()), name, as_of)
+    """Live branches within, past, or without a lifetime."""
+    e = expired(branches.where(F.col("state") == "active"), name, as_of)
     status = case((F.col("ttl_seconds").isNull(), "no_ttl"), (F.col("age_seconds") > F.col("ttl_seconds"), "expired"), default="compliant")
     return e.groupBy(status.alias("status")).agg(F.count("*").alias("branches"))
 

@@ -236,16 +236,16 @@ def catalog_inventory(objects: DataFrame, databases: DataFrame, kinds: Sequence[
     return databases.select("db_id").join(counts, "db_id", "left").na.fill(0)
 
 
-def functions_of(objects: DataFrame, max_bytes: int = 1 << 20) -> DataFrame:
-    """Function count and languages per database; the languages of a database are few."""
-    return objects.groupBy("db_id").agg(
+def functions_of(objects: DataFrame) -> DataFrame:
+    """Function count and languages per database, without internal functions; the languages of a database are few."""
+    return objects.where((F.col("kind") == "functions") & (F.col("language") != "internal")).groupBy("db_id").agg(
         F.count("*").alias("functions"), F.array_join(F.array_sort(F.collect_set("language")), ",").alias("languages")
     )
 
 
-def index_usage(stats: DataFrame, limit: int = 20) -> DataFrame:
-    """Most scanned indexes."""
-    return stats.orderBy(F.desc("idx_scan"), "indexrelid").limit(limit)
+def index_usage(stats: DataFrame) -> DataFrame:
+    """All indexes, the most scanned first."""
+    return stats.orderBy(F.desc("idx_scan"), "indexrelid")
 
 
 def database_size(objects: DataFrame) -> DataFrame:

@@ -228,7 +228,7 @@ def finish_rollup(partials: DataFrame) -> DataFrame:
 
 def workload_profile(stats: DataFrame, keys: Sequence[str], uptime_seconds: float) -> DataFrame:
     """Distinct statements, calls, read and write share, rates and p99 of the mean time, per key (at least one)."""
-    from opslens.functions.spread import percentile_exact
+    from opslens.functions.spread import percentile_exact, same_keys
 
     calls, kind = F.col("calls"), statement_class(F.col("query"))
     base = (
@@ -248,7 +248,7 @@ def workload_profile(stats: DataFrame, keys: Sequence[str], uptime_seconds: floa
         .drop("_reads", "_writes")
     )
     p99 = percentile_exact(stats.where(F.col("queryid").isNotNull()), keys, "mean_exec_time", 0.99, "p99_latency_ms")
-    return base.join(p99, list(keys), "left")
+    return base.alias("b").join(p99.alias("p"), same_keys("b", "p", keys), "left").select("b.*", "p.p99_latency_ms")
 
 
 def slow_statements(stats: DataFrame, over_ms: float = 5000.0, limit: int = 10) -> DataFrame:

@@ -12,44 +12,24 @@ from opslens.functions import spread
 
 
 def build(
-    changes: DataFrame,
-    keys: Sequence[str],
-    ts: str,
-    tie: Sequence[str],
-    attributes: Sequence[str],
-    hot_rows: int = spread.HOT_ROWS,
-    block_rows: int = spread.BLOCK_ROWS,
+    changes: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], attributes: Sequence[str], slot_seconds: int = spread.SLOT_SECONDS
 ) -> DataFrame:
     """Change rows to (valid_from, valid_to, is_current); consecutive equal rows collapse into the first.
 
-    Both windows share their partitioning and order, so there is one shuffle and one sort. The blocks of a hot key
-    hand their first version start to the block before.
+    Both windows run over a time slot of a key, which gets the row before it; a slot's last version ends where the next slot
+    with versions begins.
     """
     state = F.struct(*attributes)
     # the marker tells a first row from one whose predecessor holds nulls
     marked = F.struct(F.lit(True).alias("there"), state.alias("v"))
-
-    def versions(rows: DataFrame, *by: str) -> DataFrame:
-        w = W.partitionBy(*by).orderBy(ts, *tie)
-        kept = rows.withColumn("_prev", F.lag(marked).over(w))
-        if "_own" in rows.columns:
-            kept = kept.where("_own").drop("_own")
-        kept = kept.where(F.col("_prev").isNull() | ~F.col("_prev.v").eqNullSafe(state)).drop("_prev")
-        return kept.withColumn("valid_to", F.lead(ts).over(w))
-
-    rows = changes.select(*keys, ts, *tie, *attributes)
-    hot = spread.hot_keys(rows, keys, hot_rows)
-    if hot is None:
-        out = versions(rows, *keys)
-    else:
-        cold_rows, hot_part = spread.split_hot(rows, keys, hot)
-        cut = versions(spread.blocks(hot_part, keys, ts, tie, before=1, block_rows=block_rows), *keys, "_block")
-        handed = spread.carry(cut, keys, F.struct(ts, *tie), ts, forward=False)
-        names = [*rows.columns, "valid_to"]
-        joined = cut.alias("v").join(handed.alias("c"), spread.same_keys("v", "c", [*keys, "_block"]))
-        cut = joined.select(*[F.coalesce("v.valid_to", "c._carry").alias(c) if c == "valid_to" else F.col(f"v.{c}") for c in names])
-        out = versions(cold_rows, *keys).unionByName(cut)
-    return out.select(
+    rows = spread.with_neighbours(changes.select(*keys, ts, *tie, *attributes), keys, ts, tie, 1, 0, slot_seconds)
+    inside = W.partitionBy(*keys, "_slot").orderBy(ts, *tie)
+    versions = rows.withColumn("_prev", F.lag(marked).over(inside)).where(F.col("_own") & (F.col("_prev").isNull() | ~F.col("_prev.v").eqNullSafe(state))).drop("_prev")
+    behind = spread.carried(versions, keys, F.struct(ts, *tie), ts, forward=False)
+    closed = versions.unionByName(behind.withColumn("_own", F.lit(False)), allowMissingColumns=True)
+    # the row from later slots comes last
+    upto = W.partitionBy(*keys, "_slot").orderBy(F.desc("_own"), ts, *tie)
+    return closed.withColumn("valid_to", F.lead(ts).over(upto)).where("_own").select(
         *keys, *attributes, *tie, F.col(ts).alias("valid_from"), "valid_to", F.col("valid_to").isNull().alias("is_current")
     )
 

@@ -25,31 +25,19 @@ def counter_delta(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str
 
 
 def rolling_stats(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], value: str, rows: int = 20, z_limit: float = 3.0, **split) -> DataFrame:
-    """Mean and deviation of the previous rows, z-score and anomaly mark.
+    """Mean and sample deviation of the previous rows, z-score and anomaly mark.
 
-    Sums are taken over decimals of four digits, so they are the same for every partitioning of the work; the sum of a
-    frame must stay below 1e14.
+    In doubles; the rows of a frame are always summed in the same order. A deviation of 0 gives no z-score.
     """
-    x = F.col(value).cast("decimal(18,4)")
+    x = F.col(value).cast("double")
 
     def cols(w):
         frame = w.rowsBetween(-rows, -1)
-        return {
-            "_n": F.count(x).over(frame),
-            "_s": F.sum(x).over(frame),
-            "_ss": F.sum((x * x).cast("decimal(28,8)")).over(frame),
-        }
-
-    n, s = F.col("_n"), F.col("_s").cast("decimal(18,4)")
-    # n * sum(x^2) - sum(x)^2, exact; the variance is this over n * (n - 1)
-    spread_sum = (F.col("_ss").cast("decimal(30,8)") * n.cast("decimal(6,0)") - (s * s).cast("decimal(37,8)")).cast("double")
+        return {"roll_mean": F.avg(x).over(frame), "roll_std": F.when(F.count(x).over(frame) > 1, F.stddev_samp(x).over(frame))}
+
     out = spread.over_ordered(df, keys, ts, tie, cols, before=rows, **split)
-    return (
-        out.withColumn("roll_mean", F.col("_s").cast("double") / F.nullif(n, F.lit(0)))
-        .withColumn("roll_std", F.when(n > 1, F.sqrt(spread_sum / (n * (n - 1)))))
-        .withColumn("z_score", (F.col(value).cast("double") - F.col("roll_mean")) / F.nullif(F.col("roll_std"), F.lit(0.0)))
-        .withColumn("is_anomaly", F.coalesce(F.abs("z_score") > z_limit, F.lit(False)))
-        .drop("_n", "_s", "_ss")
+    return out.withColumn("z_score", (x - F.col("roll_mean")) / F.nullif(F.col("roll_std"), F.lit(0.0))).withColumn(
+        "is_anomaly", F.coalesce(F.abs("z_score") > z_limit, F.lit(False))
     )
 
 
@@ -87,10 +75,9 @@ def idle_timeout(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str]
         (F.sum(whole).cast("double") / F.count("*") / 1e6).alias("avg_gap_seconds"),
         F.max("gap_seconds").alias("max_gap_seconds"),
     )
-    pct = spread.percentile_exact(gaps, keys, "gap_seconds", q, "gap_percentile", sizes=df)
-    return stats.join(pct, list(keys)).withColumn(
-        "timeout_minutes", F.greatest(F.lit(5), F.ceil(F.col("gap_percentile") / 60)).cast("bigint")
-    )
+    pct = spread.percentile_exact(gaps, keys, "gap_seconds", q, "gap_percentile")
+    both = stats.alias("s").join(pct.alias("p"), spread.same_keys("s", "p", keys)).select("s.*", "p.gap_percentile")
+    return both.withColumn("timeout_minutes", F.greatest(F.lit(5), F.ceil(F.col("gap_percentile") / 60)).cast("bigint"))
 
 
 def timeline(phases: DataFrame, key: Sequence[str], order: str, days: str) -> DataFrame:

@@ -17,23 +17,41 @@ def side_summary(df: DataFrame, pair: str, ts: str, key: str | None = None) -> D
 
 
 def completeness(source: DataFrame, target: DataFrame, pair: str, max_drift: int = 1000, max_lag: float = 3600.0) -> DataFrame:
-    """Counts, drift, lag and status per pair, from one summary row per pair and side; stale wins over drift."""
-    s = source.select(pair, F.col("n").alias("source_count"), F.col("max_ts").alias("source_max_ts"))
-    t = target.select(pair, F.col("n").alias("target_count"), F.col("max_ts").alias("target_max_ts"))
+    """Counts, drift, lag and status per pair, from one summary row per pair and side.
+
+    A pair that only one side has is missing_target or missing_source; stale wins over drift. Both sides are stacked and picked by side, so a
+    null pair is a pair like any other.
+    """
     return (
-        s.join(t, pair, "full_outer")
+        _by_side(source, target, [pair], {"n": "count", "max_ts": "max_ts"})
         .na.fill(0, ["source_count", "target_count"])
         .withColumn("count_drift", F.abs(F.col("source_count") - F.col("target_count")))
         .withColumn("freshness_lag_seconds", seconds_between(F.col("source_max_ts"), F.col("target_max_ts")))
         .withColumn(
             "status",
             case(
+                (F.col("has_target") == 0, "missing_target"),
+                (F.col("has_source") == 0, "missing_source"),
                 (F.col("freshness_lag_seconds") > max_lag, "stale"),
                 (F.col("count_drift") > max_drift, "drift_detected"),
                 default="healthy",
             ),
         )
-        .withColumn("severity", case((F.col("status") == "stale", "critical"), (F.col("status") == "drift_detected", "warning"), default="info"))
+        .withColumn("severity", case((F.col("status") == "healthy", "info"), (F.col("status") == "drift_detected", "warning"), default="critical"))
+        .drop("has_source", "has_target")
+    )
+
+
+def _by_side(source: DataFrame, target: DataFrame, keys: Sequence[str], columns: dict[str, str]) -> DataFrame:
+    """One row per key: each column of both sides as source_name and target_name, and has_source, has_target (0 or 1).
+
+    Each side has one row per key; they are stacked and picked apart by an aggregate.
+    """
+    both = source.withColumn("side", F.lit("source")).unionByName(target.withColumn("side", F.lit("target")))
+    sides = {s: F.col("side") == s for s in ("source", "target")}
+    return both.groupBy(*keys).agg(
+        *[F.max(F.when(is_side, F.col(c))).alias(f"{s}_{n}") for c, n in columns.items() for s, is_side in sides.items()],
+        *[F.max(is_side.cast("int")).alias(f"has_{s}") for s, is_side in sides.items()],
     )
 
 
@@ -50,12 +68,9 @@ def checksum(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> Da
 
 
 def integrity(source: DataFrame, target: DataFrame, cols: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """Checksums of both sides per key and whether they agree."""
-    s = checksum(source, cols, keys).withColumnsRenamed({"checksum": "source_checksum", "rows": "source_rows"})
-    t = checksum(target, cols, keys).withColumnsRenamed({"checksum": "target_checksum", "rows": "target_rows"})
-    return s.join(t, list(keys), "full_outer").withColumn(
-        "checksum_match", F.col("source_checksum").eqNullSafe(F.col("target_checksum"))
-    )
+    """Checksums of both sides per key and whether they agree; a null key is a key like any other."""
+    sides = _by_side(checksum(source, cols, keys), checksum(target, cols, keys), keys, {"checksum": "checksum", "rows": "rows"})
+    return sides.drop("has_source", "has_target").withColumn("checksum_match", F.col("source_checksum").eqNullSafe(F.col("target_checksum")))
 
 
 def reconcile_rows(source: DataFrame, target: DataFrame, key: Sequence[str], cols: Sequence[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from opslens import rules
 from opslens.operators import findings as G
 from opslens.plans.bind import OBJECT_KINDS, Bind
-from opslens.plans.registry import query
+from opslens.plans.registry import query, sql_cells
 
 _MB = "1048576.0::DOUBLE"
 _UNUSED = (
@@ -105,7 +105,7 @@ def join_semi_member(b: Bind):
 
 @query(
     "q_set_union_findings", "index_stats",
-    f"WITH u AS ({_UNUSED} UNION ALL {_BLOATED}) SELECT *, substr(sha256(concat_ws('|', project_id, branch_id, table_name, index_name, recommendation_type)), 1, 16) AS recommendation_id FROM u",
+    f"WITH u AS ({_UNUSED} UNION ALL {_BLOATED}) SELECT *, sha256({sql_cells('project_id', 'branch_id', 'table_name', 'index_name', 'recommendation_type')}) AS recommendation_id FROM u",
 )
 def set_union_findings(b: Bind):
     return G.union_findings(G.unused_indexes(*_meta(b)), G.bloated_indexes(b.index_stats()))
@@ -229,7 +229,7 @@ def agg_catalog_inventory(b: Bind):
 
 @query(
     "q_agg_function_languages", "catalog_objects",
-    "SELECT db_id, count(*) AS functions, string_agg(DISTINCT language, ',' ORDER BY language) AS languages FROM catalog_objects GROUP BY db_id",
+    "SELECT db_id, count(*) AS functions, string_agg(DISTINCT language, ',' ORDER BY language) AS languages FROM catalog_objects WHERE kind = 'functions' AND language <> 'internal' GROUP BY db_id",
 )
 def agg_function_languages(b: Bind):
     return G.functions_of(b.catalog_objects())
@@ -245,7 +245,7 @@ def agg_collations(b: Bind):
 
 @query(
     "q_index_usage", "index_stats",
-    "SELECT indexrelid, index_name, idx_scan, index_size_bytes FROM index_stats ORDER BY idx_scan DESC, indexrelid LIMIT 20",
+    "SELECT indexrelid, index_name, idx_scan, index_size_bytes FROM index_stats ORDER BY idx_scan DESC, indexrelid",
 )
 def index_usage(b: Bind):
     return G.index_usage(b.index_stats()).select("indexrelid", "index_name", "idx_scan", "index_size_bytes")

@@ -221,10 +221,10 @@ def agg_matrix_summary(b: Bind):
 
 @query(
     "q_ord_status_name", "fleet_ext",
-    f"WITH {_MATRIX} SELECT db_id, name, status FROM mx ORDER BY CASE status WHEN 'supported' THEN 0 WHEN 'workaround' THEN 1 ELSE 2 END, name, db_id LIMIT 200",
+    f"WITH {_MATRIX} SELECT db_id, name, status FROM mx ORDER BY CASE status WHEN 'supported' THEN 0 WHEN 'workaround' THEN 1 ELSE 2 END, name, db_id",
 )
 def ord_status_name(b: Bind):
-    return A.matrix(b.fleet()).select("db_id", "name", "status").orderBy(*A.matrix_order(), "db_id").limit(200)
+    return A.matrix(b.fleet()).select("db_id", "name", "status").orderBy(*A.matrix_order(), "db_id")
 
 
 _STRATEGY = (

@@ -10,7 +10,7 @@ from opslens.functions.exprs import case, mean, safe_ratio
 from opslens.operators import history as H
 from opslens.operators import series as S
 from opslens.plans.bind import METRICS, Bind
-from opslens.plans.registry import as_instant, query
+from opslens.plans.registry import as_instant, query, sql_cells, sql_cells
 from opslens.sources import tables, views
 
 MEAN = "CAST(sum({0}) AS DOUBLE) / count({0})"
@@ -26,10 +26,12 @@ def _mean(col: str) -> str:
 @query(
     "q_scan_snapshot",
     "newest query_stats",
-    "SELECT substr(sha256('p-main|b-main|' || event_id || '|' || strftime(CASE WHEN event_id % 5 = 0 THEN (SELECT t FROM newest)"
-    " ELSE snapshot_timestamp END, '%Y-%m-%d %H:%M:%S.') || rtrim(strftime(CASE WHEN event_id % 5 = 0 THEN (SELECT t FROM newest)"
-    " ELSE snapshot_timestamp END, '%f'), '0')), 1, 16) AS snapshot_id,"
-    " 'p-main' AS project_id, 'b-main' AS branch_id, event_id, substr(query, 1, 4000) AS query, coalesce(CASE WHEN calls % 10 = 0 THEN NULL ELSE calls END, 0) AS calls,"
+    "SELECT sha256(" + sql_cells(
+        "'p-main'", "'b-main'", "CAST(event_id AS VARCHAR)",
+        "(strftime(CASE WHEN event_id % 5 = 0 THEN (SELECT t FROM newest) ELSE snapshot_timestamp END, '%Y-%m-%d %H:%M:%S.')"
+        " || rtrim(strftime(CASE WHEN event_id % 5 = 0 THEN (SELECT t FROM newest) ELSE snapshot_timestamp END, '%f'), '0'))",
+    ) + ") AS snapshot_id,"
+    " 'p-main' AS project_id, 'b-main' AS branch_id, event_id, query, coalesce(CASE WHEN calls % 10 = 0 THEN NULL ELSE calls END, 0) AS calls,"
     " CASE WHEN event_id % 5 = 0 THEN (SELECT t FROM newest) ELSE snapshot_timestamp END AS snapshot_timestamp FROM query_stats",
 )
 def scan_snapshot(b: Bind):
@@ -439,17 +441,17 @@ def win_counter_delta(b: Bind):
 
 @query(
     "q_win_rolling_stats", "metric_samples",
-    "WITH r AS (SELECT event_id, metric_name, metric_value, count(x) OVER w AS n, sum(x) OVER w AS s, sum(CAST(x AS HUGEINT) * x) OVER w AS ss FROM (SELECT *,"
-    " CAST(metric_value * 10000 AS BIGINT) AS x FROM metric_samples) WINDOW w AS (PARTITION BY metric_name ORDER BY snapshot_timestamp, event_id"
-    " ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)), t AS (SELECT *, CAST(CAST(s AS DECIMAL(38,0)) / 10000 AS DOUBLE) / nullif(n, 0) AS roll_mean, CASE WHEN n > 1 THEN"
-    " sqrt(CAST(CAST(ss * n - s * s AS DECIMAL(30,0)) * CAST(0.00000001 AS DECIMAL(8,8)) AS DOUBLE) / (n * (n - 1))) END AS roll_std FROM r)"
-    " SELECT event_id, metric_name, CAST(metric_value AS DOUBLE) AS metric_value, roll_mean, roll_std, (CAST(metric_value AS DOUBLE) - roll_mean) / nullif(roll_std, 0) AS z_score,"
-    " coalesce(abs((CAST(metric_value AS DOUBLE) - roll_mean) / nullif(roll_std, 0)) > 3.0, false) AS is_anomaly FROM t",
+    "WITH r AS (SELECT event_id, metric_name, CAST(metric_value AS DOUBLE) AS metric_value, avg(CAST(metric_value AS DOUBLE)) OVER w AS m, CASE WHEN count(metric_value) OVER w > 1 THEN"
+    " stddev_samp(CAST(metric_value AS DOUBLE)) OVER w END AS d FROM metric_samples WINDOW w AS (PARTITION BY metric_name ORDER BY snapshot_timestamp, event_id"
+    " ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)) SELECT event_id, metric_name, metric_value, CAST(m AS FLOAT)::DOUBLE AS roll_mean, CAST(d AS FLOAT)::DOUBLE AS roll_std,"
+    " CAST((metric_value - m) / nullif(d, 0) AS FLOAT)::DOUBLE AS z_score, coalesce(abs((metric_value - m) / nullif(d, 0)) > 3.0, false) AS is_anomaly FROM r",
 )
 def win_rolling_stats(b: Bind):
     rows = b.metric_samples().select("event_id", "metric_name", "metric_value", "snapshot_timestamp")
     out = S.rolling_stats(rows, ["metric_name"], "snapshot_timestamp", ["event_id"], "metric_value")
-    return out.drop("snapshot_timestamp").withColumn("metric_value", F.col("metric_value").cast("double"))
+    # seven digits: the last ones depend on the order of a sum, which other engines choose in their own way
+    rounded = {c: F.col(c).cast("float").cast("double") for c in ("roll_mean", "roll_std", "z_score")}
+    return out.drop("snapshot_timestamp").withColumns({"metric_value": F.col("metric_value").cast("double"), **rounded})
 
 
 @query(
@@ -508,10 +510,10 @@ def ord_topk(b: Bind):
 
 @query(
     "q_ord_nulls", "slots",
-    "SELECT slot_name, confirmed_flush_lsn FROM slots ORDER BY confirmed_flush_lsn ASC NULLS FIRST, slot_name DESC LIMIT 100",
+    "SELECT slot_name, confirmed_flush_lsn FROM slots ORDER BY confirmed_flush_lsn ASC NULLS FIRST, slot_name DESC",
 )
 def ord_nulls(b: Bind):
-    return b.slots().select("slot_name", "confirmed_flush_lsn").orderBy(F.asc_nulls_first("confirmed_flush_lsn"), F.desc("slot_name")).limit(100)
+    return b.slots().select("slot_name", "confirmed_flush_lsn").orderBy(F.asc_nulls_first("confirmed_flush_lsn"), F.desc("slot_name"))
 
 
 @query(

@@ -19,6 +19,11 @@ def as_instant(df: DataFrame, *days: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in days})
 
 
+def sql_cells(*texts: str) -> str:
+    """Check: all values of a row in one text, each with its length in front, a null as a dash."""
+    return " || ".join(f"coalesce(CAST(length({t}) AS VARCHAR) || ':' || {t}, '-')" for t in texts)
+
+
 def query(name: str, shapes: str = "", sql: str | None = None):
     """Register a query over a Bind; `sql` computes the same from the driver tables in another engine."""
 

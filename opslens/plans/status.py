@@ -182,14 +182,19 @@ def _alert_rule_sql() -> str:
         op = ">" if above else "<"
         parts.append(
             f"SELECT '{rule}' AS rule, '{severity}' AS severity, count(*) AS matching_rows, count(DISTINCT project_id || '/' || branch_id) AS branches, count(*) > 0 AS fires FROM metric_samples"
-            f" WHERE metric_name = '{metric}' AND CAST(metric_value AS DOUBLE) {op} {bound} AND snapshot_timestamp > {_NOW} - INTERVAL {minutes * 12} MINUTE"
+            f" WHERE metric_name = '{metric}' AND CAST(metric_value AS DOUBLE) {op} {bound} AND snapshot_timestamp > {_NOW} - INTERVAL {minutes} MINUTE"
         )
+    rule, limit, severity, minutes = rules.FRESHNESS_RULE
+    parts.append(
+        f"SELECT '{rule}' AS rule, '{severity}' AS severity, count(*) AS matching_rows, count(DISTINCT source_table || '/' || target_table) AS branches, count(*) > 0 AS fires FROM sync_checks"
+        f" WHERE freshness_lag_seconds > {limit} AND validated_at > {_NOW} - INTERVAL {minutes} MINUTE"
+    )
     return " UNION ALL ".join(parts)
 
 
-@query("q_alert_rules_sql", "newest metric_samples", _alert_rule_sql())
+@query("q_alert_rules_sql", "newest metric_samples sync_checks", _alert_rule_sql())
 def alert_rules_sql(b: Bind):
-    return A.alert_rules(b.metric_samples(), b.now(), widen=12)
+    return A.alert_rules(b.metric_samples(), b.sync_checks(), b.now())
 
 
 @query(
@@ -264,7 +269,7 @@ def health_metrics(b: Bind):
 # ---- branches ------------------------------------------------------------------------------------------------------
 
 _STATE = (
-    "st AS (SELECT project_id, branch_id, min(event_timestamp) FILTER (event_type = 'created') AS created_at, arg_max(event_type, event_timestamp) FILTER (event_type IN ('created', 'deleted')) AS l,"
+    "st AS (SELECT project_id, branch_id, max(event_timestamp) FILTER (event_type = 'created') AS created_at, arg_max(event_type, event_timestamp) FILTER (event_type IN ('created', 'deleted')) AS l,"
     " bool_or(event_type = 'protected') AS is_protected, count(*) FILTER (event_type = 'reset') AS resets, max(event_timestamp) AS last_activity, arg_max(actor, event_timestamp) AS last_actor FROM branch_events GROUP BY ALL),"
     " state AS (SELECT *, CASE l WHEN 'deleted' THEN 'deleted' WHEN 'created' THEN 'active' ELSE 'unknown' END AS state FROM st)"
 )
@@ -285,7 +290,7 @@ _EXPIRY = f"ex AS (SELECT *, {_ttl_case()} AS ttl_seconds, (epoch_us({_NOW}) - e
 
 @query(
     "q_br_ttl_expired", "newest branch_events",
-    f"WITH {_STATE}, {_EXPIRY} SELECT project_id, branch_id, ttl_seconds, age_seconds, CASE WHEN age_seconds > ttl_seconds AND NOT is_protected THEN 'delete' ELSE 'keep' END AS verdict FROM ex",
+    f"WITH {_STATE}, {_EXPIRY} SELECT project_id, branch_id, ttl_seconds, age_seconds, CASE WHEN state = 'active' AND age_seconds > ttl_seconds AND NOT is_protected THEN 'delete' ELSE 'keep' END AS verdict FROM ex",
 )
 def br_ttl_expired(b: Bind):
     e = B.expired(B.current_state(b.branch_events()), "branch_id", b.now())
@@ -300,7 +305,7 @@ def join_prefix_theta(b: Bind):
 
 @query(
     "q_br_expiring_soon", "newest branch_events",
-    f"WITH {_STATE}, {_EXPIRY} SELECT project_id, branch_id, CAST(floor(age_seconds / 86400) AS BIGINT) AS age_days, ttl_seconds / 86400.0::DOUBLE AS ttl_days FROM ex WHERE ttl_seconds IS NOT NULL"
+    f"WITH {_STATE}, {_EXPIRY} SELECT project_id, branch_id, CAST(floor(age_seconds / 86400) AS BIGINT) AS age_days, ttl_seconds / 86400.0::DOUBLE AS ttl_days FROM ex WHERE state = 'active' AND ttl_seconds IS NOT NULL"
     " AND floor(age_seconds / 86400) >= ttl_seconds / 86400.0::DOUBLE - 2",
 )
 def br_expiring_soon(b: Bind):
@@ -320,7 +325,7 @@ def br_utilisation(b: Bind):
 
 @query(
     "q_br_age_histogram", "newest branch_events",
-    f"WITH {_STATE}, a AS (SELECT (epoch_us({_NOW}) - epoch_us(created_at)) / 1e6 / 86400 AS d FROM state WHERE created_at IS NOT NULL) SELECT CASE WHEN d < 1 THEN '0-1d' WHEN d < 7 THEN '1-7d' WHEN d < 14 THEN '7-14d'"
+    f"WITH {_STATE}, a AS (SELECT (epoch_us({_NOW}) - epoch_us(created_at)) / 1e6 / 86400 AS d FROM state WHERE state.state = 'active') SELECT CASE WHEN d < 1 THEN '0-1d' WHEN d < 7 THEN '1-7d' WHEN d < 14 THEN '7-14d'"
     " WHEN d < 30 THEN '14-30d' ELSE '30d+' END AS bucket, count(*) AS branches FROM a GROUP BY ALL",
 )
 def br_age_histogram(b: Bind):
@@ -337,7 +342,7 @@ def br_creation_rate(b: Bind):
 
 @query(
     "q_br_ttl_compliance", "newest branch_events",
-    f"WITH {_STATE}, {_EXPIRY} SELECT CASE WHEN ttl_seconds IS NULL THEN 'no_ttl' WHEN age_seconds > ttl_seconds THEN 'expired' ELSE 'compliant' END AS status, count(*) AS branches FROM ex WHERE created_at IS NOT NULL GROUP BY ALL",
+    f"WITH {_STATE}, {_EXPIRY} SELECT CASE WHEN ttl_seconds IS NULL THEN 'no_ttl' WHEN age_seconds > ttl_seconds THEN 'expired' ELSE 'compliant' END AS status, count(*) AS branches FROM ex WHERE ex.state = 'active' GROUP BY ALL",
 )
 def br_ttl_compliance(b: Bind):
     return B.ttl_compliance(B.current_state(b.branch_events()), "branch_id", b.now())

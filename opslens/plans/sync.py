@@ -10,14 +10,14 @@ from opslens.operators import scd2 as C
 from opslens.operators import sync as Y
 from opslens.operators.history import latest_per_key
 from opslens.plans.bind import Bind
-from opslens.plans.registry import query
+from opslens.plans.registry import query, sql_cells
 
 _SIDES = (
     "WITH s AS (SELECT o_orderkey % 4 AS pair, count(*) AS source_count, max(o_orderdate) AS source_max_ts FROM orders GROUP BY 1),"
     " t AS (SELECT l_orderkey % 4 AS pair, count(DISTINCT l_orderkey) AS target_count, max(l_shipdate) AS target_max_ts FROM lineitem WHERE l_orderkey % 4 <> 2 OR l_shipdate < TIMESTAMP '2000-01-01' GROUP BY 1),"
     " j AS (SELECT coalesce(s.pair, t.pair) AS pair, coalesce(source_count, 0) AS source_count, coalesce(target_count, 0) AS target_count, source_max_ts, target_max_ts FROM s FULL JOIN t ON s.pair = t.pair),"
     " r AS (SELECT *, abs(source_count - target_count) AS count_drift, (epoch_us(source_max_ts) - epoch_us(target_max_ts)) / 1e6 AS freshness_lag_seconds FROM j),"
-    " z AS (SELECT *, CASE WHEN freshness_lag_seconds > 3600 THEN 'stale' WHEN count_drift > 40 THEN 'drift_detected' ELSE 'healthy' END AS status FROM r)"
+    " z AS (SELECT *, CASE WHEN target_count = 0 THEN 'missing_target' WHEN source_count = 0 THEN 'missing_source' WHEN freshness_lag_seconds > 3600 THEN 'stale' WHEN count_drift > 40 THEN 'drift_detected' ELSE 'healthy' END AS status FROM r)"
 )
 
 
@@ -28,7 +28,7 @@ def _completeness(b: Bind):
     return Y.completeness(source, Y.side_summary(lines.where(late), "pair", "l_shipdate", "l_orderkey"), "pair", max_drift=40)
 
 
-@query("q_sync_completeness", "", _SIDES + " SELECT *, CASE status WHEN 'stale' THEN 'critical' WHEN 'drift_detected' THEN 'warning' ELSE 'info' END AS severity FROM z")
+@query("q_sync_completeness", "", _SIDES + " SELECT *, CASE status WHEN 'healthy' THEN 'info' WHEN 'drift_detected' THEN 'warning' ELSE 'critical' END AS severity FROM z")
 def sync_completeness(b: Bind):
     return _completeness(b)
 
@@ -49,7 +49,7 @@ def join_source_target(b: Bind):
     return Y.both_totals(s, t)
 
 
-_DIGEST = "CAST(('0x' || substr(md5(concat_ws('|', CAST(o_orderkey AS VARCHAR), {status}, o_orderpriority)), 1, 12)) AS BIGINT)"
+_DIGEST = "CAST(('0x' || substr(md5(" + sql_cells("CAST(o_orderkey AS VARCHAR)", "({status})", "o_orderpriority") + "), 1, 15)) AS BIGINT)"
 _CHANGED = "CASE WHEN o_orderkey % 997 = 5 THEN 'X' ELSE o_orderstatus END"
 _COLS = ["o_orderkey", "o_orderstatus", "o_orderpriority"]
 
@@ -72,7 +72,7 @@ def sync_integrity(b: Bind):
 
 @query(
     "q_fn_hash", "",
-    "SELECT o_orderkey, md5(CAST(o_orderkey AS VARCHAR)) AS m, substr(sha256(concat_ws('|', CAST(o_orderkey AS VARCHAR), o_orderstatus)), 1, 16) AS id,"
+    "SELECT o_orderkey, md5(CAST(o_orderkey AS VARCHAR)) AS m, sha256(" + sql_cells("CAST(o_orderkey AS VARCHAR)", "o_orderstatus") + ") AS id,"
     f" {_DIGEST.format(status='o_orderstatus')} AS digest FROM orders",
 )
 def fn_hash(b: Bind):

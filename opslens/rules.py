@@ -40,16 +40,16 @@ THRESHOLDS = [
     ("replication_lag_seconds", 10.0, 60.0, True),
 ]
 
-# Metrics that may be asked for by name.
+# Metrics that may be asked for by name; those with thresholds are called as they are stored.
 ALLOWED_METRICS = (
     "cache_hit_ratio",
     "connection_utilization",
-    "dead_tuple_ratio",
-    "lock_wait_time",
+    "max_dead_tuple_ratio",
+    "lock_wait_seconds",
     "deadlocks_per_hour",
-    "slow_query_pct",
+    "slow_query_seconds",
     "txid_age",
-    "replication_lag",
+    "replication_lag_seconds",
     "buffer_cache_hit",
     "connections_active",
     "connections_idle",
@@ -73,9 +73,11 @@ ALERT_RULES = [
     ("dead_tuple_ratio_critical", "max_dead_tuple_ratio", 0.25, True, "critical", 10),
     ("connection_utilization_warning", "connection_utilization", 0.70, True, "warning", 10),
     ("txid_age_warning", "txid_age", 500_000_000.0, True, "warning", 10),
-    ("sync_freshness_warning", "freshness_lag_seconds", 3600.0, True, "warning", 30),
 ]
 
+# Fixed value: the stored alert over sync checks (rule, limit in seconds, severity, look-back minutes).
+FRESHNESS_RULE = ("sync_freshness_warning", 3600.0, "warning", 30)
+
 # Diagnosis per metric and level; causes and actions are in our own words.
 CAUSES = [
     (

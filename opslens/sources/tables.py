@@ -90,7 +90,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 def stamp_snapshot(df: DataFrame, project_id: str, branch_id: str, as_of: datetime, key: str = "queryid") -> DataFrame:
     """Add snapshot id, project, branch and time; an existing time is kept, a null one filled.
 
-    Query text is cut to 4,000 characters as stored; absent counters become zero.
+    Absent counters become zero.
     """
     counters = [f.name for f in df.schema.fields if f.dataType.typeName() in ("long", "integer", "double") and f.name != key]
     stamp = F.lit(as_of.isoformat(sep=" ")).cast("timestamp")
@@ -101,8 +101,6 @@ def stamp_snapshot(df: DataFrame, project_id: str, branch_id: str, as_of: dateti
         .withColumn("branch_id", F.lit(branch_id))
         .withColumn("snapshot_timestamp", F.coalesce(present, stamp))
     )
-    if "query" in df.columns:
-        out = out.withColumn("query", F.substring("query", 1, 4000))
     return out.withColumn("snapshot_id", keyed_id("project_id", "branch_id", key, "snapshot_timestamp"))
 
 

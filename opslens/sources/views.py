@@ -7,9 +7,6 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LIMITS = {"limit": (1, 500), "offset": (0, 1_000_000), "hours": (1, 168), "days": (1, 365)}
-
-
 def pg_view_options(url: str, query: str, user: str, fetch_size: int = 10_000, **split: str) -> dict[str, str]:
     """JDBC options for a view. `split` takes partitionColumn, lowerBound, upperBound and numPartitions."""
     options = {"url": url, "user": user, "driver": "org.postgresql.Driver", "fetchsize": str(fetch_size)}
@@ -25,16 +22,14 @@ def read_pg_view(spark: SparkSession, options: Mapping[str, str]) -> DataFrame:
     return spark.read.format("jdbc").options(**options).load()
 
 
-def run_sql(spark: SparkSession, text: str, args: Mapping[str, object], **frames: DataFrame) -> DataFrame:
+def run_sql(spark: SparkSession, text: str, args: Mapping[str, object], limits: Mapping[str, tuple[int, int]] | None = None, **frames: DataFrame) -> DataFrame:
     """Run SQL with named parameters over the given frames ({name} in the text).
 
-    Parameters with a known range are checked before anything runs.
+    `limits` names parameters that must be integers of a range; they are checked before anything runs.
     """
-    for name, value in args.items():
-        if name in LIMITS:
-            low, high = LIMITS[name]
-            if not isinstance(value, int) or not low <= value <= high:
-                raise ValueError(f"{name} must be an integer from {low} to {high}")
+    for name, (low, high) in (limits or {}).items():
+        if name in args and (not isinstance(args[name], int) or not low <= args[name] <= high):
+            raise ValueError(f"{name} must be an integer from {low} to {high}")
     return spark.sql(text, args=dict(args), **frames)
 
 

@@ -158,7 +158,11 @@ def test_rules_fire_only_in_their_look_back(spark):
         [("p", "b", "cache_hit_ratio", 0.94, datetime(2024, 1, 1, 11, 55)), ("p", "b", "txid_age", 9e8, datetime(2024, 1, 1, 11, 49)), ("p", "b", "freshness_lag_seconds", 4000.0, datetime(2024, 1, 1, 11, 31))],
         "project_id string, branch_id string, metric_name string, metric_value double, snapshot_timestamp timestamp",
     )
-    fired = {r.rule for r in alerts.alert_rules(df, now).where("fires").collect()}
+    schema = "source_table string, target_table string, freshness_lag_seconds double, validated_at timestamp"
+    late = spark.createDataFrame([("s", "t", 4000.0, datetime(2024, 1, 1, 11, 31)), ("s", "t", 10.0, datetime(2024, 1, 1, 11, 59))], schema)
+    early = spark.createDataFrame([("s", "t", 4000.0, datetime(2024, 1, 1, 11, 29))], schema)
+    assert {r.rule for r in alerts.alert_rules(df, early, now).where("fires").collect()} == {"cache_hit_ratio_warning", "cache_hit_ratio_critical"}
+    fired = {r.rule for r in alerts.alert_rules(df, late, now).where("fires").collect()}
     assert fired == {"cache_hit_ratio_warning", "cache_hit_ratio_critical", "sync_freshness_warning"}
 
 

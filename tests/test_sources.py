@@ -74,7 +74,7 @@ def test_stamp(spark):
     t = datetime(2024, 1, 1)
     df = spark.createDataFrame([(1, "x" * 5000, None, None), (2, "y", 7, t)], "queryid bigint, query string, calls bigint, snapshot_timestamp timestamp")
     rows = {r.queryid: r for r in tables.stamp_snapshot(df, "p", "b", NOW).collect()}
-    assert len(rows[1].query) == 4000 and rows[1].calls == 0 and rows[1].snapshot_timestamp == NOW
+    assert len(rows[1].query) == 5000 and rows[1].calls == 0 and rows[1].snapshot_timestamp == NOW
     assert rows[2].calls == 7 and rows[2].snapshot_timestamp == t and rows[1].snapshot_id != rows[2].snapshot_id
     again = {r.queryid: r.snapshot_id for r in tables.stamp_snapshot(df, "p", "b", NOW).collect()}
     assert again[1] == rows[1].snapshot_id
@@ -84,9 +84,11 @@ def test_sql_parameters(spark):
     df = spark.range(100)
     out = views.run_sql(spark, "SELECT id FROM {t} WHERE id > :floor ORDER BY id LIMIT :limit", {"floor": 10, "limit": 3}, t=df)
     assert [r.id for r in out.collect()] == [11, 12, 13]
+    limits = {"limit": (1, 500), "hours": (1, 168)}
     for bad in ({"limit": 0}, {"limit": 501}, {"limit": "1; DROP TABLE t"}, {"hours": 169}):
         with pytest.raises(ValueError):
-            views.run_sql(spark, "SELECT 1", bad)
+            views.run_sql(spark, "SELECT 1", bad, limits)
+    assert views.run_sql(spark, "SELECT :limit AS n", {"limit": 501}).first().n == 501
 
 
 def test_jdbc_options():

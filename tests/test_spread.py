@@ -1,16 +1,17 @@
-"""The split path for hot keys gives what the plain window gives."""
+"""Ordered work in time slots gives what a plain window over the key gives, and building it starts no job."""
 
 import random
 from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from opslens.functions import spread
 from opslens.operators import scd2, series
 
-SPLIT = {"hot_rows": 60, "block_rows": 25}
+WIDTHS = [1, 3600, 10**9]
 
 
 @pytest.fixture(scope="module")
@@ -31,67 +32,72 @@ def same(a, b):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
-@pytest.mark.parametrize("slot_rows", [3, 10**9])
-def test_positions(rows, slot_rows):
-    from pyspark.sql import Window as W
+def plain():
+    return W.partitionBy("k").orderBy("ts", "id")
 
-    got = spread.positions(rows, ["k"], "ts", ["id"], slot_rows).select("id", "_pos")
-    want = rows.select("id", (F.row_number().over(W.partitionBy("k").orderBy("ts", "id")) - 1).cast("bigint").alias("_pos"))
-    same(got, want)
 
+@pytest.mark.parametrize("width", WIDTHS)
+def test_counter_delta(rows, width):
+    back = F.lag("c").over(plain())
+    want = rows.withColumn("delta", F.when(back.isNull(), None).when(F.col("c") < back, F.col("c")).otherwise(F.col("c") - back))
+    same(series.counter_delta(rows, ["k"], "ts", ["id"], "c", slot_seconds=width), want)
 
-def test_counter_delta(rows):
-    args = (rows, ["k"], "ts", ["id"], "c")
-    same(series.counter_delta(*args, **SPLIT), series.counter_delta(*args))
 
+@pytest.mark.parametrize("width", WIDTHS)
+@pytest.mark.parametrize("n", [1, 7, 25])
+def test_rolling(rows, n, width):
+    frame = plain().rowsBetween(-n, -1)
+    got = series.rolling_stats(rows, ["k"], "ts", ["id"], "c", n, slot_seconds=width).select("id", "roll_mean", "roll_std")
+    x = F.col("c").cast("double")
+    want = rows.select("id", F.avg(x).over(frame).alias("roll_mean"), F.stddev_samp(x).over(frame).alias("roll_std"))
+    both = got.alias("g").join(want.alias("w"), "id")
+    assert both.count() == 900
+    near = (F.col("g.roll_mean").eqNullSafe(F.col("w.roll_mean"))) & (F.col("g.roll_std").eqNullSafe(F.col("w.roll_std")))
+    assert both.where(~near).count() == 0
 
-def test_rolling(rows):
-    args = (rows, ["k"], "ts", ["id"], "c", 7)
-    same(series.rolling_stats(*args, **SPLIT), series.rolling_stats(*args))
 
+@pytest.mark.parametrize("scale", [1e12, 1e-6])
+def test_rolling_of_large_and_of_close_values(spark, scale):
+    values = [scale * x for x in (1.0, 3.0, 2.0, 5.0, 4.0)]
+    df = spark.createDataFrame([("k", datetime(2024, 1, 1, 0, 0, i), i, 0.9999 + x if scale < 1 else x) for i, x in enumerate(values)], "k string, ts timestamp, id bigint, v double")
+    last = series.rolling_stats(df, ["k"], "ts", ["id"], "v").where("id = 4").first()
+    assert last.roll_std == pytest.approx(np.std(values[:4], ddof=1), rel=1e-6)
+    assert last.z_score == pytest.approx((values[4] - np.mean(values[:4])) / np.std(values[:4], ddof=1), rel=1e-6)
 
-def test_rolling_over_block_edges(rows):
-    args = (rows, ["k"], "ts", ["id"], "c", 25)
-    same(series.rolling_stats(*args, **SPLIT), series.rolling_stats(*args))
 
+@pytest.mark.parametrize("width", WIDTHS)
+def test_neighbours_ahead(rows, width):
+    got = spread.over_ordered(rows, ["k"], "ts", ["id"], lambda w: {"ahead": F.lead("id", 3).over(w)}, after=3, slot_seconds=width)
+    same(got, rows.withColumn("ahead", F.lead("id", 3).over(plain())))
 
-def test_block_shorter_than_frame_is_an_error(rows):
-    with pytest.raises(ValueError):
-        series.rolling_stats(rows, ["k"], "ts", ["id"], "c", 26, **SPLIT)
 
+@pytest.mark.parametrize("width", WIDTHS)
+def test_fill_forward(rows, width):
+    want = rows.withColumn("mark", F.last("mark", ignorenulls=True).over(plain().rowsBetween(W.unboundedPreceding, 0)))
+    same(spread.fill_forward(rows, ["k"], "ts", ["id"], "mark", slot_seconds=width), want)
 
-def test_gaps(rows):
-    args = (rows, ["k"], "ts", ["id"])
-    same(series.idle_gaps(*args, **SPLIT), series.idle_gaps(*args))
 
+@pytest.mark.parametrize("width", WIDTHS)
+def test_scd2(rows, width):
+    built = scd2.build(rows, ["k"], "ts", ["id"], ["state", "mark"], slot_seconds=width)
+    state = F.struct("state", "mark")
+    kept = rows.withColumn("p", F.lag(F.struct(F.lit(True).alias("there"), state.alias("v"))).over(plain())).where(F.col("p").isNull() | ~F.col("p.v").eqNullSafe(state))
+    end = F.lead("ts").over(plain())
+    same(built, kept.select("k", "state", "mark", "id", F.col("ts").alias("valid_from"), end.alias("valid_to"), end.isNull().alias("is_current")))
+    checked = scd2.validate(built, ["k"], ["id"], slot_seconds=width)
+    assert checked.where("NOT valid").count() == 0 and checked.count() == rows.select("k").distinct().count()
 
-def test_fill_forward(rows):
-    args = (rows, ["k"], "ts", ["id"], "mark")
-    same(spread.fill_forward(*args, **SPLIT), spread.fill_forward(*args))
 
-
-@pytest.mark.parametrize("block_rows", [3, 25])
-def test_scd2(rows, block_rows):
-    split = {"hot_rows": 60, "block_rows": block_rows}
-    args = (rows, ["k"], "ts", ["id"], ["state", "mark"])
-    plain, cut = scd2.build(*args), scd2.build(*args, **split)
-    same(cut, plain)
-    same(scd2.validate(plain, ["k"], ["id"], **split), scd2.validate(plain, ["k"], ["id"]))
-    assert scd2.validate(plain, ["k"], ["id"]).where("NOT valid").count() == 0
-
-
-def test_as_of(rows):
+@pytest.mark.parametrize("width", WIDTHS)
+def test_as_of(rows, width):
     history = scd2.build(rows, ["k"], "ts", ["id"], ["state"]).where("k IS NOT NULL")
     facts = rows.where("k IS NOT NULL").selectExpr("k", "ts + INTERVAL 1 SECOND AS at", "id AS fact")
-    args = (facts, history, ["k"], "at", "fact", "state", "id")
-    plain = scd2.as_of_lookup(*args)
-    same(scd2.as_of_lookup(*args, **SPLIT), plain)
     joined = facts.alias("f").join(
         history.alias("h"),
         F.expr("f.k = h.k AND h.valid_from <= f.at AND (h.valid_to IS NULL OR f.at < h.valid_to)"),
         "left",
     )
-    same(plain, joined.select("f.k", "f.at", "f.fact", F.col("h.state").alias("state_as_of")))
+    same(scd2.as_of_lookup(facts, history, ["k"], "at", "fact", "state", "id", slot_seconds=width), joined.select("f.k", "f.at", "f.fact", F.col("h.state").alias("state_as_of")))
 
 
 def test_fact_before_first_version(spark):
@@ -101,13 +107,13 @@ def test_fact_before_first_version(spark):
     assert got == {7: None, 8: "X", 9: None}
 
 
-@pytest.mark.parametrize("q,slot_rows", [(0.0, 10**6), (0.25, 10**6), (0.5, 2), (0.95, 2), (0.99, 10**6), (1.0, 2)])
-def test_percentile(spark, q, slot_rows):
+@pytest.mark.parametrize("q", [0.0, 0.25, 0.5, 0.95, 0.99, 1.0])
+def test_percentile(spark, q):
     rng = np.random.default_rng(3)
-    groups = {"a": rng.normal(0, 100, 501), "e": rng.normal(1000, 0.01, 700), "b": np.array([5.0]), "c": np.repeat([1.0, 2.0, 1e9], 50), "d": np.array([-3.0, 0.0, 0.0, 7.0])}
+    groups = {"a": rng.normal(0, 100, 501), "e": rng.normal(1000, 0.01, 700), "b": np.array([5.0]), "c": np.repeat([1.0, 2.0, 1e9], 50), "d": np.array([-3.0, 0.0, 0.0, 7.0]), None: np.array([1.0, 2.0])}
     data = [(k, float(x)) for k, xs in groups.items() for x in xs] + [("a", None)]
     df = spark.createDataFrame(data, "k string, x double")
-    got = {r.k: r.p for r in spread.percentile_exact(df, ["k"], "x", q, "p", slot_rows).collect()}
+    got = {r.k: r.p for r in spread.percentile_exact(df, ["k"], "x", q, "p").collect()}
     for k, xs in groups.items():
         assert got[k] == pytest.approx(np.percentile(xs, q * 100), rel=1e-12, abs=1e-12)
 
@@ -123,6 +129,14 @@ def test_percentile_skips_what_is_no_number(spark):
     assert spread.percentile_exact(df, ["k"], "x", 1.0, "p").first()["p"] == float("inf")
 
 
-def test_no_split_without_hot_key(rows):
-    assert spread.hot_keys(rows, ["k"]) is None
-    assert [r.k for r in spread.hot_keys(rows, ["k"], 200).collect()] == ["hot"]
+def test_building_starts_no_job(spark, rows):
+    rows.count()
+    spark.sparkContext.setJobGroup("building", "plans only")
+    try:
+        series.rolling_stats(rows, ["k"], "ts", ["id"], "c")
+        series.idle_timeout(rows, ["k"], "ts", ["id"])
+        scd2.validate(scd2.build(rows, ["k"], "ts", ["id"], ["state"]), ["k"], ["id"])
+        spread.fill_forward(rows, ["k"], "ts", ["id"], "mark")
+        assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("building")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
