@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 
 END_ID = 2
 #: Distinct words a worker process remembers, and bytes of text it takes on at a time.
-MEMO_WORDS, SLICE_BYTES = 700_000, 4 << 20
+MEMO_WORDS, SLICE_BYTES = 700_000, 8 << 20
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -24,6 +24,7 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
 
 
 #: Lower-case and upper-case letters of Latin-1, which are letters to every tokenizer and need no normalising.
+MARKS = ".,;:!?"
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
 
@@ -40,8 +41,8 @@ def byte_letters() -> dict[int, str]:
 class Encoder:
     """The ids that the tokenizer gives, without special tokens of its own, and an end id behind each text.
 
-    `by_word` says that the tokenizer lower-cases, drops white space, keeps runs of letters apart from all else, and writes bytes as
-    characters. Then each distinct word between ASCII white space is encoded once per slice, or not at all if remembered,
+    `by_word` says that the tokenizer lower-cases, drops white space, keeps runs of letters apart from all else, writes bytes as
+    characters, and marks the tokens that end a word. Then each distinct word between ASCII white space is encoded once per slice, or not at all if remembered,
     and a word of Latin-1 letters goes straight to the tokenizer's model; the ids are the same as for the whole text.
     Texts in which a special token's string occurs are given to the tokenizer whole. A null text counts as empty.
     """
@@ -49,10 +50,15 @@ class Encoder:
     def __init__(self, path: str, end_id: int = END_ID, by_word: bool = True, memo_words: int = MEMO_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer, self.end_id, self.by_word, self.memo_words = Tokenizer.from_file(path), end_id, by_word, memo_words
         self.model = Tokenizer(self.tokenizer.model)
-        self.letters, self.as_bytes = re.compile(f"[{LETTERS}{CAPITALS}]+"), byte_letters()
+        self.model.pre_tokenizer = WhitespaceSplit()
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if suffix and t.endswith(suffix)]] = True
+        self.letters, self.as_bytes = f"^[{LETTERS}{CAPITALS}]+$", byte_letters()
         self.specials = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._forget()
 
@@ -65,14 +71,13 @@ class Encoder:
         self.ids, self.starts, self.lengths = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def _remember(self, words: list[str], encoded: list[list[int]]) -> None:
-        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        n, m, total = len(self.place), len(words), int(lengths.sum())
+    def _remember(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        n, m, total = len(self.place), len(words), len(ids)
         while self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while n + m > len(self.starts):
             self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
-        self.ids[self.used : self.used + total] = np.fromiter((i for ids in encoded for i in ids), np.uint32, total)
+        self.ids[self.used : self.used + total] = ids
         self.starts[n : n + m] = self.used + np.cumsum(lengths) - lengths
         self.lengths[n : n + m] = lengths
         self.place.update(zip(words, range(n, n + m), strict=True))
@@ -82,11 +87,19 @@ class Encoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if self.letters.fullmatch(w)]
-        others = [w for w in words if not self.letters.fullmatch(w)]
-        written = "\n".join(plain).translate(self.as_bytes).split("\n") if plain else []
-        self._remember(plain, [e.ids for e in self.model.encode_batch_fast(written, add_special_tokens=False)])
-        self._remember(others, self._raw(others))
+        """Ids of new words: those of letters some in one call, the others one by one."""
+        of_letters = pc.match_substring_regex(pa.array(words, pa.string()), self.letters).to_pylist()
+        plain, others = list(compress(words, of_letters)), [w for w, x in zip(words, of_letters, strict=True) if not x]
+        self._remember(plain, *self._letters(plain))
+        raw = self._raw(others)
+        self._remember(others, np.fromiter(chain.from_iterable(raw), np.uint32), np.fromiter(map(len, raw), np.int64, len(raw)))
+
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of letters and their numbers. Which tokens end a word is known by their ids."""
+        written = "\n".join(words).translate(self.as_bytes).split("\n") if words else []
+        lines = [" ".join(written[i : i + 50]) for i in range(0, len(written), 50)]
+        ids = np.fromiter(chain.from_iterable(e.ids for e in self.model.encode_batch_fast(lines, add_special_tokens=False)), np.uint32)
+        return ids, np.diff(np.flatnonzero(self.ends_word[ids]), prepend=-1)
 
     def _words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per word of the texts its place in the memo; words per text; whether the text must be encoded whole."""
@@ -94,19 +107,19 @@ class Encoder:
         whole = np.zeros(len(texts), bool)
         for s in self.specials:
             whole |= pc.match_substring(lower, s).to_numpy(zero_copy_only=False)
-        split = pc.ascii_split_whitespace(lower)
+        # a letter and a mark never share a token, so a blank between them changes nothing, and words are found again without the mark
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(lower, f"([{LETTERS}])([{MARKS}])", r"\1 \2"))
         per_text = np.diff(split.offsets.to_numpy()).astype(np.int64)
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
         if len(self.place) + len(words) > max(self.memo_words, len(words)):
             self._forget()
-        get = self.place.get
-        at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(at < 0)
         if len(missing):
             new = [words[i] for i in missing]
             self._learn(new)
-            at[missing] = [self.place[w] for w in new]
+            at[missing] = np.fromiter(map(self.place.__getitem__, new), np.int64, len(new))
         return at[coded.indices.to_numpy(zero_copy_only=False)], per_text, whole
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
