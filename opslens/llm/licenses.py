@@ -68,7 +68,7 @@ class Matcher:
     """Compares blocks with all templates; equal blocks are compared once."""
 
     def __init__(self, templates: Mapping[str, tuple[str, ...]], level: int = 19):
-        self.entries = [(name, words_of(t), zstandard.ZstdCompressor(level=level, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))) for name, ts in templates.items() for t in ts]
+        self.entries = [(name, words_of(t), zstandard.ZstdCompressor(level=level, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))) for name, ts in templates.items() for t in ts]
         self.plain = zstandard.ZstdCompressor(level=level, write_content_size=False)
         self.vocabulary = {w for _, ws, _ in self.entries for w in ws}
         self.marker = re.compile(MARKERS)
@@ -89,7 +89,7 @@ class Matcher:
             at += len(line or "")
 
     def _compare(self, block: str) -> tuple:
-        raw = block.encode("utf-8", "surrogatepass")
+        raw = block.lower().encode("utf-8", "surrogatepass")
         alone = len(self.plain.compress(raw))
         savings = sorted(((1 - len(c.compress(raw)) / alone, name, ws) for name, ws, c in self.entries), key=lambda s: (-s[0], s[1], len(s[2])))
         best, words = savings[0], words_of(block)

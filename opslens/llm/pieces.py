@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from opslens.llm.common import query, table
 from opslens.llm.near import GOLDEN, mix, slices
@@ -341,7 +342,7 @@ def decode_pieces(encoded: DataFrame, model: str, ids: str = "ids", into: str =
     """All columns of `encoded` and the text that `ids` (little-endian unsigned 32-bit integers) stand for; null for null. A column called
     like `into` is replaced."""
     kept = [c for c in encoded.columns if c != into]
-    schema = encoded.select(*kept).withColumn(into, F.lit("").cast("string")).schema
+    schema = StructType([*encoded.select(*kept).schema.fields, StructField(into, StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model)

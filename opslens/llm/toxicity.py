@@ -144,6 +144,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         )
 
     row = texts.mapInArrow(extract, "id bigint, y int, ngrams binary").repartition(1).sortWithinPartitions("id", "ngrams").mapInArrow(solve, "buckets binary, weights binary, intercept double").first()
+    if row is None:  # no labelled document at all
+        return Model(np.zeros(0, np.int64), np.zeros(0), 0.0, orders, bits)
     return Model(np.frombuffer(row["buckets"], "<i8"), np.frombuffer(row["weights"], "<f8"), row["intercept"], orders, bits)
 
 
