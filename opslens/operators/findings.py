@@ -99,19 +99,43 @@ def key_members(constraints: DataFrame, attributes: DataFrame) -> DataFrame:
     ).select("conname", "conrelid", members.attnum, "attname")
 
 
+def missing_findings(tables: DataFrame) -> DataFrame:
+    """Findings for tables that are read by full scans; which columns to index must be read off the statements."""
+    named = missing_indexes(tables).withColumn("table_name", F.col("relname")).withColumn("index_name", F.lit(None).cast("string"))
+    return _finding(named, "create_missing", F.lit("medium"), F.lit(0), F.lit(None).cast("string"))
+
+
+def duplicate_findings(indexes: DataFrame) -> DataFrame:
+    """Findings for all but the first index, by name, over the same columns of a table."""
+    found = duplicate_indexes(indexes, ["project_id", "branch_id", "table_name"], index="index_name").withColumn("index_name", F.col("drop_index"))
+    return _finding(found, "drop_duplicate", F.lit("high"), F.col("drop_size") / MB, F.concat(F.lit("DROP INDEX CONCURRENTLY "), F.col("index_name")))
+
+
+def foreign_key_findings(unindexed: DataFrame) -> DataFrame:
+    """Findings for foreign keys without an index (project_id, branch_id, table_name, column_name), one per column."""
+    per = unindexed.select("project_id", "branch_id", "table_name", "column_name").distinct().withColumn("index_name", F.lit(None).cast("string"))
+    t, c = F.col("table_name"), F.col("column_name")
+    ddl = F.concat(F.lit("CREATE INDEX CONCURRENTLY idx_"), t, F.lit("_"), c, F.lit(" ON "), t, F.lit("("), c, F.lit(")"))
+    return _finding(per, "create_fk_index", F.lit("high"), F.lit(0), ddl)
+
+
 def union_findings(*frames: DataFrame) -> DataFrame:
     """One recommendation list with deterministic ids."""
     out = reduce(DataFrame.unionByName, [f.select(*FINDING) for f in frames])
     return out.withColumn(
-        "recommendation_id", keyed_id("project_id", "branch_id", "table_name", "index_name", "recommendation_type")
+        "recommendation_id", keyed_id("project_id", "branch_id", "table_name", "index_name", "recommendation_type", "ddl_statement")
     )
 
 
-def index_health(findings: DataFrame, keys: Sequence[str] = ("project_id", "branch_id")) -> DataFrame:
-    """Issues and score per branch: 100 less 10 per issue, at least 0."""
+def index_health(findings: DataFrame, branches: DataFrame, keys: Sequence[str] = ("project_id", "branch_id")) -> DataFrame:
+    """Issues and score of every one of `branches`: 100 less 10 per issue, at least 0.
+
+    Branches are stacked under the findings and counted with them, so one without findings scores 100.
+    """
+    marks = findings.select(*keys, F.lit(1).alias("issue")).unionByName(branches.select(*keys).withColumn("issue", F.lit(0)))
     return (
-        findings.groupBy(*keys)
-        .agg(F.count("*").alias("total_issues"))
+        marks.groupBy(*keys)
+        .agg(F.sum("issue").alias("total_issues"))
         .withColumn("health_score", F.greatest(F.lit(0), F.lit(100) - F.col("total_issues") * 10))
     )
 

@@ -249,23 +249,24 @@ class Bind:
             f"CASE WHEN {K} % 10 = 0 THEN NULL ELSE event_id * 1000 + {K} END AS confirmed_flush_lsn", f"{K} % 2 = 0 AS active",
         )
 
-    def usage(self) -> DataFrame:
+    def usage(self, placed: bool = True) -> DataFrame:
+        """Billing rows; project and branch come from other tables, which are only read if `placed`."""
+        lines = self.table("lineitem")
+        money = [
+            F.to_date("l_shipdate").alias("usage_date"), F.col("l_returnflag").alias("usage_type"),
+            F.col("l_linestatus").alias("sku_name"), F.col("l_quantity").cast("decimal(18,2)").alias("usage_quantity"),
+            F.when(F.col("l_linestatus") == "O", F.lit("0.40")).otherwise("0.52").cast("decimal(6,2)").alias("rate"),
+            F.struct(F.col("l_suppkey").alias("database_instance_id")).alias("usage_metadata"),
+        ]
+        if not placed:
+            return lines.select(*money)
         place = (
             self.table("supplier")
             .join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
             .join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
             .select("s_suppkey", F.col("n_name").alias("branch_id"), F.col("r_name").alias("project_id"))
         )
-        return (
-            self.table("lineitem")
-            .join(place, F.col("l_suppkey") == F.col("s_suppkey"))
-            .select(
-                "project_id", "branch_id", F.to_date("l_shipdate").alias("usage_date"), F.col("l_returnflag").alias("usage_type"),
-                F.col("l_linestatus").alias("sku_name"), F.col("l_quantity").cast("decimal(18,2)").alias("usage_quantity"),
-                F.when(F.col("l_linestatus") == "O", F.lit("0.40")).otherwise("0.52").cast("decimal(6,2)").alias("rate"),
-                F.struct(F.col("l_suppkey").alias("database_instance_id")).alias("usage_metadata"),
-            )
-        )
+        return lines.join(place, F.col("l_suppkey") == F.col("s_suppkey")).select("project_id", "branch_id", *money)
 
     def status_changes(self) -> DataFrame:
         return self.table("orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_orderstatus")

@@ -103,20 +103,46 @@ def join_semi_member(b: Bind):
     return G.key_members(b.constraints(), b.attributes())
 
 
+_SEQUENTIAL = (
+    "SELECT project_id, branch_id, relname AS table_name, NULL AS index_name, 'create_missing' AS recommendation_type, 'medium' AS confidence, 0.0::DOUBLE AS size_mb, NULL AS ddl_statement FROM table_stats"
+    " WHERE seq_scan > 100 AND n_live_tup > 10000 AND (idx_scan = 0 OR seq_scan > idx_scan * 10)"
+)
+_DOUBLED = (
+    "SELECT project_id, branch_id, table_name, index_name, 'drop_duplicate' AS recommendation_type, 'high' AS confidence, index_size_bytes / {mb} AS size_mb, 'DROP INDEX CONCURRENTLY ' || index_name AS ddl_statement"
+    " FROM index_stats WHERE NOT indisprimary QUALIFY row_number() OVER (PARTITION BY project_id, branch_id, table_name, indkey ORDER BY index_name) > 1"
+).format(mb=_MB)
+_FK = (
+    "SELECT DISTINCT 'p' || (c.conrelid % 5) AS project_id, 'b' || (c.conrelid % 10) AS branch_id, 't_' || c.conrelid AS table_name, NULL AS index_name, 'create_fk_index' AS recommendation_type, 'high' AS confidence, 0.0::DOUBLE AS size_mb,"
+    " 'CREATE INDEX CONCURRENTLY idx_t_' || c.conrelid || '_' || a.attname || ' ON t_' || c.conrelid || '(' || a.attname || ')' AS ddl_statement FROM constraints c JOIN attributes a ON a.attrelid = c.conrelid AND a.attnum = c.conkey[1]"
+    " WHERE NOT EXISTS (SELECT 1 FROM index_keys i WHERE i.indrelid = c.conrelid AND list_contains(i.indkey, c.conkey[1]))"
+)
+_ALL = " UNION ALL ".join((_UNUSED, _BLOATED, _SEQUENTIAL, _DOUBLED, _FK))
+
+
+def _findings(b: Bind):
+    """What all five detectors find."""
+    keys = b.attributes().select(F.col("attrelid").alias("conrelid"), F.col("attnum").alias("column_number"), F.col("attname").alias("column_name"))
+    place = {"project_id": F.concat(F.lit("p"), F.col("conrelid") % 5), "branch_id": F.concat(F.lit("b"), F.col("conrelid") % 10), "table_name": F.concat(F.lit("t_"), F.col("conrelid"))}
+    unindexed = G.unindexed_foreign_keys(b.constraints(), b.index_keys()).select("conrelid", "column_number").distinct().join(keys, ["conrelid", "column_number"]).withColumns(place)
+    s = b.index_stats()
+    return G.union_findings(G.unused_indexes(*_meta(b)), G.bloated_indexes(s), G.missing_findings(b.table_stats()), G.duplicate_findings(s), G.foreign_key_findings(unindexed))
+
+
 @query(
-    "q_set_union_findings", "index_stats",
-    f"WITH u AS ({_UNUSED} UNION ALL {_BLOATED}) SELECT *, sha256({sql_cells('project_id', 'branch_id', 'table_name', 'index_name', 'recommendation_type')}) AS recommendation_id FROM u",
+    "q_set_union_findings", "index_stats table_stats constraints attributes index_keys",
+    f"WITH u AS ({_ALL}) SELECT *, sha256({sql_cells('project_id', 'branch_id', 'table_name', 'index_name', 'recommendation_type', 'ddl_statement')}) AS recommendation_id FROM u",
 )
 def set_union_findings(b: Bind):
-    return G.union_findings(G.unused_indexes(*_meta(b)), G.bloated_indexes(b.index_stats()))
+    return _findings(b)
 
 
 @query(
-    "q_idx_health_score", "index_stats",
-    f"WITH u AS ({_UNUSED} UNION ALL {_BLOATED}) SELECT project_id, branch_id, count(*) AS total_issues, greatest(0, 100 - count(*) * 10) AS health_score FROM u GROUP BY ALL",
+    "q_idx_health_score", "index_stats table_stats constraints attributes index_keys query_stats",
+    f"WITH u AS ({_ALL}), br AS (SELECT project_id, branch_id FROM query_stats UNION SELECT project_id, branch_id FROM u), n AS (SELECT project_id, branch_id, count(*) AS n FROM u GROUP BY ALL)"
+    " SELECT project_id, branch_id, coalesce(n, 0) AS total_issues, greatest(0, 100 - coalesce(n, 0) * 10) AS health_score FROM br LEFT JOIN n USING (project_id, branch_id)",
 )
 def idx_health_score(b: Bind):
-    return G.index_health(G.union_findings(G.unused_indexes(*_meta(b)), G.bloated_indexes(b.index_stats())))
+    return G.index_health(_findings(b), b.query_stats())
 
 
 _PCT = "CAST(n_dead_tup AS DOUBLE) / nullif(CAST(n_live_tup + n_dead_tup AS DOUBLE), 0)"

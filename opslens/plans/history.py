@@ -80,7 +80,7 @@ def scan_document_schema(b: Bind):
     "SELECT CAST(usage_date AS TIMESTAMP) AS usage_date, instance_id, CAST(sum(usage_quantity) AS DOUBLE) AS total_units FROM billing GROUP BY ALL",
 )
 def scan_billing(b: Bind):
-    u = b.usage().select("usage_date", F.col("usage_metadata.database_instance_id").alias("instance_id"), "usage_quantity")
+    u = b.usage(placed=False).select("usage_date", F.col("usage_metadata.database_instance_id").alias("instance_id"), "usage_quantity")
     return as_instant(u.groupBy("usage_date", "instance_id").agg(F.sum("usage_quantity").cast("double").alias("total_units")), "usage_date")
 
 
@@ -210,7 +210,7 @@ def prj_null_safe_ratio(b: Bind):
 
 @query("q_prj_nested", "billing", "SELECT instance_id, CAST(rate AS DOUBLE) AS rate, count(*) AS n FROM billing GROUP BY ALL")
 def prj_nested(b: Bind):
-    u = b.usage().select(F.col("usage_metadata.database_instance_id").alias("instance_id"), F.col("rate").cast("double").alias("rate"))
+    u = b.usage(placed=False).select(F.col("usage_metadata.database_instance_id").alias("instance_id"), F.col("rate").cast("double").alias("rate"))
     return u.groupBy("instance_id", "rate").agg(F.count("*").alias("n"))
 
 
@@ -602,7 +602,7 @@ def metric_correlation(b: Bind):
     "SELECT CAST(usage_date AS TIMESTAMP) AS usage_date, sku_name, usage_type, instance_id, CAST(sum(usage_quantity) AS DOUBLE) AS total_units, CAST(sum(usage_quantity * rate) AS DOUBLE) AS estimated_cost FROM billing GROUP BY ALL",
 )
 def agg_cost_daily(b: Bind):
-    u = b.usage().withColumn("instance_id", F.col("usage_metadata.database_instance_id"))
+    u = b.usage(placed=False).withColumn("instance_id", F.col("usage_metadata.database_instance_id"))
     return as_instant(S.cost_daily(u, ["usage_date", "sku_name", "usage_type", "instance_id"], "usage_quantity", "rate"), "usage_date")
 
 

@@ -76,10 +76,27 @@ def test_unindexed_foreign_key(spark):
 
 def test_health_score(spark, indexes):
     u = findings.unused_indexes(*meta(indexes))
-    three = findings.union_findings(u, u, u)
-    assert findings.index_health(three).first()["health_score"] == 70
     lots = findings.union_findings(*[u] * 12)
-    assert findings.index_health(lots).first()["health_score"] == 0
+    clean = spark.createDataFrame([("p", "clean")], "project_id string, branch_id string")
+    scores = {r.branch_id: (r.total_issues, r.health_score) for r in findings.index_health(lots, clean).collect()}
+    assert scores.pop("clean") == (0, 100) and set(scores.values()) == {(12, 0)}
+
+
+def test_all_detectors_score_together(spark, indexes):
+    """An unused index, a table read by full scans, and a foreign key without index; no branch of its own is lost."""
+    keys = spark.createDataFrame([("p", "b", "orders", "customer_id"), ("p", "b", "orders", "customer_id")], "project_id string, branch_id string, table_name string, column_name string")
+    read = spark.createDataFrame([("p", "b", "events", 500, 3, 50_000, 9), ("p", "b", "small", 500, 3, 10, 9)], "project_id string, branch_id string, relname string, seq_scan bigint, idx_scan bigint, n_live_tup bigint, seq_tup_read bigint")
+    doubled = spark.createDataFrame([("p", "b", "t", f"i{n}", n, "1 2", False, 1048576) for n in range(3)], "project_id string, branch_id string, table_name string, index_name string, indexrelid bigint, indkey string, indisprimary boolean, index_size_bytes bigint")
+    found = {
+        "drop_unused": findings.unused_indexes(*meta(indexes)), "reindex_bloated": findings.bloated_indexes(indexes), "create_missing": findings.missing_findings(read),
+        "drop_duplicate": findings.duplicate_findings(doubled), "create_fk_index": findings.foreign_key_findings(keys),
+    }
+    rows = findings.union_findings(*found.values()).collect()
+    assert {k: sum(r.recommendation_type == k for r in rows) for k in found} == {k: f.count() for k, f in found.items()}
+    assert len({r.recommendation_id for r in rows}) == len(rows)
+    assert [(r.index_name, r.size_mb, r.ddl_statement) for r in rows if r.recommendation_type == "drop_duplicate"] == [(f"i{n}", 1.0, f"DROP INDEX CONCURRENTLY i{n}") for n in (1, 2)]
+    three = findings.union_findings(*[found[k].limit(1).withColumns({"project_id": F.lit("p"), "branch_id": F.lit("b")}) for k in ("drop_unused", "create_missing", "create_fk_index")])
+    assert [(r.total_issues, r.health_score) for r in findings.index_health(three, three).collect()] == [(3, 70)]
 
 
 def test_vacuum(tables):
