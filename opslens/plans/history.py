@@ -10,8 +10,9 @@ from opslens.functions.exprs import case, mean, safe_ratio
 from opslens.operators import history as H
 from opslens.operators import series as S
 from opslens.plans.bind import METRICS, Bind
-from opslens.plans.registry import as_instant, query, sql_cells, sql_cells
+from opslens.plans.registry import as_instant, query, sql_cells
 from opslens.sources import tables, views
+from opslens.sources.workdir import new_folder
 
 MEAN = "CAST(sum({0}) AS DOUBLE) / count({0})"
 
@@ -84,13 +85,45 @@ def scan_billing(b: Bind):
     return as_instant(u.groupBy("usage_date", "instance_id").agg(F.sum("usage_quantity").cast("double").alias("total_units")), "usage_date")
 
 
-@query(
-    "q_sink_retention", "newest metric_samples",
-    "SELECT event_id, metric_name, snapshot_timestamp FROM metric_samples WHERE snapshot_timestamp >= (SELECT t FROM newest) - INTERVAL 10 DAY",
-)
+def _stored_samples(b: Bind, name: str) -> str:
+    """Samples as an operational table in a folder of its own; gives the folder."""
+    base = new_folder(b.spark, name)
+    rows = b.metric_samples().withColumns({"metric_id": F.col("event_id").cast("string"), "snapshot_timestamp": F.col("snapshot_timestamp").cast("timestamp")})
+    tables.append(rows.select("metric_id", "project_id", "branch_id", "metric_name", "metric_value", "snapshot_timestamp"), base, "metric_samples")
+    return base
+
+
+def _samples_back(df):
+    return df.select("metric_id", "project_id", "branch_id", "metric_name", "metric_value", F.col("snapshot_timestamp").cast("timestamp_ntz").alias("snapshot_timestamp"))
+
+
+_STORED = "SELECT CAST(event_id AS VARCHAR) AS metric_id, project_id, branch_id, metric_name, CAST(metric_value AS DOUBLE) AS metric_value, snapshot_timestamp FROM metric_samples"
+
+
+@query("q_sink_append", "metric_samples", _STORED)
+def sink_append(b: Bind):
+    return _samples_back(tables.read_ops(b.spark, _stored_samples(b, "append"), "metric_samples"))
+
+
+@query("q_scan_ops_since", "newest metric_samples", _STORED + " WHERE snapshot_timestamp >= (SELECT t FROM newest) - INTERVAL 3 DAY")
+def scan_ops_since(b: Bind):
+    return _samples_back(tables.read_ops(b.spark, _stored_samples(b, "since"), "metric_samples", since=b.now() - timedelta(days=3)))
+
+
+@query("q_sink_retention", "newest metric_samples", _STORED + " WHERE CAST(snapshot_timestamp AS DATE) >= CAST((SELECT t FROM newest) - INTERVAL 10 DAY AS DATE)")
 def sink_retention(b: Bind):
-    kept = tables.apply_retention(b.metric_samples(), "snapshot_timestamp", 10, b.now())
-    return kept.select("event_id", "metric_name", "snapshot_timestamp")
+    base = _stored_samples(b, "retention")
+    tables.drop_expired(b.spark, base, "metric_samples", b.now() + timedelta(days=tables.retention_days("metric_samples") - 10))
+    return _samples_back(tables.read_ops(b.spark, base, "metric_samples"))
+
+
+@query("q_sink_archive", "", "SELECT o_orderkey, o_totalprice, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS o_orderstatus FROM orders")
+def sink_archive(b: Bind):
+    """Written twice, the second time with a column more."""
+    path, orders = new_folder(b.spark, "archive"), b.table("orders")
+    tables.write_archive(orders.where("o_orderkey % 2 = 1").select("o_orderkey", "o_totalprice"), path)
+    tables.write_archive(orders.where("o_orderkey % 2 = 0").select("o_orderkey", "o_totalprice", "o_orderstatus"), path)
+    return tables.read_archive(b.spark, path).select("o_orderkey", "o_totalprice", "o_orderstatus")
 
 
 @query(

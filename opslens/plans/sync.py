@@ -11,6 +11,8 @@ from opslens.operators import sync as Y
 from opslens.operators.history import latest_per_key
 from opslens.plans.bind import Bind
 from opslens.plans.registry import query, sql_cells
+from opslens.sources import tables
+from opslens.sources.workdir import new_folder
 
 _SIDES = (
     "WITH s AS (SELECT o_orderkey % 4 AS pair, count(*) AS source_count, max(o_orderdate) AS source_max_ts FROM orders GROUP BY 1),"
@@ -236,8 +238,12 @@ def cold_candidates(b: Bind):
     f"SELECT o_orderpriority, count(*) AS rows_archived, CAST(sum(octet_length(encode(CAST(o_orderkey AS VARCHAR) || o_orderstatus || o_orderpriority))) AS BIGINT) AS bytes_reclaimed FROM orders WHERE o_orderdate < {_ORDERS_NOW} - INTERVAL 90 DAY GROUP BY 1",
 )
 def archive_split(b: Bind):
+    """Moved by a run, and logged over what the run has written."""
     orders, now = _orders(b)
-    return R.archive_summary(orders, ["o_orderpriority"], "o_orderdate", _COLS, now)
+    base = new_folder(b.spark, "archive-run")
+    orders.write.parquet(f"{base}/source")
+    R.run_archive(b.spark, f"{base}/source", f"{base}/cold", f"{base}/hot", "o_orderdate", now)
+    return R.archive_summary(tables.read_archive(b.spark, f"{base}/cold"), ["o_orderpriority"], "o_orderdate", _COLS, now)
 
 
 @query(

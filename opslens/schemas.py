@@ -67,9 +67,11 @@ DDL = {
     ),
 }
 
+# The day comes first: look-backs and retention then touch the folders of their days only. Branches come and go, and are no folders.
+DAY = "event_date"
 PARTITIONS = {
-    "query_stats_history": ["project_id", "branch_id"],
-    "metric_samples": ["project_id", "metric_name"],
+    "query_stats_history": [DAY, "project_id"],
+    "metric_samples": [DAY, "metric_name"],
 }
 
 # Timestamp column by which a table is windowed and kept, and days of retention.

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StructField, StructType
 
 from opslens import schemas
 from opslens.functions.exprs import instant, keyed_id
@@ -15,10 +16,20 @@ def path_of(base: str, table: str) -> str:
     return f"{base.rstrip('/')}/{table}"
 
 
-def read_ops(spark: SparkSession, base: str, table: str) -> DataFrame:
-    """Operational table with its declared schema, in its order; no inference."""
+def read_ops(spark: SparkSession, base: str, table: str, since: datetime | None = None) -> DataFrame:
+    """Operational table with its declared schema, in its order; no inference.
+
+    With `since`, rows from that time on; of a table that has a folder per day, only those days are listed and opened.
+    """
     schema = schemas.schema_of(table)
-    return spark.read.schema(schema).parquet(path_of(base, table)).select(*schema.names)
+    by_day = schemas.DAY in schemas.PARTITIONS.get(table, [])
+    rows = spark.read.schema(StructType([*schema.fields, *([StructField(schemas.DAY, DateType())] if by_day else [])])).parquet(path_of(base, table))
+    if since is not None:
+        ts = schemas.EVENT_TIME[table]
+        rows = rows.where(F.col(ts) >= instant(rows, ts, since))
+        if by_day:
+            rows = rows.where(F.col(schemas.DAY) >= F.lit(since.date()))
+    return rows.select(*schema.names)
 
 
 def create_ops_tables(spark: SparkSession, base: str, database: str = "default") -> list[str]:
@@ -26,8 +37,9 @@ def create_ops_tables(spark: SparkSession, base: str, database: str = "default")
     for table, ddl in schemas.DDL.items():
         partitions = schemas.PARTITIONS.get(table)
         by = f" PARTITIONED BY ({', '.join(partitions)})" if partitions else ""
+        day = f", {schemas.DAY} DATE" if schemas.DAY in (partitions or []) else ""
         spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {database}.{table} ({ddl}) USING parquet{by}"
+            f"CREATE TABLE IF NOT EXISTS {database}.{table} ({ddl}{day}) USING parquet{by}"
             f" LOCATION '{path_of(base, table)}'"
         )
     return list(schemas.DDL)
@@ -49,7 +61,11 @@ def conform(df: DataFrame, table: str) -> DataFrame:
 
 def _placed(df: DataFrame, table: str) -> DataFrame:
     """Rows of the table's schema, rebalanced: a partition gets few files of a useful size and a large one several."""
-    return conform(df, table).hint("rebalance", *schemas.PARTITIONS.get(table, []))
+    partitions = schemas.PARTITIONS.get(table, [])
+    out = conform(df, table)
+    if schemas.DAY in partitions:
+        out = out.withColumn(schemas.DAY, F.to_date(schemas.EVENT_TIME[table]))
+    return out.hint("rebalance", *partitions)
 
 
 def _write(out: DataFrame, base: str, table: str, mode: str) -> None:
@@ -114,6 +130,26 @@ def retention_days(table: str) -> int:
     return schemas.METRIC_RETENTION_DAYS if table in schemas.PARTITIONS else schemas.AUDIT_RETENTION_DAYS
 
 
+def drop_expired(spark: SparkSession, base: str, table: str, as_of: datetime) -> list[date]:
+    """Remove the folders of days that end before the table's retention, and name them. No row is read or rewritten.
+
+    Rows of the day in which the retention ends stay until that day is over. Only for tables with a folder per day.
+    """
+    if schemas.DAY not in schemas.PARTITIONS.get(table, []):
+        raise ValueError(f"{table} has no folder per day")
+    limit = (as_of - timedelta(days=retention_days(table))).date()
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path_of(base, table))
+    store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    gone = []
+    for status in store.listStatus(root):
+        name, _, day = status.getPath().getName().partition("=")
+        if name == schemas.DAY and day[:2].isdigit() and date.fromisoformat(day) < limit:
+            store.delete(status.getPath(), True)
+            gone.append(date.fromisoformat(day))
+    return sorted(gone)
+
+
 def write_retained(spark: SparkSession, base: str, table: str, target: str, as_of: datetime) -> None:
     """Rows of a table inside its retention, written under another base; the caller swaps the paths.
 

@@ -41,8 +41,12 @@ def test_append_and_read(spark, tmp_path):
     back = tables.read_ops(spark, base, "metric_samples")
     assert back.columns != [] and back.count() == 15 and back.schema.names == schemas.schema_of("metric_samples").names
     assert back.where("threshold_level IS NULL").count() == 15
-    plan = back.where("project_id = 'p1' AND metric_name = 'm0'")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(project_id" in plan
+    plan = back.where("metric_name = 'm0'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(metric_name" in plan
+    late = tables.read_ops(spark, base, "metric_samples", since=NOW - timedelta(days=40))
+    assert 0 < late.count() < 15 and late.where(F.col("snapshot_timestamp") < F.lit(NOW - timedelta(days=40))).count() == 0
+    plan = late._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan and "PushedFilters: [IsNotNull(snapshot_timestamp)" in plan
     with pytest.raises(ValueError):
         tables.append(samples(spark).withColumn("extra", F.lit(1)), base, "metric_samples")
 
@@ -70,6 +74,18 @@ def test_retention_drops_empty_partitions(spark, tmp_path):
     assert tables.retention_days("vacuum_history") == 365
 
 
+def test_expired_days_are_dropped(spark, tmp_path):
+    base = str(tmp_path)
+    tables.append(samples(spark), base, "metric_samples")
+    want = {int(r.metric_id) for r in samples(spark).collect() if r.snapshot_timestamp.date() >= (NOW - timedelta(days=90)).date()}
+    gone = tables.drop_expired(spark, base, "metric_samples", NOW)
+    assert gone and all(d < (NOW - timedelta(days=90)).date() for d in gone)
+    assert {int(r.metric_id) for r in tables.read_ops(spark, base, "metric_samples").collect()} == want
+    assert tables.drop_expired(spark, base, "metric_samples", NOW) == []
+    with pytest.raises(ValueError):
+        tables.drop_expired(spark, base, "vacuum_history", NOW)
+
+
 def test_stamp(spark):
     t = datetime(2024, 1, 1)
     df = spark.createDataFrame([(1, "x" * 5000, None, None), (2, "y", 7, t)], "queryid bigint, query string, calls bigint, snapshot_timestamp timestamp")
