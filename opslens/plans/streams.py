@@ -38,6 +38,25 @@ def st_ingest(b: Bind):
     return sinks.run_append(rows, new_folder(b.spark, "ingest"), ["metric_name"])
 
 
+_LATE = "(time_bucket(INTERVAL 5 MINUTE, snapshot_timestamp) + INTERVAL 5 MINUTE <= CASE event_id % 3 WHEN 1 THEN first - INTERVAL 10 MINUTE WHEN 2 THEN greatest(first, second) - INTERVAL 10 MINUTE END)"
+
+
+@query(
+    "q_st_late", "metric_samples",
+    "WITH e AS (SELECT max(snapshot_timestamp) FILTER (event_id % 3 = 0) AS first, max(snapshot_timestamp) FILTER (event_id % 3 = 1) AS second FROM metric_samples),"
+    f" w AS (SELECT metric_name, metric_value, time_bucket(INTERVAL 5 MINUTE, snapshot_timestamp) AS window_start, coalesce({_LATE}, false) AS late FROM metric_samples, e)"
+    " SELECT metric_name, window_start, window_start + INTERVAL 5 MINUTE AS window_end, count(*) AS n, CAST(sum(metric_value) AS DOUBLE) / count(metric_value) AS avg_value, CAST(min(metric_value) AS DOUBLE) AS min_value,"
+    " CAST(max(metric_value) AS DOUBLE) AS max_value, count(*) FILTER (late) AS late_rows FROM w GROUP BY metric_name, window_start",
+)
+def st_late(b: Bind):
+    """A third of the samples arrives at a time, so most of the second and third are late."""
+    base = new_folder(b.spark, "late")
+    for i in range(3):
+        b.metric_samples().where(F.col("event_id") % 3 == i).write.mode("append").parquet(f"{base}/source")
+        out = sinks.repaired_trend(sinks.read_files(b.spark, f"{base}/source"), f"{base}/trend")
+    return _ntz(out, "window_start", "window_end")
+
+
 _MARK = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
 _AGG = "count(*) AS n, CAST(sum(metric_value) AS DOUBLE) / count(metric_value) AS avg_value"
 

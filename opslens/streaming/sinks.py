@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,6 +54,36 @@ def run_into_batches(stream: DataFrame, folder: str, mode: str = "append") -> Da
     return stream.sparkSession.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{folder}/table")
 
 
+def repaired_trend(samples: DataFrame, folder: str, width: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:
+    """Trend per metric and window that keeps late rows: process what is available, then merge the parts of all batches.
+
+    A watermark drops rows behind it and holds back windows that are still open. Here each batch adds a part per window, and the
+    batch pass over the parts repairs windows that got late rows and closes open ones. `late_rows` counts the rows whose
+    window had ended, `delay` before the newest row of earlier batches: those a watermark would have lost.
+    """
+    v, ts = F.col("metric_value"), F.col("snapshot_timestamp").cast("timestamp")
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        parts = df.groupBy("metric_name", F.window(ts, width).alias("w")).agg(
+            F.count("*").alias("n"), F.count(v).alias("c"), F.sum(v).alias("s"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.max(ts).alias("seen")
+        )
+        parts.write.mode("overwrite").parquet(f"{folder}/table/batch={batch_id:08d}")
+
+    run_batches(samples, folder, write)
+    parts = samples.sparkSession.read.parquet(f"{folder}/table")
+    before = W.orderBy("batch").rowsBetween(W.unboundedPreceding, -1)  # one row per batch
+    marks = parts.groupBy("batch").agg(F.max("seen").alias("seen")).select("batch", (F.max("seen").over(before) - F.expr(f"INTERVAL {delay}")).alias("mark"))
+    return (
+        parts.join(marks, "batch")
+        .groupBy("metric_name", "w")
+        .agg(
+            F.sum("n").alias("n"), (F.sum("s").cast("double") / F.sum("c")).alias("avg_value"), F.min("lo").cast("double").alias("min_value"),
+            F.max("hi").cast("double").alias("max_value"), F.sum(F.when(F.col("w.end") <= F.col("mark"), F.col("n")).otherwise(0)).alias("late_rows"),
+        )
+        .select("metric_name", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n", "avg_value", "min_value", "max_value", "late_rows")
+    )
+
+
 def last_batch(table: DataFrame) -> DataFrame:
     """Result of a stream in complete mode: what its last batch wrote."""
     return table.where(F.col("batch") == table.agg(F.max("batch")).scalar()).drop("batch")

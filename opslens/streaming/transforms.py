@@ -105,6 +105,7 @@ def branch_expiry(events: DataFrame, ttl_seconds: int, delay: str = "10 minutes"
     A branch lives from its newest creation unless a newer deletion is known, so (newest creation, newest deletion) is
     all its state and merges in any order. Timers need a custom stateful operator; its input is reduced before the
     shuffle to one row per branch and Arrow batch, so a busy branch does not send its events through one Python task.
+    No state outlives its branch.
     """
     at = F.unix_micros(F.col("event_timestamp").cast("timestamp"))
     marks = events.where(F.col("event_type").isin("created", "deleted")).select(
@@ -125,8 +126,10 @@ def branch_expiry(events: DataFrame, ttl_seconds: int, delay: str = "10 minutes"
         import pandas as pd
 
         if state.hasTimedOut:
-            created, _ = state.get
+            created, deleted = state.get
             state.remove()
+            if created <= deleted:
+                return
             start = pd.Timestamp(created, unit="us")
             yield pd.DataFrame({"branch_id": [key[0]], "created_at": [start], "expired_at": [start + pd.Timedelta(seconds=ttl_seconds)]})
             return
@@ -134,9 +137,9 @@ def branch_expiry(events: DataFrame, ttl_seconds: int, delay: str = "10 minutes"
         for batch in batches:
             created, deleted = max(created, int(batch["created"].max())), max(deleted, int(batch["deleted"].max()))
         state.update((created, deleted))
-        if created > deleted:
-            due = -(-created // 1000) + ttl_seconds * 1000
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        # a deleted branch is kept until the watermark has passed its deletion, when no older creation can come any more
+        due = -(-created // 1000) + ttl_seconds * 1000 if created > deleted else -(-deleted // 1000)
+        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
 
     return timed.groupBy("branch_id").applyInPandasWithState(
         fold, EXPIRY_DDL, "created bigint, deleted bigint", "append", GroupStateTimeout.EventTimeTimeout

@@ -46,6 +46,18 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     assert whole - 2 == dropped
 
 
+def test_late_rows_are_kept_and_repair_their_window(spark, tmp_path):
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    ddl = "metric_name string, metric_value double, snapshot_timestamp timestamp"
+    at = lambda m: T0 + timedelta(minutes=m)
+    put(spark, [("m", 1.0, at(1)), ("m", 3.0, at(2)), ("m", 5.0, at(60))], ddl, src, "d=1")
+    run = lambda: {(r.window_start.hour * 60 + r.window_start.minute): (r.n, r.avg_value, r.max_value, r.late_rows) for r in sinks.repaired_trend(sinks.read_files(spark, f"{src}/*"), out).collect()}
+    assert run() == {0: (2, 2.0, 3.0, 0), 60: (1, 5.0, 5.0, 0)}
+    put(spark, [("m", 8.0, at(3)), ("m", 7.0, at(61)), ("m", 1.0, at(120))], ddl, src, "d=2")
+    assert run() == {0: (3, 4.0, 8.0, 1), 60: (2, 6.0, 7.0, 0), 120: (1, 1.0, 1.0, 0)}
+    assert run() == {0: (3, 4.0, 8.0, 1), 60: (2, 6.0, 7.0, 0), 120: (1, 1.0, 1.0, 0)}
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_scd2_in_batches_equals_one_build(spark, tmp_path, seed):
     """Late, repeated and equal changes over several batches."""
