@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from opslens.functions.spread import same_keys
 from opslens.operators import scd2
 
 
@@ -107,7 +108,8 @@ class Scd2Store:
 
     A batch reads the open versions of its own keys, continues their chains, and appends. Only a key that gets a change
     older than one it has seen is rebuilt from its changes, under the next generation; closed rows of earlier
-    generations no longer count.
+    generations no longer count. Only batches with such keys look at earlier changes. A null key is a key like any other. The
+    number of buckets is written with the first batch, and a store opened with another one refuses to write.
     """
 
     def __init__(self, spark: SparkSession, folder: str, keys: Sequence[str], ts: str, tie: Sequence[str], attributes: Sequence[str], buckets: int = 32, snapshot_every: int = 50):
@@ -142,7 +144,20 @@ class Scd2Store:
     def _versions(self, rows: DataFrame) -> DataFrame:
         return scd2.build(rows.select(*self.columns), self.keys, self.ts, self.tie, self.attributes)
 
+    def _match(self, left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+        """left joined to right on the keys, nulls included, with the other columns of right."""
+        joined = left.alias("l").join(right.alias("r"), same_keys("l", "r", self.keys), how)
+        return joined.select("l.*") if how == "left_semi" else joined.select("l.*", *[F.col(f"r.{c}") for c in right.columns if c not in self.keys])
+
+    def _same_buckets(self, batch_id: int) -> None:
+        if batch_id == 0:
+            self.spark.range(1).select(F.lit(self.buckets).alias("buckets")).write.mode("overwrite").parquet(self._path("layout"))
+        written = self.spark.read.parquet(self._path("layout")).first()["buckets"]
+        if written != self.buckets:
+            raise ValueError(f"the store has {written} buckets and not {self.buckets}")
+
     def write(self, df: DataFrame, batch_id: int) -> None:
+        self._same_buckets(batch_id)
         bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
         log = self._path(f"changes/batch={batch_id:08d}")
         df.select(*self.columns).withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(log)
@@ -150,10 +165,10 @@ class Scd2Store:
         order = F.struct(self.ts, *self.tie)
         touched = new.groupBy(*self.keys).agg(F.min(order).alias("_first"), F.max(order).alias("_last"))
         if batch_id == 0:
-            built = self._versions(new).join(touched.select(*self.keys, F.lit(0).alias("generation"), F.col("_last").alias("seen")), self.keys)
+            built = self._match(self._versions(new), touched.select(*self.keys, F.lit(0).alias("generation"), F.col("_last").alias("seen")))
         else:
-            opened = self._opened(batch_id).join(touched.select(*self.keys), self.keys, "left_semi")
-            state = touched.join(self._newest_open(opened), self.keys, "left")
+            opened = self._match(self._opened(batch_id), touched, "left_semi")
+            state = self._match(touched, self._newest_open(opened), "left")
             # late against every change seen, not only against the start of the open version: an equal change in
             # between leaves no version, but a late change before it does
             state = state.withColumn("_late", F.coalesce(F.col("_first") < F.col("seen"), F.lit(False)))
@@ -162,16 +177,18 @@ class Scd2Store:
             state = self.spark.read.parquet(f"{self._path('state')}/batch={batch_id:08d}")
             late, timely = state.where("_late"), state.where("NOT _late")
             resumed = timely.where(F.col("valid_from").isNotNull()).withColumn(self.ts, F.col("valid_from")).select(*self.columns)
-            onward = self._versions(new.join(timely.select(*self.keys), self.keys, "left_semi").unionByName(resumed))
-            history = self.spark.read.parquet(self._path("changes")).where(F.col("batch") <= batch_id)
-            late_keys = late.select(*self.keys).withColumn("bucket", bucket)
-            again = self._versions(history.join(late_keys, [*self.keys, "bucket"], "left_semi"))
+            versions = self._versions(self._match(new, timely, "left_semi").unionByName(resumed))
+            if not late.isEmpty():
+                history = self.spark.read.parquet(self._path("changes")).where(F.col("batch") <= batch_id)
+                late_keys = late.select(*self.keys).withColumn("bucket", bucket)
+                again = history.alias("l").join(late_keys.alias("r"), same_keys("l", "r", self.keys) & (F.col("l.bucket") == F.col("r.bucket")), "left_semi")
+                versions = versions.unionByName(self._versions(again))
             marks = state.select(
                 *self.keys,
                 (F.coalesce("generation", F.lit(0)) + F.col("_late").cast("int")).alias("generation"),
                 F.greatest("_last", "seen").alias("seen"),
             )
-            built = onward.unionByName(again).join(marks, self.keys)
+            built = self._match(versions, marks)
         self._put(built, "built", batch_id)
         built = self.spark.read.parquet(f"{self._path('built')}/batch={batch_id:08d}")
         self._put(built.where("NOT is_current").drop("is_current", "seen"), "closed", batch_id)
@@ -183,7 +200,8 @@ class Scd2Store:
         """The history as of the last batch."""
         opened = self._newest_open(self.spark.read.parquet(self._path("open")))
         closed = self.spark.read.parquet(self._path("closed")).drop("batch")
-        valid = closed.join(opened.select(*self.keys, "generation"), [*self.keys, "generation"], "left_semi")
+        same = same_keys("l", "r", [*self.keys, "generation"])
+        valid = closed.alias("l").join(opened.select(*self.keys, "generation").alias("r"), same, "left_semi")
         current = opened.withColumn("valid_to", F.lit(None).cast(closed.schema["valid_to"].dataType))
         names = [*self.keys, *self.attributes, *self.tie, "valid_from", "valid_to"]
         return valid.select(*names).unionByName(current.select(*names)).withColumn("is_current", F.col("valid_to").isNull())

@@ -46,6 +46,23 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     assert whole - 2 == dropped
 
 
+def test_scd2_keeps_null_keys_and_refuses_other_buckets(spark, tmp_path):
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    ddl = "k string, ts timestamp, id bigint, state string"
+    at = lambda m: T0 + timedelta(minutes=m)
+    parts = [[(None, at(1), 1, "A"), ("a", at(1), 2, "A")], [(None, at(5), 3, "B"), ("a", at(6), 4, "B")], [(None, at(3), 5, "C")]]
+    everything = []
+    for i, part in enumerate(parts):
+        everything += part
+        put(spark, part, ddl, src, f"d={i}")
+        got = sinks.run_scd2(sinks.read_files(spark, f"{src}/*"), out, ["k"], "ts", ["id"], ["state"], buckets=4)
+        want = scd2.build(spark.createDataFrame(everything, ddl), ["k"], "ts", ["id"], ["state"]).select(*got.columns)
+        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    put(spark, [("a", at(0), 9, "Z")], ddl, src, "d=9")
+    with pytest.raises(Exception, match="buckets"):
+        sinks.run_scd2(sinks.read_files(spark, f"{src}/*"), out, ["k"], "ts", ["id"], ["state"], buckets=8)
+
+
 def test_late_rows_are_kept_and_repair_their_window(spark, tmp_path):
     src, out = str(tmp_path / "src"), str(tmp_path / "out")
     ddl = "metric_name string, metric_value double, snapshot_timestamp timestamp"
