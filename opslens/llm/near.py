@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from opslens.llm.common import query, stored, table
 
 SLICE_BYTES = 8 << 20
+#: Bits of the filter that says whose sets are needed.
+FILTER_BITS = 1 << 26
 #: Documents on a side of a tile in which all pairs are compared.
 TILE = 256
 SKETCH = "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>"
@@ -221,17 +223,33 @@ def components(edges: DataFrame) -> DataFrame:
         current = stored(small.union(lowest).distinct(), "links")
 
 
+def marked(ids: DataFrame) -> np.ndarray:
+    """A bitmap of FILTER_BITS bits, set at the hashes of `ids` (doc_id): its size is fixed, whatever the number of ids."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    rows = ids.groupBy(F.floor(bit / 32768).cast("int").alias("at")).agg(F.bitmap_construct_agg((bit % 32768).cast("bigint")).alias("bits")).collect()
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in rows:
+        out[r["at"] * 4096 : (r["at"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int, key: str, text: str) -> DataFrame:
-    """doc_id and set (sorted hashes, little-endian 64-bit integers) of the documents in `wanted` (doc_id)."""
+    """doc_id and set (sorted hashes, little-endian 64-bit integers) of the documents in `wanted` (doc_id), and perhaps of others.
+
+    Which texts are wanted is told by a bitmap, so texts are not shuffled. With more ids than the bitmap has bits it lets all pass.
+    """
+    bits = marked(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            bit = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)))
             for a, n in slices(batch.column(1)):
                 sets = shingle_sets(batch.column(1).slice(a, n), size)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["doc_id", "set"])
 
-    texts = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).join(wanted, "doc_id", "left_semi")
-    return texts.mapInArrow(run, "doc_id bigint, set binary")
+    texts = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
+    return texts.withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))).mapInArrow(run, "doc_id bigint, set binary")
 
 
 def links_in(tiles: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -267,8 +285,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     are what links connect. Candidates share a band of `rows` places of their SuperMinHash signatures; with 6 rows and 42 bands a pair at
     0.8 is missed with a probability of 3e-6. Every link is confirmed on the full sets.
 
-    Equal sets are one class, named by its smallest doc_id, and only classes go on. Each bucket has a pivot, the member that comes first
-    by hash, and the members of all buckets of a pivot form a group. Groups are cut into blocks of some `tile` members; all pairs
+    Equal sets are one class, named by its smallest doc_id, and only classes go on. Each bucket has a pivot, its smallest
+    doc_id, and the members of all buckets of a pivot form a group. Groups are cut into blocks of some `tile` members; all pairs
     of a block, with the pivot, are compared in a tile, which returns only links that connect something new. Where a larger group is
     not one component then, what is outside its main component is compared with all other blocks, so no pair that
     shares a band is left out, and pairs inside a component are not compared again.
@@ -282,7 +300,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     classes = stored(named.groupBy("digest").agg(F.min(F.struct("doc_id", "bands")).alias("c")).select("digest", F.col("c.doc_id").alias("rep"), "c.bands"), "near-classes")
 
     placed = classes.select("rep", F.explode("bands").alias("band"))
-    buckets = placed.groupBy("band").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep")).alias("p"), F.count("*").alias("n")).where("n > 1").select("band", F.col("p.rep").alias("pivot"))
+    buckets = placed.groupBy("band").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last").select("band", "pivot")
     groups = stored(placed.join(buckets, "band").select("pivot", F.col("rep").alias("doc_id")).distinct(), "near-groups")
     sets = stored(full_sets(docs, groups.select("doc_id").distinct(), size, key, text), "near-sets")
 
