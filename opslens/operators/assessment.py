@@ -6,7 +6,7 @@ A score is 100 less points for what is found, at least 0. Findings that block or
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,6 +85,12 @@ def _extension_names() -> Column:
     return F.transform(F.coalesce("extensions", F.array().cast("array<struct<name:string,version:string>>")), lambda e: F.lower(e["name"]))
 
 
+def _among(names: Sequence[str]) -> Callable[[Column], Column]:
+    """Test for one of fixed names; their array is one expression, parsed once."""
+    known = F.expr("array(" + ", ".join(f"'{n}'" for n in names) + ")")
+    return lambda n: F.array_contains(known, n)
+
+
 def feature_support(engine: str) -> dict[str, int]:
     """Features of a document engine by status."""
     out = {"supported": 0, "workaround": 0, "unsupported": 0}
@@ -118,16 +124,17 @@ def _flag(name: str) -> Column:
 def score_extensions(db: DataFrame) -> DataFrame:
     """Share of supported extensions, or the feature table of a document engine."""
     names = _extension_names()
-    supported = F.filter(names, lambda n: n.isin(*rules.SUPPORTED_EXTENSIONS))
-    unsupported = F.filter(names, lambda n: ~n.isin(*rules.SUPPORTED_EXTENSIONS))
+    is_supported, is_risky = _among(rules.SUPPORTED_EXTENSIONS), _among(rules.HIGH_RISK_EXTENSIONS)
+    supported = F.filter(names, is_supported)
+    unsupported = F.filter(names, lambda n: ~is_supported(n))
     total = F.size(names)
     relational = F.when(total > 0, F.round(F.size(supported) / total * 100, 1)).otherwise(100.0)
     findings = F.transform(
         unsupported,
         lambda n: F.struct(
             F.lit("extension").alias("category"),
-            F.when(n.isin(*rules.HIGH_RISK_EXTENSIONS), "high").otherwise("medium").alias("severity"),
-            F.when(n.isin(*rules.HIGH_RISK_EXTENSIONS), 2.0).otherwise(1.0).alias("effort_days"),
+            F.when(is_risky(n), "high").otherwise("medium").alias("severity"),
+            F.when(is_risky(n), 2.0).otherwise(1.0).alias("effort_days"),
         ),
     ).cast(BLOCKER)
     many_regions = _n_regions() > 1

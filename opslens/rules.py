@@ -115,6 +115,7 @@ TTL_RULES = [
     (10, "production", None),
     (11, "staging", None),
 ]
+# Rules for branch names, protected branches, allowed reset sources (target, source), creators.
 NAME_PREFIXES = ("ci", "hotfix", "perf", "feat", "dev", "demo", "qa", "audit", "ai-agent")
 NAME_MIN, NAME_MAX = 3, 63
 NAME_PATTERN = "^[a-z][a-z0-9-]*[a-z0-9]$"
@@ -149,6 +150,7 @@ SENSITIVE_COLUMNS = [
     ("PCI", "routing_number", "mask_routing", "PCI-DSS"),
 ]
 
+# Schemas and collations that belong to the system.
 SYSTEM_SCHEMAS = ("pg_catalog", "information_schema", "pg_toast")
 DEFAULT_COLLATIONS = ("default", "C", "POSIX", "C.UTF-8", "en_US.UTF-8")
 
@@ -175,6 +177,7 @@ WORKAROUND_EXTENSIONS = (
     "pg_partman", "pg_repack", "pglogical", "wal2json", "decoderbufs", "pgaudit", "pg_stat_kcache",
     "pg_wait_sampling", "pg_qualstats", "citus", "timescaledb", "pgbouncer", "pg_tle", "pgjwt", "supautils",
 )
+# Extensions that make a migration risky.
 HIGH_RISK_EXTENSIONS = ("pglogical", "citus", "timescaledb")
 
 # Features of the two document engines (engine, feature, status).
@@ -206,6 +209,7 @@ ENGINE_FEATURES = [
     ("cosmosdb-nosql", "Materialized views (CosmosDB)", "unsupported"),
     ("cosmosdb-nosql", "Per-partition throughput redistribution", "unsupported"),
 ]
+# The two document engines.
 DOCUMENT_ENGINES = ("dynamodb", "cosmosdb-nosql")
 
 # Compute units on offer and the connections each one allows.
@@ -263,6 +267,7 @@ SOURCE_RATES = [
     ("cosmosdb-nosql", "southeastasia", 0.10, 0.30, 0.0, None, None),
     ("cosmosdb-nosql", "default", 0.08, 0.25, 0.0, None, None),
 ]
+# Fixed value: rates of this engine stand in for unknown ones.
 FALLBACK_ENGINE = "aurora-postgresql"
 
 # Cloud prefix of each engine's regions in the target price list.
@@ -295,6 +300,7 @@ TARGET_RATES = [
     ("azure-southeastasia", 0.54, 0.70, 0.027),
     ("default", 0.40, 0.52, 0.023),
 ]
+# Month lengths, connections per unit, discounts and utilisation used in cost and sizing.
 HOURS_PER_MONTH = 730
 SECONDS_PER_MONTH = 2_592_000
 CONNECTIONS_PER_UNIT = 209
