@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opslens.llm.common import query, stored, table
+from opslens.llm.tokens import slices_of
 
 SLICE_BYTES = 8 << 20
 #: Bits of the filter that says whose sets are needed.
@@ -113,7 +114,7 @@ def sketches(docs: DataFrame, size: int, rows: int, bands: int, key: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, n in slices(batch.column(1)):
+            for a, n in slices_of(batch.column(1), SLICE_BYTES):
                 sets = shingle_sets(batch.column(1).slice(a, n), size)
                 full = [s for s in sets if len(s)]
                 # small sets take many steps on all of their elements, so some at a time
@@ -132,13 +133,6 @@ def sketches(docs: DataFrame, size: int, rows: int, bands: int, key: str = "doc_
     return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SKETCH)
 
 
-def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Start and number of some rows at a time."""
-    slice_of = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // size
-    edges = [0, *(np.flatnonzero(np.diff(slice_of)) + 1).tolist(), len(texts)]
-    yield from ((a, b - a) for a, b in zip(edges, edges[1:], strict=False) if b > a)
-
-
 def common(sets: list[np.ndarray], others: list[np.ndarray], columns: int = 1 << 13) -> np.ndarray:
     """Sizes of all intersections, by products of 0/1 matrices over some thousand elements at a time."""
     total = np.zeros((len(sets), len(others)), np.float64)
@@ -244,7 +238,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int, key: str, text: str
         for batch in batches:
             bit = batch.column(2).to_numpy()
             batch = batch.filter(pa.array((bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)))
-            for a, n in slices(batch.column(1)):
+            for a, n in slices_of(batch.column(1), SLICE_BYTES):
                 sets = shingle_sets(batch.column(1).slice(a, n), size)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["doc_id", "set"])
 

@@ -14,16 +14,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from opslens.llm.common import query, table
-from opslens.llm.near import GOLDEN, mix, slices
-from opslens.llm.tokens import gather
+from opslens.llm.near import GOLDEN, mix
+from opslens.llm.tokens import gather, slices_of
 
 SAMPLES, ALPHA, SEED = 2, 0.3, 0
 #: Text a task takes on at a time; the lattices of its distinct words are built once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: A branch whose probability is below e**-40 of its document's is not queued: double precision can't tell it from none.
 FAINTEST = -40.0
 SPACE = "▁"
-SAMPLED = "doc_id bigint, sample int, n_pieces bigint, ids binary, log_prob double, score double, log_inclusion double"
+SAMPLED = "doc_id bigint, sample int, n_pieces bigint, ids binary, log_prob double, score double, log_inclusion double, decoded string"
 
 
 def uniform(*keys: np.ndarray | int) -> np.ndarray:
@@ -84,7 +84,7 @@ class Pieces:
         weight = -alpha * np.log(np.arange(len(plain)) + 2.7)
         self.byte_weight = float(weight[-1])
         self.tokens = np.concatenate([plain, np.arange(256) + self.first_byte]).astype(np.uint32)
-        self.weights = np.concatenate([weight, np.full(256, self.byte_weight)])
+        self.weights, self.sizes = np.concatenate([weight, np.full(256, self.byte_weight)]), np.ones(len(self.tokens), np.int64)
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         codes: dict[int, list[tuple[int, int]]] = {}
         for place, i in enumerate(plain):
@@ -119,7 +119,9 @@ class Pieces:
         word = np.repeat(np.arange(len(words)), sizes)
         left = np.repeat(starts + sizes, sizes) - np.arange(len(c))  # characters from here to the word's end
         base = starts + np.arange(len(words))  # first node of each word; node = base + characters before it
-        at_, length_, piece_ = [], [], []
+        # an edge is one number: its node, its length, the place of its tokens; sorted, edges of a node stand together
+        first_node = base[word] - starts[word] + np.arange(len(c))  # of the character
+        packed = []
         alone = np.zeros(len(c), bool)
         for n, h in self.rolled(c, max(self.by_length)):
             if n not in self.by_length:
@@ -128,33 +130,25 @@ class Pieces:
             at = np.flatnonzero((left[: len(h)] >= n) & self.likely[h >> np.uint64(44)])
             h = h[at]
             k = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            hit = hashes[k] == h
-            at_.append(at[hit])
-            length_.append(np.full(int(hit.sum()), n))
-            piece_.append(places[k[hit]])
+            hit = np.flatnonzero(hashes[k] == h)
+            packed.append((first_node[at[hit]] + n) << 32 | n << 24 | places[k[hit]])
             if n == 1:
                 alone[at[hit]] = True
         # characters without a piece: their bytes, as one edge
         odd = np.flatnonzero(~alone)
-        odd_bytes = [chr(int(c[i])).encode("utf-8", "surrogatepass") for i in odd]
-        at = np.concatenate([*at_, odd]).astype(np.int64)
-        length = np.concatenate([*length_, np.ones(len(odd), np.int64)]).astype(np.int64)
-        n_bytes = np.fromiter(map(len, odd_bytes), np.int64, len(odd))
-        piece = np.concatenate([*piece_, np.full(len(odd), -1)]).astype(np.int64)
-        weight = np.concatenate([self.weights[np.concatenate([*piece_, np.zeros(0, np.int64)]).astype(np.int64)], n_bytes * self.byte_weight])
-        token, tokens = piece.copy(), np.ones(len(piece), np.int64)
-        if len(odd):
-            token[-len(odd) :], tokens[-len(odd) :] = [self._byte_run(b) for b in odd_bytes], n_bytes
-        to = base[word[at]] + at - starts[word[at]] + length
-        order = np.argsort(to, kind="stable")
-        to, frm, weight, token, tokens = to[order], (to - length)[order], weight[order], token[order], tokens[order]
+        runs = np.fromiter((self._byte_run(chr(i).encode("utf-8", "surrogatepass")) for i in c[odd].tolist()), np.int64, len(odd))
+        packed = np.sort(np.concatenate([*packed, (first_node[odd] + 1) << 32 | 1 << 24 | runs]))
+        to, token = packed >> 32, packed & 0xFFFFFF
+        frm = to - (packed >> 24 & 0xFF)
+        weight, tokens = self.weights[token], self.sizes[token]
         n_nodes = len(c) + len(words)
         node_edge = np.searchsorted(to, np.arange(n_nodes + 1))
         depth = np.arange(n_nodes) - np.repeat(base, sizes + 1)
         total = np.zeros(n_nodes)
         logp, below = np.zeros(len(to)), np.zeros(len(to))
-        by_depth = np.argsort(depth[to], kind="stable")
-        cuts = np.searchsorted(depth[to][by_depth], np.arange(1, (sizes.max(initial=0)) + 2))
+        by_depth = np.sort(depth[to] << 32 | np.arange(len(to)))
+        cuts = np.searchsorted(by_depth >> 32, np.arange(1, sizes.max(initial=0) + 2))
+        by_depth &= 0xFFFFFFFF
         for d in range(len(cuts) - 1):
             e = by_depth[cuts[d] : cuts[d + 1]]
             if not len(e):
@@ -175,10 +169,13 @@ class Pieces:
         return Lattices((base + sizes).astype(np.int32), node_edge.astype(np.int32), frm.astype(np.int32), to.astype(np.int32), first[frm], logp, below, token, tokens)
 
     def _byte_run(self, raw: bytes) -> int:
-        """Where the byte tokens of a character stand in `tokens`; runs are appended as they come up."""
+        """Where the byte tokens of a character stand in `tokens`, with their number and weight; runs are appended as they come up."""
         if raw not in self.runs:
+            n = len(raw)
             self.runs[raw] = len(self.tokens)
             self.tokens = np.concatenate([self.tokens, np.frombuffer(raw, np.uint8).astype(np.uint32) + self.first_byte])
+            self.weights = np.concatenate([self.weights, np.full(n, n * self.byte_weight)])
+            self.sizes = np.concatenate([self.sizes, np.full(n, n)])
         return self.runs[raw]
 
     def words_of(self, texts: pa.Array) -> tuple[Lattices, np.ndarray, np.ndarray]:
@@ -311,13 +308,14 @@ def pieces(path: str, alpha: float = ALPHA) -> Pieces:
     return Pieces(path, alpha)
 
 
-def sample_pieces(docs: DataFrame, model: str, samples: int = SAMPLES, alpha: float = ALPHA, seed: int = SEED, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Distinct sampled segmentations of whole texts: doc_id, sample (from 1), n_pieces, ids, log_prob, score, log_inclusion.
+def sample_pieces(docs: DataFrame, model: str, samples: int = SAMPLES, alpha: float = ALPHA, seed: int = SEED, key: str = "doc_id", text: str = "text", decode: bool = False) -> DataFrame:
+    """Distinct sampled segmentations of whole texts: doc_id, sample (from 1), n_pieces, ids, log_prob, score, log_inclusion, decoded.
 
     A text gets its `samples` segmentations of largest log probability plus Gumbel noise, which is sampling without replacement;
     log_inclusion is the log probability of being among them, given the best score that is not. Texts with fewer segmentations give all
     of them, and inclusion 1. The noise depends on `seed` and doc_id only, so results do not depend on how rows are stored; rows that repeat a
-    doc_id draw the same noise. `ids` are little-endian unsigned 32-bit integers.
+    doc_id draw the same noise. `ids` are little-endian unsigned 32-bit integers; `decoded` is the text read back from them, or null
+    without `decode`.
 
     An empty or null text has one segmentation, of no pieces. A null doc_id has noise of its own. An empty table gives an empty
     table. Other columns are not read, whatever their names. Nothing is shuffled; a task holds the lattices of some texts at a time.
@@ -327,12 +325,12 @@ def sample_pieces(docs: DataFrame, model: str, samples: int = SAMPLES, alpha: fl
         p = pieces(model, alpha)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).fill_null("")
-            for a, n in slices(texts, SLICE_BYTES):
+            for a, n in slices_of(texts, SLICE_BYTES):
                 some = keys.slice(a, n)
                 ids = some.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
                 seeds = mix(ids.view(np.uint64) * GOLDEN + np.uint64(seed) + some.is_null().to_numpy(zero_copy_only=False).astype(np.uint64))
-                rows = [(doc_id, r + 1, len(got), got.astype("<u4").tobytes(), logp, score, inclusion) for doc_id, of_text in zip(some.to_pylist(), p.sample(texts.slice(a, n), seeds, samples), strict=True) for r, (got, logp, score, inclusion) in enumerate(of_text)]
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.float64(), pa.float64(), pa.float64()]
+                rows = [(doc_id, r + 1, len(got), got.astype("<u4").tobytes(), logp, score, inclusion, p.decode(got) if decode else None) for doc_id, of_text in zip(some.to_pylist(), p.sample(texts.slice(a, n), seeds, samples), strict=True) for r, (got, logp, score, inclusion) in enumerate(of_text)]
+                types = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.float64(), pa.float64(), pa.float64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array([row[i] for row in rows], t) for i, t in enumerate(types)], names=[f.split()[0] for f in SAMPLED.split(", ")])
 
     return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SAMPLED)
@@ -359,5 +357,5 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    decoded = decode_pieces(sample_pieces(table(spark, sf_dir, "documents"), model), model)
-    return decoded.select("doc_id", "sample", "n_pieces", F.crc32("ids").alias("ids_crc32"), F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"), "log_prob", "score", "log_inclusion")
+    sampled = sample_pieces(table(spark, sf_dir, "documents"), model, decode=True)
+    return sampled.select("doc_id", "sample", "n_pieces", F.crc32("ids").alias("ids_crc32"), F.crc32(F.encode("decoded", "UTF-8")).alias("text_crc32"), "log_prob", "score", "log_inclusion")

@@ -38,6 +38,13 @@ def byte_letters() -> dict[int, str]:
     return {ord(c): "".join(shown[b] for b in c.lower().encode()) for c in LETTERS + CAPITALS}
 
 
+def slices_of(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """Start and number of some rows at a time, of about `size` bytes of text."""
+    slice_of = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // size
+    edges = [0, *(np.flatnonzero(np.diff(slice_of)) + 1).tolist(), len(texts)]
+    yield from ((a, b - a) for a, b in zip(edges, edges[1:], strict=False) if b > a)
+
+
 class Encoder:
     """The ids that the tokenizer gives, without special tokens of its own, and an end id behind each text.
 
@@ -146,13 +153,26 @@ class Encoder:
         out[mine], out[ends] = flat, self.end_id
         return out, ids_before + np.arange(n + 1)
 
+    def count(self, texts: pa.Array) -> np.ndarray:
+        """How often each id occurs in the texts; of words, the ids are counted once and weighed."""
+        total = np.zeros(self.vocabulary, np.int64)
+        for a, n in slices_of(texts, SLICE_BYTES):
+            some = texts.slice(a, n).fill_null("")
+            at, per_text, whole = self._words(some) if self.by_word else (None, None, np.ones(n, bool))
+            if whole.any():
+                total += np.bincount(self.encode(some)[0], minlength=len(total))
+                continue
+            times = np.bincount(at, minlength=len(self.place))
+            found = np.flatnonzero(times)
+            ids = gather(self.ids, self.starts[found], self.lengths[found])
+            total += np.bincount(ids, weights=np.repeat(times[found], self.lengths[found]), minlength=len(total)).astype(np.int64)
+            total[self.end_id] += n
+        return total
+
     def slices(self, keys: pa.Array, texts: pa.Array) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
         """The keys, ids and starts of `encode` for some rows at a time, so that memory holds little beyond the ids."""
-        slice_of = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // SLICE_BYTES
-        edges = [0, *(np.flatnonzero(np.diff(slice_of)) + 1).tolist(), len(texts)]
-        for a, b in zip(edges, edges[1:], strict=False):
-            if b > a:
-                yield keys.slice(a, b - a).to_pylist(), *self.encode(texts.slice(a, b - a))
+        for a, n in slices_of(texts, SLICE_BYTES):
+            yield keys.slice(a, n).to_pylist(), *self.encode(texts.slice(a, n))
 
 
 @lru_cache(maxsize=2)
