@@ -9,15 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-import public_tokenizers  # noqa: E402
-
 from opslens.llm import exact, near, packing, toxicity  # noqa: E402
-from opslens.llm.common import stored  # noqa: E402
-from opslens.session import tune  # noqa: E402
+from opslens.llm.common import prepared, stored  # noqa: E402
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score, learnt from the labels, is below one half."""
+    prepared(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     score = "__score"
     return toxicity.score(docs, model, into=score).where(f"{score} < 0.5").drop(score)
@@ -25,16 +23,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts: the one with the largest doc_id."""
+    prepared(spark)
     return exact.keep_unique(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, by five words at 0.8: the one with the smallest doc_id."""
+    prepared(spark)
     return near.keep_one(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token ids in sequences of at most 4096."""
+    import public_tokenizers
+
+    prepared(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -46,7 +49,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to `documents`; each reads what the one before has written."""
-    tune(spark)
+    prepared(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

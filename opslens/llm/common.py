@@ -12,16 +12,26 @@ from opslens.sources.workdir import new_folder
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Texts reach Python tasks in batches of so many bytes, whatever their number.
+SETTINGS = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 
 
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session with the settings that bound the memory of tasks."""
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
+    return tune(spark)
+
+
 def query(name: str, sql: str | None = None):
     """Register a query over (spark, folder of the tables); `sql` computes the same in another engine."""
 
     def add(fn: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(tune(spark), sf_dir)
+            return fn(prepared(spark), sf_dir)
 
         QUERIES[name] = run
         if sql is not None:

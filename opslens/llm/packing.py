@@ -15,7 +15,7 @@ from opslens.llm.tokens import END_ID, encoder
 
 WINDOW = 4096
 #: Ids and documents that are packed together; what a task holds at a time.
-BUFFER_IDS, BUFFER_DOCS = 8_000_000, 200_000
+BUFFER_IDS, BUFFER_DOCS = 4_000_000, 200_000
 PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
