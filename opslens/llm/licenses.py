@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Mapping
 from difflib import SequenceMatcher
 from functools import lru_cache
+from itertools import accumulate
+from typing import NamedTuple
 
 import pyarrow as pa
 import zstandard
@@ -50,54 +54,160 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC0-1.0": ("Released under CC0 1.0.", "This work is dedicated to the public domain under CC0 1.0 Universal."),
 }
-#: What a line must say for its block to be looked at.
+#: Ids of SPDX lines beside the license names themselves.
+SPDX = {"GPL-3.0": ("GPL-3.0-only", "GPL-3.0-or-later"), "GPL-2.0": ("GPL-2.0-only", "GPL-2.0-or-later"), "LGPL-3.0": ("LGPL-3.0-only", "LGPL-3.0-or-later")}
+TEMPLATES = {name: (*ts, *(f"SPDX-License-Identifier: {i}" for i in (name, *SPDX.get(name, ())))) for name, ts in TEMPLATES.items()}
+#: What a text must say to be looked at; candidate blocks are cut around these words.
 MARKERS = r"(?i)licen[cs]e|permission is|redistribut|public domain|released under"
-#: Share of a line's words that templates know, for the line to belong to a block.
-KNOWN = 0.75
-#: Least saving by the best template, and least share of its words that the block has in order.
-LEAST_SAVING, LEAST_WORDING = 0.25, 0.9
+#: Most words that stand for a {}.
+SLOT = 20
+#: Least saving by the best template for a notice to be confirmed.
+LEAST_SAVING = 0.25
+#: Words of which one right before a notice takes it back.
+DENIALS = frozenset(("not", "never", "no", "nor", "neither", "cannot", "t"))
+WORD = r"\w+(?:[-/.]\w+)*"
 FOUND = "doc_id bigint, block int, start bigint, length bigint, text string, license string, saving double, next_license string, next_saving double, wording double, differences array<string>, confirmed boolean"
 
 
 def words_of(text: str) -> list[str]:
     """Lower-cased words with inner hyphens, slashes and dots; {} stands for itself."""
-    return re.findall(r"\{\}|\w+(?:[-/.]\w+)*", text.lower())
+    return re.findall(r"\{\}|" + WORD, text.lower())
+
+
+class Template(NamedTuple):
+    """A wording as words, as runs of words between its {}, and the places of its marker words."""
+
+    name: str
+    words: list[str]
+    runs: list[list[str]]
+    marks: list[int]
+    counts: Counter
+    compressor: zstandard.ZstdCompressor
+
+
+def template(name: str, text: str, level: int) -> Template:
+    words, runs = words_of(text), [[]]
+    for w in words:
+        if w == "{}":
+            runs.append([])
+        else:
+            runs[-1].append(w)
+    data = zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    said, ends = " ".join(words), list(accumulate(len(w) + 1 for w in words))
+    marks = sorted({bisect_right(ends, m.start()) for m in re.finditer(MARKERS, said)})
+    return Template(name, words, [r for r in runs if r], marks, Counter(words), zstandard.ZstdCompressor(level=level, write_content_size=False, dict_data=data))
 
 
 class Matcher:
     """Compares blocks with all templates; equal blocks are compared once."""
 
     def __init__(self, templates: Mapping[str, tuple[str, ...]], level: int = 19):
-        self.entries = [(name, words_of(t), zstandard.ZstdCompressor(level=level, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))) for name, ts in templates.items() for t in ts]
+        self.entries = [template(name, t, level) for name, ts in templates.items() for t in ts]
         self.plain = zstandard.ZstdCompressor(level=level, write_content_size=False)
-        self.vocabulary = {w for _, ws, _ in self.entries for w in ws}
-        self.marker = re.compile(MARKERS)
+        self.marker, self.word = re.compile(MARKERS), re.compile(WORD)
+        self.by_first = defaultdict(list)
+        for n, e in enumerate(self.entries):
+            if e.runs:
+                self.by_first[e.runs[0][0]].append(n)
         self.compare = lru_cache(maxsize=20_000)(self._compare)
 
-    def blocks(self, text: str) -> Iterator[tuple[int, str]]:
-        """Start and text of the runs of lines in which most words are license words and some line has a marker."""
-        at, run, marked = 0, [], False
-        for line in [*text.splitlines(keepends=True), None]:
-            words = words_of(line) if line is not None else []
-            if words and sum(w in self.vocabulary for w in words) >= KNOWN * len(words):
-                run.append((at, line))
-                marked = marked or bool(self.marker.search(line))
-            else:
-                if marked:
-                    yield run[0][0], "".join(x for _, x in run).rstrip()
-                run, marked = [], False
-            at += len(line or "")
-
-    def _compare(self, block: str) -> tuple:
+    def notices(self, text: str) -> list[tuple]:
+        """Start, block and comparison of every candidate: first all whole wordings, then what other marker words stand in."""
+        found = list(self.word.finditer(text))
+        words, spans = [m.group().lower() for m in found], [m.span() for m in found]
+        taken, out = bytearray(len(words)), []
+        for n, a, b in self._whole(words):
+            if not any(taken[a:b]):
+                taken[a:b] = b"\1" * (b - a)
+                out.append((a, b, n))
+        starts, free = [x for x, _ in spans], 0
+        for p in sorted({bisect_right(starts, m.start()) - 1 for m in self.marker.finditer(text)}):
+            if p >= free and not taken[p]:
+                a, b, free = self._around(words, p, max(free, taken.rfind(1, 0, p) + 1), taken.find(1, p))
+                out.append((a, b, None))
+        rows = []
+        for a, b, n in sorted(out, key=lambda x: x[:2]):
+            start, end = spans[a][0], spans[b - 1][1]
+            while end < len(text) and text[end] in ".,;:!?)]\"'":
+                end += 1
+            rows.append((start, text[start:end], self._result(text, words, spans, a, text[start:end], n)))
+        return rows
+
+    def _whole(self, words: list[str]) -> list[tuple[int, int, int]]:
+        """Template number, first word and end of all places where a template stands word by word, those of most words first."""
+        found = []
+        for a, w in enumerate(words):
+            for n in self.by_first.get(w, ()):
+                b = self._end(self.entries[n].runs, words, a)
+                if b is not None:
+                    found.append((n, a, b))
+        return sorted(found, key=lambda f: (-len(self.entries[f[0]].words), f[1], f[2]))
+
+    def _end(self, runs: list[list[str]], words: list[str], a: int) -> int | None:
+        """Where the runs end if the first starts at word `a` and the others follow with at most SLOT words between."""
+        b = a + len(runs[0])
+        if words[a:b] != runs[0]:
+            return None
+        if len(runs) == 1:
+            return b
+        return next((e for i in range(b, min(len(words), b + SLOT + 1)) if words[i] == runs[1][0] and (e := self._end(runs[1:], words, i)) is not None), None)
+
+    def _around(self, words: list[str], p: int, low: int, high: int) -> tuple[int, int, int]:
+        """The block around marker word `p`, between `low` and `high`, and where what it shares with a template ends.
+
+        Each template is laid on the text so that a marker word of it meets `p`. The one with the largest share of its words in its window wins,
+        and the window is widened to words that it has up to a quarter of its length outside.
+        """
+        high = len(words) if high < 0 else high
+        best = (-1.0, 0, p, p + 1, self.entries[0] if self.entries else None)
+        for e in self.entries:
+            same = [q for q in e.marks if e.words[q] == words[p]]
+            for q in same or e.marks:
+                a, b = max(low, p - q), min(high, p - q + len(e.words))
+                share = (Counter(words[a:b]) & e.counts).total() / len(e.words)
+                if (share, len(e.words)) > best[:2]:
+                    best = (share, len(e.words), a, b, e)
+        _, n, a, b, e = best
+        first = max(low, a - n // 4)
+        parts = [m for m in SequenceMatcher(None, e.words, words[first : min(high, b + n // 4)], autojunk=False).get_matching_blocks() if m.size] if e else []
+        if not parts:
+            return min(a, p), max(b, p + 1), p + 1
+        begin, end = first + parts[0].b, first + parts[-1].b + parts[-1].size
+        return min(a, p, begin), max(b, p + 1, end), max(p + 1, end)
+
+    def _result(self, text: str, words: list[str], spans: list[tuple[int, int]], a: int, block: str, n: int | None) -> tuple:
+        """The comparison of a block; a whole wording is confirmed unless a denial stands right before it."""
+        savings = self.compare(block)
+        if n is None:
+            return self.closest(block)
+        e, denials, at = self.entries[n], [], spans[a][0]
+        for i in range(a - 1, max(-1, a - 3), -1):
+            gap = text[spans[i][1] : at]
+            if re.search(r"[.!?]|\n\s*\n", gap) or ("\n" in gap and text[at].isupper()):
+                break
+            denials += [f"+{words[i]}"] * (words[i] in DENIALS)
+            at = spans[i][0]
+        saving = next(s for s, k in savings if k == n)
+        after = next(((s, self.entries[k].name) for s, k in savings if self.entries[k].name != e.name), (None, None))
+        return e.name, saving, after[1], after[0], 1.0, tuple(denials), saving >= LEAST_SAVING and not denials
+
+    def _compare(self, block: str) -> list[tuple[float, int]]:
+        """Saving by each template and its number, the best first."""
         raw = block.lower().encode("utf-8", "surrogatepass")
         alone = len(self.plain.compress(raw))
-        savings = sorted(((1 - len(c.compress(raw)) / alone, name, ws) for name, ws, c in self.entries), key=lambda s: (-s[0], s[1], len(s[2])))
-        best, words = savings[0], words_of(block)
+        return sorted(((1 - len(e.compressor.compress(raw)) / alone, n) for n, e in enumerate(self.entries)), key=lambda s: (-s[0], self.entries[s[1]].name, len(self.entries[s[1]].words)))
+
+    def closest(self, block: str) -> tuple:
+        """The comparison of a block that is no whole wording: not confirmed."""
+        savings = self.compare(block)
+        if not savings:
+            return None, None, None, None, 0.0, (), False
+        words = words_of(block)
         # templates that save as much are told apart by wording
-        agreed = max((self._wording(words, ws) + (s, name) for s, name, ws in savings if s >= best[0] - 0.1), key=lambda x: (x[0], x[2]))
+        agreed = max((self._wording(words, self.entries[n].words) + (s, self.entries[n].name) for s, n in savings if s >= savings[0][0] - 0.1), key=lambda x: (x[0], x[2]))
         wording, differences, saving, name = agreed
-        after = next(((s, n) for s, n, _ in savings if n != name), (None, None))
-        return name, saving, after[1], after[0], wording, differences, saving >= LEAST_SAVING and wording >= LEAST_WORDING and not any(d[0] != "+" for d in differences)
+        after = next(((s, self.entries[n].name) for s, n in savings if self.entries[n].name != name), (None, None))
+        return name, saving, after[1], after[0], wording, differences, False
 
     @staticmethod
     def _wording(words: list[str], template: list[str]) -> tuple[float, tuple[str, ...]]:
@@ -122,12 +232,14 @@ def matcher(templates: tuple[tuple[str, tuple[str, ...]], ...]) -> Matcher:
 
 
 def scan(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row per candidate block of a text: doc_id, block (from 0), start, length, text, license, saving, next_license, next_saving, wording, differences, confirmed.
+    """A row per notice and other candidate block of a text: doc_id, block (from 0), start, length, text, license, saving, next_license, next_saving, wording, differences, confirmed.
 
-    Texts with a marker word are searched for runs of lines of license words. Each block is compressed alone and with every template as raw
-    dictionary; `saving` is the share of bytes that the best one spares, `next_saving` that of the best other license. The
-    winner is confirmed if it spares enough and the block has its wording: all words in order, apart from {}, with
-    none of them missing. `differences` lists words missing (-) or in between (+).
+    In texts with a marker word all places are found where a template stands word by word, wherever they begin in a line and however
+    lines break; up to SLOT words may stand for each {}. Of places that overlap the one with most words counts, each place is a row, and its words
+    are taken out. Around each marker word of the rest a block as long as the template that fits best is cut, so each marker word is in some row. Each block is compressed
+    alone and with every template as raw dictionary; `saving` is the share of bytes that the named one spares, `next_saving` that of the best
+    other license. A row is confirmed if it has all words of a template, spares enough, and none of the two words before it denies it.
+    `differences` lists words missing (-), in between (+), or denying (+).
 
     Null and empty texts have no blocks. Null and repeated doc_ids are kept as they are. An empty table gives an empty table. Start and length
     are in characters. Other columns are not read, whatever their names. Nothing is shuffled.
@@ -139,7 +251,7 @@ def scan(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES,
         for batch in batches:
             rows = []
             for doc_id, said in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows += [(doc_id, i, at, len(block), block, *m.compare(block)) for i, (at, block) in enumerate(m.blocks(said))]
+                rows += [(doc_id, i, at, len(block), block, *result) for i, (at, block, result) in enumerate(m.notices(said))]
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.string(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[f.split()[0] for f in FOUND.split(", ")])
 

@@ -191,6 +191,27 @@ def test_licenses_by_wording(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def confirmed(spark, texts):
+    """Confirmed licenses of each text, in order."""
+    found = defaultdict(list)
+    for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).orderBy("doc_id", "block").collect():
+        assert texts[r.doc_id][r.start : r.start + r.length] == r.text
+        found[r.doc_id] += [r.license] * r.confirmed
+    return [found[i] for i in range(len(texts))]
+
+
+def test_licenses_inside_lines(spark):
+    """Behind a copyright phrase, in the middle of one long line, broken over comment lines, as an SPDX line."""
+    prose = "the quick brown fox jumps over a lazy dog and reads " * 300
+    texts = [
+        "Copyright (c) 2020 Jane Doe. Released under the MIT License.", f"{prose}{LINES['GPL-3.0']} {prose}", prose + licenses.TEMPLATES["MIT"][2] + " " + prose, "# Licensed under the Apache\n# License, Version 2.0.\nimport os",
+        "/* SPDX-License-Identifier: MIT */", f"{prose}{LINES['MIT']} {prose}{LINES['Apache-2.0']}",
+    ]
+    assert confirmed(spark, texts) == [["MIT"], ["GPL-3.0"], ["MIT"], ["Apache-2.0"], ["MIT"], ["MIT", "Apache-2.0"]]
+    other = licenses.scan(spark.createDataFrame([(1, f"{prose}Licensed under CC BY 3.0. {prose}")], "doc_id bigint, text string")).first()
+    assert (other.license, other.confirmed, other.differences) == ("CC-BY-4.0", False, ["-4.0"]) and other.text == "Licensed under CC BY 3.0."
+
+
 # ---- segmentations -------------------------------------------------------------------------------------------------
 
 
