@@ -54,6 +54,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC0-1.0": ("Released under CC0 1.0.", "This work is dedicated to the public domain under CC0 1.0 Universal."),
 }
+#: What an SPDX expression follows.
+TAG = "spdx-license-identifier"
 #: Ids of SPDX lines beside the license names themselves.
 SPDX = {"GPL-3.0": ("GPL-3.0-only", "GPL-3.0-or-later"), "GPL-2.0": ("GPL-2.0-only", "GPL-2.0-or-later"), "LGPL-3.0": ("LGPL-3.0-only", "LGPL-3.0-or-later")}
 TEMPLATES = {name: (*ts, *(f"SPDX-License-Identifier: {i}" for i in (name, *SPDX.get(name, ())))) for name, ts in TEMPLATES.items()}
@@ -109,6 +111,7 @@ class Matcher:
         for n, e in enumerate(self.entries):
             if e.runs:
                 self.by_first[e.runs[0][0]].append(n)
+        self.ids = {e.words[1]: n for n, e in enumerate(self.entries) if len(e.words) == 2 and e.words[0] == TAG}
         self.compare = lru_cache(maxsize=20_000)(self._compare)
 
     def notices(self, text: str) -> list[tuple]:
@@ -116,10 +119,10 @@ class Matcher:
         found = list(self.word.finditer(text))
         words, spans = [m.group().lower() for m in found], [m.span() for m in found]
         taken, out = bytearray(len(words)), []
-        for n, a, b in self._whole(words):
+        for ns, a, b in self._whole(words):
             if not any(taken[a:b]):
                 taken[a:b] = b"\1" * (b - a)
-                out.append((a, b, n))
+                out += [(a, b, n) for n in ns]
         starts, free = [x for x, _ in spans], 0
         for p in sorted({bisect_right(starts, m.start()) - 1 for m in self.marker.finditer(text)}):
             if p >= free and not taken[p]:
@@ -133,15 +136,29 @@ class Matcher:
             rows.append((start, text[start:end], self._result(text, words, spans, a, text[start:end], n)))
         return rows
 
-    def _whole(self, words: list[str]) -> list[tuple[int, int, int]]:
-        """Template number, first word and end of all places where a template stands word by word, those of most words first."""
+    def _whole(self, words: list[str]) -> list[tuple[list[int], int, int]]:
+        """Template numbers, first word and end of all places where a template stands word by word, those of most words first."""
         found = []
         for a, w in enumerate(words):
             for n in self.by_first.get(w, ()):
                 b = self._end(self.entries[n].runs, words, a)
                 if b is not None:
-                    found.append((n, a, b))
-        return sorted(found, key=lambda f: (-len(self.entries[f[0]].words), f[1], f[2]))
+                    found.append((len(self.entries[n].words), [n], a, b))
+            if w == TAG and (e := self._expression(words, a))[0]:
+                found.append((e[1] - a, e[0], a, e[1]))
+        return [f[1:] for f in sorted(found, key=lambda f: (-f[0], f[2], -f[3], -len(f[1])))]
+
+    def _expression(self, words: list[str], a: int) -> tuple[list[int], int]:
+        """Numbers of the templates whose ids an SPDX expression names, each license once, and where the expression ends."""
+        ids, b = [], a + 1
+        while b < len(words):
+            if words[b - 1] != "with" and words[b] in self.ids:
+                ids.append(self.ids[words[b]])
+            b += 1
+            if b + 1 >= len(words) or words[b] not in ("or", "and", "with"):
+                break
+            b += 1
+        return list({self.entries[n].name: n for n in ids}.values()), b
 
     def _end(self, runs: list[list[str]], words: list[str], a: int) -> int | None:
         """Where the runs end if the first starts at word `a` and the others follow with at most SLOT words between."""
@@ -177,9 +194,10 @@ class Matcher:
 
     def _result(self, text: str, words: list[str], spans: list[tuple[int, int]], a: int, block: str, n: int | None) -> tuple:
         """The comparison of a block; a whole wording is confirmed unless a denial stands right before it."""
-        savings = self.compare(block)
         if n is None:
             return self.closest(block)
+        # of an SPDX expression its tag and this id are compared
+        savings = self.compare(": ".join(self.entries[n].words) if n in self.ids.values() else block)
         e, denials, at = self.entries[n], [], spans[a][0]
         for i in range(a - 1, max(-1, a - 3), -1):
             gap = text[spans[i][1] : at]
@@ -236,7 +254,8 @@ def scan(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES,
 
     In texts with a marker word all places are found where a template stands word by word, wherever they begin in a line and however
     lines break; up to SLOT words may stand for each {}. Of places that overlap the one with most words counts, each place is a row, and its words
-    are taken out. Around each marker word of the rest a block as long as the template that fits best is cut, so each marker word is in some row. Each block is compressed
+    are taken out; an SPDX expression is a row for each license that it names, compared by its tag and that id. Around each marker word of
+    the rest a block as long as the template that fits best is cut, so each marker word is in some row. Each block is compressed
     alone and with every template as raw dictionary; `saving` is the share of bytes that the named one spares, `next_saving` that of the best
     other license. A row is confirmed if it has all words of a template, spares enough, and none of the two words before it denies it.
     `differences` lists words missing (-), in between (+), or denying (+).

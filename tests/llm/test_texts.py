@@ -212,6 +212,18 @@ def test_licenses_inside_lines(spark):
     assert (other.license, other.confirmed, other.differences) == ("CC-BY-4.0", False, ["-4.0"]) and other.text == "Licensed under CC BY 3.0."
 
 
+def test_licenses_next_to_each_other(spark):
+    """Every notice is a row: on adjacent lines, the same one twice, on one line, in an SPDX expression, and beside one that differs."""
+    texts = [
+        f"{LINES['MIT']}\n{LINES['Apache-2.0']}", f"{LINES['MIT']}\n{LINES['MIT']}\n", " ".join(LINES.values()), "// SPDX-License-Identifier: (MIT OR GPL-2.0-or-later WITH Classpath-exception-2.0) AND Apache-2.0\nimport os",
+        "SPDX-License-Identifier: MIT\nSPDX-License-Identifier: Apache-2.0", "SPDX-License-Identifier: Foo-1.0 OR MIT",
+    ]
+    assert confirmed(spark, texts) == [["MIT", "Apache-2.0"], ["MIT", "MIT"], list(LINES), ["MIT", "GPL-2.0", "Apache-2.0"], ["MIT", "Apache-2.0"], ["MIT"]]
+    mixed = f"Licensed under CC BY 3.0.\n{LINES['MIT']}\nLicensed under CC BY 2.0."
+    rows = licenses.scan(spark.createDataFrame([(1, mixed)], "doc_id bigint, text string")).orderBy("block").collect()
+    assert [(r.license, r.confirmed) for r in rows] == [("CC-BY-4.0", False), ("MIT", True), ("CC-BY-4.0", False)]
+
+
 # ---- segmentations -------------------------------------------------------------------------------------------------
 
 
