@@ -18,6 +18,14 @@ from pyspark.sql import functions as F
 
 from opslens.llm.common import query, table
 
+#: What all BSD licenses say, with numbers of the clauses or without; the disclaimer follows in the one of two clauses, a third in the other.
+NUMBERED = (("1.", "2.", "3."), ("", "", ""))
+BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are"
+    " met: {} Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+    " {} Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the"
+    " documentation and/or other materials provided with the distribution."
+)
 #: Wording of well-known notices; {} stands for a name, a year or a title. Fixed values.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "MIT": (
@@ -43,10 +51,14 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         " published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     ),
     "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.",),
+    "BSD-2-Clause": ("Released under the BSD 2-Clause License.", *(f"{BSD.format(*n)} THIS SOFTWARE IS PROVIDED BY" for n in NUMBERED)),
     "BSD-3-Clause": (
         "Released under the BSD 3-Clause License.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following"
-        " conditions are met:",
+        *(
+            f"{BSD.format(*n)} {n[2]} Neither the name of {{}} nor the names of its contributors may be used to endorse or promote products derived"
+            " from this software without specific prior written permission."
+            for n in NUMBERED
+        ),
     ),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),

@@ -224,6 +224,26 @@ def test_licenses_next_to_each_other(spark):
     assert [(r.license, r.confirmed) for r in rows] == [("CC-BY-4.0", False), ("MIT", True), ("CC-BY-4.0", False)]
 
 
+def test_licenses_of_a_family_and_denied(spark):
+    """BSD licenses are told apart by their third clause; a word in between or a denial right before is not confirmed."""
+    two = licenses.TEMPLATES["BSD-2-Clause"][1] + " THE COPYRIGHT HOLDERS AND CONTRIBUTORS"
+    clause = " Neither the name of the Example Company, Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    cut = two.index(" THIS SOFTWARE")
+    three = two[:cut] + " 3." + clause + two[cut:]
+    plain = three.replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ")
+    four = two[:cut] + " 3. All advertising materials must display the following acknowledgement." + clause.replace(" Neither", " 4. Neither") + two[cut:]
+    denied = ["This work is not licensed under the GNU General Public License, version 3.", "It is not licensed under the Apache License, Version 2.0.", "No longer released under the MIT License."]
+    texts = [two, three, plain, four, two[: two.index(" 1.")], "Why not? " + LINES["MIT"], *denied]
+    assert confirmed(spark, texts) == [["BSD-2-Clause"], ["BSD-3-Clause"], ["BSD-3-Clause"], [], [], ["MIT"], [], [], []]
+    rows = licenses.scan(spark.createDataFrame([(i, t) for i, t in enumerate(denied)], "doc_id bigint, text string")).orderBy("doc_id").collect()
+    assert [(r.license, r.differences) for r in rows] == [("GPL-3.0", ["+not"]), ("Apache-2.0", ["+not"]), ("MIT", ["+no"])]
+
+
+def test_each_license_template_finds_itself(spark):
+    filled = [(name, t.replace("{}", "Jane Doe")) for name, ts in licenses.TEMPLATES.items() for t in ts]
+    assert confirmed(spark, [t for _, t in filled]) == [[name] for name, _ in filled]
+
+
 # ---- segmentations -------------------------------------------------------------------------------------------------
 
 
