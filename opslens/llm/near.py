@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opslens.llm.common import query, stored, table
@@ -19,7 +19,7 @@ SLICE_BYTES = 8 << 20
 FILTER_BITS = 1 << 26
 #: Documents on a side of a tile in which all pairs are compared.
 TILE = 256
-SKETCH = "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>"
+SKETCH = "doc_id bigint, said binary, n_shingles bigint, digest binary, bands array<bigint>"
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -109,8 +109,12 @@ def band_keys(signatures: np.ndarray, rows: int) -> np.ndarray:
     return h.view(np.int64)
 
 
-def sketches(docs: DataFrame, size: int, rows: int, bands: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: n_shingles, a digest of its set, and its band keys. A document without shingles has no digest and no bands."""
+def digest_of(shingles: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(shingles.astype("<u8", copy=False).tobytes())
+
+
+def sketches(docs: DataFrame, size: int, rows: int, bands: int, key: str = "doc_id", text: str = "text", said: Column | None = None) -> DataFrame:
+    """Per document: n_shingles, a digest of its set, its band keys, and `said` as it is. A document without shingles has no digest and no bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,14 +127,16 @@ def sketches(docs: DataFrame, size: int, rows: int, bands: int, key: str = "doc_
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, n),
+                        batch.column(2).slice(a, n),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+                        pa.array([digest_of(s) if len(s) else None for s in sets], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(keys.reshape(-1), pa.int64())),
                     ],
-                    names=["doc_id", "n_shingles", "digest", "bands"],
+                    names=["doc_id", "said", "n_shingles", "digest", "bands"],
                 )
 
-    return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SKETCH)
+    said = F.lit(None) if said is None else said
+    return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"), said.cast("binary").alias("said")).mapInArrow(run, SKETCH)
 
 
 def common(sets: list[np.ndarray], others: list[np.ndarray], columns: int = 1 << 13) -> np.ndarray:
@@ -228,7 +234,7 @@ def marked(ids: DataFrame) -> np.ndarray:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int, key: str, text: str) -> DataFrame:
-    """doc_id and set (sorted hashes, little-endian 64-bit integers) of the documents in `wanted` (doc_id), and perhaps of others.
+    """digest and set (sorted hashes, little-endian 64-bit integers) of the documents in `wanted` (doc_id), and perhaps of others.
 
     Which texts are wanted is told by a bitmap, so texts are not shuffled. With more ids than the bitmap has bits it lets all pass.
     """
@@ -240,14 +246,17 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int, key: str, text: str
             batch = batch.filter(pa.array((bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)))
             for a, n in slices_of(batch.column(1), SLICE_BYTES):
                 sets = shingle_sets(batch.column(1).slice(a, n), size)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["doc_id", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array([digest_of(s) for s in sets], pa.binary()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["digest", "set"])
 
     texts = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
-    return texts.withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))).mapInArrow(run, "doc_id bigint, set binary")
+    return texts.withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))).mapInArrow(run, "digest binary, set binary")
 
 
 def links_in(tiles: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) found in `tiles`: pivot, i, j (they name the tile), doc_id, label, side (0 or 1; null: compare all with all)."""
+    """Links (a, b) found in `tiles`: pivot, i, j (they name the tile), name, digest, label, side (0 or 1; null: compare all with all).
+
+    `sets` may have a digest several times, as rows that repeat a doc_id do; a class is in a tile once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, rows = None, []
@@ -264,12 +273,14 @@ def links_in(tiles: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     if rows:
                         yield links()
                     name, rows = (pivot, i, j), []
-                rows.append(row)
+                # row: name, label, side, set
+                if not rows or (rows[-1][0], rows[-1][2]) != (row[0], row[2]):
+                    rows.append(row)
         if rows:
             yield links()
 
-    with_sets = tiles.join(sets, "doc_id").select("pivot", "i", "j", "doc_id", "label", "side", "set")
-    return with_sets.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j").mapInArrow(run, "a bigint, b bigint")
+    with_sets = tiles.join(sets, "digest").select("pivot", "i", "j", "name", "label", "side", "set")
+    return with_sets.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j", "name", "side").mapInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int = 6, bands: int = 42, key: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
@@ -279,8 +290,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     are what links connect. Candidates share a band of `rows` places of their SuperMinHash signatures; with 6 rows and 42 bands a pair at
     0.8 is missed with a probability of 3e-6. Every link is confirmed on the full sets.
 
-    Equal sets are one class, named by its smallest doc_id, and only classes go on. Each bucket has a pivot, its smallest
-    doc_id, and the members of all buckets of a pivot form a group. Groups are cut into blocks of some `tile` members; all pairs
+    Equal sets are one class, named by a number, and only classes go on. Each bucket has a pivot, its smallest
+    number, and the members of all buckets of a pivot form a group. Groups are cut into blocks of some `tile` members; all pairs
     of a block, with the pivot, are compared in a tile, which returns only links that connect something new. Where a larger group is
     not one component then, what is outside its main component is compared with all other blocks, so no pair that
     shares a band is left out, and pairs inside a component are not compared again.
@@ -289,45 +300,55 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     gets a null component and is kept. Rows that repeat a doc_id are taken as they are: each gets the component of its own text. An empty table gives
     an empty table. Other columns are not read, whatever their names.
     """
-    sketched = stored(sketches(docs, size, rows, bands, key, text), "near-sketches")
+    return grouped(docs, size, percent, rows, bands, key, text, tile).drop("said")
+
+
+def grouped(docs: DataFrame, size: int = 5, percent: int = 80, rows: int = 6, bands: int = 42, key: str = "doc_id", text: str = "text", tile: int = TILE, said: Column | None = None) -> DataFrame:
+    """`near_duplicates`, with `said` of each row of `docs`."""
+    sketched = stored(sketches(docs, size, rows, bands, key, text, said), "near-sketches")
     named = sketched.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    classes = stored(named.groupBy("digest").agg(F.min(F.struct("doc_id", "bands")).alias("c")).select("digest", F.col("c.doc_id").alias("rep"), "c.bands"), "near-classes")
+    least = named.groupBy("digest").agg(F.min(F.struct("doc_id", "bands")).alias("c")).select("digest", F.col("c.doc_id").alias("rep"), "c.bands")
+    # a doc_id with several texts is in several classes, so numbers name them; they stay as they are once written
+    classes = stored(least.withColumn("name", F.monotonically_increasing_id()), "near-classes")
 
-    placed = classes.select("rep", F.explode("bands").alias("band"))
-    buckets = placed.groupBy("band").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last").select("band", "pivot")
-    groups = stored(placed.join(buckets, "band").select("pivot", F.col("rep").alias("doc_id")).distinct(), "near-groups")
-    sets = stored(full_sets(docs, groups.select("doc_id").distinct(), size, key, text), "near-sets")
+    placed = classes.select("name", F.explode("bands").alias("band"))
+    buckets = placed.groupBy("band").agg(F.min("name").alias("pivot"), F.max("name").alias("last")).where("pivot < last").select("band", "pivot")
+    members = placed.join(buckets, "band").select("pivot", "name").distinct()
+    groups = stored(members.join(classes.select("name", "digest", "rep"), "name"), "near-groups")
+    sets = stored(full_sets(docs, groups.select(F.col("rep").alias("doc_id")).distinct(), size, key, text), "near-sets")
 
     sizes = groups.groupBy("pivot").agg(F.ceil((F.count("*") / tile)).cast("int").alias("blocks"))
     blocked = groups.join(sizes, "pivot")
     one = F.lit(None).cast("int").alias("side")
-    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("i")
-    members = blocked.where("doc_id != pivot").select("pivot", block, F.lit(0).alias("j"), "doc_id", F.col("doc_id").alias("label"), one)
-    pivots = blocked.where("doc_id = pivot").select("pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.lit(0).alias("j"), "doc_id", F.col("doc_id").alias("label"), one)
-    roots = components(links_in(members.union(pivots), sets, percent))
+    block = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int").alias("i")
+    members = blocked.where("name != pivot").select("pivot", block, F.lit(0).alias("j"), "name", "digest", F.col("name").alias("label"), one)
+    pivots = blocked.where("name = pivot").select("pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.lit(0).alias("j"), "name", "digest", F.col("name").alias("label"), one)
+    roots = components(links_in(members.union(pivots), sets, percent)).toDF("name", "component")
 
     # groups of several blocks that are not one component
-    labelled = stored(blocked.where("blocks > 1").join(roots, "doc_id", "left").select("pivot", "doc_id", "blocks", F.coalesce("component", "doc_id").alias("label")), "near-open")
+    labelled = stored(blocked.where("blocks > 1").join(roots, "name", "left").select("pivot", "name", "digest", "blocks", F.coalesce("component", "name").alias("label")), "near-open")
     parts = labelled.groupBy("pivot", "label").agg(F.count("*").alias("n")).groupBy("pivot").agg(F.max(F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("outside")).where("outside > 0")
     still = labelled.join(parts.select("pivot", F.col("main.label").alias("main"), F.ceil(F.col("outside") / tile).cast("int").alias("rests")), "pivot")
-    hashed = F.xxhash64("doc_id")
-    rest = still.where("label != main").select("pivot", F.pmod(hashed, F.col("rests")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "doc_id", "label", F.lit(0).alias("side"))
-    others = still.select("pivot", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("i"), F.pmod(hashed, F.col("blocks")).cast("int").alias("j"), "doc_id", "label", F.lit(1).alias("side"))
+    hashed = F.xxhash64("name")
+    rest = still.where("label != main").select("pivot", F.pmod(hashed, F.col("rests")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "name", "digest", "label", F.lit(0).alias("side"))
+    others = still.select("pivot", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("i"), F.pmod(hashed, F.col("blocks")).cast("int").alias("j"), "name", "digest", "label", F.lit(1).alias("side"))
     more = stored(links_in(rest.union(others), sets, percent), "near-more")
     if not more.isEmpty():
-        roots = components(roots.toDF("a", "b").union(more))
-
-    of_class = classes.select("digest", "rep").join(roots, F.col("rep") == F.col("doc_id"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    return sketched.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(of_class, "digest", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.col("doc_id").eqNullSafe(F.coalesce("component", "doc_id")).alias("kept")
+        roots = components(roots.toDF("a", "b").union(more)).toDF("name", "component")
+
+    # the smallest doc_id of a component
+    linked = classes.select("digest", "name", "rep").join(roots, "name")
+    smallest = linked.groupBy("component").agg(F.min("rep").alias("first"))
+    of_class = linked.join(smallest, "component").select("digest", "first").union(classes.join(roots, "name", "left_anti").select("digest", "rep"))
+    return sketched.select("doc_id", "said", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(of_class, "digest", "left").select(
+        "doc_id", "said", "n_shingles", F.coalesce("first", "doc_id").alias("component_id"), F.col("doc_id").eqNullSafe(F.coalesce("first", "doc_id")).alias("kept")
     )
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of `docs`, with all columns, but those whose doc_id `near_duplicates` keeps in no row."""
-    found = near_duplicates(docs, key=key, text=text, **how)
-    gone = found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("NOT kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[key].cast("bigint") == gone["__gone"], "left_anti")
+    """The rows of `docs`, with all columns, that `near_duplicates` keeps. Rows are known by doc_id and MD5 of their text."""
+    gone = grouped(docs, key=key, text=text, said=F.unhex(F.md5(text)), **how).where("NOT kept").select(F.col("doc_id").alias("__gone"), F.col("said").alias("__said")).distinct()
+    return docs.join(gone, (docs[key].cast("bigint") == gone["__gone"]) & (F.unhex(F.md5(docs[text])) == gone["__said"]), "left_anti")
 
 
 @query("op5_near_dedup")

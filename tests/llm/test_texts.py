@@ -93,6 +93,17 @@ def test_near_duplicates_of_nothing_and_of_repeats(spark):
     assert [tuple(r) for r in near.near_duplicates(same).collect()] == [(1, 1, 1, True)] * 3
 
 
+@pytest.mark.parametrize("tile", [2, 256])
+def test_repeated_ids_with_other_texts(spark, tile):
+    """A doc_id that stands for several texts: each row has the component of its own text, and only copies are lost."""
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(40)) for k in "abcd")
+    rows = [(5, a), (5, b), (5, a), (3, a + " more"), (7, c), (7, d), (8, c + " more"), (9, d + " more"), (9, "alone x y z"), (None, a)]
+    df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id bigint, text string, n int").repartition(3)
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in near.near_duplicates(df, 3, 85, 7, 36, tile=tile).collect()), key=str)
+    assert got == sorted([(5, 3, False), (5, 5, True), (5, 3, False), (3, 3, True), (7, 7, True), (7, 7, True), (8, 7, False), (9, 7, False), (9, 9, True), (None, None, True)], key=str)
+    assert sorted(r.n for r in near.keep_one(df, size=3, percent=85, rows=7, bands=36, tile=tile).collect()) == [1, 3, 4, 5, 8, 9]
+
+
 def test_signatures_estimate_similarity():
     r = np.random.default_rng(1)
     both = r.integers(0, 2**63, 400).astype(np.uint64)
