@@ -18,6 +18,8 @@ QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 16_384
 EXACT_COMPONENTS = 1024
 #: Above any rounding error of the double-precision sums compared with the bounds.
 SLACK = 1e-9
+#: Survivors listed at once (or those of one query), and doubles of a side that are measured at once.
+PAIRS, VALUES = 1 << 20, 1 << 22
 FOUND = "query_id bigint, vec_id bigint, score double"
 
 
@@ -72,13 +74,22 @@ def tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, candidates
     lower = about - off
     at = max(len(ids) - k, 0)
     least = np.partition(lower, at, axis=1)[:, at]
-    i, j = np.nonzero((about + off >= least[:, None]) & np.isfinite(about))
-    score = cosines(queries[i], candidates[j])
-    order = np.lexsort((ids[j], -score, i))
-    i, j, score = i[order], j[order], score[order]
-    rank = np.arange(len(i)) - np.searchsorted(i, i)
-    best = rank < k
-    return query_ids[i[best]], ids[j[best]], score[best]
+    left = (about + off >= least[:, None]) & np.isfinite(about)
+    # some queries and some pairs at a time, so memory does not grow with the number of ties
+    ends = np.cumsum(left.sum(axis=1))
+    found, first, step = [], 0, max(1, VALUES // queries.shape[1])
+    while first < len(queries):
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + PAIRS, side="right")))
+        i, j = np.nonzero(left[first:last])
+        i += first
+        score = np.concatenate([np.zeros(0), *(cosines(queries[i[x : x + step]], candidates[j[x : x + step]]) for x in range(0, len(i), step))])
+        order = np.lexsort((ids[j], -score, i))
+        i, j, score = i[order], j[order], score[order]
+        best = np.arange(len(i)) - np.searchsorted(i, i) < k
+        found.append((query_ids[i[best]], ids[j[best]], score[best]))
+        first = last
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def nearest(queries: DataFrame, candidates: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:

@@ -63,6 +63,21 @@ def test_one_very_common_vector(spark):
     assert [r.vec_id for r in got.orderBy("rank").collect()] == [2, 4, 5, 7, 8]
 
 
+def test_ties_are_measured_some_at_a_time(monkeypatch):
+    """With a third of all vectors equal, never more pairs at once than set, and the same neighbours as by all pairs at once."""
+    r = np.random.default_rng(3)
+    b = r.normal(size=(600, 8))
+    b[::3] = b[0]
+    ids, asked = np.arange(600), np.arange(0, 600, 4)
+    want = nearest.tile(asked, b[asked], ids, b, 5)
+    seen, measure = [], nearest.cosines
+    monkeypatch.setattr(nearest, "cosines", lambda x, y: seen.append(len(x)) or measure(x, y))
+    monkeypatch.setattr(nearest, "PAIRS", 300, raising=False)
+    monkeypatch.setattr(nearest, "VALUES", 8 * 64, raising=False)
+    got = nearest.tile(asked, b[asked], ids, b, 5)
+    assert max(seen) <= 64 and sum(seen) > 50 * 199 and all((x == y).all() for x, y in zip(got, want, strict=True))
+
+
 # ---- chat ----------------------------------------------------------------------------------------------------------
 
 
