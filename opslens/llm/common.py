@@ -45,19 +45,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write to a new shared folder and read back, with the folder's path.
+def stored_at(df: DataFrame, name: str, **options) -> tuple[DataFrame, str]:
+    """Write to a new shared folder and read back, with the folder's path; `options` are the writer's.
 
     Cuts the lineage: a lost executor costs no recomputation, and everything later reads the same rows, also where the plan above
     is not repeatable (ties, sampled ranges).
     """
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    return stored_at(df, name)[0]
+def stored(df: DataFrame, name: str, **options) -> DataFrame:
+    return stored_at(df, name, **options)[0]
+
+
+#: Parts that the rows of one key are dealt into.
+SALTS = 32
+
+
+def looked_up(rows: DataFrame, values: DataFrame, on: str, spread: Column, salts: int = SALTS) -> DataFrame:
+    """Rows with the columns of `values`, which has one row per `on` at most; null meets null, rows without a partner get nulls.
+
+    A key that holds many rows is dealt into `salts` parts by `spread`, which only goes over the rows; `values` first goes to the pairs of
+    key and part that occur, at most `salts` per key, and these to the rows. So neither side has a hot key, whatever its size.
+    """
+    salt, key = "__salt", "__key"
+    salted = rows.withColumn(salt, F.pmod(spread, F.lit(salts)).cast("int"))
+    pairs = salted.select(F.col(on).alias(key), F.col(salt).alias(f"{salt}s")).distinct()
+    others = [c for c in values.columns if c != on]
+    found = pairs.join(values.select(F.col(on).alias(f"{key}s"), *others), F.col(key).eqNullSafe(F.col(f"{key}s")), "left")
+    met = salted.join(found, salted[on].eqNullSafe(found[key]) & (salted[salt] == found[f"{salt}s"]), "left")
+    return met.select(*[salted[c] for c in rows.columns], *[found[c] for c in others])
 
 
 def ascii_lower(text: Column) -> Column:
