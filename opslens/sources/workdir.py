@@ -23,3 +23,11 @@ def shared_root(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder no other run uses."""
     return f"{shared_root(spark)}/opslens/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a working folder that nothing reads any more."""
+    if "/opslens/" not in path:
+        raise ValueError(f"{path} is not a working folder")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
