@@ -16,9 +16,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from opslens.llm.common import query, table
-from opslens.llm.tokens import END_ID, binary_slices, encoder
-from opslens.sources.workdir import new_folder
+from opslens.llm.common import query, stored_at, table, tidy
+from opslens.llm.tokens import END_ID, SLICE_BYTES, binary_slices, encoder, slices_of
+from opslens.sources.workdir import drop_folder, new_folder
 
 MAX_BITS = 20
 STRIDE = 256
@@ -111,18 +111,41 @@ def codec(lengths: bytes) -> Codec:
     return Codec(np.frombuffer(lengths, np.uint8))
 
 
-def count_ids(docs: DataFrame, tokenizer: str, text: str = "text", end_id: int = END_ID, by_word: bool = True) -> DataFrame:
-    """How often each id occurs in all documents: id, n. Each task sums its own first."""
+def tokenized(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID, by_word: bool = True) -> DataFrame:
+    """doc_id, said (hash of the text), n, ids (little-endian unsigned integers of 16 bits, or of 32 for a vocabulary beyond): whole texts, each tokenized once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, end_id, by_word)
-        total = np.zeros(enc.vocabulary, np.int64)
+        width = 2 if enc.vocabulary <= 1 << 16 else 4
         for batch in batches:
-            total += enc.count(batch.column(0))
-        ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], names=["id", "n"])
+            for a, n in slices_of(batch.column(2), SLICE_BYTES):
+                ids, bounds = enc.encode(batch.column(2).slice(a, n))
+                sizes = pa.array(np.diff(bounds), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), batch.column(1).slice(a, n), sizes, binary_slices(ids, bounds, width)], names=["doc_id", "said", "n", "ids"])
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("said"), F.col(text).alias("text")).mapInArrow(tidy(run), "doc_id bigint, said bigint, n bigint, ids binary")
+
+
+def flat_ids(sizes: pa.Array, ids: pa.Array) -> np.ndarray:
+    """The ids of all rows of `tokenized`, one after the other; every row has one at least."""
+    joined = b"".join(ids.to_pylist())
+    total = int(sizes.to_numpy().sum())
+    return np.frombuffer(joined, f"<u{len(joined) // total}") if total else np.zeros(0, np.uint16)
+
+
+def count_ids(ids: DataFrame) -> DataFrame:
+    """How often each id occurs in all rows of `tokenized`: id, n. Each task sums its own first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1, np.int64)
+        for batch in batches:
+            counts = np.bincount(flat_ids(*batch.columns), minlength=len(total))
+            counts[: len(total)] += total
+            total = counts
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], names=["id", "n"])
+
+    return ids.select("n", "ids").mapInArrow(tidy(run), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_store(
@@ -131,15 +154,15 @@ def write_store(
 ) -> None:
     """Tokenize whole texts and write their ids, with `end_id` behind each document, in ascending order of doc_id.
 
-    Codes come from counts over all documents. Then documents are range-partitioned on doc_id, each partition is a file, and is
-    tokenized and coded as a stream. Tokenizing twice costs less than keeping the ids between the two passes. Only the
-    counts reach the driver, at most one row per id of the vocabulary.
+    Each text is tokenized once; its ids are written, counted, range-partitioned on doc_id (no text is shuffled), and each partition is
+    coded as a stream into a file. The uncoded ids are removed then. Only the counts reach the driver, at most one row per id of the vocabulary.
 
     A null text is a document of one id. Null doc_ids come first. Rows that repeat a doc_id are kept, in the order of their texts'
     hashes. An empty table gives a store without documents. Other columns are not read, whatever their names.
     """
     spark = docs.sparkSession
-    counts = count_ids(docs, tokenizer, text, end_id, by_word).collect()
+    uncoded, scratch = stored_at(tokenized(docs, tokenizer, key, text, end_id, by_word), "token-ids", compression="zstd")
+    counts = count_ids(uncoded).collect()
     n_ids = max([r["id"] for r in counts], default=0) + 1
     by_id = np.zeros(n_ids, np.int64)
     for r in counts:
@@ -148,7 +171,7 @@ def write_store(
     spark.createDataFrame([(bytearray(lengths),)], "lengths binary").coalesce(1).write.parquet(f"{path}/codebook")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, codes = encoder(tokenizer, end_id, by_word), codec(lengths)
+        codes = codec(lengths)
         file, block, first = TaskContext.get().partitionId(), 0, 0
         keys, parts, held = [], [], 0
 
@@ -159,21 +182,21 @@ def write_store(
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], names=["file", "block", "first", "doc_ids", "lengths", "checkpoints", "payload"])
 
         for batch in batches:
-            for some, ids, bounds in enc.slices(batch.column(0), batch.column(1)):
-                for key, a, b in zip(some, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                    keys.append(key)
-                    parts.append(ids[a:b])
-                    held += b - a
-                    if held >= block_ids:
-                        yield close()
-                        block, first, keys, parts, held = block + 1, first + held, [], [], 0
+            for key, size, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "ids")), strict=True):
+                keys.append(key)
+                parts.append(np.frombuffer(ids, f"<u{len(ids) // size}"))
+                held += size
+                if held >= block_ids:
+                    yield close()
+                    block, first, keys, parts, held = block + 1, first + held, [], [], 0
         if keys:
             yield close()
 
     n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    ranged = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(n, *order).sortWithinPartitions(*order)
-    ranged.mapInArrow(run, BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("said")]
+    ranged = uncoded.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    ranged.mapInArrow(tidy(run), BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    drop_folder(spark, scratch)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -207,7 +230,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     files = blocks.groupBy("file").agg(F.sum(total).alias("n"))
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     offsets = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    return blocks.mapInArrow(run, DOCUMENTS).join(F.broadcast(offsets), "file").select("doc_id", (F.col("before") + F.col("start_in_file")).alias("start"), "n_tokens", "ids")
+    return blocks.mapInArrow(tidy(run), DOCUMENTS).join(F.broadcast(offsets), "file").select("doc_id", (F.col("before") + F.col("start_in_file")).alias("start"), "n_tokens", "ids")
 
 
 @query("op1_token_store")

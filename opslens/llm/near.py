@@ -11,10 +11,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opslens.llm.common import query, stored, table
+from opslens.llm.common import query, stored, table, tidy
 from opslens.llm.tokens import slices_of
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Bits of the filter that says whose sets are needed.
 FILTER_BITS = 1 << 26
 #: Documents on a side of a tile in which all pairs are compared.
@@ -136,7 +136,7 @@ def sketches(docs: DataFrame, size: int, rows: int, bands: int, key: str = "doc_
                 )
 
     said = F.lit(None) if said is None else said
-    return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"), said.cast("binary").alias("said")).mapInArrow(run, SKETCH)
+    return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"), said.cast("binary").alias("said")).mapInArrow(tidy(run), SKETCH)
 
 
 def common(sets: list[np.ndarray], others: list[np.ndarray], columns: int = 1 << 13) -> np.ndarray:
@@ -249,7 +249,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int, key: str, text: str
                 yield pa.RecordBatch.from_arrays([pa.array([digest_of(s) for s in sets], pa.binary()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["digest", "set"])
 
     texts = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
-    return texts.withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))).mapInArrow(run, "digest binary, set binary")
+    return texts.withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))).mapInArrow(tidy(run), "digest binary, set binary")
 
 
 def links_in(tiles: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -280,7 +280,7 @@ def links_in(tiles: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield links()
 
     with_sets = tiles.join(sets, "digest").select("pivot", "i", "j", "name", "label", "side", "set")
-    return with_sets.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j", "name", "side").mapInArrow(run, "a bigint, b bigint")
+    return with_sets.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j", "name", "side").mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int = 6, bands: int = 42, key: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:

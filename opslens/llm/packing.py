@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opslens.llm.common import query, table
+from opslens.llm.common import query, table, tidy
 from opslens.llm.tokens import END_ID, encoder
 
 WINDOW = 4096
@@ -151,7 +151,7 @@ def pack(
     sequence_id holds the task in its upper bits: it is unique, not gapless, and a repeated task gives the same ones.
     """
     run = _pack_task(tokenizer, end_id, by_word, window, buffer_ids, buffer_docs)
-    return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), PIECES)
 
 
 @query("op6_packing")

@@ -12,8 +12,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 END_ID = 2
-#: Distinct words a worker process remembers, and bytes of text it takes on at a time.
-MEMO_WORDS, SLICE_BYTES = 700_000, 8 << 20
+#: Distinct words a worker process remembers (some 120 bytes each), and bytes of text it takes on at a time.
+MEMO_WORDS, SLICE_BYTES = 300_000, 4 << 20
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -67,16 +67,20 @@ class Encoder:
         self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if suffix and t.endswith(suffix)]] = True
         self.letters, self.as_bytes = f"^[{LETTERS}{CAPITALS}]+$", byte_letters()
         self.specials = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self._forget()
+        self.place: dict[str, int] = {}
+        self.ids, self.starts, self.lengths = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.used = 0
 
     @property
     def vocabulary(self) -> int:
         return max(self.tokenizer.get_vocab_size(), self.end_id + 1)
 
-    def _forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ids, self.starts, self.lengths = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self.used = 0
+    def _let_go(self) -> None:
+        """Only the first `memo_words` words stay; the others were kept for one slice."""
+        while len(self.place) > self.memo_words:
+            self.place.popitem()
+        n = len(self.place)
+        self.used = int(self.starts[n - 1] + self.lengths[n - 1]) if n else 0
 
     def _remember(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
         n, m, total = len(self.place), len(words), len(ids)
@@ -119,8 +123,7 @@ class Encoder:
         per_text = np.diff(split.offsets.to_numpy()).astype(np.int64)
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
-        if len(self.place) + len(words) > max(self.memo_words, len(words)):
-            self._forget()
+        self._let_go()
         at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(at < 0)
         if len(missing):
@@ -153,22 +156,6 @@ class Encoder:
         out[mine], out[ends] = flat, self.end_id
         return out, ids_before + np.arange(n + 1)
 
-    def count(self, texts: pa.Array) -> np.ndarray:
-        """How often each id occurs in the texts; of words, the ids are counted once and weighed."""
-        total = np.zeros(self.vocabulary, np.int64)
-        for a, n in slices_of(texts, SLICE_BYTES):
-            some = texts.slice(a, n).fill_null("")
-            at, per_text, whole = self._words(some) if self.by_word else (None, None, np.ones(n, bool))
-            if whole.any():
-                total += np.bincount(self.encode(some)[0], minlength=len(total))
-                continue
-            times = np.bincount(at, minlength=len(self.place))
-            found = np.flatnonzero(times)
-            ids = gather(self.ids, self.starts[found], self.lengths[found])
-            total += np.bincount(ids, weights=np.repeat(times[found], self.lengths[found]), minlength=len(total)).astype(np.int64)
-            total[self.end_id] += n
-        return total
-
     def slices(self, keys: pa.Array, texts: pa.Array) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
         """The keys, ids and starts of `encode` for some rows at a time, so that memory holds little beyond the ids."""
         for a, n in slices_of(texts, SLICE_BYTES):
@@ -181,7 +168,7 @@ def encoder(path: str, end_id: int = END_ID, by_word: bool = True) -> Encoder:
     return Encoder(path, end_id, by_word)
 
 
-def binary_slices(ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """ids[bounds[i] : bounds[i + 1]] as little-endian unsigned 32-bit integers."""
-    ids = np.ascontiguousarray(ids, "<u4")
-    return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(np.ascontiguousarray(bounds * 4, np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
+def binary_slices(ids: np.ndarray, bounds: np.ndarray, width: int = 4) -> pa.Array:
+    """ids[bounds[i] : bounds[i + 1]] as little-endian unsigned integers of `width` bytes."""
+    ids = np.ascontiguousarray(ids, f"<u{width}")
+    return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(np.ascontiguousarray(bounds * width, np.int64)), pa.py_buffer(ids)]).cast(pa.binary())

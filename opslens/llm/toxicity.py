@@ -10,10 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opslens.llm.common import query, table
+from opslens.llm.common import query, table, tidy
 
 ORDERS = (4, 5, 6)
 BUCKET_BITS = 20
+#: Starting places of n-grams of a text that are hashed at a time, and training values that a step looks at at a time.
+CHUNK, STEP_VALUES = 1 << 18, 1 << 20
 #: Labelled documents without and with toxicity that the classifier is fitted on at most, the first by a hash of doc_id.
 TRAIN_ROWS = 3500, 1500
 #: A feature counts if so many training documents have it, and if its ratio is so far from 1, as a logarithm.
@@ -34,20 +36,35 @@ class Model:
     bits: int = BUCKET_BITS
 
 
-def ngrams(text: str | None, orders: tuple[int, ...] = ORDERS, bits: int = BUCKET_BITS) -> np.ndarray:
-    """Hash buckets of all n-grams of the lower-cased text between two spaces, with repeats."""
+def ngrams(text: str | None, orders: tuple[int, ...] = ORDERS, bits: int = BUCKET_BITS, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hash buckets of all n-grams of the lower-cased text between two spaces, each once and in order, and how often each occurs.
+
+    `wanted` says which buckets count. CHUNK starting places are taken at a time, so memory does not grow with the length of a text by more than its
+    characters.
+    """
     c = np.frombuffer(f" {(text or '').lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-    h, out = np.zeros(len(c), np.uint32), []
-    for n in range(1, max(orders) + 1):
-        if len(c) < n:
-            break
-        h = h[: len(c) - n + 1] * np.uint32(0x01000193) + c[n - 1 :]
-        if n in orders:
-            m = (h + np.uint32(n)) * np.uint32(0x85EBCA6B)
-            m ^= m >> np.uint32(15)
-            m *= np.uint32(0x9E3779B1)
-            out.append(m >> np.uint32(32 - bits))
-    return np.concatenate(out) if out else np.zeros(0, np.uint32)
+    buckets, counts, longest = [], [], max(orders)
+    for a in range(0, len(c), CHUNK):
+        part, found = c[a : a + CHUNK + longest - 1], []
+        h = np.zeros(len(part), np.uint32)
+        for n in range(1, longest + 1):
+            if len(part) < n:
+                break
+            h = h[: len(part) - n + 1] * np.uint32(0x01000193) + part[n - 1 :]
+            if n in orders:
+                m = (h[:CHUNK] + np.uint32(n)) * np.uint32(0x85EBCA6B)
+                m ^= m >> np.uint32(15)
+                m *= np.uint32(0x9E3779B1)
+                m >>= np.uint32(32 - bits)
+                found.append(m if wanted is None else m[wanted[m]])
+        if found:
+            at, times = np.unique(np.concatenate(found), return_counts=True)
+            buckets.append(at)
+            counts.append(times)
+    if len(buckets) < 2:
+        return (buckets[0], counts[0]) if buckets else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+    at, place = np.unique(np.concatenate(buckets), return_inverse=True)
+    return at, np.bincount(place, weights=np.concatenate(counts)).astype(np.int64)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -56,17 +73,21 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 def scaled(counts: np.ndarray) -> np.ndarray:
     """Counts of a document's features as a vector of length LENGTH, so that long and short texts weigh the same."""
-    return LENGTH * counts / np.sqrt((counts * counts).sum(dtype=float) + 1e-9)
+    counts = counts.astype(float)
+    return LENGTH * counts / np.sqrt((counts * counts).sum() + 1e-9)
 
 
 def fit(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights: np.ndarray, bits: int = BUCKET_BITS, steps: int = STEPS, ridge: float = RIDGE) -> Model:
-    """Fit on the distinct buckets of each document and their counts. `weights` say how many documents of its class each one stands for."""
+    """Fit on the distinct buckets of each document and their counts. `weights` say how many documents of its class each one stands for.
+
+    `features` is emptied on the way: only the values of chosen buckets stay, in single precision.
+    """
     toxic = labels == 1
     n1, n0 = float(weights[toxic].sum()), float(weights[~toxic].sum())
     none = Model(np.zeros(0, np.int64), np.zeros(0), float(np.log((n1 + 0.5) / (n0 + 0.5))), bits=bits)
     if not toxic.any() or toxic.all():
         return none
-    with_, seen = [], np.zeros(1 << bits, np.int64)
+    with_, seen = [], np.zeros(1 << bits, np.int32)
     for of_class in (toxic, ~toxic):
         df = np.zeros(1 << bits)
         for i in np.flatnonzero(of_class):
@@ -79,21 +100,34 @@ def fit(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weigh
     chosen = np.flatnonzero((seen >= LEAST_DOCUMENTS) & (np.abs(ratio) >= LEAST_RATIO))
     if not len(chosen):
         return none
-    place = np.full(1 << bits, -1, np.int64)
+    place = np.full(1 << bits, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     n, r = len(features), ratio[chosen]
-    found = [(p[p >= 0], scaled(c[p >= 0])) for p, c in ((place[f], c) for f, c in features)]
-    row_of, columns, values = np.repeat(np.arange(n), [len(p) for p, _ in found]), np.concatenate([p for p, _ in found]), np.concatenate([v for _, v in found])
-    values *= r[columns]
+    columns, values = [], []
+    for i in range(n):
+        buckets, counts = features[i]
+        features[i] = None
+        p = place[buckets]
+        columns.append(p[p >= 0])
+        values.append((scaled(counts[p >= 0]) * r[columns[-1]]).astype(np.float32))
+    lengths = np.array([len(c) for c in columns], np.int64)
+    columns, values = np.concatenate(columns), np.concatenate(values)
+    ends = np.cumsum(lengths)
+    # documents of about STEP_VALUES values together; one with more is on its own
+    cuts = [0, *(np.flatnonzero(np.diff(ends // STEP_VALUES)) + 1).tolist(), n]
     target, share_of = labels.astype(float), weights / weights.sum()
     # gradient steps of Adam; everything is a sum over the fixed sample, so that a repeated task gives the same model
     w, b = np.zeros(len(chosen)), none.intercept
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
-        p = sigmoid(np.bincount(row_of, weights=w[columns] * values, minlength=n) + b)
-        error = (p - target) * share_of
-        g = np.bincount(columns, weights=error[row_of] * values, minlength=len(w)) + ridge * w / n
-        gb = float(error.sum())
+        g, gb = ridge * w / n, 0.0
+        for first, last in zip(cuts, cuts[1:], strict=False):
+            x = slice(int(ends[first] - lengths[first]), int(ends[last - 1]))
+            row_of = np.repeat(np.arange(last - first), lengths[first:last])
+            p = sigmoid(np.bincount(row_of, weights=w[columns[x]] * values[x], minlength=last - first) + b)
+            error = (p - target[first:last]) * share_of[first:last]
+            g += np.bincount(columns[x], weights=error[row_of] * values[x], minlength=len(w))
+            gb += float(error.sum())
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         rate = 0.05 * min(1.0, 2 * (1 - t / (steps + 1)))
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
@@ -126,13 +160,16 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.concatenate(np.unique(ngrams(t, orders, bits), return_counts=True)).astype("<u4").tobytes() for t in batch.column("text").to_pylist()]
+            found = [np.concatenate(ngrams(t, orders, bits)).astype("<u4").tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(found, pa.binary())], names=["id", "y", "ngrams"])
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, y = [], []
         for batch in batches:
-            features += [tuple(np.frombuffer(x, "<u4").reshape(2, -1)) for x in batch.column("ngrams").to_pylist()]
+            for x in batch.column("ngrams"):
+                buckets, counts = np.frombuffer(x.as_py(), "<u4").reshape(2, -1)
+                # few counts are above 255; the narrow copies take the place of the batch
+                features.append((buckets.copy(), counts.astype(np.min_scalar_type(counts.max(initial=0)))))
             y += batch.column("y").to_pylist()
         y = np.array(y, np.int64)
         of_class = np.bincount(y, minlength=2)
@@ -143,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             names=["buckets", "weights", "intercept"],
         )
 
-    row = texts.mapInArrow(extract, "id bigint, y int, ngrams binary").repartition(1).sortWithinPartitions("id", "ngrams").mapInArrow(solve, "buckets binary, weights binary, intercept double").first()
+    row = texts.mapInArrow(tidy(extract), "id bigint, y int, ngrams binary").repartition(1).sortWithinPartitions("id", "ngrams").mapInArrow(tidy(solve), "buckets binary, weights binary, intercept double").first()
     if row is None:  # no labelled document at all
         return Model(np.zeros(0, np.int64), np.zeros(0), 0.0, orders, bits)
     return Model(np.frombuffer(row["buckets"], "<i8"), np.frombuffer(row["weights"], "<f8"), row["intercept"], orders, bits)
@@ -162,12 +199,11 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
         for batch in batches:
             raw = []
             for t in batch.column(text).to_pylist():
-                found = ngrams(t, model.orders, model.bits)
-                at, times = np.unique(found[used[found]], return_counts=True)
+                at, times = ngrams(t, model.orders, model.bits, used)
                 raw.append(weights[at] @ scaled(times) + model.intercept)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sigmoid(np.array(raw, float)), pa.float64())], names=[*kept, into])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept).mapInArrow(tidy(run), schema)
 
 
 @query("op8_toxicity")
