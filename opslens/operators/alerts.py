@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from opslens import rules
 from opslens.functions.exprs import case, instant, keyed_id, levels, safe_ratio
+from opslens.functions.spread import same_keys
 
 
 def health_metrics(db_stats: DataFrame, sessions: DataFrame, tables: DataFrame, locks: DataFrame, io: DataFrame, wal: DataFrame, connection_limit: int = 100) -> DataFrame:
@@ -51,7 +52,8 @@ def health_metrics(db_stats: DataFrame, sessions: DataFrame, tables: DataFrame,
     )
     out = db
     for part in (conn, dead, lock, disk, log):
-        out = out.join(part, key, "left")
+        values = [c for c in part.columns if c not in key]
+        out = out.alias("o").join(part.alias("p"), same_keys("o", "p", key), "left").select("o.*", *[f"p.{c}" for c in values])
     return out
 
 

@@ -59,14 +59,18 @@ def ttl_by_rule_table(branches: DataFrame, name: str, key: Sequence[str], table:
 
 
 def expired(branches: DataFrame, name: str, as_of: datetime) -> DataFrame:
-    """Every branch with its age, lifetime and verdict: delete a live branch past its lifetime, keep all others."""
+    """Every branch with its age, lifetime and verdict: delete a live branch past its lifetime, keep all others.
+
+    Live are those whose `state` is active; a list without states is one of live branches.
+    """
+    live = F.col("state") == "active" if "state" in branches.columns else F.lit(True)
     age = seconds_between(instant(branches, "created_at", as_of), F.col("created_at"))
     return (
         ttl_of(branches, name)
         .withColumn("age_seconds", age)
         .withColumn(
             "verdict",
-            F.when((F.col("state") == "active") & (F.col("age_seconds") > F.col("ttl_seconds")) & ~F.col("is_protected"), "delete").otherwise("keep"),
+            F.when(live & (F.col("age_seconds") > F.col("ttl_seconds")) & ~F.col("is_protected"), "delete").otherwise("keep"),
         )
     )
 

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from opslens.functions.exprs import case, keyed_id, safe_ratio
+from opslens.functions.spread import same_keys
 
 MB = 1024 * 1024
 FINDING = ["project_id", "branch_id", "table_name", "index_name", "recommendation_type", "confidence", "size_mb", "ddl_statement"]
@@ -29,8 +30,9 @@ def _finding(df: DataFrame, kind: str, confidence, size, ddl) -> DataFrame:
 
 
 def unused_indexes(stats: DataFrame, meta: DataFrame, keys: Sequence[str] = ("project_id", "branch_id", "indexrelid")) -> DataFrame:
-    """Never scanned indexes that are neither unique nor primary; high confidence above 10 MB."""
-    rows = stats.where(F.col("idx_scan") == 0).join(meta.where(~F.col("indisunique") & ~F.col("indisprimary")), list(keys))
+    """Never scanned indexes that are neither unique nor primary; high confidence above 10 MB. A null key is a key like any other."""
+    plain = meta.where(~F.col("indisunique") & ~F.col("indisprimary")).select(*keys)
+    rows = stats.where(F.col("idx_scan") == 0).alias("s").join(plain.alias("m"), same_keys("s", "m", keys), "left_semi")
     size = F.col("index_size_bytes") / MB
     return _finding(
         rows,
@@ -65,7 +67,7 @@ def duplicate_indexes(indexes: DataFrame, table: Sequence[str], columns: str = "
     """Indexes of one table over the same columns: each later one beside the first.
 
     A group of n equal indexes gives n - 1 rows, which name every index to drop, and not n(n-1)/2 pairs.
-    The first index comes from a map-side combined aggregate.
+    The first index comes from a map-side combined aggregate. A null key is a key like any other.
     """
     group = [*table, columns]
     usable = indexes.where(~F.col("indisprimary"))
@@ -73,9 +75,9 @@ def duplicate_indexes(indexes: DataFrame, table: Sequence[str], columns: str = "
         F.min(index).alias("keep_index"), F.min_by("index_size_bytes", index).alias("keep_size"), F.count("*").alias("copies")
     )
     return (
-        usable.join(first.where(F.col("copies") > 1), group)
+        usable.alias("u").join(first.where(F.col("copies") > 1).alias("f"), same_keys("u", "f", group))
         .where(F.col(index) > F.col("keep_index"))
-        .select(*group, "keep_index", "keep_size", F.col(index).alias("drop_index"), F.col("index_size_bytes").alias("drop_size"))
+        .select(*[f"u.{c}" for c in group], "keep_index", "keep_size", F.col(index).alias("drop_index"), F.col("index_size_bytes").alias("drop_size"))
     )
 
 

@@ -52,8 +52,9 @@ def validate(history: DataFrame, keys: Sequence[str], tie: Sequence[str], **spli
 
 
 def orphans(history: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Open versions whose key the source no longer has."""
-    return history.where("is_current").join(source.select(*keys).distinct(), list(keys), "left_anti")
+    """Open versions whose key the source no longer has; a null key is a key like any other."""
+    there = source.select(*keys).distinct().alias("s")
+    return history.where("is_current").alias("h").join(there, spread.same_keys("h", "s", keys), "left_anti")
 
 
 def as_of_lookup(

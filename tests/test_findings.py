@@ -186,3 +186,31 @@ def test_rules_fire_only_in_their_look_back(spark):
 def test_decisions(spark):
     df = spark.createDataFrame([("VACUUM ANALYZE t", "low"), ("Terminate idle", "low"), ("drop", "low"), ("vacuum", "medium"), ("vacuum", None)], "action string, risk_level string")
     assert [r.decision for r in alerts.heal_decision(df).collect()] == ["remediated", "remediated", "unknown_action", "escalated", "escalated"]
+
+
+def test_null_keys_meet(spark):
+    """An unused index and two equal ones of a branch without a name, and metrics of it."""
+    schema = "project_id string, branch_id string, indexrelid bigint, table_name string, index_name string, idx_scan bigint, index_size_bytes bigint, indisunique boolean, indisprimary boolean, indkey string"
+    rows = spark.createDataFrame([("p", None, i, "t", f"i{i}", 0, 100, False, False, "a") for i in (1, 2)], schema)
+    m = rows.select("project_id", "branch_id", "indexrelid", "indisunique", "indisprimary")
+    assert findings.unused_indexes(rows.drop("indisunique", "indisprimary"), m).count() == 2
+    assert [(r.keep_index, r.drop_index) for r in findings.duplicate_indexes(rows, ["project_id", "branch_id", "table_name"]).collect()] == [(1, 2)]
+    assert findings.duplicate_findings(rows).count() == 1
+
+
+def test_metrics_of_a_null_branch(spark, tables):
+    db = spark.createDataFrame([("p", None, 9, 1, 0, 1, 5)], K + "blks_hit bigint, blks_read bigint, deadlocks bigint, numbackends bigint, xid_age bigint")
+    sessions = spark.createDataFrame([("p", None, "idle")], K + "state string")
+    locks = spark.createDataFrame([("p", None, False)], K + "granted boolean")
+    io = spark.createDataFrame([("p", None, "client backend", 1, 3, 0.0, 0.0)], K + "backend_type string, reads bigint, hits bigint, read_time double, write_time double")
+    wal = spark.createDataFrame([("p", None, 7, 0, 0.0)], K + "wal_bytes bigint, wal_buffers_full bigint, wal_write_time double")
+    r = alerts.health_metrics(db, sessions, tables.withColumn("branch_id", F.lit(None).cast("string")), locks, io, wal).first()
+    assert (r.idle_connections, r.waiting_locks, r.io_hit_ratio, r.wal_bytes_generated, r.worst_dead_tuple_table) == (1.0, 1.0, 0.75, 7.0, "events")
+
+
+def test_orphans_with_a_null_key(spark):
+    from opslens.operators import scd2
+
+    open_ = spark.createDataFrame([("a", True), (None, True), ("b", True), ("c", False)], "k string, is_current boolean")
+    source = spark.createDataFrame([("a",), (None,)], "k string")
+    assert [r.k for r in scd2.orphans(open_, source, ["k"]).collect()] == ["b"]
