@@ -99,6 +99,19 @@ def looked_up(rows: DataFrame, values: DataFrame, on: str, spread: Column, salts
     return met.select(*[salted[c] for c in rows.columns], *[found[c] for c in others])
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unused(name: str, df: DataFrame) -> str:
+    """`name`, or with underscores behind it if `df` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z become a-z, all other characters stay; the built-in `lower` does so for texts of ASCII only."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from opslens.llm.common import ascii_lower, query, stored, stored_at, table
+from opslens.llm.common import SALTS, ascii_lower, column, looked_up, query, stored, stored_at, table, unused
 from opslens.sources.workdir import new_folder
 
 STATE = {
@@ -31,16 +31,25 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def located(docs: DataFrame, key: str, text: str, *others: str) -> DataFrame:
-    """doc_id, locator, text (normalised) and `others`.
+def place_of(docs: DataFrame) -> Column:
+    """File and row that a row was read from. An AnalysisException if the rows do not come from files."""
+    meta = docs.metadataColumn("_metadata")
+    return F.concat_ws("#", meta["file_path"], meta["row_index"])
 
-    The locator is file and row of a document that is read from files, else the number of the row in its partition.
+
+def filed(docs: DataFrame) -> DataFrame:
+    """`docs` with a place in a file for each row: as it is if the rows are read from files, one row of a file once; else written first.
+
+    Only a place in a file is the same whenever a plan is run again; a row's number behind a shuffle is not. Places are looked at by hash, and
+    two places of one hash only mean that the rows are written.
     """
-    columns = [F.col(key).cast("bigint").alias("doc_id"), normalised(F.col(text)).alias("text"), *[F.col(c) for c in others]]
     try:
-        return docs.select(F.concat_ws("#", "_metadata.file_path", "_metadata.row_index").alias("locator"), *columns)
-    except AnalysisException:  # not read from files
-        return docs.select(F.monotonically_increasing_id().cast("string").alias("locator"), *columns)
+        places = docs.select(F.xxhash64(place_of(docs)).alias("place"))
+        if places.groupBy("place").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+            return docs
+    except AnalysisException:
+        pass
+    return stored(docs, "dedup-rows")
 
 
 def stream_groups(spark: SparkSession, source: str, schema: StructType, folder: str, files_per_batch: int = 10_000) -> DataFrame:
@@ -78,41 +87,47 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: Call
 
     Texts are equal if identical after lower-casing A-Z; a null text counts as empty. Of equal texts the row with the largest doc_id
     stays; a null doc_id is smaller than all others; of rows that repeat this doc_id the one with the last locator stays.
+    The locator is file and row; rows that are not read from files are written to the shared folder first.
     Groups come from the stream, by digest. Rows of a digest that came more than once are hits: their full bytes are compared, by
-    grouping, and a digest that has several texts is split by text. An empty table gives an empty table. Columns of
-    `docs` other than key and text are not read, whatever their names.
+    grouping, and a digest that has several texts is split by text. Rows of a hot digest meet its group, and bring their texts, in parts.
+    An empty table gives an empty table. Columns of `docs` other than key and text are not read, whatever their names.
     """
+    return _dedup(filed(docs.select(column(key).alias("doc_id"), column(text).alias("text"))), "doc_id", "text", digest, files_per_batch)
+
+
+def _dedup(docs: DataFrame, key: str, text: str, digest: Callable[[Column], Column] = sha256, files_per_batch: int = 10_000) -> DataFrame:
+    """`dedup` of rows that have places in files."""
     spark = docs.sparkSession
-    rows = located(docs, key, text).withColumn("digest", digest(F.col("text")))
+    rows = docs.select(column(key).cast("bigint").alias("doc_id"), place_of(docs).alias("locator"), normalised(column(text)).alias("text")).withColumn("digest", digest(F.col("text")))
     seen, path = stored_at(rows.select("doc_id", "digest", "locator", F.sha2("text", 256).alias("text_sha256")), "dedup-arrivals")
     groups = stored(stream_groups(spark, path, seen.schema, new_folder(spark, "dedup-stream"), files_per_batch), "dedup-groups")
 
-    hits = rows.join(groups.where("n > 1").select("digest"), "digest", "left_semi")
+    matched = stored(looked_up(seen, groups.where("n > 1"), "digest", F.xxhash64("locator")), "dedup-matched")
+    part = F.pmod(F.xxhash64("locator"), F.lit(SALTS))
+    parts = matched.where("n > 1").select(F.col("digest").alias("hit"), part.alias("hit_part")).distinct()
+    hits = rows.join(parts, (F.col("digest") == F.col("hit")) & (part == F.col("hit_part")), "left_semi")
     by_text = hits.groupBy("digest", "text").agg(F.max(F.struct("doc_id", "locator")).alias("keeper"), F.count("*").alias("n"))
     split = stored(by_text.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest"), "dedup-split")
     if split.isEmpty():  # always so, unless the digest collides
-        return _verdicts(seen.join(groups, "digest"))
+        return _verdicts(matched)
     apart = hits.join(split, "digest", "left_semi").withColumn("text_sha256", F.sha2("text", 256)).join(by_text, ["digest", "text"])
-    same = seen.join(split, "digest", "left_anti").join(groups, "digest")
-    return _verdicts(same).unionByName(_verdicts(apart))
+    return _verdicts(matched.join(split, "digest", "left_anti")).unionByName(_verdicts(apart))
 
 
 def _verdicts(matched: DataFrame) -> DataFrame:
+    """Rows without a group of several are alone."""
     return matched.select(
-        "doc_id", "locator", F.col("keeper.doc_id").alias("keep_id"), F.col("n").alias("group_size"),
-        F.struct("doc_id", "locator").eqNullSafe(F.struct("keeper.doc_id", "keeper.locator")).alias("kept"), "text_sha256",
+        "doc_id", "locator", F.coalesce("keeper.doc_id", "doc_id").alias("keep_id"), F.coalesce("n", F.lit(1)).cast("bigint").alias("group_size"),
+        (F.col("keeper").isNull() | F.struct("doc_id", "locator").eqNullSafe(F.struct("keeper.doc_id", "keeper.locator"))).alias("kept"), "text_sha256",
     )
 
 
 def keep_unique(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` that `dedup` keeps, with all their columns."""
-    row = "__locator"
-    kept = dedup(docs, key, text).where("kept").select(F.col("locator").alias(row))
-    try:
-        named = docs.select(F.concat_ws("#", "_metadata.file_path", "_metadata.row_index").alias(row), *docs.columns)
-    except AnalysisException:
-        named = docs.select(F.monotonically_increasing_id().cast("string").alias(row), *docs.columns)
-    return named.join(kept, row, "left_semi").drop(row)
+    """The rows of `docs` that `dedup` keeps, with all their columns, whatever their names."""
+    docs = filed(docs)
+    row = unused("__locator", docs)
+    kept = _dedup(docs, key, text).where("kept").select(F.col("locator").alias(row))
+    return docs.select(place_of(docs).alias(row), *map(column, docs.columns)).join(kept, row, "left_semi").drop(row)
 
 
 SQL = """

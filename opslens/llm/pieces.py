@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from opslens.llm.common import query, table
+from opslens.llm.common import column, query, table
 from opslens.llm.near import GOLDEN, mix
 from opslens.llm.tokens import gather, slices_of
 
@@ -340,7 +340,8 @@ def decode_pieces(encoded: DataFrame, model: str, ids: str = "ids", into: str =
     """All columns of `encoded` and the text that `ids` (little-endian unsigned 32-bit integers) stand for; null for null. A column called
     like `into` is replaced."""
     kept = [c for c in encoded.columns if c != into]
-    schema = StructType([*encoded.select(*kept).schema.fields, StructField(into, StringType())])
+    rest = encoded.select(*map(column, kept))
+    schema = StructType([*rest.schema.fields, StructField(into, StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model)
@@ -348,7 +349,7 @@ def decode_pieces(encoded: DataFrame, model: str, ids: str = "ids", into: str =
             texts = [None if x is None else p.decode(np.frombuffer(x, "<u4")) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], names=[*kept, into])
 
-    return encoded.select(*kept).mapInArrow(run, schema)
+    return rest.mapInArrow(run, schema)
 
 
 @query("op4_sample_pieces")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from opslens.llm.common import query, stored, table
+from opslens.llm.common import column, query, stored, table
 
 SHARDS = 24
 
@@ -34,11 +34,11 @@ def assign(rows: DataFrame, size: str, order: Sequence[str], shards: int = SHARD
     ranged = stored(
         rows.withColumns(
             {
-                hidden["size"]: F.greatest(F.coalesce(F.col(size).cast("bigint"), F.lit(0)), F.lit(0)),
+                hidden["size"]: F.greatest(F.coalesce(column(size).cast("bigint"), F.lit(0)), F.lit(0)),
                 hidden["salt"]: F.monotonically_increasing_id(),
             }
         )
-        .repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in order], hidden["salt"])
+        .repartitionByRange(n, *[column(c).asc_nulls_first() for c in order], hidden["salt"])
         .withColumn(hidden["range"], F.spark_partition_id()),
         "shards",
     )
@@ -51,7 +51,7 @@ def assign(rows: DataFrame, size: str, order: Sequence[str], shards: int = SHARD
         F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("rows_before"),
         F.sum("bytes").over(Window.orderBy(hidden["range"]).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("all_bytes"),
     )
-    inside = Window.partitionBy(hidden["range"]).orderBy(*[F.col(c).asc_nulls_first() for c in order], hidden["salt"])
+    inside = Window.partitionBy(hidden["range"]).orderBy(*[column(c).asc_nulls_first() for c in order], hidden["salt"])
     placed = (
         ranged.withColumns(
             {
@@ -66,7 +66,7 @@ def assign(rows: DataFrame, size: str, order: Sequence[str], shards: int = SHARD
     )
     firsts = placed.groupBy("shard").agg(F.min(hidden["row"]).alias("first_row"))
     return placed.join(F.broadcast(firsts), "shard").select(
-        *[F.col(c) for c in kept], F.col("shard"), (F.col(hidden["row"]) - F.col("first_row")).alias("slot"), F.col(hidden["before"]).alias("start")
+        *map(column, kept), F.col("shard"), (F.col(hidden["row"]) - F.col("first_row")).alias("slot"), F.col(hidden["before"]).alias("start")
     )
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opslens.llm.common import query, table, tidy
+from opslens.llm.common import column, query, table, tidy
 
 ORDERS = (4, 5, 6)
 BUCKET_BITS = 20
@@ -190,7 +190,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
     """All rows and columns of `docs` and the score of their whole text, 0 to 1. A null text counts as empty; empty texts get the
     score of no evidence. A column called like `into` is replaced. An empty table gives an empty table."""
     kept = [c for c in docs.columns if c != into]
-    schema = docs.select(*kept).withColumn(into, F.lit(0.0)).schema
+    rest = docs.select(*map(column, kept))
+    schema = rest.withColumn(into, F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.zeros(1 << model.bits)
@@ -203,7 +204,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
                 raw.append(weights[at] @ scaled(times) + model.intercept)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sigmoid(np.array(raw, float)), pa.float64())], names=[*kept, into])
 
-    return docs.select(*kept).mapInArrow(tidy(run), schema)
+    return rest.mapInArrow(tidy(run), schema)
 
 
 @query("op8_toxicity")

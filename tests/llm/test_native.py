@@ -112,3 +112,27 @@ def test_kept_rows_have_all_columns(spark, tmp_path):
     kept = exact.keep_unique(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [2, 4, 5, 6, 7, 9]
+
+
+def test_kept_rows_behind_a_shuffle_and_a_join(spark, tmp_path):
+    """Rows that no file holds, or that a join has made of one row of a file, have no place of their own."""
+    made = spark.range(1000).selectExpr("id + 1000 AS doc_id", "concat('t', id % 500) AS text").groupBy("text", "doc_id").agg(F.max("doc_id").alias("m")).repartition(3)
+    kept = exact.keep_unique(made).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(1500, 2000)) and len({r.text for r in kept}) == 500
+
+    spark.createDataFrame([(1, "a"), (2, "A")], "doc_id bigint, text string").write.parquet(str(tmp_path / "f"))
+    files = spark.read.parquet(str(tmp_path / "f"))
+    twice = files.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    assert [r.doc_id for r in exact.keep_unique(twice).collect()] == [2]
+    assert exact.dedup(twice).where("kept").count() == 1
+
+
+def test_columns_of_any_name(spark, tmp_path):
+    odd = "doc_id bigint, text string, `a.b` string, __locator string, `_metadata` string, locator string, digest string, hit string, n string, keeper string"
+    spark.createDataFrame([(1, "x", *"12345678"), (2, "X", *"12345678"), (3, None, *"12345678")], odd).write.parquet(str(tmp_path / "o"))
+    for docs in (spark.read.parquet(str(tmp_path / "o")), spark.createDataFrame([(1, "x", *"12345678"), (2, "X", *"12345678"), (3, None, *"12345678")], odd)):
+        kept = exact.keep_unique(docs)
+        assert kept.columns == docs.columns
+        assert sorted((r.doc_id, r["a.b"], r["__locator"]) for r in kept.collect()) == [(2, "1", "2"), (3, "1", "2")]
+    sized = spark.createDataFrame([(1, 5, "z"), (2, 7, None)], "`i.d` bigint, `s.z` bigint, `x.y` string")
+    assert [(r["i.d"], r["x.y"], r.start) for r in shards.assign(sized, "s.z", ["i.d"], 2, 2).orderBy("slot", "shard").collect()] == [(1, "z", 0), (2, None, 5)]
