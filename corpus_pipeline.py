@@ -10,15 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from opslens.llm import exact, near, packing, toxicity  # noqa: E402
-from opslens.llm.common import prepared, stored  # noqa: E402
+from opslens.llm.common import prepared, stored, unused  # noqa: E402
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score, learnt from the labels, is below one half."""
     prepared(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    score = "__score"
-    return toxicity.score(docs, model, into=score).where(f"{score} < 0.5").drop(score)
+    score = unused("__score", docs)
+    return toxicity.score(docs, model, into=score).where(f"`{score}` < 0.5").drop(score)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
