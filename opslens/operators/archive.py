@@ -1,15 +1,14 @@
-"""Cold data: candidates, split, verified archiving, one view over hot and cold rows."""
+"""Cold data: candidates, split, what a run has moved, one view over hot and cold rows. `sources.tiered` moves them."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opslens.functions.exprs import instant
-from opslens.operators import sync
 
 
 def cold_candidates(rows: DataFrame, keys: Sequence[str], ts: str, as_of: datetime, days: int = 90, min_rows: int = 100_000) -> DataFrame:
@@ -41,28 +40,3 @@ def archive_summary(rows: DataFrame, keys: Sequence[str], ts: str, size_cols: Se
     _, cold = split_cold(rows, ts, as_of, days)
     width = F.octet_length(F.concat_ws("", *[F.col(c).cast("string") for c in size_cols]))
     return cold.groupBy(*keys).agg(F.count("*").alias("rows_archived"), F.sum(width).cast("bigint").alias("bytes_reclaimed"))
-
-
-def run_archive(spark: SparkSession, source: str, archive: str, hot: str, ts: str, as_of: datetime, days: int = 90) -> dict[str, int]:
-    """Move cold rows of a Parquet table: write the archive, verify it, and only then write the hot table.
-
-    The source is left in place; the caller swaps the path once this returns. Both copies are compared with the source
-    by count and order-free checksum, so a lost or doubled task output is found before anything is dropped.
-    """
-    rows = spark.read.parquet(source)
-    hot_rows, cold_rows = split_cold(rows, ts, as_of, days)
-    cols = rows.columns
-
-    def tally(df: DataFrame) -> tuple[int, object]:
-        row = sync.checksum(df, cols).first()
-        return row["rows"], row["checksum"]
-
-    cold_rows.hint("rebalance").write.mode("overwrite").parquet(archive)
-    expected, written = tally(cold_rows), tally(spark.read.parquet(archive))
-    if expected != written:
-        raise RuntimeError(f"archive differs from its source: {written} against {expected}")
-    hot_rows.hint("rebalance").write.mode("overwrite").parquet(hot)
-    kept_expected, kept = tally(hot_rows), tally(spark.read.parquet(hot))
-    if kept_expected != kept:
-        raise RuntimeError(f"hot table differs from its source: {kept} against {kept_expected}")
-    return {"rows_archived": written[0], "rows_kept": kept[0]}

@@ -35,6 +35,8 @@ REGIONS = ("us-east-1", "eu-west-1", "eastus", "us-central1", "westeurope", "els
 EXTENSIONS = (
     "pgcrypto", "pg_cron", "PostGIS", "aws_s3", "hstore", "timescaledb", "citext", "azure_ai", "pg_trgm", "homegrown", "vector", "pglogical",
 )
+CATALOG_SCHEMAS = ("public", "app", "pg_catalog", "sales")
+ENGINE_VERSIONS = ("13.4", "14.2", "15.1", "16.0", "17.1")
 DDL_TEXTS = (
     "CREATE TABLE t{} (id INT);", "CREATE TABLE IF NOT EXISTS t{} (id INT);", "DROP TABLE t{};", "drop table if exists t{};",
     "DROP INDEX i{};", "TRUNCATE t{};", "CREATE OR REPLACE VIEW v{} AS SELECT 1;", "ALTER TABLE t{} ADD COLUMN IF NOT EXISTS c INT;",
@@ -186,6 +188,31 @@ class Bind:
             "cast(floor(o_totalprice) AS BIGINT) AS size_bytes", f"{pick(('plpgsql', 'sql', 'c', 'plpython3u'), 'o_orderkey % 4')} AS language",
         )
 
+    def catalogs(self) -> dict[str, DataFrame]:
+        """Flat catalog frames of a fleet: a database per customer, its objects from its orders."""
+        c, o = self.table("customer"), self.table("orders")
+        objects = o.selectExpr(
+            "o_custkey AS db_id", f"{pick(CATALOG_SCHEMAS, 'o_orderkey % 4')} AS schema_name", f"{pick(OBJECT_KINDS, 'o_orderkey % 13')} AS kind",
+            "concat('o', o_orderkey) AS name", "cast(floor(o_totalprice) * 100000 AS BIGINT) AS size_bytes",
+        )
+        return {
+            "databases": c.selectExpr(
+                "c_custkey AS db_id", f"{pick(ENGINES[:8], 'c_custkey % 8')} AS source_engine", f"{pick(REGIONS, 'c_custkey % 6')} AS region",
+                f"{pick(ENGINE_VERSIONS, 'c_custkey % 5')} AS engine_version",
+            ),
+            "objects": objects.where("kind != 'functions'"),
+            "extensions": c.selectExpr("c_custkey AS db_id", "explode(slice(sequence(0, 3), 1, cast(c_custkey % 5 AS INT))) AS i").selectExpr(
+                "db_id", f"CASE WHEN i = 3 THEN 'plpgsql' ELSE {pick(EXTENSIONS, '(db_id * 7 + i * 5) % 12')} END AS name", "concat('1.', i) AS version"
+            ),
+            "functions": o.where("o_orderkey % 2 = 0").selectExpr(
+                "o_custkey AS db_id", f"{pick(CATALOG_SCHEMAS, 'o_orderkey % 4')} AS schema_name", "concat('f', o_orderkey) AS name",
+                f"{pick(('plpgsql', 'sql', 'plpgsql', 'internal'), 'o_orderkey div 2 % 4')} AS language", "repeat('x\n', cast(o_orderkey % 230 AS INT)) AS source",
+            ),
+            "slots": c.where("c_custkey % 5 = 0").selectExpr("c_custkey AS db_id", "concat('slot_', c_custkey) AS slot_name", "CASE WHEN c_custkey % 10 = 0 THEN 'logical' ELSE 'physical' END AS slot_type"),
+            "event_triggers": c.where("c_custkey % 20 = 0").selectExpr("c_custkey AS db_id", "concat('et_', c_custkey) AS name"),
+            "attributes": self.attributes().selectExpr("attrelid % 100 * 3 AS db_id", "concat('t', attrelid) AS table_name", "attname AS column_name", "attnum", "attisdropped", "collname"),
+        }
+
     def sync_checks(self) -> DataFrame:
         lag, drift = f"{V} * 20", "user_id % 13 * 100"
         return self.events(
@@ -362,6 +389,15 @@ SHAPES = {
     "attrdefs": "SELECT c_custkey AS adrelid, c_custkey % 6 + 1 AS adnum, 'nextval(' || c_custkey || ')' AS adbin FROM customer WHERE c_custkey % 3 = 0",
     "catalog_objects": f"SELECT o_custkey AS db_id, 's' || (o_orderkey % 3) AS schema_name, {sql_pick(OBJECT_KINDS, 'o_orderkey % 13')} AS kind,"
     f" CAST(floor(o_totalprice) AS BIGINT) AS size_bytes, {sql_pick(('plpgsql', 'sql', 'c', 'plpython3u'), 'o_orderkey % 4')} AS language FROM orders",
+    "cat_databases": f"SELECT c_custkey AS db_id, {sql_pick(ENGINES[:8], 'c_custkey % 8')} AS source_engine, {sql_pick(REGIONS, 'c_custkey % 6')} AS region,"
+    f" {sql_pick(ENGINE_VERSIONS, 'c_custkey % 5')} AS engine_version FROM customer",
+    "cat_objects": f"SELECT * FROM (SELECT o_custkey AS db_id, {sql_pick(CATALOG_SCHEMAS, 'o_orderkey % 4')} AS schema_name, {sql_pick(OBJECT_KINDS, 'o_orderkey % 13')} AS kind,"
+    " 'o' || o_orderkey AS name, CAST(floor(o_totalprice) * 100000 AS BIGINT) AS size_bytes FROM orders) WHERE kind <> 'functions' AND schema_name <> 'pg_catalog'",
+    "cat_extensions": f"SELECT c_custkey AS db_id, {sql_pick(EXTENSIONS, '(c_custkey * 7 + i * 5) % 12')} AS name, '1.' || i AS version FROM customer, range(0, 3) AS r(i) WHERE i < c_custkey % 5",
+    "cat_functions": f"SELECT * FROM (SELECT o_custkey AS db_id, {sql_pick(CATALOG_SCHEMAS, 'o_orderkey % 4')} AS schema_name, 'f' || o_orderkey AS name,"
+    f" {sql_pick(('plpgsql', 'sql', 'plpgsql', 'internal'), 'o_orderkey // 2 % 4')} AS language, CASE WHEN o_orderkey % 230 > 0 THEN o_orderkey % 230 + 1 ELSE 0 END AS lines"
+    " FROM orders WHERE o_orderkey % 2 = 0) WHERE schema_name <> 'pg_catalog' AND language <> 'internal'",
+    "cat_collations": "SELECT attrelid % 100 * 3 AS db_id, 't' || attrelid AS table_name, attname AS column_name, collname FROM attributes WHERE attnum > 0 AND NOT attisdropped AND collname <> 'default'",
     "sync_checks": "SELECT event_id AS validation_id, event_type AS source_table, 'copy_' || event_type AS target_table,"
     f" CASE WHEN user_id % 2 = 0 THEN 'continuous' ELSE 'batch' END AS sync_type, {SQL_K} * 100 AS source_count,"
     f" {SQL_K} * 100 - user_id % 13 * 100 AS target_count, user_id % 13 * 100 AS count_drift,"
@@ -404,7 +440,7 @@ SHAPES = {
     "fleet_ext": f"SELECT db_id, source_engine, lower({sql_pick(EXTENSIONS, '(q * 7 + i * 5) % 12')}) AS name"
     " FROM fleet, range(0, 3) AS r(i) WHERE i < n_ext",
 }
-DEPENDS = {"policies": ["attributes"], "fleet_ext": ["fleet"]}
+DEPENDS = {"policies": ["attributes"], "cat_collations": ["attributes"], "fleet_ext": ["fleet"]}
 
 
 def with_shapes(shapes: str, body: str) -> str:

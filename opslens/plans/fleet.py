@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from opslens import rules
 from opslens.operators import assessment as A
+from opslens.operators import catalog as C
 from opslens.operators import cost as M
 from opslens.operators import series as S
 from opslens.operators.history import keep_last_n
@@ -363,3 +364,94 @@ def price_age(b: Bind):
     return M.price_age(b.table("orders"), "o_orderdate", b.now("orders", "o_orderdate")).select("o_orderkey", "age_days", "is_stale")
 
 
+
+
+# ---- from the catalog ----------------------------------------------------------------------------------------------
+
+_CATALOG = "attributes cat_databases cat_objects cat_extensions cat_functions cat_collations"
+
+
+def _n(kind: str, column: str) -> str:
+    return f"count(*) FILTER (kind = '{kind}') AS {column}"
+
+
+_PROFILE = (
+    "ob AS (SELECT db_id, count(*) FILTER (kind IN ('tables', 'partitioned_tables')) AS table_count, sum(size_bytes) FILTER (kind IN ('tables', 'partitioned_tables')) AS bytes, "
+    + ", ".join(_n(k, c) for k, c in C.COUNTS.items())
+    + ", string_agg(DISTINCT schema_name, ',' ORDER BY schema_name) AS schemas,"
+    " string_agg(schema_name || '.' || name, ',' ORDER BY schema_name || '.' || name) FILTER (kind = 'partitioned_tables') AS partitioned_tables FROM cat_objects GROUP BY db_id),"
+    " ex AS (SELECT db_id, string_agg(name || ' ' || version, ',' ORDER BY name, version) AS extensions FROM cat_extensions GROUP BY db_id),"
+    " fu AS (SELECT db_id, count(*) AS n_functions, string_agg(name || ' ' || language || ' ' || lines, ',' ORDER BY name) AS functions, count(*) FILTER (language = 'plpgsql') AS plp,"
+    " coalesce(bool_or(language = 'plpgsql' AND lines > 200), false) AS longf FROM cat_functions GROUP BY db_id),"
+    " co AS (SELECT db_id, count(*) AS n_collations, string_agg(table_name || '.' || column_name, ',' ORDER BY table_name, column_name) AS collations FROM cat_collations GROUP BY db_id),"
+    " pf AS (SELECT d.*, coalesce(table_count, 0) AS table_count, round(CAST(coalesce(bytes, 0) AS DOUBLE) / 1073741824, 2) AS size_gb, "
+    + ", ".join(f"coalesce({c}, 0) AS {c}" for c in C.COUNTS.values())
+    + ", coalesce(schemas, '') AS schemas, coalesce(partitioned_tables, '') AS partitioned_tables, coalesce(extensions, '') AS extensions, coalesce(functions, '') AS functions, coalesce(n_functions, 0) AS n_functions,"
+    " coalesce(plp, 0) AS plp, coalesce(longf, false) AS longf, coalesce(n_collations, 0) AS n_collations, coalesce(collations, '') AS collations, CASE WHEN d.db_id % 5 = 0 THEN 1 ELSE 0 END AS n_slots,"
+    " d.db_id % 10 = 0 OR coalesce(publication_count, 0) > 0 AS logical, CASE WHEN d.db_id % 20 = 0 THEN 1 ELSE 0 END AS n_events"
+    " FROM cat_databases d LEFT JOIN ob USING (db_id) LEFT JOIN ex USING (db_id) LEFT JOIN fu USING (db_id) LEFT JOIN co USING (db_id))"
+)
+
+
+def _catalog_profiles(b: Bind):
+    return C.database_profiles(**b.catalogs())
+
+
+@query(
+    "q_agg_catalog_profile", _CATALOG,
+    f"WITH {_PROFILE} SELECT CAST(db_id AS VARCHAR) AS db_id, source_engine, region, engine_version, table_count, size_gb, {', '.join(C.COUNTS.values())}, schemas, partitioned_tables, extensions, functions, collations,"
+    " CASE WHEN n_slots > 0 THEN 'slot_' || db_id ELSE '' END AS slots, logical AS has_logical_replication, CASE WHEN n_events > 0 THEN 'et_' || db_id ELSE '' END AS event_triggers, n_collations AS non_default_collation_count FROM pf",
+)
+def agg_catalog_profile(b: Bind):
+    p = _catalog_profiles(b)
+    return p.select(
+        "db_id", "source_engine", "region", "engine_version", "table_count", "size_gb", *C.COUNTS.values(), "has_logical_replication", "non_default_collation_count",
+        *[F.array_join(c, ",").alias(c) for c in ("schemas", "partitioned_tables", "event_triggers")], F.array_join("replication_slots", ",").alias("slots"),
+        F.array_join(F.transform("extensions", lambda e: F.concat_ws(" ", e["name"], e["version"])), ",").alias("extensions"),
+        F.array_join(F.transform("functions", lambda f: F.concat_ws(" ", f["name"], f["language"], f["line_count"])), ",").alias("functions"),
+        F.array_join(F.transform("collations", lambda c: F.concat_ws(".", c["table_name"], c["column_name"])), ",").alias("collations"),
+    )
+
+
+_CAT_HEAVY = "(plp > 50 OR longf)"
+_CAT_SCORES = (
+    _PROFILE
+    + f", xl AS (SELECT db_id, lower(name) AS name FROM cat_extensions), xt AS (SELECT db_id, count(*) AS total, count(*) FILTER (name IN ({_LIST})) AS ok, count(*) FILTER (name NOT IN ({_LIST})) AS bad,"
+    f" count(*) FILTER (name IN ({_HIGH})) AS high, bool_or(name = 'pg_cron') AS cron, count(DISTINCT name) FILTER (regexp_matches(name, '^(aws_|google_|azure_)')) AS vendor, bool_or(name = 'timescaledb') AS tsdb,"
+    " bool_or(name = 'pglogical') AS pgl FROM xl GROUP BY 1),"
+    " fx AS (SELECT p.*, coalesce(total, 0) AS total, coalesce(ok, 0) AS ok, coalesce(bad, 0) AS bad, coalesce(high, 0) AS high, coalesce(cron, false) AS cron, coalesce(vendor, 0) AS vendor, coalesce(tsdb, false) AS tsdb,"
+    " coalesce(pgl, false) AS pgl FROM pf p LEFT JOIN xt USING (db_id)),"
+    f" sc AS (SELECT *, {_S_STORAGE} AS s_storage, CASE WHEN total > 0 THEN round(CAST(ok AS DOUBLE) / total * 100, 1) ELSE 100.0 END AS s_extensions, 75.0::DOUBLE AS s_performance, "
+    + _pg(_iif(_CAT_HEAVY, 40), "CASE WHEN trigger_count > 20 THEN 15 WHEN trigger_count > 5 THEN 5 ELSE 0 END", _iif("materialized_view_count > 10", 10), _iif("custom_type_count > 20", 10), _iif("n_events > 0", 30),
+          _iif("large_object_count > 0", 5), _iif("n_collations > 0", 5)) + " AS s_complexity, "
+    + _pg(_iif("logical", 40), _iif("n_slots > 0", 10)) + " AS s_replication, " + _pg(_iif("cron", 10), "vendor * 5", _iif("tsdb", 10), _iif("pgl", 5)) + " AS s_operational,"
+    f" ({_iif('size_gb > 8192', 1)}) + n_events AS n_block, high + ({_iif(_CAT_HEAVY, 1)}) + ({_iif('logical', 1)}) AS n_high, bad - high + n_slots AS n_medium,"
+    f" CAST(bad + high + ({_iif(_CAT_HEAVY, 10)}) + ({_iif('n_events > 0', 3)}) + ({_iif('logical', 5)}) + 2 * n_slots AS DOUBLE) AS days FROM fx),"
+    f" ov AS (SELECT *, {_WEIGHTED} AS w, CAST(5 + days + bad * 0.5 + ({_iif('table_count > 100', 3)}) + ({_iif('size_gb > 500', 5)}) + ({_iif('n_functions > 20', 5)}) AS DOUBLE) AS effort_days FROM sc),"
+    " fin AS (SELECT *, CAST(round(w, 1) AS DOUBLE) AS overall_score, CASE WHEN n_block > 0 THEN 'not_feasible' WHEN n_high > 0 OR w < 40 THEN 'needs_rearchitecture' WHEN w < 70 THEN 'ready_with_workarounds' ELSE 'ready' END AS category,"
+    " n_block + n_high + n_medium AS blocker_count, CASE WHEN engine_version = '13.4' THEN 'cross_engine' WHEN size_gb > 500 THEN 'hybrid' ELSE 'bulk_dump_restore' END AS strategy,"
+    f" greatest({_ONE}, size_gb / 2) AS need FROM ov)"
+)
+_CAT_SIZING = _SIZING[_SIZING.index("n1 AS"):].replace("FROM n0", "FROM fin")
+_CAT_SOURCE = (
+    _RATED.replace("FROM fleet f", "FROM tc f")
+    + ", ct AS (SELECT *, cr * 730 AS source_compute, gr * size_gb * 1 AS source_storage, ir * (1000.0::DOUBLE * 2592000 / 1000000) AS source_io FROM rt)"
+)
+_CAT_PHASES = (
+    "UNPIVOT (SELECT db_id, overall_score, category, blocker_count, effort_days, strategy, unit_min, unit_max, source_compute + source_storage + source_io AS source_total, target_compute + target_storage AS target_total,"
+    " CAST(greatest(2.0, bad * 0.5 + 2) AS DOUBLE) AS \"schema\", round(CASE strategy WHEN 'cross_engine' THEN greatest(10.0::DOUBLE, size_gb / 50 + 5) WHEN 'hybrid' THEN greatest(3.0::DOUBLE, size_gb / 100 + 2)"
+    " ELSE greatest(1.0::DOUBLE, size_gb / 100) END, 1) AS data, 5.0::DOUBLE AS application, 5.0::DOUBLE AS go_live FROM ct) ON \"schema\", data, application, go_live INTO NAME phase_name VALUE duration_days"
+)
+
+
+@query(
+    "q_as_from_catalog", _CATALOG,
+    f"WITH {_CAT_SCORES}, {_CAT_SIZING}, {_TARGET}, {_CAT_SOURCE}, pp AS ({_CAT_PHASES}) SELECT CAST(db_id AS VARCHAR) AS db_id, overall_score, category, CAST(blocker_count AS INTEGER) AS blocker_count, effort_days, strategy, unit_min, unit_max,"
+    " source_total, target_total, phase_name, duration_days FROM pp",
+)
+def as_from_catalog(b: Bind):
+    """From flat catalog frames to scores, sizing, cost and phases."""
+    scored = A.strategy(A.score(_catalog_profiles(b)))
+    priced = M.target_cost(A.sizing(M.source_cost(scored)))
+    kept = ("db_id", "overall_score", "category", "blocker_count", "effort_days", "strategy", "unit_min", "unit_max", "source_total", "target_total")
+    return A.phases(priced, kept).drop("phase")

@@ -121,8 +121,8 @@ def sink_retention(b: Bind):
 def sink_archive(b: Bind):
     """Written twice, the second time with a column more."""
     path, orders = new_folder(b.spark, "archive"), b.table("orders")
-    tables.write_archive(orders.where("o_orderkey % 2 = 1").select("o_orderkey", "o_totalprice"), path)
-    tables.write_archive(orders.where("o_orderkey % 2 = 0").select("o_orderkey", "o_totalprice", "o_orderstatus"), path)
+    tables.write_archive(orders.where("o_orderkey % 2 = 1").select("o_orderkey", "o_totalprice"), path, "odd")
+    tables.write_archive(orders.where("o_orderkey % 2 = 0").select("o_orderkey", "o_totalprice", "o_orderstatus"), path, "even")
     return tables.read_archive(b.spark, path).select("o_orderkey", "o_totalprice", "o_orderstatus")
 
 

@@ -12,6 +12,7 @@ from opslens.operators.history import latest_per_key
 from opslens.plans.bind import Bind
 from opslens.plans.registry import query, sql_cells
 from opslens.sources import tables
+from opslens.sources.tiered import TieredTable
 from opslens.sources.workdir import new_folder
 
 _SIDES = (
@@ -240,10 +241,42 @@ def cold_candidates(b: Bind):
 def archive_split(b: Bind):
     """Moved by a run, and logged over what the run has written."""
     orders, now = _orders(b)
-    base = new_folder(b.spark, "archive-run")
-    orders.write.parquet(f"{base}/source")
-    R.run_archive(b.spark, f"{base}/source", f"{base}/cold", f"{base}/hot", "o_orderdate", now)
-    return R.archive_summary(tables.read_archive(b.spark, f"{base}/cold"), ["o_orderpriority"], "o_orderdate", _COLS, now)
+    return R.archive_summary(_archived(b, orders, now).read("cold"), ["o_orderpriority"], "o_orderdate", _COLS, now)
+
+
+def _archived(b: Bind, orders, now):
+    """Orders in two batches, with what is older than 90 days moved."""
+    t = TieredTable(b.spark, new_folder(b.spark, "archive-run"), "orders", "o_orderdate", "p0", "main", grain="month")
+    for i in (0, 1):
+        t.append(orders.where(F.col("o_orderkey") % 2 == i), f"batch-{i}")
+    t.archive(now, 90)
+    return t
+
+
+@query(
+    "q_archive_tiers", "",
+    f"SELECT o_orderkey, o_totalprice, CASE WHEN o_orderdate < {_ORDERS_NOW} - INTERVAL 90 DAY THEN 'cold' ELSE 'hot' END AS tier FROM orders",
+)
+def archive_tiers(b: Bind):
+    """Every row of both tiers, as readers see them after a run that was repeated."""
+    orders, now = _orders(b)
+    t = _archived(b, orders, now)
+    t.archive(now, 90)
+    return t.read().select("o_orderkey", "o_totalprice", "tier")
+
+
+@query(
+    "q_archive_log", "",
+    f"SELECT 'p0' AS project_id, 'main' AS branch_id, 'orders' AS source_table, 'orders_cold' AS archive_table, count(*) AS rows_archived, 90 AS cold_threshold_days, {_ORDERS_NOW} AS archived_at, 'success' AS status"
+    f" FROM orders WHERE o_orderdate < {_ORDERS_NOW} - INTERVAL 90 DAY",
+)
+def archive_log(b: Bind):
+    """The row that a run leaves in data_archival_history, read back from there; written twice, there once."""
+    orders, now = _orders(b)
+    t, ops = _archived(b, orders, now), new_folder(b.spark, "archive-log")
+    t.write_log(ops)
+    t.write_log(ops)
+    return tables.read_ops(b.spark, ops, "data_archival_history").drop("archival_id", "bytes_reclaimed")
 
 
 @query(

@@ -94,13 +94,13 @@ def save_bucketed(df: DataFrame, name: str, keys: list[str], buckets: int, mode:
     df.repartition(buckets, *keys).write.mode(mode).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
 
 
-def write_archive(df: DataFrame, path: str, merge_schema: bool = True) -> None:
-    """Append to an archive whose schema follows its source."""
-    df.hint("rebalance").write.mode("append").parquet(path)
+def write_archive(df: DataFrame, path: str, batch: str) -> None:
+    """Add a batch to an archive whose schema follows its source. A batch that is written again replaces itself."""
+    df.hint("rebalance").write.mode("overwrite").parquet(f"{path}/archive_batch={batch}")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("mergeSchema", "true").parquet(path)
+    return spark.read.option("mergeSchema", "true").parquet(path).drop("archive_batch")
 
 
 def stamp_snapshot(df: DataFrame, project_id: str, branch_id: str, as_of: datetime, key: str = "queryid") -> DataFrame:
