@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from opslens.functions.exprs import case, mean, safe_ratio
 from opslens.operators import history as H
+from opslens.operators import sketches as K
 from opslens.operators import series as S
 from opslens.plans.bind import METRICS, Bind
 from opslens.plans.registry import as_instant, query, sql_cells
@@ -391,6 +392,25 @@ def agg_partial_final(b: Bind):
     return H.finish_rollup(day)
 
 
+@query(
+    "q_agg_sketch_rollup", "query_stats",
+    "SELECT project_id, date_trunc('day', snapshot_timestamp) AS slot, count(*) AS n, count(DISTINCT queryid) AS queries, true AS queries_within, true AS p99_within FROM query_stats GROUP BY ALL",
+)
+def agg_sketch_rollup(b: Bind):
+    """Five minutes to hours to days by merging sketches; whether the answers are within their bounds of the exact ones."""
+    keys, day = ["project_id"], F.date_trunc("day", F.col("slot")).cast("timestamp_ntz")
+    rows = b.query_stats()
+    five = K.rollup(rows, [*keys, "branch_id"], "snapshot_timestamp", 300, ["queryid"], ["mean_exec_time"])
+    hour = K.merge(five, keys, F.date_trunc("hour", F.col("slot")).cast("timestamp_ntz"), ["queryid"], ["mean_exec_time"])
+    answers = K.finish(K.merge(hour, keys, day, ["queryid"], ["mean_exec_time"]), keys, ["queryid"], {"mean_exec_time": [0.99]})
+    at, p99 = F.date_trunc("day", "snapshot_timestamp").cast("timestamp_ntz"), F.col("mean_exec_time_p99")
+    exact = rows.withColumn("slot", at).join(answers, [*keys, "slot"]).groupBy(*keys, "slot", "n", "queryid_distinct").agg(
+        F.count_distinct("queryid").alias("queries"), F.avg((F.col("mean_exec_time") < p99).cast("int")).alias("below"), F.avg((F.col("mean_exec_time") <= p99).cast("int")).alias("upto")
+    )
+    within = F.abs(F.col("queryid_distinct") - F.col("queries")) <= F.greatest(F.lit(1.0), 0.07 * F.col("queries"))
+    return exact.select(*keys, "slot", "n", "queries", within.alias("queries_within"), ((F.col("below") - 0.01 <= 0.99) & (F.col("upto") + 0.01 >= 0.99)).alias("p99_within"))
+
+
 @query(
     "q_agg_io", "query_stats",
     "SELECT project_id, CAST(sum(shared_blks_read) AS BIGINT) AS total_reads, CAST(sum(shared_blks_hit) AS BIGINT) AS total_hits,"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from opslens.functions.exprs import case
 from opslens.operators import archive as R
+from opslens.operators import digests as D
 from opslens.operators import scd2 as C
 from opslens.operators import sync as Y
 from opslens.operators.history import latest_per_key
@@ -86,18 +87,26 @@ def fn_hash(b: Bind):
     )
 
 
-@query(
-    "q_set_reconcile_rows", "",
+_RECONCILED = (
     f"WITH s AS (SELECT o_custkey, o_orderkey, o_orderstatus, o_orderpriority FROM orders), t AS (SELECT o_custkey, o_orderkey, {_CHANGED} AS o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 499 <> 3),"
     " a AS (SELECT * FROM s EXCEPT ALL SELECT * FROM t), c AS (SELECT * FROM t EXCEPT ALL SELECT * FROM s),"
     " x AS (SELECT o_orderkey, count(*) AS n FROM a GROUP BY 1), y AS (SELECT o_orderkey, count(*) AS n FROM c GROUP BY 1)"
     " SELECT coalesce(x.o_orderkey, y.o_orderkey) AS o_orderkey, coalesce(x.n, 0) AS source_only_rows, coalesce(y.n, 0) AS target_only_rows,"
-    " CASE WHEN y.n IS NULL THEN 'source_only' WHEN x.n IS NULL THEN 'target_only' ELSE 'changed' END AS difference FROM x FULL JOIN y ON x.o_orderkey = y.o_orderkey",
+    " CASE WHEN y.n IS NULL THEN 'source_only' WHEN x.n IS NULL THEN 'target_only' ELSE 'changed' END AS difference FROM x FULL JOIN y ON x.o_orderkey = y.o_orderkey"
 )
+
+
+@query("q_set_reconcile_rows", "", _RECONCILED)
 def set_reconcile_rows(b: Bind):
     return Y.reconcile_rows(b.table("orders"), _target_orders(b), ["o_orderkey"], ["o_custkey", *_COLS])
 
 
+@query("q_sync_digest_tree", "", _RECONCILED)
+def sync_digest_tree(b: Bind):
+    """The same rows, found from the roots of two digest trees."""
+    return D.reconcile_tree(b.table("orders"), _target_orders(b), ["o_orderkey"], ["o_custkey", *[c for c in _COLS if c != "o_orderkey"]])
+
+
 @query(
     "q_sync_freshness", "sync_checks",
     "SELECT validation_id, sync_type, CASE WHEN sync_type = 'continuous' THEN 3600.0 ELSE 86400.0 END::DOUBLE AS limit_seconds, CASE WHEN freshness_lag_seconds > CASE WHEN sync_type = 'continuous' THEN 3600 ELSE 86400 END"
