@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from opslens.operators import alerts as A
@@ -10,7 +12,7 @@ from opslens.plans.registry import query
 from opslens.plans.status import _LEVELLED, _STATE
 from opslens.plans.sync import _HISTORY
 from opslens.sources.workdir import new_folder
-from opslens.streaming import sinks, transforms
+from opslens.streaming import sinks, stateful, transforms
 
 
 class Stream(Bind):
@@ -158,3 +160,54 @@ def st_lag_join(b: Bind):
     arrivals = s.table("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_shipdate").alias("arrived_at"))
     out = sinks.run_append(transforms.replication_lag(commits, arrivals, "o_orderkey", "90 DAYS"), new_folder(b.spark, "lag"))
     return _ntz(out, "committed_at", "arrived_at")
+
+
+_PASSED = "project_id, metric_name, severity"
+
+
+@query(
+    "q_st_alert_period", "metric_samples",
+    f"WITH {_LEVELLED}, al AS (SELECT DISTINCT project_id, metric_name, threshold_level AS severity, snapshot_timestamp FROM lv WHERE threshold_level IN ('warning', 'critical')),"
+    " ok AS (SELECT * FROM al WHERE snapshot_timestamp <= (SELECT max(snapshot_timestamp) - INTERVAL 10 MINUTE FROM al))"
+    f" SELECT * FROM (WITH RECURSIVE p AS (SELECT {_PASSED}, min(snapshot_timestamp) AS snapshot_timestamp FROM ok GROUP BY ALL"
+    f" UNION ALL SELECT p.project_id, p.metric_name, p.severity, min(ok.snapshot_timestamp) FROM p JOIN ok USING ({_PASSED}) WHERE ok.snapshot_timestamp >= p.snapshot_timestamp + INTERVAL 6 HOUR GROUP BY 1, 2, 3)"
+    " SELECT * FROM p)",
+)
+def st_alert_period(b: Bind):
+    """Alerts at least six hours apart per project, metric and level, whatever batches they come in."""
+    rows = transforms.threshold_alerts(_stream(b).metric_samples(), A.thresholds(b.spark)).select("project_id", "metric_name", "severity", "snapshot_timestamp")
+    passed = stateful.quiet(rows, ["project_id", "metric_name", "severity"], "snapshot_timestamp", 6 * 3600)
+    return _ntz(sinks.run_append(passed, new_folder(b.spark, "quiet")), "snapshot_timestamp")
+
+
+@query(
+    "q_st_live_branches", "branch_events",
+    "WITH m AS (SELECT branch_id, max(event_timestamp) FILTER (event_type = 'created') AS created, max(event_timestamp) FILTER (event_type = 'deleted') AS deleted, count(*) FILTER (event_type = 'reset') AS resets,"
+    " bool_or(event_type = 'protected') AS is_protected, max(event_timestamp) AS last FROM branch_events GROUP BY 1)"
+    " SELECT branch_id, coalesce(epoch_us(created), -1) AS created, coalesce(epoch_us(deleted), -1) AS deleted, resets, is_protected, epoch_us(last) AS last FROM m"
+    " WHERE NOT (deleted IS NOT NULL AND deleted >= coalesce(created, deleted) AND last <= (SELECT max(event_timestamp) - INTERVAL 10 MINUTE FROM branch_events))",
+)
+def st_live_branches(b: Bind):
+    """What the state of the stream holds at its end: deleted branches have left it."""
+    folder = new_folder(b.spark, "live-branches")
+    sinks.run_into_batches(stateful.live_branches(_stream(b).branch_events()), folder, "update")
+    return stateful.state_of(b.spark, folder)
+
+
+_FINAL = "least((SELECT max(o_orderdate) FROM orders), (SELECT max(l_shipdate) FROM lineitem)) - INTERVAL 60 DAY"
+
+
+@query(
+    "q_st_commit_lag", "",
+    "SELECT o_orderkey, o_orderdate AS committed_at, count(l_shipdate) AS arrivals, min(l_shipdate) AS first_arrival, (epoch_us(min(l_shipdate)) - epoch_us(o_orderdate)) / 1e6 AS lag_seconds,"
+    " CASE WHEN count(l_shipdate) > 0 THEN 'arrived' ELSE 'lost' END AS status FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_shipdate BETWEEN o_orderdate AND o_orderdate + INTERVAL 30 DAY"
+    f" WHERE o_orderdate < {_FINAL} GROUP BY o_orderkey, o_orderdate",
+)
+def st_commit_lag(b: Bind):
+    """A row per commit whose bound of 30 days is over for certain, lost ones among them."""
+    s = _stream(b)
+    commits = s.table("orders").select("o_orderkey", F.col("o_orderdate").alias("committed_at"))
+    arrivals = s.table("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_shipdate").alias("arrived_at"))
+    out = _ntz(sinks.run_append(stateful.commit_lag(commits, arrivals, "o_orderkey", "30 DAYS"), new_folder(b.spark, "commit-lag")), "committed_at", "first_arrival")
+    final = min(b.now("orders", "o_orderdate"), b.now("lineitem", "l_shipdate")) - timedelta(days=60)
+    return out.where(F.col("committed_at") < F.lit(final.isoformat(sep=" ")).cast("timestamp_ntz"))
