@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections import Counter, defaultdict
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from difflib import SequenceMatcher
 from functools import lru_cache
 from itertools import accumulate
@@ -71,13 +71,23 @@ TAG = "spdx-license-identifier"
 #: Ids of SPDX lines beside the license names themselves.
 SPDX = {"GPL-3.0": ("GPL-3.0-only", "GPL-3.0-or-later"), "GPL-2.0": ("GPL-2.0-only", "GPL-2.0-or-later"), "LGPL-3.0": ("LGPL-3.0-only", "LGPL-3.0-or-later")}
 TEMPLATES = {name: (*ts, *(f"SPDX-License-Identifier: {i}" for i in (name, *SPDX.get(name, ())))) for name, ts in TEMPLATES.items()}
-#: What a text must say to be looked at; candidate blocks are cut around these words.
+#: Words of a template (left) that a notice may have otherwise (right), for all licenses and for one. Fixed values.
+VARIATIONS: dict[str, tuple[tuple[str, str], ...]] = {
+    "": (("license", "licence"), ("licensed", "licenced"), ("sublicense", "sublicence"), ("v", "version"), ("version", "v")),
+    "MIT": (("released", "distributed"), ("released", "available"), ("the", "an")),
+    "BSD-2-Clause": (("this", "the"), ("must", "should")),
+    "BSD-3-Clause": (("this", "the"), ("must", "should")),
+    "GPL-2.0": (("work", "program"), ("work", "software"), ("work", "file")),
+    "GPL-3.0": (("work", "program"), ("work", "software"), ("work", "file")),
+    "LGPL-3.0": (("work", "program"), ("work", "software"), ("work", "file"), ("work", "library")),
+}
+#: Words around which candidate blocks are cut. A template without any of them adds its longest word.
 MARKERS = r"(?i)licen[cs]e|permission is|redistribut|public domain|released under"
 #: Most words that stand for a {}.
 SLOT = 20
 #: Least saving by the best template for a notice to be confirmed.
 LEAST_SAVING = 0.25
-#: Words of which one right before a notice takes it back.
+#: Words of which one before a notice, in the same clause, takes it back.
 DENIALS = frozenset(("not", "never", "no", "nor", "neither", "cannot", "t"))
 WORD = r"\w+(?:[-/.]\w+)*"
 FOUND = "doc_id bigint, block int, start bigint, length bigint, text string, license string, saving double, next_license string, next_saving double, wording double, differences array<string>, confirmed boolean"
@@ -88,6 +98,13 @@ def words_of(text: str) -> list[str]:
     return re.findall(r"\{\}|" + WORD, text.lower())
 
 
+def markers_of(templates: Iterable[str]) -> str:
+    """What a text must say to be looked at, as a pattern that both Spark and Python read: no wording is without a word of it."""
+    known = re.compile(MARKERS)
+    longest = {max(words_of(t), key=len) for t in templates if words_of(t) and not known.search(" ".join(words_of(t)))}
+    return "|".join([MARKERS, *(re.escape(w) for w in sorted(longest))])
+
+
 class Template(NamedTuple):
     """A wording as words, as runs of words between its {}, and the places of its marker words."""
 
@@ -99,7 +116,7 @@ class Template(NamedTuple):
     compressor: zstandard.ZstdCompressor
 
 
-def template(name: str, text: str, level: int) -> Template:
+def template(name: str, text: str, level: int, markers: str = MARKERS) -> Template:
     words, runs = words_of(text), [[]]
     for w in words:
         if w == "{}":
@@ -108,17 +125,19 @@ def template(name: str, text: str, level: int) -> Template:
             runs[-1].append(w)
     data = zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     said, ends = " ".join(words), list(accumulate(len(w) + 1 for w in words))
-    marks = sorted({bisect_right(ends, m.start()) for m in re.finditer(MARKERS, said)})
+    marks = sorted({bisect_right(ends, m.start()) for m in re.finditer(markers, said)})
     return Template(name, words, [r for r in runs if r], marks, Counter(words), zstandard.ZstdCompressor(level=level, write_content_size=False, dict_data=data))
 
 
 class Matcher:
     """Compares blocks with all templates; equal blocks are compared once."""
 
-    def __init__(self, templates: Mapping[str, tuple[str, ...]], level: int = 19):
-        self.entries = [template(name, t, level) for name, ts in templates.items() for t in ts]
+    def __init__(self, templates: Mapping[str, tuple[str, ...]], variations: Mapping[str, tuple[tuple[str, str], ...]] = VARIATIONS, level: int = 19):
+        markers = markers_of(t for ts in templates.values() for t in ts)
+        self.entries = [template(name, t, level, markers) for name, ts in templates.items() for t in ts]
+        self.allowed = {name: frozenset((*variations.get("", ()), *variations.get(name, ()))) for name in templates}
         self.plain = zstandard.ZstdCompressor(level=level, write_content_size=False)
-        self.marker, self.word = re.compile(MARKERS), re.compile(WORD)
+        self.marker, self.word = re.compile(markers), re.compile(WORD)
         self.by_first = defaultdict(list)
         for n, e in enumerate(self.entries):
             if e.runs:
@@ -205,21 +224,17 @@ class Matcher:
         return min(a, p, begin), max(b, p + 1, end), max(p + 1, end)
 
     def _result(self, text: str, words: list[str], spans: list[tuple[int, int]], a: int, block: str, n: int | None) -> tuple:
-        """The comparison of a block; a whole wording is confirmed unless a denial stands right before it."""
-        if n is None:
-            return self.closest(block)
+        """The comparison of a block; a denial in the clause before it takes it back."""
         # of an SPDX expression its tag and this id are compared
-        savings = self.compare(": ".join(self.entries[n].words) if n in self.ids.values() else block)
-        e, denials, at = self.entries[n], [], spans[a][0]
-        for i in range(a - 1, max(-1, a - 3), -1):
+        name, saving, after, less, wording, differences, same = self.closest(": ".join(self.entries[n].words) if n in self.ids.values() else block)
+        denials, at = [], spans[a][0]
+        for i in range(a - 1, -1, -1):
             gap = text[spans[i][1] : at]
-            if re.search(r"[.!?]|\n\s*\n", gap) or ("\n" in gap and text[at].isupper()):
+            if re.search(r"[.,;:!?]|\n\s*\n", gap) or ("\n" in gap and text[at].isupper()):
                 break
             denials += [f"+{words[i]}"] * (words[i] in DENIALS)
             at = spans[i][0]
-        saving = next(s for s, k in savings if k == n)
-        after = next(((s, self.entries[k].name) for s, k in savings if self.entries[k].name != e.name), (None, None))
-        return e.name, saving, after[1], after[0], 1.0, tuple(denials), saving >= LEAST_SAVING and not denials
+        return name, saving, after, less, wording, (*differences, *denials), same and not denials
 
     def _compare(self, block: str) -> list[tuple[float, int]]:
         """Saving by each template and its number, the best first."""
@@ -228,57 +243,68 @@ class Matcher:
         return sorted(((1 - len(e.compressor.compress(raw)) / alone, n) for n, e in enumerate(self.entries)), key=lambda s: (-s[0], self.entries[s[1]].name, len(self.entries[s[1]].words)))
 
     def closest(self, block: str) -> tuple:
-        """The comparison of a block that is no whole wording: not confirmed."""
+        """The license whose template saves most of a block, confirmed if nothing of its wording differs but allowed variations."""
         savings = self.compare(block)
         if not savings:
             return None, None, None, None, 0.0, (), False
         words = words_of(block)
         # templates that save as much are told apart by wording
-        agreed = max((self._wording(words, self.entries[n].words) + (s, self.entries[n].name) for s, n in savings if s >= savings[0][0] - 0.1), key=lambda x: (x[0], x[2]))
+        agreed = max((self._wording(words, self.entries[n].words, self.allowed[self.entries[n].name]) + (s, self.entries[n].name) for s, n in savings if s >= savings[0][0] - 0.1), key=lambda x: (x[0], not x[1], x[2]))
         wording, differences, saving, name = agreed
         after = next(((s, self.entries[n].name) for s, n in savings if self.entries[n].name != name), (None, None))
-        return name, saving, after[1], after[0], wording, differences, False
+        return name, saving, after[1], after[0], wording, differences, not differences and wording == 1.0 and saving >= LEAST_SAVING
 
     @staticmethod
-    def _wording(words: list[str], template: list[str]) -> tuple[float, tuple[str, ...]]:
-        """Share of the template's words found in order, and what differs: - missing, + between. What stands before and after is no difference."""
-        parts = SequenceMatcher(None, template, words, autojunk=False).get_matching_blocks()
-        matched = [p for p in parts if p.size]
+    def _wording(words: list[str], template: list[str], allowed: frozenset[tuple[str, str]]) -> tuple[float, tuple[str, ...]]:
+        """Share of the template's words found in order, and what differs: - missing, + between. Words that may stand for those of the template are found
+        too; what stands before and after is no difference."""
+        matched = [p for p in SequenceMatcher(None, template, words, autojunk=False).get_matching_blocks() if p.size]
         found = sum(p.size for p in matched) + template.count("{}")
-        differences, a, b = [], 0, matched[0].b if matched else 0
+        # a first and a last word may also be varied, so the text may begin and end beside the first and last match
+        first, last = (matched[0], matched[-1]) if matched else (None, None)
+        differences, a, b = [], 0, max(0, first.b - first.a) if first else 0
+        end = min(len(words), last.b + last.size + len(template) - last.a - last.size) if last else 0
         for p in [*matched, None]:
-            missing = [w for w in template[a : p.a if p else len(template)] if w != "{}"]
-            between = words[b : p.b] if p else []
-            if missing or (between and "{}" not in template[a : p.a]):
-                differences += [f"-{w}" for w in missing] + [f"+{w}" for w in between]
+            upto = p.b if p else end
+            missing, between = [w for w in template[a : p.a if p else len(template)] if w != "{}"], words[b:upto]
+            open_ = "{}" in template[a : p.a if p else len(template)]
+            if not open_ and len(missing) == len(between) and all(pair in allowed for pair in zip(missing, between, strict=True)):
+                found += len(missing)
+            else:
+                inner = p is not None and p is not first
+                if missing or (between and inner and not open_):
+                    differences += [f"-{w}" for w in missing] + [f"+{w}" for w in between if inner]
             if p:
                 a, b = p.a + p.size, p.b + p.size
         return min(1.0, found / max(1, len(template))), tuple(differences)
 
 
 @lru_cache(maxsize=4)
-def matcher(templates: tuple[tuple[str, tuple[str, ...]], ...]) -> Matcher:
-    return Matcher(dict(templates))
+def matcher(templates: tuple[tuple[str, tuple[str, ...]], ...], variations: tuple[tuple[str, tuple[tuple[str, str], ...]], ...]) -> Matcher:
+    return Matcher(dict(templates), dict(variations))
 
 
-def scan(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(
+    docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, key: str = "doc_id", text: str = "text", variations: Mapping[str, tuple[tuple[str, str], ...]] = VARIATIONS,
+) -> DataFrame:
     """A row per notice and other candidate block of a text: doc_id, block (from 0), start, length, text, license, saving, next_license, next_saving, wording, differences, confirmed.
 
-    In texts with a marker word all places are found where a template stands word by word, wherever they begin in a line and however
-    lines break; up to SLOT words may stand for each {}. Of places that overlap the one with most words counts, each place is a row, and its words
-    are taken out; an SPDX expression is a row for each license that it names, compared by its tag and that id. Around each marker word of
-    the rest a block as long as the template that fits best is cut, so each marker word is in some row. Each block is compressed
-    alone and with every template as raw dictionary; `saving` is the share of bytes that the named one spares, `next_saving` that of the best
-    other license. A row is confirmed if it has all words of a template, spares enough, and none of the two words before it denies it.
+    Candidate blocks are cut in texts with a marker word; the markers follow from the templates. Where a template stands word by word, with up to SLOT words
+    for each {}, the block is cut to it (of places that overlap, the one with most words), so that adjacent notices are blocks of their own; an SPDX expression
+    is a block for each license that it names, its tag and that id. Around each marker word of the rest a block as long as the template that
+    fits best is cut, so each marker word is in some row. How a block was cut says nothing about its license: each is compressed
+    alone and with every template as raw dictionary, and the largest `saving`, the share of bytes spared, wins; savings within 0.1 of it are told apart by
+    wording. `next_saving` is that of the best other license. The winner is confirmed if it spares enough, no word differs from the template but by
+    `variations` (pairs per license, "" for all), and no word of the clause before takes it back.
     `differences` lists words missing (-), in between (+), or denying (+).
 
     Null and empty texts have no blocks. Null and repeated doc_ids are kept as they are. An empty table gives an empty table. Start and length
     are in characters. Other columns are not read, whatever their names. Nothing is shuffled.
     """
-    known = tuple((n, tuple(t)) for n, t in templates.items())
+    known, varied = tuple((n, tuple(t)) for n, t in templates.items()), tuple((n, tuple(v)) for n, v in variations.items())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = matcher(known)
+        m = matcher(known, varied)
         for batch in batches:
             rows = []
             for doc_id, said in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -287,7 +313,7 @@ def scan(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES,
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[f.split()[0] for f in FOUND.split(", ")])
 
     texts = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return texts.where(F.col("text").rlike(MARKERS)).mapInArrow(run, FOUND)
+    return texts.where(F.col("text").rlike(markers_of(t for ts in templates.values() for t in ts))).mapInArrow(run, FOUND)
 
 
 @query("op9_license_scan")

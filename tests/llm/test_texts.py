@@ -332,3 +332,30 @@ def test_decoding_agrees_with_the_library(model, names):
     for text in ("Hello  world", " x", "été 123, ok?"):
         ids = names.encode(text)
         assert model.decode(np.array(ids, np.uint32)) == names.decode(ids) == text
+
+
+def test_winners_of_compression_are_confirmed_by_wording(spark):
+    """No template stands word by word in these, so the blocks are cut around markers; allowed variations are confirmed, all others not."""
+    bsd = licenses.TEMPLATES["BSD-2-Clause"][1]
+    good = {"MIT": "Released under the MIT Licence.", "Apache-2.0": "Licensed under the Apache Licence, Version 2.0.", "BSD-2-Clause": bsd.replace("THIS SOFTWARE", "THE SOFTWARE"), "GPL-2.0": "This file is licensed under the GNU General Public License, version 2."}
+    m = licenses.matcher(tuple((n, tuple(t)) for n, t in licenses.TEMPLATES.items()), tuple((n, tuple(v)) for n, v in licenses.VARIATIONS.items()))
+    for text in good.values():
+        words = [w.group().lower() for w in m.word.finditer(text)]
+        assert not m._whole(words)
+    prose = "Some other words stand before. {} And others behind it, of no meaning."
+    assert confirmed(spark, list(good.values())) == confirmed(spark, [prose.format(t) for t in good.values()]) == [[n] for n in good]
+    bad = [licenses.TEMPLATES["MIT"][2].replace("this software and", "this softwares and"), "Released over the MIT Licence.", "Licensed under the Apache Licence, Version 1.1.", bsd.replace("source code", "object code")]
+    assert confirmed(spark, bad) == [[] for _ in bad]
+
+
+def test_denials_of_a_clause(spark):
+    said = ["Do not assume this is Released under the MIT License.", "It does not cost anything. Released under the MIT License.", "No fee, released under the MIT License."]
+    assert confirmed(spark, said) == [[], ["MIT"], ["MIT"]]
+
+
+def test_templates_of_ones_own(spark):
+    """The filter follows from the templates, also where they have none of the usual words."""
+    own = {"Own-1": ("Use it as you please, for any purpose, at your own risk.",)}
+    df = spark.createDataFrame([(1, "Hello. Use it as you please, for any purpose, at your own risk. Bye."), (2, "Use it as you like."), (3, None), (4, "For any purpose.")], "doc_id bigint, text string")
+    rows = {r.doc_id: (r.license, r.confirmed) for r in licenses.scan(df, templates=own, variations={}).collect()}
+    assert rows[1] == ("Own-1", True) and 2 not in rows and rows.get(4, (None, False))[1] is False
