@@ -20,8 +20,10 @@ from opslens.llm.tokens import gather, slices_of
 SAMPLES, ALPHA, SEED = 2, 0.3, 0
 #: Text a task takes on at a time; the lattices of its distinct words are built once.
 SLICE_BYTES = 1 << 20
-#: A branch whose probability is below e**-40 of its document's is not queued: double precision can't tell it from none.
-FAINTEST = -40.0
+#: Branches behind a way of so small a log probability are looked at only if the others do not fill the queue for certain.
+FAINTEST = -45.0
+#: Noise lifts a log probability by less than this: the uniform numbers it is made from are 2**-54 below 1 at most.
+MOST_NOISE = 37.5
 SPACE = "▁"
 SAMPLED = "doc_id bigint, sample int, n_pieces bigint, ids binary, log_prob double, score double, log_inclusion double, decoded string"
 
@@ -266,26 +268,42 @@ class Pieces:
 
     @staticmethod
     def _branches(lat: Lattices, flat: np.ndarray, bounds: np.ndarray, total: np.ndarray, since: np.ndarray, scores: np.ndarray, seeds: np.ndarray, sample: int, k: int) -> list[tuple[int, float, int, int]]:
-        """The k best branches off each way behind its `since` first edges: way, score, place and edge."""
+        """The k best branches off each way behind its `since` first edges: way, score, place and edge.
+
+        Branches behind a faint part of a way score less than FAINTEST + MOST_NOISE. Ways whose k-th best branch of the other part scores no more, or which
+        have fewer, are gone through as a whole; so the result is exact.
+        """
         sizes = np.diff(bounds)
         way = np.repeat(np.arange(len(sizes)), sizes)
         place = np.arange(len(flat)) - bounds[way]
         gone = total[:-1] - total[bounds[way]]
-        near = np.flatnonzero((gone >= FAINTEST) & (place >= since[way]))
-        way, place, gone, taken = way[near], place[near], gone[near], flat[near]
-        node = lat.edge_node[taken]
-        first = lat.node_edge[node].astype(np.int64)
-        count = lat.node_edge[node + 1] - first
-        at, edge = np.repeat(np.arange(len(taken)), count), ranges(first, count)
-        other = edge != taken[at]
-        at, edge = at[other], edge[other]
-        phi = gone[at] + lat.edge_logp[edge]
-        noise = -np.log(uniform(seeds[way[at]].view(np.int64) + sample, (place[at] << 16) + edge - first[at]))
-        score = -np.logaddexp(-scores[way[at]], np.log(noise) - phi)
-        order = np.lexsort((-score, way[at]))
-        of = way[at][order]
-        best = order[np.arange(len(of)) - np.searchsorted(of, of) < k]
-        return list(zip(way[at[best]].tolist(), score[best].tolist(), place[at[best]].tolist(), edge[best].tolist(), strict=True))
+        behind = place >= since[way]
+
+        def best_of(asked: np.ndarray) -> tuple[np.ndarray, ...]:
+            of, at, before, taken = way[asked], place[asked], gone[asked], flat[asked]
+            node = lat.edge_node[taken]
+            first = lat.node_edge[node].astype(np.int64)
+            count = lat.node_edge[node + 1] - first
+            i, edge = np.repeat(np.arange(len(taken)), count), ranges(first, count)
+            other = edge != taken[i]
+            i, edge = i[other], edge[other]
+            phi = before[i] + lat.edge_logp[edge]
+            noise = -np.log(uniform(seeds[of[i]].view(np.int64) + sample, (at[i] << 16) + edge - first[i]))
+            score = -np.logaddexp(-scores[of[i]], np.log(noise) - phi)
+            order = np.lexsort((-score, of[i]))
+            ways = of[i][order]
+            rank = np.arange(len(ways)) - np.searchsorted(ways, ways)
+            kept = order[rank < k]
+            return of[i[kept]], score[kept], at[i[kept]], edge[kept]
+
+        faint = behind & (gone < FAINTEST)
+        found = best_of(np.flatnonzero(behind & ~faint))
+        sure = np.bincount(found[0][found[1] >= FAINTEST + MOST_NOISE], minlength=len(sizes)) >= k
+        unsure = ~sure & (np.bincount(way[faint], minlength=len(sizes)) > 0)
+        if unsure.any():
+            again = best_of(np.flatnonzero(behind & unsure[way]))
+            found = tuple(np.concatenate([x[~unsure[found[0]]], y]) for x, y in zip(found, again, strict=True))
+        return list(zip(*(x.tolist() for x in found), strict=True))
 
     def _ids(self, lat: Lattices, flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of ways in the order of the text, and their bounds. Words stand in order, the edges in a word from its end."""

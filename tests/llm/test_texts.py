@@ -359,3 +359,13 @@ def test_templates_of_ones_own(spark):
     df = spark.createDataFrame([(1, "Hello. Use it as you please, for any purpose, at your own risk. Bye."), (2, "Use it as you like."), (3, None), (4, "For any purpose.")], "doc_id bigint, text string")
     rows = {r.doc_id: (r.license, r.confirmed) for r in licenses.scan(df, templates=own, variations={}).collect()}
     assert rows[1] == ("Own-1", True) and 2 not in rows and rows.get(4, (None, False))[1] is False
+
+
+@pytest.mark.parametrize("alpha", [0.3, 3.0, 8.0])
+def test_all_segmentations_come_out_at_any_weights(spark, alpha):
+    """Also those that are all but impossible: 64 of them, each once."""
+    rows = pieces.sample_pieces(spark.createDataFrame([(1, "the cat")], "doc_id bigint, text string"), MODEL, samples=3000, alpha=alpha, decode=True).collect()
+    assert len(rows) == 64 and len({bytes(r.ids) for r in rows}) == 64 and {r.decoded for r in rows} == {"the cat"}
+    assert {r.log_inclusion for r in rows} == {0.0} and sum(float(np.exp(r.log_prob)) for r in rows) == pytest.approx(1)
+    scores = [r.score for r in sorted(rows, key=lambda r: r["sample"])]
+    assert scores == sorted(scores, reverse=True)
