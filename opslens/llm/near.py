@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opslens.llm.common import query, stored, table, tidy
+from opslens.llm.common import looked_up, query, stored, table, tidy
 from opslens.llm.tokens import slices_of
 
 SLICE_BYTES = 4 << 20
@@ -206,7 +206,8 @@ def components(edges: DataFrame) -> DataFrame:
     """doc_id and component (its smallest doc_id) of every node of `edges` (a, b).
 
     Distributed union-find: in turn each node hands its larger neighbours, then its smaller ones, to the smallest of its
-    neighbourhood, until all edges point to a root. Nodes are aggregated before the shuffle, and each round is written.
+    neighbourhood, until all edges point to a root. Nodes are aggregated before the shuffle, a node with many neighbours meets its
+    smallest in parts, and each round is written.
     """
     current = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "links")
     seen = None
@@ -216,10 +217,10 @@ def components(edges: DataFrame) -> DataFrame:
             return current.union(current.select("b", "b").distinct()).toDF("doc_id", "component")
         seen = now
         both = current.union(current.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, F.col("a") == F.col("node")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        lowest = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), "m")
-        small = large.join(lowest, F.col("a") == F.col("node")).where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = looked_up(both.where("b > a"), least, "a", F.xxhash64("b")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = looked_up(large, lowest, "a", F.xxhash64("b")).where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         current = stored(small.union(lowest).distinct(), "links")
 
 
