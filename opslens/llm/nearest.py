@@ -10,10 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opslens.llm.common import query, table
+from opslens.llm.common import query, stored, table
 
-#: Rows of a tile's sides: a tile multiplies so many queries by so many candidates.
-QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 16_384
+#: Rows of a tile's sides: a tile multiplies so many queries by so many candidates, so all candidates are sent once per block of queries.
+QUERY_BLOCK, CANDIDATE_BLOCK = 16_384, 16_384
+#: Queries of a tile that are multiplied at once.
+QUERY_STEP = 1024
 #: Integer products of so many components are exact in single precision: 127 * 127 * 1024 < 2 ** 24.
 EXACT_COMPONENTS = 1024
 #: Above any rounding error of the double-precision sums compared with the bounds.
@@ -95,8 +97,8 @@ def tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, candidates
 def nearest(queries: DataFrame, candidates: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the `k` candidates of largest cosine for each query, exactly.
 
-    Both sides are dealt into blocks by row number, whatever their ids, each pair of blocks is a tile and a task, and a tile returns k rows per query. The
-    tiles' rows meet by query in heaps. Nearest first, ties to the smaller vec_id. A candidate with the query's own id is left out. Fewer
+    Both sides are written once and dealt into blocks by the number of the written row, whatever their ids, so a task that is run again finds the same rows.
+    Each pair of blocks is a tile and a task, and a tile returns k rows per query. The tiles' rows meet by query in heaps. Nearest first, ties to the smaller vec_id. A candidate with the query's own id is left out. Fewer
     than k candidates are all returned; a query without any has no row.
 
     Vectors that are null, zero, or hold null or non-finite components take no part; a vector is compared with those of its
@@ -106,8 +108,8 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 5, key: str = "v
     def sides(df: DataFrame) -> DataFrame:
         return df.select(F.col(key).cast("bigint").alias("vec_id"), F.col(vector).alias("v")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
 
-    asked = sides(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
-    others = sides(candidates)
+    asked = stored(sides(queries).groupBy("vec_id").agg(F.min("v").alias("v")), "nearest-queries")
+    others = stored(sides(candidates), "nearest-candidates")
     n_asked, n_others = asked.count(), others.count()
     by_query, by_candidate = max(1, -(-n_asked // query_block)), max(1, -(-n_others // candidate_block))
 
@@ -124,7 +126,9 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 5, key: str = "v
     def one_tile(a: pa.Table, b: pa.Table) -> pa.Table:
         found = [], [], []
         if len(a) and len(b):
-            found = tile(a["vec_id"].to_numpy(), vectors_of(a["v"]), b["vec_id"].to_numpy(), vectors_of(b["v"]), k)
+            ids, asked_of, others_of = a["vec_id"].to_numpy(), vectors_of(a["v"]), vectors_of(b["v"])
+            steps = [tile(ids[x : x + QUERY_STEP], asked_of[x : x + QUERY_STEP], b["vec_id"].to_numpy(), others_of, k) for x in range(0, len(ids), QUERY_STEP)]
+            found = [np.concatenate(x) for x in zip(*steps, strict=True)]
         return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
