@@ -21,7 +21,7 @@ SAMPLES, ALPHA, SEED = 2, 0.3, 0
 #: Text a task takes on at a time; the lattices of its distinct words are built once.
 SLICE_BYTES = 1 << 20
 #: Branches behind a way of so small a log probability are looked at only if the others do not fill the queue for certain.
-FAINTEST = -45.0
+FAINTEST = -40.0
 #: Noise lifts a log probability by less than this: the uniform numbers it is made from are 2**-54 below 1 at most.
 MOST_NOISE = 37.5
 SPACE = "▁"
@@ -254,7 +254,8 @@ class Pieces:
             for j, (i, way) in enumerate(zip(which.tolist(), ways, strict=True)):
                 found[i].append((ids[id_bounds[j] : id_bounds[j + 1]], float(logp[bounds[j] : bounds[j + 1]].sum()), float(scores[j])))
                 queues[i] = queues[i][: k - r]
-            for j, score, at, edge in self._branches(lat, flat, bounds, total, since, scores, seeds[which], r, k - r):
+            held = np.array([sum(q[0] >= FAINTEST + MOST_NOISE for q in queues[i]) for i in which.tolist()])
+            for j, score, at, edge in self._branches(lat, flat, bounds, total, since, scores, seeds[which], r, k - r, held):
                 queues[which[j]].append((score, ways[j], at, edge))
             going = []
             for i in which.tolist():
@@ -267,11 +268,11 @@ class Pieces:
         return [[(got, p, g, included(p - queue[0][0]) if queue else 0.0) for got, p, g in ways] for ways, queue in zip(found, queues, strict=True)]
 
     @staticmethod
-    def _branches(lat: Lattices, flat: np.ndarray, bounds: np.ndarray, total: np.ndarray, since: np.ndarray, scores: np.ndarray, seeds: np.ndarray, sample: int, k: int) -> list[tuple[int, float, int, int]]:
+    def _branches(lat: Lattices, flat: np.ndarray, bounds: np.ndarray, total: np.ndarray, since: np.ndarray, scores: np.ndarray, seeds: np.ndarray, sample: int, k: int, held: np.ndarray) -> list[tuple[int, float, int, int]]:
         """The k best branches off each way behind its `since` first edges: way, score, place and edge.
 
-        Branches behind a faint part of a way score less than FAINTEST + MOST_NOISE. Ways whose k-th best branch of the other part scores no more, or which
-        have fewer, are gone through as a whole; so the result is exact.
+        Branches behind a faint part of a way score less than FAINTEST + MOST_NOISE. Where fewer than k branches score more, of the other part and of those
+        `held` in the queue, a way is gone through as a whole; so the result is exact.
         """
         sizes = np.diff(bounds)
         way = np.repeat(np.arange(len(sizes)), sizes)
@@ -298,7 +299,7 @@ class Pieces:
 
         faint = behind & (gone < FAINTEST)
         found = best_of(np.flatnonzero(behind & ~faint))
-        sure = np.bincount(found[0][found[1] >= FAINTEST + MOST_NOISE], minlength=len(sizes)) >= k
+        sure = np.bincount(found[0][found[1] >= FAINTEST + MOST_NOISE], minlength=len(sizes)) + held >= k
         unsure = ~sure & (np.bincount(way[faint], minlength=len(sizes)) > 0)
         if unsure.any():
             again = best_of(np.flatnonzero(behind & unsure[way]))
