@@ -87,88 +87,104 @@ class Pieces:
         self.byte_weight = float(weight[-1])
         self.tokens = np.concatenate([plain, np.arange(256) + self.first_byte]).astype(np.uint32)
         self.weights, self.sizes = np.concatenate([weight, np.full(256, self.byte_weight)]), np.ones(len(self.tokens), np.int64)
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        codes: dict[int, list[tuple[int, int]]] = {}
+        found = []
         for place, i in enumerate(plain):
             c = np.frombuffer(names[i].replace(SPACE, " ").encode("utf-32-le"), np.uint32)
-            *_, (length, h) = self.rolled(c, len(c))
-            codes.setdefault(length, []).append((int(h[0]), place))
-        for length, found in codes.items():
-            found.sort()
-            self.by_length[length] = np.array([h for h, _ in found], np.uint64), np.array([p for _, p in found])
-        self.likely = np.zeros(1 << 20, bool)  # by the upper bits of a hash, whether a piece can have it
-        for hashes, _ in self.by_length.values():
-            self.likely[hashes >> np.uint64(44)] = True
+            *_, (length, _, h) = self.rolled(c, np.arange(len(c), 0, -1), len(c))
+            found.append((int(h[0]), place, length))
+        found.sort()
+        self.hashes = np.array([h for h, _, _ in found] + [0], np.uint64)
+        self.places = np.array([p for _, p, _ in found] + [0])
+        self.longest = max((n for _, _, n in found), default=0)
+        # hashes are found by their upper bits: where the first one with these bits stands, and how many there are at most
+        upper = (self.hashes[:-1] >> np.uint64(44)).astype(np.int64)
+        self.first_hash = np.searchsorted(upper, np.arange(1 << 20)).astype(np.int32)
+        self.first_hash[np.setdiff1d(np.arange(1 << 20), upper)] = len(upper)
+        self.likely = self.first_hash < len(upper)
+        self.most_alike = int(np.bincount(upper, minlength=1).max())
         written = [bytes([i - self.first_byte]) if model.is_byte(i) else b"" if special[i] else names[i].replace(SPACE, " ").encode() for i in range(n)]
         self.text_starts = np.cumsum([0, *map(len, written)]).astype(np.int64)
         self.text = np.frombuffer(b"".join(written), np.uint8)
         self.runs: dict[bytes, int] = {}
 
     @staticmethod
-    def rolled(c: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
-        """64-bit hashes of all runs of 1, 2, ... characters."""
-        c = c.astype(np.uint64)
-        h = np.zeros(len(c), np.uint64)
-        for n in range(1, min(longest, len(c)) + 1):
-            h = h[: len(c) - n + 1] * np.uint64(0x100000001B3) + c[n - 1 :]
-            yield n, mix(h + np.uint64(n))
+    def rolled(c: np.ndarray, left: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Runs of 1, 2, ... characters that end inside their word, which has `left` characters from a character on: where they begin, and
+        64-bit hashes."""
+        at, h, c = np.arange(len(c)), np.zeros(len(c), np.uint64), c.astype(np.uint64)
+        for n in range(1, longest + 1):
+            on = np.flatnonzero(left[at] >= n)
+            at, h = at[on], h[on]
+            if not len(at):
+                return
+            h = h * np.uint64(0x100000001B3) + c[at + (n - 1)]
+            yield n, at, mix(h + np.uint64(n))
+
+    def pieces_at(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are a piece's, and its place."""
+        upper = (h >> np.uint64(44)).view(np.int64)
+        at = np.flatnonzero(self.likely[upper])
+        k, h = self.first_hash[upper[at]], h[at]
+        hit = self.hashes[k] == h
+        for _ in range(1, self.most_alike):
+            k = np.minimum(k + ~hit, len(self.places) - 1)
+            hit = (self.hashes[k] == h) & (k < len(self.places) - 1)
+        hit = np.flatnonzero(hit)
+        return at[hit], self.places[k[hit]]
 
     def build(self, words: list[str]) -> Lattices:
-        """Lattices of all words at once, node by node from the left."""
-        c = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        """Lattices of all words at once, node by node from the left.
+
+        Words stand by falling length and nodes by depth, so the nodes of a depth are those of the first words, the ways to them are
+        edges that stand together, and a depth is worked out in slices.
+        """
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        starts = np.cumsum(sizes) - sizes
-        word = np.repeat(np.arange(len(words)), sizes)
-        left = np.repeat(starts + sizes, sizes) - np.arange(len(c))  # characters from here to the word's end
-        base = starts + np.arange(len(words))  # first node of each word; node = base + characters before it
+        order = np.argsort(-sizes, kind="stable")
+        c = np.frombuffer("".join([words[i] for i in order.tolist()]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = sizes[order]
+        word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+        depth = ranges(np.zeros(len(words), np.int64), sizes).astype(np.int32)  # characters before this one
+        left = np.repeat(sizes.astype(np.int32), sizes) - depth  # characters from here to the word's end
+        per_depth = len(words) - np.searchsorted(sizes[::-1], np.arange(int(sizes.max(initial=0)) + 1))
+        level = np.concatenate([[0], np.cumsum(per_depth)])  # first node of a depth; node = level[characters before it] + word
+        n_nodes = int(level[-1])
         # an edge is one number: its node, its length, the place of its tokens; sorted, edges of a node stand together
-        first_node = base[word] - starts[word] + np.arange(len(c))  # of the character
         packed = []
         alone = np.zeros(len(c), bool)
-        for n, h in self.rolled(c, max(self.by_length)):
-            if n not in self.by_length:
-                continue
-            hashes, places = self.by_length[n]
-            at = np.flatnonzero((left[: len(h)] >= n) & self.likely[h >> np.uint64(44)])
-            h = h[at]
-            k = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            hit = np.flatnonzero(hashes[k] == h)
-            packed.append((first_node[at[hit]] + n) << 32 | n << 24 | places[k[hit]])
+        for n, at, h in self.rolled(c, left, self.longest):
+            hit, place = self.pieces_at(h)
+            at = at[hit]
+            packed.append((level[depth[at] + n] + word[at]) << 32 | n << 24 | place)
             if n == 1:
-                alone[at[hit]] = True
+                alone[at] = True
         # characters without a piece: their bytes, as one edge
         odd = np.flatnonzero(~alone)
         runs = np.fromiter((self._byte_run(chr(i).encode("utf-8", "surrogatepass")) for i in c[odd].tolist()), np.int64, len(odd))
-        packed = np.sort(np.concatenate([*packed, (first_node[odd] + 1) << 32 | 1 << 24 | runs]))
-        to, token = packed >> 32, packed & 0xFFFFFF
-        frm = to - (packed >> 24 & 0xFF)
+        packed = np.sort(np.concatenate([*packed, (level[depth[odd] + 1] + word[odd]) << 32 | 1 << 24 | runs]))
+        to, token, length = packed >> 32, packed & 0xFFFFFF, packed >> 24 & 0xFF
         weight, tokens = self.weights[token], self.sizes[token]
-        n_nodes = len(c) + len(words)
-        node_edge = np.searchsorted(to, np.arange(n_nodes + 1))
-        depth = np.arange(n_nodes) - np.repeat(base, sizes + 1)
+        per_node = np.bincount(to, minlength=n_nodes)
+        node_edge = np.concatenate([[0], np.cumsum(per_node)])
+        frm = np.empty(len(to), np.int32)
         total = np.zeros(n_nodes)
-        logp, below = np.zeros(len(to)), np.zeros(len(to))
-        by_depth = np.sort(depth[to] << 32 | np.arange(len(to)))
-        cuts = np.searchsorted(by_depth >> 32, np.arange(1, sizes.max(initial=0) + 2))
-        by_depth &= 0xFFFFFFFF
-        for d in range(len(cuts) - 1):
-            e = by_depth[cuts[d] : cuts[d + 1]]
-            if not len(e):
-                continue
-            w = total[frm[e]] + weight[e]
-            head = np.flatnonzero(np.diff(to[e], prepend=-1))
-            group = np.repeat(np.arange(len(head)), np.diff([*head, len(e)]))
+        logp, below = np.empty(len(to)), np.empty(len(to))
+        for d in range(1, len(level) - 1):
+            first, end = level[d], level[d + 1]
+            x, y = node_edge[first], node_edge[end]
+            head, count = node_edge[first:end] - x, per_node[first:end]
+            frm[x:y] = to[x:y] - (first - level[d - length[x:y]])
+            w = total[frm[x:y]] + weight[x:y]
             top = np.maximum.reduceat(w, head)
-            p = np.exp(w - top[group])
+            p = np.exp(w - np.repeat(top, count))
             summed = np.add.reduceat(p, head)
-            total[to[e[head]]] = top + np.log(summed)
-            p /= summed[group]
-            logp[e] = np.log(p)
+            total[first:end] = top + np.log(summed)
+            p /= np.repeat(summed, count)
+            np.log(p, out=logp[x:y])
             running = np.cumsum(p)
-            below[e] = running - (running[head] - p[head])[group]
-        first = np.zeros(n_nodes, bool)
-        first[base] = True
-        return Lattices((base + sizes).astype(np.int32), node_edge.astype(np.int32), frm.astype(np.int32), to.astype(np.int32), first[frm], logp, below, token, tokens)
+            below[x:y] = running - np.repeat(running[head] - p[head], count)
+        last = np.empty(len(words), np.int32)
+        last[order] = level[sizes] + np.arange(len(words))
+        return Lattices(last, node_edge.astype(np.int32), frm, to.astype(np.int32), frm < len(words), logp, below, token, tokens)
 
     def _byte_run(self, raw: bytes) -> int:
         """Where the byte tokens of a character stand in `tokens`, with their number and weight; runs are appended as they come up."""
