@@ -57,6 +57,72 @@ def rolling_seconds(samples: DataFrame, keys: Sequence[str], ts: str, value: str
     )
 
 
+def _moments(x: Column, frame: W | None = None) -> Column:
+    """Mergeable moments of the values of a group or frame: n, sum, sum of squared distances from the mean, least and largest value."""
+    def over(c: Column) -> Column:
+        return c if frame is None else c.over(frame)
+
+    n, added, m2 = over(F.count(x)).cast("double"), over(F.sum(x)), over(F.var_pop(x))
+    return F.struct(n.alias("n"), F.coalesce(added, F.lit(0.0)).alias("s"), F.coalesce(m2 * n, F.lit(0.0)).alias("m2"), over(F.min(x)).alias("lo"), over(F.max(x)).alias("hi"))
+
+
+def _merged(a: Column, b: Column) -> Column:
+    """Moments of two sets of values together. Squares are never subtracted, so large values lose no digits."""
+    both = (a["n"] > 0) & (b["n"] > 0)
+    apart = F.when(both, b["s"] / b["n"] - a["s"] / a["n"]).otherwise(0.0)
+    return F.struct(
+        (a["n"] + b["n"]).alias("n"), (a["s"] + b["s"]).alias("s"),
+        (a["m2"] + b["m2"] + F.when(both, apart * apart * a["n"] * b["n"] / (a["n"] + b["n"])).otherwise(0.0)).alias("m2"),
+        F.least(a["lo"], b["lo"]).alias("lo"), F.greatest(a["hi"], b["hi"]).alias("hi"),
+    )
+
+
+def rolling_range(df: DataFrame, keys: Sequence[str], ts: str, value: str, seconds: int = 3600, parts: int = 60, z_limit: float = 3.0) -> DataFrame:
+    """df with rows_in_range, range_mean, range_std, z_score and is_anomaly: each row against the rows of its key in the `seconds` before its time.
+
+    A frame holds the times from `seconds` before the row's, included, up to its own, left out, so rows of equal time do not see each other. It is the
+    end of one time slot, some whole slots and the start of the row's own: whole slots are given by their merged moments, and the slot that a frame
+    begins in is sent, shifted by `seconds`, to where the row is. So rows are shuffled twice at most, and a task holds two slots of a key, `seconds` / `parts`
+    wide, however hot the key. Two values at least give a deviation, and equal values one of 0, which gives no z-score.
+
+    Null values count in no frame and have no z-score; rows without a time have empty frames. A null key is a key like any other. All columns and rows
+    of df stay, repeated ones too.
+    """
+    if seconds < 1 or parts < 1 or seconds * 1_000_000 % parts:
+        raise ValueError("seconds must be a whole number of microseconds times parts")
+    x, width = F.col("_x"), seconds * 1_000_000 // parts
+    rows = df.withColumns({"_at": F.unix_micros(F.col(ts).cast("timestamp")), "_x": F.col(value).cast("double")})
+    rows = rows.withColumn("_slot", F.floor(F.col("_at") / F.lit(width)).cast("bigint"))
+    timed = rows.where(F.col("_at").isNotNull())
+    shape = "struct<n: double, s: double, m2: double, lo: double, hi: double>"
+    empty = F.lit(None).cast(shape)
+    nothing = F.struct(*[F.lit(v).cast("double").alias(c) for c, v in (("n", 0), ("s", 0), ("m2", 0), ("lo", None), ("hi", None))])
+    # one row per slot with the moments of the whole slots between
+    between = W.partitionBy(*keys).orderBy("_slot").rangeBetween(-(parts - 1), -1)
+    per_slot = timed.groupBy(*keys, "_slot").agg(_moments(x).alias("_m"))
+    whole = F.aggregate(F.collect_list("_m").over(between), nothing, _merged) if parts > 1 else nothing
+    front = per_slot.select(*keys, "_slot", whole.cast(shape).alias("_whole"), (F.col("_slot") * F.lit(width)).alias("_at"), F.lit("whole").alias("_kind"))
+    lent = timed.select(*keys, (F.col("_slot") + parts).alias("_slot"), (F.col("_at") + F.lit(seconds * 1_000_000)).alias("_at"), "_x", F.lit("lent").alias("_kind"))
+    own = rows.withColumns({"_whole": empty, "_kind": F.lit("own")})
+    together = own.unionByName(lent, allowMissingColumns=True).unionByName(front, allowMissingColumns=True)
+    here = W.partitionBy(*keys, "_slot")
+    tail = here.orderBy(F.desc("_at")).rangeBetween(W.unboundedPreceding, W.currentRow)
+    head = here.orderBy("_at").rangeBetween(W.unboundedPreceding, -1)
+    seen = together.withColumns({
+        "_tail": _moments(F.when(F.col("_kind") == "lent", x), tail),
+        "_head": _moments(F.when(F.col("_kind") == "own", x), head),
+        "_whole": F.first("_whole", ignorenulls=True).over(here),
+    }).where("_kind = 'own'")
+    seen = seen.withColumn("_all", _merged(_merged(F.col("_tail"), F.col("_whole")), F.col("_head")))
+    n = F.when(F.col("_at").isNull(), 0.0).otherwise(F.col("_all.n"))
+    same = F.col("_all.lo") == F.col("_all.hi")
+    avg = F.when(n > 0, F.when(same, F.col("_all.lo")).otherwise(F.col("_all.s") / n))
+    std = F.when(n > 1, F.when(same, 0.0).otherwise(F.sqrt(F.col("_all.m2") / (n - 1))))
+    out = seen.select(*[F.col(f"`{c}`") for c in df.columns], "_x", n.cast("bigint").alias("rows_in_range"), avg.alias("range_mean"), std.alias("range_std"))
+    out = out.withColumn("z_score", (x - F.col("range_mean")) / F.nullif(F.col("range_std"), F.lit(0.0))).drop("_x")
+    return out.withColumn("is_anomaly", F.coalesce(F.abs("z_score") > z_limit, F.lit(False)))
+
+
 def idle_gaps(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], **split) -> DataFrame:
     """Gap in seconds between a row and the one before it."""
     def cols(w):

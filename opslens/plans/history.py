@@ -517,6 +517,23 @@ def win_rolling_seconds(b: Bind):
     return S.rolling_seconds(b.metric_samples(), ["metric_name"], "snapshot_timestamp", "metric_value")
 
 
+@query(
+    "q_win_rolling_range", "metric_samples",
+    "WITH r AS (SELECT event_id, metric_name, CAST(metric_value AS DOUBLE) AS metric_value, count(metric_value) OVER w AS n, avg(CAST(metric_value AS DOUBLE)) OVER w AS m,"
+    " CASE WHEN count(metric_value) OVER w > 1 THEN stddev_samp(CAST(metric_value AS DOUBLE)) OVER w END AS d FROM metric_samples"
+    " WINDOW w AS (PARTITION BY metric_name ORDER BY epoch_us(snapshot_timestamp) RANGE BETWEEN 86400000000 PRECEDING AND 1 PRECEDING))"
+    " SELECT event_id, metric_name, metric_value, n AS rows_in_range, CAST(m AS FLOAT)::DOUBLE AS range_mean, CAST(d AS FLOAT)::DOUBLE AS range_std,"
+    " round((metric_value - m) / nullif(d, 0), 6) + 0.0 AS z_score, coalesce(abs((metric_value - m) / nullif(d, 0)) > 3.0, false) AS is_anomaly FROM r",
+)
+def win_rolling_range(b: Bind):
+    rows = b.metric_samples().select("event_id", "metric_name", "metric_value", "snapshot_timestamp")
+    out = S.rolling_range(rows, ["metric_name"], "snapshot_timestamp", "metric_value", seconds=86_400, parts=48)
+    rounded = {c: F.col(c).cast("float").cast("double") for c in ("range_mean", "range_std")}
+    # a value equal to its mean is as far from it as the last digits of a sum
+    rounded["z_score"] = F.round("z_score", 6) + F.lit(0.0)
+    return out.drop("snapshot_timestamp").withColumns({"metric_value": F.col("metric_value").cast("double"), **rounded})
+
+
 _GAPS = (
     "WITH g AS (SELECT user_id, event_id, ts, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS us FROM events)"
 )

@@ -65,6 +65,32 @@ def test_rolling_of_large_and_of_close_values(spark, scale):
     assert last.z_score == pytest.approx((values[4] - np.mean(values[:4])) / np.std(values[:4], ddof=1), rel=1e-6)
 
 
+@pytest.mark.parametrize("seconds, parts", [(3600, 60), (7200, 1), (2, 4), (10**6, 1000)])
+def test_rolling_range(rows, seconds, parts):
+    at = F.unix_micros("ts")
+    df = rows.unionByName(rows.limit(40)).withColumn("v", F.when(F.col("id") % 6 > 0, F.col("c") / 7 + 1e6))
+    frame = W.partitionBy("k").orderBy(at).rangeBetween(-seconds * 1_000_000, -1)
+    got = series.rolling_range(df, ["k"], "ts", "v", seconds, parts)
+    assert got.columns == [*df.columns, "rows_in_range", "range_mean", "range_std", "z_score", "is_anomaly"] and got.count() == 940
+    want = df.select("id", F.count("v").over(frame).alias("n"), F.avg("v").over(frame).alias("m"), F.stddev_samp("v").over(frame).alias("d"))
+    both = got.alias("g").join(want.distinct().alias("w"), "id")
+    assert both.count() == 940 and both.where("rows_in_range <> n OR (range_mean IS NULL) <> (m IS NULL) OR (range_std IS NULL) <> (n < 2)").count() == 0
+    assert both.where("abs(range_mean - m) > 1e-6 OR (n > 1 AND abs(range_std - d) > 1e-6)").count() == 0
+    assert both.where("n > 1").count() > 0
+
+
+def test_rolling_range_at_its_edges(spark):
+    t = datetime(2024, 1, 1)
+    times = [0, 0, 10, 10, 70, None, 130]
+    df = spark.createDataFrame([(None, t + timedelta(seconds=s) if s is not None else None, i, 0.1, i) for i, s in enumerate(times)], "k string, ts timestamp, id int, v double, `a.b` int")
+    got = {r.id: r for r in series.rolling_range(df, ["k"], "ts", "v", 60, 6).collect()}
+    assert [got[i].rows_in_range for i in range(7)] == [0, 0, 2, 2, 2, 0, 1]
+    assert got[2].range_std == 0.0 and got[2].z_score is None and got[6].range_std is None and got[6].range_mean == 0.1
+    assert series.rolling_range(df.limit(0), ["k"], "ts", "v", 60, 6).count() == 0
+    with pytest.raises(ValueError):
+        series.rolling_range(df, ["k"], "ts", "v", 1, 7)
+
+
 @pytest.mark.parametrize("width", WIDTHS)
 def test_neighbours_ahead(rows, width):
     got = spread.over_ordered(rows, ["k"], "ts", ["id"], lambda w: {"ahead": F.lead("id", 3).over(w)}, after=3, slot_seconds=width)
