@@ -115,11 +115,19 @@ def policy_diff(parent: DataFrame, branch: DataFrame, keys: Sequence[str], item:
 
 
 def mask_compliance(parent: DataFrame, branch: DataFrame, keys: Sequence[str], item: Sequence[str]) -> DataFrame:
-    """Policy counts, missing and extra per branch; compliant when nothing is missing."""
+    """Policy counts, missing and extra per branch, with their names; compliant when nothing is missing.
+
+    A name is the parts of `item` joined by dots, a null part being empty; names are sorted, and only those of policies that differ are gathered. Repeated policies count once.
+    """
     both = parent.select(*keys, *item, F.lit(1).alias("p"), F.lit(0).alias("b")).unionByName(
         branch.select(*keys, *item, F.lit(0).alias("p"), F.lit(1).alias("b"))
     )
     per = both.groupBy(*keys, *item).agg(F.max("p").alias("p"), F.max("b").alias("b"))
+    name = F.concat_ws(".", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in item])
+
+    def names(side: str) -> Column:
+        return F.array_join(F.array_sort(F.collect_list(F.when(F.col(side) == 0, name))), ",")
+
     return (
         per.groupBy(*keys)
         .agg(
@@ -127,6 +135,8 @@ def mask_compliance(parent: DataFrame, branch: DataFrame, keys: Sequence[str], i
             F.sum("b").alias("branch_policy_count"),
             F.count_if(F.col("b") == 0).alias("missing"),
             F.count_if(F.col("p") == 0).alias("extra"),
+            names("b").alias("missing_policies"),
+            names("p").alias("extra_policies"),
         )
         .withColumn("compliant", F.col("missing") == 0)
     )

@@ -92,7 +92,7 @@ def rolling_range(df: DataFrame, keys: Sequence[str], ts: str, value: str, secon
         raise ValueError("seconds must be a whole number of microseconds times parts")
     x, width = F.col("_x"), seconds * 1_000_000 // parts
     rows = df.withColumns({"_at": F.unix_micros(F.col(ts).cast("timestamp")), "_x": F.col(value).cast("double")})
-    rows = rows.withColumn("_slot", F.floor(F.col("_at") / F.lit(width)).cast("bigint"))
+    rows = rows.withColumn("_slot", ((F.col("_at") - F.pmod(F.col("_at"), F.lit(width))) / F.lit(width)).cast("bigint"))
     timed = rows.where(F.col("_at").isNotNull())
     shape = "struct<n: double, s: double, m2: double, lo: double, hi: double>"
     empty = F.lit(None).cast(shape)

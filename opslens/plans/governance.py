@@ -149,11 +149,14 @@ def set_policy_diff(b: Bind):
     return V.policy_diff(*_policy_sides(b), ["branch_id"], _ITEM)
 
 
+_NAMES = "string_agg(" + " || '.' || ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in _ITEM) + ", ',' ORDER BY " + " || '.' || ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in _ITEM) + ") AS names"
+
+
 @query(
     "q_mask_compliance", "policies",
-    f"WITH {_PARENT}, p AS (SELECT DISTINCT * FROM par), q AS (SELECT DISTINCT * FROM bra), m AS (SELECT branch_id, count(*) AS n FROM (SELECT * FROM p EXCEPT SELECT * FROM q) GROUP BY 1), x AS (SELECT branch_id, count(*) AS n FROM (SELECT * FROM q EXCEPT SELECT * FROM p) GROUP BY 1),"
+    f"WITH {_PARENT}, p AS (SELECT DISTINCT * FROM par), q AS (SELECT DISTINCT * FROM bra), m AS (SELECT branch_id, count(*) AS n, {_NAMES} FROM (SELECT * FROM p EXCEPT SELECT * FROM q) GROUP BY 1), x AS (SELECT branch_id, count(*) AS n, {_NAMES} FROM (SELECT * FROM q EXCEPT SELECT * FROM p) GROUP BY 1),"
     " a AS (SELECT branch_id, count(*) AS n FROM p GROUP BY 1), c AS (SELECT branch_id, count(*) AS n FROM q GROUP BY 1)"
-    " SELECT a.branch_id, a.n AS parent_policy_count, coalesce(c.n, 0) AS branch_policy_count, coalesce(m.n, 0) AS missing, coalesce(x.n, 0) AS extra, m.n IS NULL AS compliant FROM a LEFT JOIN c USING (branch_id) LEFT JOIN m USING (branch_id) LEFT JOIN x USING (branch_id)",
+    " SELECT a.branch_id, a.n AS parent_policy_count, coalesce(c.n, 0) AS branch_policy_count, coalesce(m.n, 0) AS missing, coalesce(x.n, 0) AS extra, coalesce(m.names, '') AS missing_policies, coalesce(x.names, '') AS extra_policies, m.n IS NULL AS compliant FROM a LEFT JOIN c USING (branch_id) LEFT JOIN m USING (branch_id) LEFT JOIN x USING (branch_id)",
 )
 def mask_compliance(b: Bind):
     return V.mask_compliance(*_policy_sides(b), ["branch_id"], _ITEM)

@@ -118,6 +118,18 @@ def sink_retention(b: Bind):
     return _samples_back(tables.read_ops(b.spark, base, "metric_samples"))
 
 
+@query(
+    "q_sink_retention_months", "newest operations",
+    "SELECT CAST(operation_id AS VARCHAR) AS operation_id, table_name, executed_at FROM operations WHERE date_trunc('month', executed_at) + INTERVAL 1 MONTH > CAST((SELECT t FROM newest) - INTERVAL 10 DAY AS DATE)",
+)
+def sink_retention_months(b: Bind):
+    base = new_folder(b.spark, "months")
+    rows = b.operations().select(F.col("operation_id").cast("string").alias("operation_id"), "table_name", F.col("executed_at").cast("timestamp").alias("executed_at"))
+    tables.append(rows, base, "vacuum_history")
+    tables.drop_expired(b.spark, base, "vacuum_history", b.now() + timedelta(days=tables.retention_days("vacuum_history") - 10))
+    return tables.read_ops(b.spark, base, "vacuum_history").select("operation_id", "table_name", F.col("executed_at").cast("timestamp_ntz").alias("executed_at"))
+
+
 @query("q_sink_archive", "", "SELECT o_orderkey, o_totalprice, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS o_orderstatus FROM orders")
 def sink_archive(b: Bind):
     """Written twice, the second time with a column more."""
@@ -144,19 +156,39 @@ def sql_params(b: Bind):
     return views.run_sql(b.spark, text, {"floor": 50, "limit": 25}, stats=b.query_stats())
 
 
-@query(
-    "q_dq_table_checks", "",
-    "SELECT 'orders' AS table_name, count(*) AS \"rows\", '' AS missing_columns, '' AS stale_columns, count(*) >= 100 AS passed FROM orders"
-    " UNION ALL SELECT 'events', count(*), 'absent', '', false FROM events"
-    " UNION ALL SELECT 'labels', count(*), '', 'toxic', false FROM labels",
-)
+# The columns that each given table must have, and names of columns that no table may have.
+REQUIRED = {
+    "region": "r_regionkey r_name",
+    "nation": "n_nationkey n_name n_regionkey",
+    "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
+    "supplier": "s_suppkey s_name s_nationkey s_acctbal",
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate",
+    "events": "event_id ts user_id event_type value props",
+    "documents": "doc_id text lang source n_chars",
+    "embeddings": "vec_id embedding label",
+    "pages": "page_id url html",
+    "benchmark": "item_id text",
+    "labels": "doc_id quality toxic",
+    "conversations": "conv_id turn role text",
+}
+RETIRED = "password ssn card_number".split()
+
+
+def _table_check(table: str, columns: list[str]) -> str:
+    """Check: the row of one table, its columns as the other engine lists them."""
+    there = f"(SELECT column_name FROM duckdb_columns() WHERE table_name = '{table}')"
+    missing = f"(SELECT coalesce(string_agg(c, ',' ORDER BY c), '') FROM unnest({columns}) AS u(c) WHERE c NOT IN {there})"
+    stale = f"(SELECT coalesce(string_agg(c, ',' ORDER BY c), '') FROM unnest({RETIRED}) AS u(c) WHERE c IN {there})"
+    return f"SELECT '{table}' AS table_name, count(*) AS \"rows\", {missing} AS missing_columns, {stale} AS stale_columns, count(*) >= 1 AND {missing} = '' AND {stale} = '' AS passed FROM {table}"
+
+
+@query("q_dq_table_checks", "", " UNION ALL ".join(_table_check(t, c.split()) for t, c in REQUIRED.items()))
 def dq_table_checks(b: Bind):
     from opslens.operators.status import check_tables
 
-    frames = {n: b.table(n) for n in ("orders", "events", "labels")}
-    return check_tables(
-        frames, {"orders": 100}, {"orders": ["o_orderkey"], "events": ["ts", "absent"]}, {"labels": ["toxic"]}
-    )
+    return check_tables({t: b.table(t) for t in REQUIRED}, {}, {t: c.split() for t, c in REQUIRED.items()}, {t: RETIRED for t in REQUIRED})
 
 
 @query("q_dq_group_counts", "recommendations", "SELECT recommendation_type, count(*) AS n FROM recommendations GROUP BY ALL")

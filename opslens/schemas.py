@@ -67,12 +67,14 @@ DDL = {
     ),
 }
 
-# The day comes first: look-backs and retention then touch the folders of their days only. Branches come and go, and are no folders.
-DAY = "event_date"
+# Time comes first: look-backs and retention then touch the folders of their days, or months of the smaller tables, only. Branches
+# come and go, and are no folders.
+DAY, MONTH = "event_date", "event_month"
 PARTITIONS = {
     "query_stats_history": [DAY, "project_id"],
     "metric_samples": [DAY, "metric_name"],
 }
+PARTITIONS |= {table: [MONTH] for table in DDL if table not in PARTITIONS}
 
 # Timestamp column by which a table is windowed and kept, and days of retention.
 EVENT_TIME = {

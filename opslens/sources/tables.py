@@ -16,31 +16,31 @@ def path_of(base: str, table: str) -> str:
     return f"{base.rstrip('/')}/{table}"
 
 
+def folder_of(table: str) -> str:
+    """The column by which a table has a folder per day or per month."""
+    return schemas.PARTITIONS[table][0]
+
+
 def read_ops(spark: SparkSession, base: str, table: str, since: datetime | None = None) -> DataFrame:
     """Operational table with its declared schema, in its order; no inference.
 
-    With `since`, rows from that time on; of a table that has a folder per day, only those days are listed and opened.
+    With `since`, rows from that time on; only folders of those days or months are listed and opened.
     """
-    schema = schemas.schema_of(table)
-    by_day = schemas.DAY in schemas.PARTITIONS.get(table, [])
-    rows = spark.read.schema(StructType([*schema.fields, *([StructField(schemas.DAY, DateType())] if by_day else [])])).parquet(path_of(base, table))
+    schema, folder = schemas.schema_of(table), folder_of(table)
+    rows = spark.read.schema(StructType([*schema.fields, StructField(folder, DateType())])).parquet(path_of(base, table))
     if since is not None:
         ts = schemas.EVENT_TIME[table]
-        rows = rows.where(F.col(ts) >= instant(rows, ts, since))
-        if by_day:
-            rows = rows.where(F.col(schemas.DAY) >= F.lit(since.date()))
+        first = since.date() if folder == schemas.DAY else since.date().replace(day=1)
+        rows = rows.where((F.col(ts) >= instant(rows, ts, since)) & (F.col(folder) >= F.lit(first)))
     return rows.select(*schema.names)
 
 
 def create_ops_tables(spark: SparkSession, base: str, database: str = "default") -> list[str]:
     """Create all operational tables over `base`; safe to repeat."""
     for table, ddl in schemas.DDL.items():
-        partitions = schemas.PARTITIONS.get(table)
-        by = f" PARTITIONED BY ({', '.join(partitions)})" if partitions else ""
-        day = f", {schemas.DAY} DATE" if schemas.DAY in (partitions or []) else ""
         spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {database}.{table} ({ddl}{day}) USING parquet{by}"
-            f" LOCATION '{path_of(base, table)}'"
+            f"CREATE TABLE IF NOT EXISTS {database}.{table} ({ddl}, {folder_of(table)} DATE) USING parquet"
+            f" PARTITIONED BY ({', '.join(schemas.PARTITIONS[table])}) LOCATION '{path_of(base, table)}'"
         )
     return list(schemas.DDL)
 
@@ -61,17 +61,13 @@ def conform(df: DataFrame, table: str) -> DataFrame:
 
 def _placed(df: DataFrame, table: str) -> DataFrame:
     """Rows of the table's schema, rebalanced: a partition gets few files of a useful size and a large one several."""
-    partitions = schemas.PARTITIONS.get(table, [])
-    out = conform(df, table)
-    if schemas.DAY in partitions:
-        out = out.withColumn(schemas.DAY, F.to_date(schemas.EVENT_TIME[table]))
-    return out.hint("rebalance", *partitions)
+    folder, ts = folder_of(table), schemas.EVENT_TIME[table]
+    out = conform(df, table).withColumn(folder, F.to_date(ts) if folder == schemas.DAY else F.trunc(ts, "month"))
+    return out.hint("rebalance", *schemas.PARTITIONS[table])
 
 
 def _write(out: DataFrame, base: str, table: str, mode: str) -> None:
-    partitions = schemas.PARTITIONS.get(table)
-    writer = out.write.mode(mode)
-    (writer.partitionBy(*partitions) if partitions else writer).parquet(path_of(base, table))
+    out.write.mode(mode).partitionBy(*schemas.PARTITIONS[table]).parquet(path_of(base, table))
 
 
 def append(df: DataFrame, base: str, table: str, mode: str = "append") -> None:
@@ -127,24 +123,26 @@ def apply_retention(df: DataFrame, ts: str, days: int, as_of: datetime) -> DataF
 
 def retention_days(table: str) -> int:
     """Measurements are kept shorter than what an audit may ask for."""
-    return schemas.METRIC_RETENTION_DAYS if table in schemas.PARTITIONS else schemas.AUDIT_RETENTION_DAYS
+    return schemas.METRIC_RETENTION_DAYS if folder_of(table) == schemas.DAY else schemas.AUDIT_RETENTION_DAYS
 
 
 def drop_expired(spark: SparkSession, base: str, table: str, as_of: datetime) -> list[date]:
-    """Remove the folders of days that end before the table's retention, and name them. No row is read or rewritten.
+    """Remove the folders of days or months that end before the table's retention, and name their first days. No row is read or rewritten.
 
-    Rows of the day in which the retention ends stay until that day is over. Only for tables with a folder per day.
+    Rows of the day or month in which the retention ends stay until it is over; rows without a time stay.
     """
-    if schemas.DAY not in schemas.PARTITIONS.get(table, []):
-        raise ValueError(f"{table} has no folder per day")
     limit = (as_of - timedelta(days=retention_days(table))).date()
+
+    def after(first: date) -> date:
+        return first + timedelta(days=1) if folder_of(table) == schemas.DAY else (first + timedelta(days=31)).replace(day=1)
+
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path_of(base, table))
     store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     gone = []
     for status in store.listStatus(root):
         name, _, day = status.getPath().getName().partition("=")
-        if name == schemas.DAY and day[:2].isdigit() and date.fromisoformat(day) < limit:
+        if name == folder_of(table) and day[:2].isdigit() and after(date.fromisoformat(day)) <= limit:
             store.delete(status.getPath(), True)
             gone.append(date.fromisoformat(day))
     return sorted(gone)

@@ -105,4 +105,8 @@ def test_compliance(spark):
     q = spark.createDataFrame([("b", "email", "mask_email"), ("b", "ssn", "mask_name")], "branch string, c string, f string")
     r = V.mask_compliance(p, q, ["branch"], ["c", "f"]).first()
     assert (r.parent_policy_count, r.branch_policy_count, r.missing, r.extra, r.compliant) == (2, 2, 1, 1, False)
-    assert V.mask_compliance(p, p, ["branch"], ["c", "f"]).first()["compliant"]
+    assert (r.missing_policies, r.extra_policies) == ("ssn.mask_ssn", "ssn.mask_name")
+    same = V.mask_compliance(p, p.unionByName(p), ["branch"], ["c", "f"]).first()
+    assert same["compliant"] and (same.missing_policies, same.extra_policies) == ("", "")
+    none = V.mask_compliance(p, q.limit(0), ["branch"], ["c", "f"]).first()
+    assert (none.branch_policy_count, none.missing_policies) == (0, "email.mask_email,ssn.mask_ssn")

@@ -83,8 +83,25 @@ def test_expired_days_are_dropped(spark, tmp_path):
     assert gone and all(d < (NOW - timedelta(days=90)).date() for d in gone)
     assert {int(r.metric_id) for r in tables.read_ops(spark, base, "metric_samples").collect()} == want
     assert tables.drop_expired(spark, base, "metric_samples", NOW) == []
-    with pytest.raises(ValueError):
-        tables.drop_expired(spark, base, "vacuum_history", NOW)
+
+
+@pytest.mark.parametrize("table", sorted(t for t in schemas.DDL if schemas.PARTITIONS[t] == [schemas.MONTH]))
+def test_expired_months_are_dropped(spark, tmp_path, table):
+    base, ts = str(tmp_path), schemas.EVENT_TIME[table]
+    key = schemas.schema_of(table).names[0]
+    times = [NOW - timedelta(days=d) for d in (0, 364, 365, 366, 395, 396, 397, 430)]
+    rows = spark.createDataFrame([*((str(i), t) for i, t in enumerate(times)), ("none", None)], f"{key} string, {ts} timestamp")
+    tables.append(rows, base, table)
+    # the retention ends on 2 June 2023 (366 days behind a leap day), so May 2023 and before go
+    limit = (NOW - timedelta(days=365)).date()
+    want = {str(i) for i, t in enumerate(times) if (t.year, t.month) >= (limit.year, limit.month)} | {"none"}
+    gone = tables.drop_expired(spark, base, table, NOW)
+    assert gone and all(d.day == 1 and d < limit for d in gone)
+    assert {r[0] for r in tables.read_ops(spark, base, table).select(key).collect()} == want
+    assert tables.drop_expired(spark, base, table, NOW) == []
+    late = tables.read_ops(spark, base, table, since=NOW - timedelta(days=364))
+    assert {r[0] for r in late.select(key).collect()} == {"0", "1"}
+    assert "PartitionFilters: [isnotnull(event_month" in late._jdf.queryExecution().executedPlan().toString()
 
 
 def test_stamp(spark):
