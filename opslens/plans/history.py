@@ -120,13 +120,16 @@ def sink_retention(b: Bind):
 
 @query(
     "q_sink_retention_months", "newest operations",
-    "SELECT CAST(operation_id AS VARCHAR) AS operation_id, table_name, executed_at FROM operations WHERE date_trunc('month', executed_at) + INTERVAL 1 MONTH > CAST((SELECT t FROM newest) - INTERVAL 10 DAY AS DATE)",
+    "WITH o AS (SELECT CAST(operation_id AS VARCHAR) AS operation_id, table_name, executed_at - INTERVAL 30 DAY * CAST(operation_id % 12 AS INT) AS executed_at FROM operations)"
+    " SELECT * FROM o WHERE date_trunc('month', executed_at) + INTERVAL 1 MONTH > CAST((SELECT t FROM newest) - INTERVAL 100 DAY AS DATE)",
 )
 def sink_retention_months(b: Bind):
+    """Operations dealt over a year, of which the last 100 days, by whole months, are kept."""
     base = new_folder(b.spark, "months")
-    rows = b.operations().select(F.col("operation_id").cast("string").alias("operation_id"), "table_name", F.col("executed_at").cast("timestamp").alias("executed_at"))
+    back = F.timestamp_add("DAY", (F.col("operation_id") % 12 * -30).cast("int"), F.col("executed_at").cast("timestamp"))
+    rows = b.operations().select(F.col("operation_id").cast("string").alias("operation_id"), "table_name", back.alias("executed_at"))
     tables.append(rows, base, "vacuum_history")
-    tables.drop_expired(b.spark, base, "vacuum_history", b.now() + timedelta(days=tables.retention_days("vacuum_history") - 10))
+    tables.drop_expired(b.spark, base, "vacuum_history", b.now() + timedelta(days=tables.retention_days("vacuum_history") - 100))
     return tables.read_ops(b.spark, base, "vacuum_history").select("operation_id", "table_name", F.col("executed_at").cast("timestamp_ntz").alias("executed_at"))
 
 
