@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -26,41 +29,73 @@ def _ms(us: int) -> int:
     return -(-us // 1000)
 
 
+#: Times that wait are held by slots of a day; so many times are gathered before they go to the state.
+SLOT_US, GATHERED = 86_400_000_000, 1 << 20
+
+
 class _Quiet(StatefulProcessor):
-    """Alerts of a key wait until the watermark has passed them, and then pass in the order of their times."""
+    """Alerts of a key wait until the watermark has passed them, and then pass in the order of their times.
+
+    Each call to the state is a round trip, so an entry is a slot with its sorted times, and one timer stands for the first time that waits.
+    """
 
     def __init__(self, period_us: int):
         self.period_us = period_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at bigint", "n bigint")
+        self.waiting = handle.getMapState("waiting", "slot bigint", "times binary")
         self.sent = handle.getValueState("sent", "at bigint")
 
+    def _wait(self, times: np.ndarray) -> None:
+        slots, starts = np.unique(times // SLOT_US, return_index=True)
+        for slot, mine in zip(slots.tolist(), np.split(times, starts[1:]), strict=True):
+            held = self.waiting.getValue((slot,))
+            both = mine if held is None else np.union1d(np.frombuffer(held[0], "<i8"), mine)
+            self.waiting.updateValue((slot,), (both.astype("<i8").tobytes(),))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
-        for r in rows:
-            before = self.waiting.getValue((r.at_us,))[0] if self.waiting.containsKey((r.at_us,)) else 0
-            self.waiting.updateValue((r.at_us,), (before + r.n,))
-            self.handle.registerTimer(_ms(r.at_us))
+        first, gathered, n = None, [], 0
+        for frame in chain(rows, [None]):
+            if frame is not None and len(frame):
+                gathered.append(frame["at_us"].to_numpy(np.int64))
+                n += len(frame)
+            if n >= GATHERED or (frame is None and n):
+                times = np.unique(np.concatenate(gathered))
+                self._wait(times)
+                first = int(times[0]) if first is None else min(first, int(times[0]))
+                gathered, n = [], 0
+        if first is not None:
+            self.handle.registerTimer(_ms(first))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
-        mark = timerValues.getCurrentWatermarkInMs()
-        due = sorted(a for (a,) in self.waiting.keys() if _ms(a) <= mark)  # noqa: SIM118
-        last = self.sent.get()[0] if self.sent.exists() else None
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        sent = self.sent.get()
+        last = None if sent is None else sent[0]
         passed = []
-        for at in due:
-            if last is None or at >= last + self.period_us:
-                passed.append(at)
-                last = at
-            self.waiting.removeKey((at,))
-        if passed:
+        for slot in sorted(s for (s,) in self.waiting.keys()):  # noqa: SIM118
+            times = np.frombuffer(self.waiting.getValue((slot,))[0], "<i8")
+            n = int(np.searchsorted(times, mark, "right"))
+            at = 0 if last is None else int(np.searchsorted(times[:n], last + self.period_us))
+            while at < n:
+                last = int(times[at])
+                passed.append(last)
+                at = int(np.searchsorted(times[:n], last + self.period_us))
+            if n == len(times):
+                self.waiting.removeKey((slot,))
+                continue
+            if n:
+                self.waiting.updateValue((slot,), (times[n:].tobytes(),))
+            self.handle.registerTimer(_ms(int(times[n])))
+            break
+        if last is not None and last + self.period_us <= mark:
+            # the period is over, and what comes later is behind the watermark or after it
+            self.sent.clear()
+        elif passed:
             self.sent.update((last,))
-            # when the period is over the key may be forgotten
             self.handle.registerTimer(_ms(last + self.period_us))
-        elif last is not None and not self.waiting.exists() and _ms(last + self.period_us) <= mark:
-            self.sent.clear()
-        return iter([Row(key=key[0], at_us=at) for at in passed])
+        return iter([pd.DataFrame({"key": [key[0]] * len(passed), "at_us": passed})] if passed else ())
 
     def close(self) -> None:
         pass
@@ -71,7 +106,7 @@ def quiet(alerts: DataFrame, keys: Sequence[str], ts: str, period_seconds: int,
 
     Alerts wait in state until the watermark (`delay` behind the newest) has passed them, so the answer follows from their times and not from the files and
     batches they came in, as long as they come within the delay; later ones are dropped. A key holds the times between the watermark and the newest
-    alert, one entry per time, and the last time that passed, which a timer forgets after the period. A null key is a key like any other; null times are
+    alert, one entry per day, and the last time that passed, which a timer forgets after the period. A null key is a key like any other; null times are
     dropped. Alerts of a key are combined per time before the shuffle.
     """
     with_state(alerts.sparkSession)
@@ -80,11 +115,11 @@ def quiet(alerts: DataFrame, keys: Sequence[str], ts: str, period_seconds: int,
 
     def combine(batches: Iterator) -> Iterator:
         for batch in batches:
-            yield batch.groupby(["key", "at_us"], as_index=False).size().rename(columns={"size": "n"})
+            yield batch.drop_duplicates()
 
-    combined = named.mapInPandas(combine, "key string, at_us bigint, n bigint")
+    combined = named.mapInPandas(combine, "key string, at_us bigint")
     timed = event_time(combined.withColumn("at", F.timestamp_micros("at_us")), "at", delay)
-    passed = timed.groupBy("key").transformWithState(_Quiet(period_seconds * 1_000_000), "key string, at_us bigint", "append", "eventTime")
+    passed = timed.groupBy("key").transformWithStateInPandas(_Quiet(period_seconds * 1_000_000), "key string, at_us bigint", "append", "eventTime")
     types = ", ".join(f"`{k}` {alerts.schema[k].dataType.simpleString()}" for k in keys)
     back = passed.select(F.from_json("key", types).alias("k"), F.timestamp_micros("at_us").alias(ts))
     return back.select("k.*", ts)

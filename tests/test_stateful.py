@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,3 +69,65 @@ def test_lost_commits(spark, tmp_path, salts):
     lag = stateful.commit_lag(sinks.read_files(spark, f"{tmp_path}/c/*").drop("d"), sinks.read_files(spark, f"{tmp_path}/a/*").drop("d"), "id", "1 HOUR", salts=salts)
     got = {r.id: (r.status, r.arrivals, r.lag_seconds) for r in sinks.run_append(lag, str(tmp_path / "l")).collect()}
     assert got == {1: ("arrived", 3, 60.0), 2: ("lost", 0, None), 3: ("lost", 0, None), None: ("lost", 0, None)}
+
+
+class Calls:
+    """Stands for the state of one key and counts the calls to it, each of which is a round trip."""
+
+    def __init__(self):
+        self.n, self.value, self.map, self.timers = 0, None, {}, []
+
+    def _counted(self, result=None):
+        self.n += 1
+        return result
+
+    def getMapState(self, *_):
+        return self
+
+    getValueState = getMapState
+
+    def get(self):
+        return self._counted(self.value)
+
+    def exists(self):
+        return self._counted(self.value is not None)
+
+    def update(self, value):
+        self.value = self._counted(value)
+
+    def clear(self):
+        self.value = self._counted()
+
+    def keys(self):
+        return self._counted([*self.map])
+
+    def containsKey(self, key):
+        return self._counted(key in self.map)
+
+    def getValue(self, key):
+        return self._counted(self.map.get(key))
+
+    def updateValue(self, key, value):
+        self.map[key] = self._counted(value)
+
+    def removeKey(self, key):
+        self._counted(self.map.pop(key))
+
+    def registerTimer(self, ms):
+        self.timers.append(self._counted(ms))
+
+    def getCurrentWatermarkInMs(self):
+        return self.mark
+
+
+def test_calls_to_the_state_of_alerts_do_not_grow_with_alerts():
+    calls, quiet = Calls(), stateful._Quiet(60_000_000)
+    quiet.init(calls)
+    times = [i * 1_000_000 for i in reversed(range(5000))]
+    list(quiet.handleInputRows(("k",), iter([pd.DataFrame({"key": "k", "at_us": times[i : i + 1000]}) for i in range(0, 5000, 1000)]), calls))
+    assert calls.n <= 5 and calls.timers == [0]
+    calls.mark = 3_000_000
+    got = [t for f in quiet.handleExpiredTimer(("k",), calls, None) for t in f["at_us"]]
+    assert got == [i * 60_000_000 for i in range(51)] and calls.n <= 15
+    # what the watermark has not passed still waits
+    assert calls.timers[1] == 3_001_000
