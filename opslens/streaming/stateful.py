@@ -7,7 +7,7 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -128,43 +128,72 @@ def quiet(alerts: DataFrame, keys: Sequence[str], ts: str, period_seconds: int,
 BRANCH_DDL = "branch_id string, created bigint, deleted bigint, resets bigint, is_protected boolean, last bigint"
 
 
-class _Branch(StatefulProcessor):
-    """Newest creation, deletion and activity of a branch; gone once the watermark has passed its deletion."""
+#: How the states of one branch make one.
+FOLD = {"created": "max", "deleted": "max", "resets": "sum", "is_protected": "any", "last": "max"}
+
+
+def _folded(branches: pd.DataFrame) -> pd.DataFrame:
+    return branches.groupby("branch_id", as_index=False).agg(FOLD)
+
+
+class _Branches(StatefulProcessor):
+    """Newest creation, deletion and activity of each branch of a bucket; a branch is gone once the watermark has passed its deletion.
+
+    Each call to the state is a round trip, so a bucket is one value, a column an array, and one timer stands for the first branch to go.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("branch", "created bigint, deleted bigint, resets bigint, is_protected boolean, last bigint")
-
-    def _fold(self, created: int, deleted: int, resets: int, protected: bool, last: int) -> tuple:
-        if self.state.exists():
-            c, d, n, p, a = self.state.get()
-            created, deleted, resets, protected, last = max(c, created), max(d, deleted), n + resets, p or protected, max(a, last)
-        now = (created, deleted, resets, protected, last)
-        self.state.update(now)
-        if deleted >= max(created, 0):
-            self.handle.registerTimer(_ms(last))
+        self.state = handle.getValueState("branches", ", ".join("{0} array<{1}>".format(*c.split()) for c in BRANCH_DDL.split(", ")))
+
+    def _held(self) -> pd.DataFrame | None:
+        held = self.state.get()
+        return None if held is None else pd.DataFrame(dict(zip(["branch_id", *FOLD], held, strict=True)))
+
+    def _keep(self, branches: pd.DataFrame) -> None:
+        self.state.update(tuple(branches[c].tolist() for c in ["branch_id", *FOLD]))
+        leaving = branches["last"][_is_deleted(branches)]
+        if len(leaving):
+            self.handle.registerTimer(_ms(int(leaving.min())))
+
+    def _fold(self, new: pd.DataFrame) -> pd.DataFrame:
+        """The state with `new`, which has a row per branch, in it."""
+        held = self._held()
+        now = new if held is None else _folded(pd.concat([held, new], ignore_index=True))
+        self._keep(now)
         return now
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        r = initialState
-        self._fold(r.created, r.deleted, r.resets, r.is_protected, r.last)
+        if len(initialState):
+            self._fold(_folded(initialState))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
-        now = [self._fold(r.created, r.deleted, r.resets, r.is_protected, r.last) for r in rows][-1]
-        return iter([Row(branch_id=key[0], created=now[0], deleted=now[1], resets=now[2], is_protected=now[3], last=now[4])])
+        frames = [_folded(f) for f in rows if len(f)]
+        if not frames:
+            return iter(())
+        new = _folded(pd.concat(frames, ignore_index=True))
+        now = self._fold(new)
+        return iter([now[now["branch_id"].isin(new["branch_id"])]])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
-        if self.state.exists():
-            created, deleted, _, _, last = self.state.get()
-            if deleted >= max(created, 0) and _ms(last) <= timerValues.getCurrentWatermarkInMs():
+        held = self._held()
+        if held is not None:
+            gone = _is_deleted(held) & (held["last"] <= timerValues.getCurrentWatermarkInMs() * 1000)
+            if gone.all():
                 self.state.clear()
+            elif gone.any():
+                self._keep(held[~gone])
         return iter(())
 
     def close(self) -> None:
         pass
 
 
-def live_branches(events: DataFrame, initial: DataFrame | None = None, delay: str = "10 minutes") -> DataFrame:
+def _is_deleted(branches: pd.DataFrame) -> pd.Series:
+    return branches["deleted"] >= branches["created"].clip(lower=0)
+
+
+def live_branches(events: DataFrame, initial: DataFrame | None = None, delay: str = "10 minutes", buckets: int = 256) -> DataFrame:
     """Running state per branch, a row whenever it changes (update mode): BRANCH_DDL, times in microseconds, -1 for never.
 
     `initial` (BRANCH_DDL) starts the state from a batch. A branch that is deleted leaves the state when the watermark has passed its last event, so state is
@@ -180,17 +209,18 @@ def live_branches(events: DataFrame, initial: DataFrame | None = None, delay: st
 
     def combine(batches: Iterator) -> Iterator:
         for b in batches:
-            yield b.groupby("branch_id", as_index=False).agg({"created": "max", "deleted": "max", "resets": "sum", "is_protected": "any", "last": "max"})
+            yield _folded(b)
 
-    timed = event_time(marks.mapInPandas(combine, BRANCH_DDL).withColumn("at", F.timestamp_micros("last")), "at", delay)
-    start = None if initial is None else initial.select(*[c.split()[0] for c in BRANCH_DDL.split(", ")]).groupBy("branch_id")
-    return timed.groupBy("branch_id").transformWithState(_Branch(), BRANCH_DDL, "update", "eventTime", initialState=start)
+    bucket = F.pmod(F.xxhash64("branch_id"), F.lit(buckets)).alias("bucket")
+    combined = marks.mapInPandas(combine, BRANCH_DDL).select(bucket, "*", F.timestamp_micros("last").alias("at"))
+    start = None if initial is None else initial.withColumn("branch_id", F.coalesce("branch_id", F.lit(""))).select(bucket, "branch_id", *FOLD).groupBy("bucket")
+    return event_time(combined, "at", delay).groupBy("bucket").transformWithStateInPandas(_Branches(), BRANCH_DDL, "update", "eventTime", initialState=start)
 
 
 def state_of(spark: SparkSession, folder: str) -> DataFrame:
     """branch_id and the rest of BRANCH_DDL of all branches in the state of a stream with this folder."""
-    kept = spark.read.format("statestore").option("stateVarName", "branch").load(f"{folder}/checkpoint")
-    return kept.select("key.branch_id", "value.*")
+    kept = spark.read.format("statestore").option("stateVarName", "branches").load(f"{folder}/checkpoint")
+    return kept.select(F.inline(F.arrays_zip(*[F.col(f"value.{c}") for c in ["branch_id", *FOLD]])))
 
 
 def commit_lag(commits: DataFrame, arrivals: DataFrame, key: str, bound: str, delay: str = "10 minutes", salts: int = 1) -> DataFrame:

@@ -131,3 +131,18 @@ def test_calls_to_the_state_of_alerts_do_not_grow_with_alerts():
     assert got == [i * 60_000_000 for i in range(51)] and calls.n <= 15
     # what the watermark has not passed still waits
     assert calls.timers[1] == 3_001_000
+
+
+def test_calls_to_the_state_of_branches_do_not_grow_with_branches():
+    calls, branches = Calls(), stateful._Branches()
+    branches.init(calls)
+    names = [f"b{i}" for i in range(2000)]
+    new = pd.DataFrame({"branch_id": names, "created": 5, "deleted": [9 if i % 2 else -1 for i in range(2000)], "resets": 1, "is_protected": False, "last": 10_000})
+    out = pd.concat(branches.handleInputRows((0,), iter([new[:1500], new[1000:]]), calls))
+    assert sorted(out["branch_id"]) == sorted(names) and set(out[out["branch_id"] == "b1200"]["resets"]) == {2}
+    assert calls.n <= 4 and calls.timers == [10]
+    calls.mark = 10
+    list(branches.handleExpiredTimer((0,), calls, None))
+    assert sorted(calls.value[0]) == sorted(names[::2]) and calls.n <= 8
+    # rows come for the branches of the batch only
+    assert [*pd.concat(branches.handleInputRows((0,), iter([new[:1]]), calls))["resets"]] == [2]
