@@ -105,12 +105,20 @@ def pii_scan(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def _sides(parent: DataFrame, branch: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Distinct rows of both, with p and b telling whether the parent and the branch have them.
+
+    Rows are dealt out by all columns first: hardly any of them repeat on one side, so combining them in the tasks that read would gather whole files there and save no shuffling.
+    """
+    both = parent.select(*columns, F.lit(1).alias("p"), F.lit(0).alias("b")).unionByName(
+        branch.select(*columns, F.lit(0).alias("p"), F.lit(1).alias("b"))
+    )
+    return both.repartition(*columns).groupBy(*columns).agg(F.max("p").alias("p"), F.max("b").alias("b"))
+
+
 def policy_diff(parent: DataFrame, branch: DataFrame, keys: Sequence[str], item: Sequence[str]) -> DataFrame:
     """Policies missing on the branch or extra on it, one row each."""
-    both = parent.select(*keys, *item, F.lit(1).alias("p"), F.lit(0).alias("b")).unionByName(
-        branch.select(*keys, *item, F.lit(0).alias("p"), F.lit(1).alias("b"))
-    )
-    per = both.groupBy(*keys, *item).agg(F.max("p").alias("p"), F.max("b").alias("b"))
+    per = _sides(parent, branch, [*keys, *item])
     return per.where(F.col("p") != F.col("b")).select(*keys, *item, F.when(F.col("b") == 0, "missing").otherwise("extra").alias("difference"))
 
 
@@ -119,10 +127,7 @@ def mask_compliance(parent: DataFrame, branch: DataFrame, keys: Sequence[str], i
 
     A name is the parts of `item` joined by dots, a null part being empty; names are sorted, and only those of policies that differ are gathered. Repeated policies count once.
     """
-    both = parent.select(*keys, *item, F.lit(1).alias("p"), F.lit(0).alias("b")).unionByName(
-        branch.select(*keys, *item, F.lit(0).alias("p"), F.lit(1).alias("b"))
-    )
-    per = both.groupBy(*keys, *item).agg(F.max("p").alias("p"), F.max("b").alias("b"))
+    per = _sides(parent, branch, [*keys, *item])
     name = F.concat_ws(".", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in item])
 
     def names(side: str) -> Column:

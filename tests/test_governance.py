@@ -110,3 +110,19 @@ def test_compliance(spark):
     assert same["compliant"] and (same.missing_policies, same.extra_policies) == ("", "")
     none = V.mask_compliance(p, q.limit(0), ["branch"], ["c", "f"]).first()
     assert (none.branch_policy_count, none.missing_policies) == (0, "email.mask_email,ssn.mask_ssn")
+
+
+def test_policies_are_not_combined_where_they_are_read(spark):
+    """A reading task would hold every policy of its files."""
+    p = spark.createDataFrame([("b", "t", "c", "f"), ("b", "t", "c", "f"), (None, "t", "d", None)], "branch_id string, table_name string, column_name string, function string")
+    item = ["table_name", "column_name", "function"]
+    diff = V.policy_diff(p, p.where("branch_id = 'b'"), ["branch_id"], item)
+    assert [tuple(r) for r in diff.collect()] == [(None, "t", "d", None, "missing")]
+    got = {r.branch_id: (r.parent_policy_count, r.branch_policy_count, r.missing_policies) for r in V.mask_compliance(p, p.where("branch_id = 'b'"), ["branch_id"], item).collect()}
+    assert got == {"b": (1, 1, ""), None: (1, 0, "t.d.")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = V.policy_diff(p, p, ["branch_id"], item)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "Aggregate" in plan and "Aggregate" not in plan[plan.index("Exchange") :]
