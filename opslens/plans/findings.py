@@ -88,11 +88,8 @@ def join_anti_unindexed(b: Bind):
     " WHERE NOT EXISTS (SELECT 1 FROM index_keys i WHERE i.indrelid = c.conrelid AND list_contains(i.indkey, c.conkey[1])) GROUP BY ALL",
 )
 def idx_missing_fk(b: Bind):
-    fk = G.unindexed_foreign_keys(b.constraints(), b.index_keys())
-    # collapse to distinct (table, column) before the names are joined on
-    per = fk.groupBy("conrelid", "column_number").agg(F.count("*").alias("constraints"))
-    names = b.attributes().select(F.col("attrelid").alias("conrelid"), F.col("attnum").alias("column_number"), F.col("attname").alias("column_name"))
-    return per.join(names, ["conrelid", "column_number"]).groupBy("conrelid", "column_name").agg(F.sum("constraints").alias("constraints"))
+    named = G.unindexed_columns(b.constraints(), b.index_keys(), b.attributes())
+    return named.groupBy("conrelid", "column_name").agg(F.sum("constraints").alias("constraints"))
 
 
 @query(
@@ -121,9 +118,8 @@ _ALL = " UNION ALL ".join((_UNUSED, _BLOATED, _SEQUENTIAL, _DOUBLED, _FK))
 
 def _findings(b: Bind):
     """What all five detectors find."""
-    keys = b.attributes().select(F.col("attrelid").alias("conrelid"), F.col("attnum").alias("column_number"), F.col("attname").alias("column_name"))
     place = {"project_id": F.concat(F.lit("p"), F.col("conrelid") % 5), "branch_id": F.concat(F.lit("b"), F.col("conrelid") % 10), "table_name": F.concat(F.lit("t_"), F.col("conrelid"))}
-    unindexed = G.unindexed_foreign_keys(b.constraints(), b.index_keys()).select("conrelid", "column_number").distinct().join(keys, ["conrelid", "column_number"]).withColumns(place)
+    unindexed = G.unindexed_columns(b.constraints(), b.index_keys(), b.attributes()).withColumns(place)
     s = b.index_stats()
     return G.union_findings(G.unused_indexes(*_meta(b)), G.bloated_indexes(s), G.missing_findings(b.table_stats()), G.duplicate_findings(s), G.foreign_key_findings(unindexed))
 
