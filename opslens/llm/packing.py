@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opslens.llm.common import query, table, tidy
-from opslens.llm.tokens import END_ID, encoder
+from opslens.llm.tokens import END_ID, binary_slices, encoder
 
 WINDOW = 4096
 #: Ids and documents that are packed together; what a task holds at a time.
 BUFFER_IDS, BUFFER_DOCS = 4_000_000, 200_000
+#: Ids that leave a task at a time, so that neither side of the pipe holds a second copy of the buffer.
+OUT_IDS = 500_000
 PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -98,21 +100,36 @@ def cut_tail(window: list[tuple[int, int, int]], capacity: int = WINDOW) -> list
 
 
 def _pack_task(path: str, end_id: int, by_word: bool, capacity: int, buffer_ids: int, buffer_docs: int):
-    def flush(keys: list, texts: list[np.ndarray], first: int) -> tuple[pa.RecordBatch, int]:
-        sequences = [s for w in best_fit(np.array([len(t) for t in texts]), capacity) for s in cut_tail(w, capacity)]
-        rows = [(texts[item], keys[item], start, n, first + k, offset) for k, s in enumerate(sequences) for (item, start, n), offset in zip(s, np.cumsum([0, *[n for _, _, n in s]]).tolist(), strict=False)]
+    def flush(keys: list, texts: list[np.ndarray], first: int) -> Iterator[pa.RecordBatch]:
+        """Pieces of the buffer, some OUT_IDS ids at a time."""
+        rows, held = [], 0
+        for k, window in enumerate(s for w in best_fit(np.array([len(t) for t in texts]), capacity) for s in cut_tail(w, capacity)):
+            offset = 0
+            for item, start, n in window:
+                rows.append((item, start, n, first + k, offset))
+                offset += n
+            held += offset
+            if held >= OUT_IDS:
+                yield batch_of(keys, texts, rows)
+                rows, held = [], 0
+        if rows:
+            yield batch_of(keys, texts, rows)
+
+    def batch_of(keys: list, texts: list[np.ndarray], rows: list[tuple[int, int, int, int, int]]) -> pa.RecordBatch:
+        lengths = np.array([r[2] for r in rows], np.int64)
+        ids = np.concatenate([texts[item][start : start + n] for item, start, n, _, _ in rows])
         return pa.RecordBatch.from_arrays(
             [
+                pa.array([keys[r[0]] for r in rows], pa.int64()),
                 pa.array([r[1] for r in rows], pa.int64()),
-                pa.array([r[2] for r in rows], pa.int64()),
+                pa.array(lengths, pa.int64()),
+                binary_slices(ids, np.concatenate([[0], np.cumsum(lengths)])),
+                pa.array([len(texts[r[0]]) for r in rows], pa.int64()),
                 pa.array([r[3] for r in rows], pa.int64()),
-                pa.array([ids[s : s + n].tobytes() for ids, _, s, n, _, _ in rows], pa.binary()),
-                pa.array([len(r[0]) for r in rows], pa.int64()),
                 pa.array([r[4] for r in rows], pa.int64()),
-                pa.array([r[5] for r in rows], pa.int64()),
             ],
             names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
-        ), first + len(sequences)
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, end_id, by_word)
@@ -126,11 +143,12 @@ def _pack_task(path: str, end_id: int, by_word: bool, capacity: int, buffer_ids:
                     texts.append(ids[a:b])
                     held += b - a
                     if held >= buffer_ids or len(keys) >= buffer_docs:
-                        out, first = flush(keys, texts, first)
+                        for out in flush(keys, texts, first):
+                            yield out
+                        first = out.column(5)[-1].as_py() + 1
                         keys, texts, held = [], [], 0
-                        yield out
         if keys:
-            yield flush(keys, texts, first)[0]
+            yield from flush(keys, texts, first)
 
     return run
 

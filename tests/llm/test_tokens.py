@@ -179,3 +179,23 @@ def test_packing_of_odd_rows(spark, encoder, docs_per_buffer):
     check_pieces(rows, {i for i, _, _ in ODD})
     assert sum(r.length for r in rows) == sum(map(len, whole(encoder, [t for _, t, _ in ODD])))
     assert packing.pack(df.limit(0), PATH).count() == 0
+
+
+def test_packed_pieces_leave_some_at_a_time(monkeypatch):
+    """The batch that leaves a task is small, however large the buffer; sequence numbers go on from buffer to buffer."""
+
+    class Part:
+        get = staticmethod(lambda: Part)
+        partitionId = staticmethod(lambda: 3)
+
+    monkeypatch.setattr(packing, "TaskContext", Part)
+    monkeypatch.setattr(packing, "OUT_IDS", 64, raising=False)
+    docs = pa.RecordBatch.from_pydict({"doc_id": list(range(40)), "text": [f"word{i} " * (i + 1) for i in range(40)]})
+    out = [*packing._pack_task(PATH, 2, True, 32, 10_000, 25)(iter([docs]))]
+    assert max(sum(b["length"].to_pylist()) for b in out) < 64 + 32
+    rows = [r for b in out for r in b.to_pylist()]
+    assert sorted({r["sequence_id"] for r in rows}) == list(range(3 << 40, (3 << 40) + len({r["sequence_id"] for r in rows})))
+    whole = packing.encoder(PATH, 2, True).encode(docs["text"])
+    for i in range(40):
+        mine = sorted((r["start"], r["ids"]) for r in rows if r["doc_id"] == i)
+        assert b"".join(ids for _, ids in mine) == whole[0][whole[1][i] : whole[1][i + 1]].astype("<u4").tobytes()
